@@ -166,3 +166,77 @@ SELECT count(*) AS n_groups FROM (SELECT 1 FROM li GROUP BY l_quantity, l_discou
 def q_replicate_group_count(spark, sf):
     li = _li(spark, sf).select("row_id", *REP5_F)
     return rep.count_groups(rep.detect_replicates(li, REP5_F))
+
+
+# ---------------------------------------------------------------------------
+# Correlations, ANOVA, correlation rank (M1-M6)
+# ---------------------------------------------------------------------------
+from sifter.operators import correlate as cor  # noqa: E402
+
+COR_F = ["l_extendedprice", "l_discount", "l_tax"]
+COR_C = ["l_returnflag", "l_linestatus"]
+COR_T = ["net", "l_quantity"]
+NET_SQL = "SELECT *, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS net FROM lineitem"
+
+
+def _cor_input(spark, sf):
+    return table(spark, sf, "lineitem").withColumn(
+        "net", F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    ).select(*COR_F, *COR_C, *COR_T)
+
+
+def _rank_sql(c: str) -> str:
+    return f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0)"
+
+
+_PEARSON_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS target, '{f}' AS feature, count(*) AS n, round(corr({f}, {t}), 6) AS pearson_r FROM li"
+    for t in COR_T for f in COR_F)
+_SPEARMAN_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS target, '{f}' AS feature, count(*) AS n, round(corr(rk_{f}, rk_{t}), 6) AS spearman_r FROM rk"
+    for t in COR_T for f in COR_F)
+_RK_CTE = "rk AS (SELECT " + ", ".join(f"{_rank_sql(c)} AS rk_{c}" for c in COR_F + COR_T) + " FROM li)"
+_ANOVA_SQL = " UNION ALL ".join(f"""
+SELECT '{t}' AS target, '{c}' AS feature, n, k, ssb, ssw FROM (
+  SELECT sum(ng) AS n, count(*) AS k, sum(ng * (mg - grand) * (mg - grand)) AS ssb, sum(m2) AS ssw
+  FROM (SELECT *, sum(ng * mg) OVER () / sum(ng) OVER () AS grand FROM (
+        SELECT {c} AS category, count({t}) AS ng, avg({t}) AS mg, var_pop({t}) * count({t}) AS m2
+        FROM li GROUP BY {c})))""" for t in COR_T for c in COR_C)
+
+
+@register("pearson", f"WITH li AS ({NET_SQL}) {_PEARSON_SQL}")
+def q_pearson(spark, sf):
+    out = cor.pearson_table(_cor_input(spark, sf), COR_F, COR_T)
+    return out.select("target", "feature", "n", r6("r", "pearson_r"))
+
+
+@register("spearman", f"WITH li AS ({NET_SQL}), {_RK_CTE} {_SPEARMAN_SQL}")
+def q_spearman(spark, sf):
+    df = _cor_input(spark, sf)
+    res = cor.run_correlations(df, COR_F, COR_T, method="spearman")
+    return res.select("target", "feature", "n", r6("spearman_r"))
+
+
+@register("anova_eta2", f"""WITH li AS ({NET_SQL}), a AS ({_ANOVA_SQL})
+SELECT target, feature, n, round(CASE WHEN ssb + ssw = 0 THEN 0 ELSE ssb / (ssb + ssw) END, 6) AS eta_squared,
+       round((ssb / (k - 1)) / (ssw / (n - k)), 6) AS f_stat FROM a""")
+def q_anova(spark, sf):
+    out = cor.anova_table(_cor_input(spark, sf), COR_C, COR_T)
+    return out.select("target", "feature", "n", r6("eta_squared"), r6("f_stat"))
+
+
+@register("corr_rank", f"""WITH li AS ({NET_SQL}), {_RK_CTE},
+p AS ({_PEARSON_SQL}), s AS ({_SPEARMAN_SQL}), a AS ({_ANOVA_SQL}),
+sc AS (SELECT target, feature, greatest(abs(p.pearson_r), abs(s.spearman_r)) AS score
+       FROM p JOIN s USING (target, feature)
+       UNION ALL SELECT target, feature, sqrt(ssb / (ssb + ssw)) FROM a)
+SELECT target, feature, rank() OVER (PARTITION BY target ORDER BY score DESC NULLS LAST) AS rank FROM sc""")
+def q_corr_rank(spark, sf):
+    res = cor.run_correlations(_cor_input(spark, sf), COR_F + COR_C, COR_T, categorical_cols=COR_C)
+    return res.select("target", "feature", "rank")
+
+
+@register("correlations")
+def q_correlations(spark, sf):
+    """Full M1-M6 table with p-values and significance flags."""
+    return cor.run_correlations(_cor_input(spark, sf), COR_F + COR_C, COR_T, categorical_cols=COR_C)
