@@ -179,8 +179,9 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     totals = counts.groupBy(*group_cols).agg(F.sum("_cnt").alias("_n"))
     if group_cols:
         scanned = scanned.join(totals, on=group_cols)
-    else:
-        scanned = scanned.crossJoin(F.broadcast(totals))  # one-row table
+    else:  # one-row totals: equi-join on a constant key
+        scanned = scanned.withColumn("_k", F.lit(1)).join(
+            F.broadcast(totals.withColumn("_k", F.lit(1))), "_k").drop("_k")
     # positions of the lower/upper neighbour for every prob
     picks = []
     for i, p in enumerate(probs):

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sifter.operators import replicates as rep
+from sifter.session import durable
 from sifter.sources.tables import LINEITEM_KEY, lineitem_experiments, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,3 +241,99 @@ def q_corr_rank(spark, sf):
 def q_correlations(spark, sf):
     """Full M1-M6 table with p-values and significance flags."""
     return cor.run_correlations(_cor_input(spark, sf), COR_F + COR_C, COR_T, categorical_cols=COR_C)
+
+
+# ---------------------------------------------------------------------------
+# Consensus, labels, cross-target table, default selection
+# ---------------------------------------------------------------------------
+from sifter.operators import consensus as cons  # noqa: E402
+
+CONS_METHODS = ["pearson", "spearman", "correlations"]
+CONS_FEATS = COR_F + COR_C
+
+
+def _cons_rankings(spark, sf):
+    # tiny (targets x features) result reused by three rankings: materialise once
+    res = durable(cor.run_correlations(_cor_input(spark, sf), CONS_FEATS, COR_T,
+                                       categorical_cols=COR_C))
+    parts = []
+    for m in ("pearson", "spearman"):
+        w = F.rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window
+                          .partitionBy("target").orderBy(F.abs(F.col(f"{m}_r")).desc_nulls_last()))
+        parts.append(res.where(F.col(f"{m}_r").isNotNull())
+                     .select("target", F.lit(m).alias("method"), "feature",
+                             w.cast("long").alias("rank")))
+    parts.append(cons.ranking_from(res, "correlations"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_FPOS_SQL = "CASE feature " + " ".join(f"WHEN '{f}' THEN {i + 1}" for i, f in enumerate(CONS_FEATS)) + " END"
+_CONS_SQL = f"""WITH li AS ({NET_SQL}), {_RK_CTE},
+p AS ({_PEARSON_SQL}), s AS ({_SPEARMAN_SQL}), a AS ({_ANOVA_SQL}),
+sc AS (SELECT target, feature, greatest(abs(p.pearson_r), abs(s.spearman_r)) AS score
+       FROM p JOIN s USING (target, feature)
+       UNION ALL SELECT target, feature, sqrt(ssb / (ssb + ssw)) FROM a),
+r AS (SELECT target, 'pearson' AS method, 1 AS mpos, feature,
+             rank() OVER (PARTITION BY target ORDER BY abs(pearson_r) DESC) AS rank FROM p
+      UNION ALL SELECT target, 'spearman', 2, feature,
+             rank() OVER (PARTITION BY target ORDER BY abs(spearman_r) DESC) FROM s
+      UNION ALL SELECT target, 'correlations', 3, feature,
+             rank() OVER (PARTITION BY target ORDER BY score DESC NULLS LAST) FROM sc),
+f AS (SELECT target, feature, min(mpos * 1000000 + rank * 1000 + {_FPOS_SQL}) AS first_seen,
+             count(*) OVER (PARTITION BY target) AS n FROM r GROUP BY target, feature),
+g AS (SELECT f.target, f.feature, f.first_seen, f.n, m.method,
+             coalesce(r.rank, f.n) AS rk
+      FROM f JOIN (VALUES ('pearson'), ('spearman'), ('correlations')) m(method) ON TRUE
+      LEFT JOIN r ON r.target = f.target AND r.feature = f.feature AND r.method = m.method),
+c AS (SELECT target, feature, first_seen,
+             max(CASE WHEN method = 'pearson' THEN rk END) AS pearson_rank,
+             max(CASE WHEN method = 'spearman' THEN rk END) AS spearman_rank,
+             max(CASE WHEN method = 'correlations' THEN rk END) AS correlations_rank,
+             avg(rk / n) AS anr,
+             count(*) FILTER (WHERE rk <= greatest(3, n // 3)) AS n_methods_top_k
+      FROM g GROUP BY target, feature, first_seen),
+cr AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY anr, first_seen) AS consensus_rank FROM c),
+lab AS (SELECT *, CASE WHEN n_methods_top_k / 3.0 >= 0.75 THEN 'strongly important'
+                       WHEN n_methods_top_k / 3.0 >= 0.5 THEN 'moderately important'
+                       ELSE 'weakly important or inconsistent' END AS importance_label FROM cr)
+"""
+
+
+@register("consensus", _CONS_SQL + """
+SELECT target, feature, pearson_rank, spearman_rank, correlations_rank,
+       round(anr, 6) AS avg_normalized_rank, consensus_rank, n_methods_top_k FROM lab""")
+def q_consensus(spark, sf):
+    c = cons.compute_consensus(_cons_rankings(spark, sf), CONS_METHODS, feature_order=CONS_FEATS)
+    return c.withColumn("avg_normalized_rank", r6("avg_normalized_rank"))
+
+
+@register("consensus_labels", _CONS_SQL + """
+SELECT target, feature, consensus_rank, n_methods_top_k, importance_label FROM lab""")
+def q_consensus_labels(spark, sf):
+    c = cons.compute_consensus(_cons_rankings(spark, sf), CONS_METHODS, feature_order=CONS_FEATS)
+    return cons.label_importance(c, len(CONS_METHODS)).select(
+        "target", "feature", "consensus_rank", "n_methods_top_k", "importance_label")
+
+
+@register("cross_target", _CONS_SQL + """
+SELECT feature, coalesce(max(CASE WHEN target = 'net' THEN importance_label END), '—') AS net,
+       coalesce(max(CASE WHEN target = 'l_quantity' THEN importance_label END), '—') AS l_quantity
+FROM lab GROUP BY feature""")
+def q_cross_target(spark, sf):
+    c = cons.compute_consensus(_cons_rankings(spark, sf), CONS_METHODS, feature_order=CONS_FEATS)
+    return cons.cross_target_labels(cons.label_importance(c, len(CONS_METHODS)), COR_T)
+
+
+@register("selected_features", _CONS_SQL + """,
+sel AS (SELECT *, max(CASE WHEN importance_label IN ('strongly important', 'moderately important')
+                           THEN 1 ELSE 0 END) OVER (PARTITION BY target) AS any_good FROM lab)
+SELECT target, feature, consensus_rank, importance_label FROM sel
+WHERE importance_label IN ('strongly important', 'moderately important')
+   OR (any_good = 0 AND consensus_rank <= 3)""")
+def q_selected_features(spark, sf):
+    c = cons.compute_consensus(_cons_rankings(spark, sf), CONS_METHODS, feature_order=CONS_FEATS)
+    lab = cons.label_importance(c, len(CONS_METHODS))
+    return cons.default_selection(lab).select("target", "feature", "consensus_rank", "importance_label")
