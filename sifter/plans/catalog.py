@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sifter.operators import replicates as rep
@@ -258,8 +258,8 @@ def _cons_rankings(spark, sf):
                                        categorical_cols=COR_C))
     parts = []
     for m in ("pearson", "spearman"):
-        w = F.rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window
-                          .partitionBy("target").orderBy(F.abs(F.col(f"{m}_r")).desc_nulls_last()))
+        w = F.rank().over(Window.partitionBy("target")
+                          .orderBy(F.abs(F.col(f"{m}_r")).desc_nulls_last()))
         parts.append(res.where(F.col(f"{m}_r").isNotNull())
                      .select("target", F.lit(m).alias("method"), "feature",
                              w.cast("long").alias("rank")))
@@ -337,3 +337,45 @@ def q_selected_features(spark, sf):
     c = cons.compute_consensus(_cons_rankings(spark, sf), CONS_METHODS, feature_order=CONS_FEATS)
     lab = cons.label_importance(c, len(CONS_METHODS))
     return cons.default_selection(lab).select("target", "feature", "consensus_rank", "importance_label")
+
+
+# ---------------------------------------------------------------------------
+# Narration
+# ---------------------------------------------------------------------------
+from sifter.operators import narrate as nar  # noqa: E402
+
+
+def _join_names_sql(lst: str) -> str:
+    return (f"CASE WHEN {lst} IS NULL OR len({lst}) = 0 THEN NULL WHEN len({lst}) = 1 THEN '''' || {lst}[1] || '''' "
+            f"ELSE array_to_string(list_transform({lst}[1:len({lst}) - 1], lambda x: '''' || x || ''''), ', ') "
+            f"|| ' and ''' || {lst}[len({lst})] || '''' END")
+
+
+def _group_sentence_sql(lst: str, text: str) -> str:
+    return (f"CASE WHEN {lst} IS NOT NULL AND len({lst}) > 0 THEN {_join_names_sql(lst)} || "
+            f"CASE WHEN len({lst}) = 1 THEN ' is ' ELSE ' are ' END || '{text}' END")
+
+
+@register("narrative_consensus", _CONS_SQL + f""",
+agg AS (SELECT target,
+          arg_min(feature, consensus_rank) AS top, arg_min(n_methods_top_k, consensus_rank) AS topk,
+          list(feature ORDER BY consensus_rank) FILTER (WHERE importance_label = 'strongly important') AS st,
+          list(feature ORDER BY consensus_rank) FILTER (WHERE importance_label = 'moderately important') AS mo,
+          list(feature ORDER BY consensus_rank) FILTER (WHERE importance_label = 'weakly important or inconsistent') AS we
+        FROM lab GROUP BY target)
+SELECT target, 'consensus' AS method, concat_ws(' ',
+  'Across 3 method(s), ''' || top || ''' is the highest-ranked feature for ''' || target ||
+  ''', appearing in the top tier for ' || topk || ' of 3 method(s).',
+  {_group_sentence_sql('st', "''strongly important'' (ranked in top-K by >= 75% of methods).")},
+  {_group_sentence_sql('mo', "''moderately important'' (ranked in top-K by 50-74% of methods).")},
+  {_group_sentence_sql('we', "''weakly important or inconsistent across methods''.")},
+  '{nar.CAVEAT}') AS narrative FROM agg""")
+def q_narrative_consensus(spark, sf):
+    c = cons.compute_consensus(_cons_rankings(spark, sf), CONS_METHODS, feature_order=CONS_FEATS)
+    return nar.interpret_consensus(cons.label_importance(c, len(CONS_METHODS)), len(CONS_METHODS))
+
+
+@register("narrative_correlations")
+def q_narrative_correlations(spark, sf):
+    res = cor.run_correlations(_cor_input(spark, sf), CONS_FEATS, COR_T, categorical_cols=COR_C)
+    return nar.interpret_correlations(res, CONS_FEATS)
