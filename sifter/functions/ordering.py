@@ -144,8 +144,8 @@ def ordered_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_id"
                   group_cols: Sequence[str] = ()) -> DataFrame:
     """Dense 0-based position of each row in ``order_cols`` order (per group)."""
     tmp = df.withColumn("_one", F.lit(1.0))
-    out = prefix_scan(tmp, order_cols, "_one", "sum", group_cols, out_col="_pos", inclusive=False)
-    return out.withColumn(name, F.col("_pos").cast("long")).drop("_one", "_pos")
+    out = prefix_scan(tmp, order_cols, "_one", "sum", group_cols, out_col="_ix_scan", inclusive=False)
+    return out.withColumn(name, F.col("_ix_scan").cast("long")).drop("_one", "_ix_scan")
 
 
 def average_ranks(values: DataFrame, group_cols: Sequence[str], value_col: str,

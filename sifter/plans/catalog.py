@@ -379,3 +379,57 @@ def q_narrative_consensus(spark, sf):
 def q_narrative_correlations(spark, sf):
     res = cor.run_correlations(_cor_input(spark, sf), CONS_FEATS, COR_T, categorical_cols=COR_C)
     return nar.interpret_correlations(res, CONS_FEATS)
+
+
+# ---------------------------------------------------------------------------
+# LASSO and PCA (M7, M8, M12-M15): numpy-checked in tests, rows-only here
+# ---------------------------------------------------------------------------
+from sifter.operators.linear import run_lasso  # noqa: E402
+from sifter.operators.pca import run_pca  # noqa: E402
+
+LIN_F = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+
+
+@register("lasso_fixed")
+def q_lasso_fixed(spark, sf):
+    return run_lasso(_li(spark, sf), LIN_F, "net", alpha=0.01)
+
+
+@register("lasso_cv")
+def q_lasso_cv(spark, sf):
+    return run_lasso(_li(spark, sf), LIN_F, "net", cv=5, row_order=["row_id"])
+
+
+def _pca(spark, sf):
+    return run_pca(_li(spark, sf), LIN_F, keep_cols=["row_id"])
+
+
+@register("pca_variance")
+def q_pca_variance(spark, sf):
+    return _pca(spark, sf).variance
+
+
+@register("pca_loadings")
+def q_pca_loadings(spark, sf):
+    return _pca(spark, sf).loadings
+
+
+@register("pca_scores")
+def q_pca_scores(spark, sf):
+    return _pca(spark, sf).scores
+
+
+@register("pca_feature_rank")
+def q_pca_feature_rank(spark, sf):
+    return _pca(spark, sf).feature_rank
+
+
+@register("narrative_pca")
+def q_narrative_pca(spark, sf):
+    r = _pca(spark, sf)
+    return nar.interpret_pca(r.variance, r.loadings, r.feature_rank, LIN_F)
+
+
+@register("narrative_lasso")
+def q_narrative_lasso(spark, sf):
+    return nar.interpret_lasso(run_lasso(_li(spark, sf), LIN_F, "net", cv=5), LIN_F)
