@@ -433,3 +433,245 @@ def q_narrative_pca(spark, sf):
 @register("narrative_lasso")
 def q_narrative_lasso(spark, sf):
     return nar.interpret_lasso(run_lasso(_li(spark, sf), LIN_F, "net", cv=5), LIN_F)
+
+
+# ---------------------------------------------------------------------------
+# Pareto front, reference point, hypervolume
+# ---------------------------------------------------------------------------
+from sifter.operators import pareto as par  # noqa: E402
+
+PART_OBJ = ["p_retailprice", "p_size"]
+
+
+@register("pareto_front", """
+SELECT p.p_partkey, p.p_retailprice, p.p_size FROM part p
+WHERE NOT EXISTS (SELECT 1 FROM part u WHERE u.p_retailprice >= p.p_retailprice AND u.p_size >= p.p_size
+                  AND (u.p_retailprice > p.p_retailprice OR u.p_size > p.p_size))""")
+def q_pareto_front(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", *PART_OBJ)
+    return par.pareto_front(part, PART_OBJ)
+
+
+@register("pareto_front_min", """
+SELECT o.o_orderkey, o.o_totalprice, o.o_orderdate FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM orders u WHERE u.o_totalprice >= o.o_totalprice
+                  AND u.o_orderdate <= o.o_orderdate
+                  AND (u.o_totalprice > o.o_totalprice OR u.o_orderdate < o.o_orderdate))""")
+def q_pareto_front_min(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    o = o.withColumn("_days", F.unix_micros(F.col("o_orderdate").cast("timestamp")).cast("double"))
+    return par.pareto_front(o, ["o_totalprice", "_days"], [True, False]).drop("_days")
+
+
+_PARTSTATS_SQL = """SELECT l_partkey, sum(l_quantity) AS qty, round(avg(l_discount), 9) AS disc,
+  round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 4) AS revenue FROM lineitem GROUP BY l_partkey"""
+
+
+@register("pareto_front_3d", f"""WITH s AS ({_PARTSTATS_SQL})
+SELECT s.l_partkey, s.qty, s.disc, s.revenue FROM s WHERE NOT EXISTS (
+  SELECT 1 FROM s u WHERE u.qty >= s.qty AND u.disc >= s.disc AND u.revenue >= s.revenue
+  AND (u.qty > s.qty OR u.disc > s.disc OR u.revenue > s.revenue))""")
+def q_pareto_front_3d(spark, sf):
+    li = table(spark, sf, "lineitem")
+    stats = li.groupBy("l_partkey").agg(
+        F.sum("l_quantity").alias("qty"), F.round(F.avg("l_discount"), 9).alias("disc"),
+        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))), 4)
+        .alias("revenue"))
+    return par.pareto_front(stats, ["qty", "disc", "revenue"])
+
+
+@register("ref_point", """
+SELECT 'p_retailprice' AS objective, 0 AS pos,
+       round(min(p_retailprice) - 0.1 * CASE WHEN max(p_retailprice) > min(p_retailprice)
+             THEN max(p_retailprice) - min(p_retailprice) ELSE 1 END, 6) AS ref FROM part
+UNION ALL
+SELECT 'p_size', 1, round(min(p_size) - 0.1 * CASE WHEN max(p_size) > min(p_size)
+             THEN max(p_size) - min(p_size) ELSE 1 END, 6) FROM part""")
+def q_ref_point(spark, sf):
+    ref = par.reference_point(table(spark, sf, "part"), PART_OBJ)
+    return ref.select("objective", "pos", r6("ref"))
+
+
+@register("hypervolume2d", """
+WITH f AS (SELECT DISTINCT p.p_retailprice AS a, p.p_size AS b FROM part p
+  WHERE NOT EXISTS (SELECT 1 FROM part u WHERE u.p_retailprice >= p.p_retailprice AND u.p_size >= p.p_size
+                    AND (u.p_retailprice > p.p_retailprice OR u.p_size > p.p_size))),
+r AS (SELECT min(p_retailprice) - 0.1 * (max(p_retailprice) - min(p_retailprice)) AS ra,
+             min(p_size) - 0.1 * (max(p_size) - min(p_size)) AS rb FROM part),
+s AS (SELECT a, b, max(b) OVER (ORDER BY a DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM f)
+SELECT round(sum(greatest(0, a - ra) * greatest(0, b - greatest(coalesce(prev, rb), rb))), 4) AS hypervolume
+FROM s, r""")
+def q_hypervolume2d(spark, sf):
+    part = table(spark, sf, "part")
+    ref = [r["ref"] for r in par.reference_point(part, PART_OBJ).orderBy("pos").collect()]
+    front = par.pareto_front(part, PART_OBJ)
+    return par.hypervolume_2d(front, PART_OBJ, ref).select(F.round("hypervolume", 4).alias("hypervolume"))
+
+
+# ---------------------------------------------------------------------------
+# Cleaning and scaling (P3-P5, P11-P13, G7), encoding
+# ---------------------------------------------------------------------------
+from sifter.operators import cleaning as cln  # noqa: E402
+from sifter.operators import encode as enc  # noqa: E402
+
+MISS_COLS = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+
+
+def _with_missing(spark, sf):
+    return _li(spark, sf).select("row_id", "l_quantity", "l_extendedprice",
+                                 F.expr("nullif(l_discount, 0)").alias("l_discount"),
+                                 F.expr("nullif(l_tax, 0)").alias("l_tax"))
+
+
+_MISS_SQL = f"WITH li AS ({LI_SQL}), m AS (SELECT row_id, l_quantity, l_extendedprice, " \
+            "nullif(l_discount, 0) AS l_discount, nullif(l_tax, 0) AS l_tax FROM li)"
+
+
+@register("missing_counts", _MISS_SQL + " " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, count(*) FILTER (WHERE {c} IS NULL) AS n_missing FROM m" for c in MISS_COLS))
+def q_missing_counts(spark, sf):
+    return cln.missing_counts(_with_missing(spark, sf), MISS_COLS)
+
+
+@register("drop_missing", _MISS_SQL + """
+SELECT count(*) AS n_rows, round(avg(l_discount), 6) AS mean_discount, round(avg(l_tax), 6) AS mean_tax
+FROM m WHERE l_discount IS NOT NULL AND l_tax IS NOT NULL""")
+def q_drop_missing(spark, sf):
+    kept, _ = cln.drop_missing(_with_missing(spark, sf), ["l_discount", "l_tax"])
+    return kept.agg(F.count(F.lit(1)).alias("n_rows"), r6(F.avg("l_discount"), "mean_discount"),
+                    r6(F.avg("l_tax"), "mean_tax"))
+
+
+@register("dropped_rows", _MISS_SQL + " SELECT row_id FROM m WHERE l_discount IS NULL OR l_tax IS NULL")
+def q_dropped_rows(spark, sf):
+    _, dropped = cln.drop_missing(_with_missing(spark, sf), ["l_discount", "l_tax"])
+    return dropped
+
+
+SCALE_COLS = ["l_extendedprice", "l_quantity", "net"]
+
+
+def _r4(c):
+    return F.round(F.col(c), 4).alias(c)
+
+
+@register("standardize", f"WITH li AS ({LI_SQL}) SELECT row_id, " + ", ".join(
+    f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 4) AS {c}" for c in SCALE_COLS) + " FROM li")
+def q_standardize(spark, sf):
+    out = cln.standardize(_li(spark, sf).select("row_id", *SCALE_COLS), SCALE_COLS)
+    return out.select("row_id", *[_r4(c) for c in SCALE_COLS])
+
+
+@register("minmax", f"WITH li AS ({LI_SQL}) SELECT row_id, " + ", ".join(
+    f"round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), 4) AS {c}" for c in SCALE_COLS)
+    + " FROM li")
+def q_minmax(spark, sf):
+    out = cln.minmax(_li(spark, sf).select("row_id", *SCALE_COLS), SCALE_COLS)
+    return out.select("row_id", *[_r4(c) for c in SCALE_COLS])
+
+
+_MM = {c: f"(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()))" for c in ["net", "l_quantity"]}
+
+
+@register("scalarize", f"WITH li AS ({LI_SQL}) SELECT row_id, "
+          f"round(0.75 * {_MM['net']} + 0.25 * (1 - {_MM['l_quantity']}), 4) AS score FROM li")
+def q_scalarize(spark, sf):
+    out = cln.scalarize(_li(spark, sf).select("row_id", "net", "l_quantity"), ["net", "l_quantity"],
+                        [3.0, 1.0], col_name="score", maximize_targets=[True, False])
+    return out.select("row_id", _r4("score"))
+
+
+@register("scenarios", f"WITH li AS ({LI_SQL}), s AS (SELECT row_id, {_MM['net']} AS a, "
+          f"1 - {_MM['l_quantity']} AS b FROM li) "
+          "SELECT row_id, 'Max net' AS Scenario, round(a, 4) AS score FROM s UNION ALL "
+          "SELECT row_id, 'Min l_quantity', round(b, 4) FROM s UNION ALL "
+          "SELECT row_id, 'Balanced', round(0.5 * a + 0.5 * b, 4) FROM s")
+def q_scenarios(spark, sf):
+    out = cln.scalarize_scenarios(_li(spark, sf).select("row_id", "net", "l_quantity"),
+                                  ["net", "l_quantity"], [True, False], col_name="score")
+    return out.select("row_id", "Scenario", _r4("score"))
+
+
+CAT_COLS = ["l_returnflag", "l_linestatus"]
+
+
+@register("category_map", " UNION ALL ".join(
+    f"SELECT '{c}' AS column, label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS code "
+    f"FROM (SELECT DISTINCT {c} AS label FROM lineitem WHERE {c} IS NOT NULL)" for c in CAT_COLS))
+def q_category_map(spark, sf):
+    return enc.category_map(table(spark, sf, "lineitem"), CAT_COLS)
+
+
+@register("encode_categorical", f"WITH li AS ({LI_SQL}) SELECT row_id, " + ", ".join(
+    f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INTEGER) AS {c}" for c in CAT_COLS) + " FROM li")
+def q_encode_categorical(spark, sf):
+    out, _ = enc.encode_categoricals(_li(spark, sf).select("row_id", *CAT_COLS), CAT_COLS)
+    return out
+
+
+@register("decode_categorical", f"WITH li AS ({LI_SQL}) SELECT row_id, l_returnflag, l_linestatus FROM li")
+def q_decode_categorical(spark, sf):
+    coded, maps = enc.encode_categoricals(_li(spark, sf).select("row_id", *CAT_COLS), CAT_COLS)
+    return enc.decode_categoricals(coded.withColumns({c: F.col(c).cast("double") + 0.3 for c in CAT_COLS}),
+                                   maps)
+
+
+# ---------------------------------------------------------------------------
+# Design space
+# ---------------------------------------------------------------------------
+from sifter.operators import design as dsg  # noqa: E402
+
+
+@register("snap_grid", f"""WITH li AS ({LI_SQL})
+SELECT row_id,
+  round(900 + least(greatest(ceil((l_extendedprice - 900) / 250.0 - 0.5), 0), 416) * 250.0, 10) AS grid_price,
+  round_even(round_even((l_quantity - 1) / 4.0, 0) * 4.0 + 1, 6) AS step_qty
+FROM li""")
+def q_snap_grid(spark, sf):
+    li = _li(spark, sf)
+    return li.select("row_id",
+                     dsg.snap_to_grid(F.col("l_extendedprice"), 900.0, 105000.0, 250.0).alias("grid_price"),
+                     dsg.snap_step(F.col("l_quantity"), 1.0, 4.0, None, clamp=False).alias("step_qty"))
+
+
+BOUND_F = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+
+
+@register("bounds", " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, 'continuous' AS type, CAST(min({c}) AS DOUBLE) AS lower, "
+    f"CAST(max({c}) AS DOUBLE) AS upper FROM lineitem" for c in BOUND_F))
+def q_bounds(spark, sf):
+    return dsg.observed_bounds(table(spark, sf, "lineitem"), BOUND_F).drop("values")
+
+
+@register("best_row", f"""WITH li AS ({LI_SQL})
+SELECT l_quantity, l_discount, l_tax, round(net, 6) AS net, row_id FROM li
+ORDER BY net DESC, row_id LIMIT 1""")
+def q_best_row(spark, sf):
+    b = dsg.best_row(_li(spark, sf), ["l_quantity", "l_discount", "l_tax"], "net")
+    return b.select("l_quantity", "l_discount", "l_tax", r6("net"), "row_id")
+
+
+@register("lhs_design")
+def q_lhs_design(spark, sf):
+    """One new run per supplier over the observed ranges (plan size grows with the data)."""
+    n = table(spark, sf, "supplier").count()
+    b = dsg.observed_bounds(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"]).collect()
+    params = [(r["feature"], r["lower"], r["upper"], 1.0 if r["feature"] == "l_quantity" else None)
+              for r in b]
+    return dsg.latin_hypercube(spark, int(n), params, seed=42)
+
+
+@register("parameter_space")
+def q_parameter_space(spark, sf):
+    li = table(spark, sf, "lineitem")
+    coded, _ = enc.encode_categoricals(li.select("l_quantity", "l_discount", "l_returnflag"), ["l_returnflag"])
+    b = {r["feature"]: r.asDict() for r in
+         dsg.observed_bounds(coded, ["l_quantity", "l_discount", "l_returnflag"], ["l_returnflag"]).collect()}
+    b["l_quantity"]["type"] = "integer"
+    return dsg.build_parameter_space(spark, ["l_quantity", "l_discount", "l_returnflag"], b)
+
+
+@register("candidate_space")
+def q_candidate_space(spark, sf):
+    return dsg.candidate_space(spark, q_parameter_space(spark, sf), n_continuous=64)
