@@ -675,3 +675,45 @@ def q_parameter_space(spark, sf):
 @register("candidate_space")
 def q_candidate_space(spark, sf):
     return dsg.candidate_space(spark, q_parameter_space(spark, sf), n_continuous=64)
+
+
+# ---------------------------------------------------------------------------
+# Random forest and SHAP (M9-M11): checked by unit tests (brute-force Shapley)
+# ---------------------------------------------------------------------------
+from sifter.operators import forest as frs  # noqa: E402
+
+RF_ARGS = dict(n_estimators=20, max_depth=6, random_state=42)
+
+
+@register("rf_importance")
+def q_rf_importance(spark, sf):
+    return frs.run_random_forest(_li(spark, sf), LIN_F, "net", **RF_ARGS)
+
+
+def _shap(spark, sf):
+    return frs.run_shap(_li(spark, sf), LIN_F, "net", **RF_ARGS)
+
+
+@register("shap_importance")
+def q_shap_importance(spark, sf):
+    return _shap(spark, sf).feature_importance
+
+
+@register("shap_values")
+def q_shap_values(spark, sf):
+    return _shap(spark, sf).values
+
+
+@register("shap_background")
+def q_shap_background(spark, sf):
+    return frs.background_sample(_li(spark, sf).select("row_id", *LIN_F), 100, 42)
+
+
+@register("narrative_rf")
+def q_narrative_rf(spark, sf):
+    return nar.interpret_random_forest(q_rf_importance(spark, sf), LIN_F)
+
+
+@register("narrative_shap")
+def q_narrative_shap(spark, sf):
+    return nar.interpret_shap(q_shap_importance(spark, sf), LIN_F)
