@@ -717,3 +717,34 @@ def q_narrative_rf(spark, sf):
 @register("narrative_shap")
 def q_narrative_shap(spark, sf):
     return nar.interpret_shap(q_shap_importance(spark, sf), LIN_F)
+
+
+# ---------------------------------------------------------------------------
+# Bootstrap rank stability (K1-K3)
+# ---------------------------------------------------------------------------
+from sifter.operators import bootstrap as bst  # noqa: E402
+
+
+@register("bootstrap_pearson")
+def q_bootstrap_pearson(spark, sf):
+    ranks = bst.bootstrap_ranks(_li(spark, sf), LIN_F, "net", "pearson", n_bootstrap=100)
+    return bst.rank_stability(ranks)
+
+
+@register("bootstrap_lasso")
+def q_bootstrap_lasso(spark, sf):
+    ranks = bst.bootstrap_ranks(_li(spark, sf), LIN_F, "net", "lasso", n_bootstrap=100, alpha=0.01)
+    return bst.rank_stability(ranks)
+
+
+@register("bootstrap_pca")
+def q_bootstrap_pca(spark, sf):
+    ranks = bst.bootstrap_ranks(_li(spark, sf), LIN_F, None, "pca", n_bootstrap=100)
+    return bst.rank_stability(ranks)
+
+
+@register("bootstrap_weights")
+def q_bootstrap_weights(spark, sf):
+    """K1: per replicate, the number of drawn rows (mean n) and distinct rows used."""
+    reps = bst.replicate_rows(_li(spark, sf).select("row_id"), 20, 42)
+    return reps.groupBy("b").agg(F.sum("_w").alias("n_drawn"), F.count(F.lit(1)).alias("n_distinct"))
