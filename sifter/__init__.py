@@ -7,4 +7,6 @@ Arrow-batched ``mapInPandas``; only p x p matrices (p = number of features)
 are finished on the driver.
 """
 
+from sifter import _blas  # noqa: F401  (single-threaded BLAS per process)
+
 __version__ = "0.1.0"

@@ -748,3 +748,76 @@ def q_bootstrap_weights(spark, sf):
     """K1: per replicate, the number of drawn rows (mean n) and distinct rows used."""
     reps = bst.replicate_rows(_li(spark, sf).select("row_id"), 20, 42)
     return reps.groupBy("b").agg(F.sum("_w").alias("n_drawn"), F.count(F.lit(1)).alias("n_distinct"))
+
+
+# ---------------------------------------------------------------------------
+# GP surrogate, suggestions, Pareto batch
+# ---------------------------------------------------------------------------
+from sifter.operators import gp as gpm  # noqa: E402
+from sifter.operators import optimise as opt  # noqa: E402
+
+OPT_F = ["l_quantity", "l_discount"]
+OPT_T = ["net", "l_tax", "l_extendedprice"]
+
+
+def _opt_training(spark, sf):
+    """Conditions = replicate-averaged (quantity, discount) settings of lineitem."""
+    li = _li(spark, sf).select("row_id", *OPT_F, *OPT_T)
+    return durable(rep.handle_replicates(li, OPT_F, OPT_T, "average"))
+
+
+def _opt_params(spark, training):
+    b = {r["feature"]: r.asDict() for r in dsg.observed_bounds(training, OPT_F).collect()}
+    b["l_quantity"].update(type="integer", step=1.0)
+    return dsg.build_parameter_space(spark, OPT_F, b)
+
+
+@register("gp_importance")
+def q_gp_importance(spark, sf):
+    return gpm.run_ard_gp(_opt_training(spark, sf), OPT_F, "net")
+
+
+@register("narrative_ard_gp")
+def q_narrative_ard_gp(spark, sf):
+    return nar.interpret_ard_gp(q_gp_importance(spark, sf), OPT_F)
+
+
+@register("suggest_single")
+def q_suggest_single(spark, sf):
+    tr = _opt_training(spark, sf)
+    return opt.run_optimization(_opt_params(spark, tr), tr, "net", n_suggestions=1)
+
+
+@register("suggest_batch")
+def q_suggest_batch(spark, sf):
+    tr = _opt_training(spark, sf)
+    return opt.run_optimization(_opt_params(spark, tr), tr, "l_tax", n_suggestions=3, maximize=False)
+
+
+@register("suggest_aux")
+def q_suggest_aux(spark, sf):
+    tr = _opt_training(spark, sf)
+    return opt.run_optimization(_opt_params(spark, tr), tr, "net", n_suggestions=2,
+                                aux_target_cols=["net", "l_extendedprice"])
+
+
+@register("suggest_ard")
+def q_suggest_ard(spark, sf):
+    tr = _opt_training(spark, sf)
+    _, ard = opt.run_optimization(_opt_params(spark, tr), tr, "net", n_suggestions=1,
+                                  return_ard_importance=True)
+    return ard
+
+
+@register("suggest_pareto")
+def q_suggest_pareto(spark, sf):
+    tr = _opt_training(spark, sf)
+    sug, _ = opt.run_pareto_optimization(_opt_params(spark, tr), tr, ["net", "l_tax"], n_suggestions=3,
+                                         maximize_targets=[True, False])
+    return sug
+
+
+@register("pareto_current")
+def q_pareto_current(spark, sf):
+    tr = _opt_training(spark, sf)
+    return par.pareto_front(tr.select("net", "l_tax"), ["net", "l_tax"], [True, False])
