@@ -26,7 +26,7 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sifter.session import scratch_path
+from sifter.session import durable, scratch_path
 
 MAX_DEPTH_CAP = 30          # MLlib's limit; "unlimited" depth maps to it
 MAX_TABLE_ENTRIES = 50_000_000
@@ -260,8 +260,9 @@ def run_shap(df: DataFrame, feature_cols: Sequence[str], target: str, row_id: st
     rows = df.where(F.col(target).isNotNull()).select(row_id, *[F.col(f).cast("double") for f in feats])
     for f in feats:
         rows = rows.where(F.col(f).isNotNull())
-    values = rows.mapInPandas(explain, f"{row_id} long, feature string, shap_value double, "
-                                       "feature_value double")
+    # the costliest table of the library: computed once, reused by importance/beeswarm
+    values = durable(rows.mapInPandas(explain, f"{row_id} long, feature string, shap_value double, "
+                                               "feature_value double"))
     imp = values.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("mean_abs_shap")) \
         .withColumn("target", F.lit(target))
     imp = _ranked(imp, "mean_abs_shap").select("target", "feature", "mean_abs_shap", "rank")

@@ -821,3 +821,85 @@ def q_suggest_pareto(spark, sf):
 def q_pareto_current(spark, sf):
     tr = _opt_training(spark, sf)
     return par.pareto_front(tr.select("net", "l_tax"), ["net", "l_tax"], [True, False])
+
+
+# ---------------------------------------------------------------------------
+# Plot data (V1-V4, V6-V8)
+# ---------------------------------------------------------------------------
+from sifter.operators import plotdata as pld  # noqa: E402
+
+
+@register("scree")
+def q_scree(spark, sf):
+    return pld.scree(_pca(spark, sf).variance)
+
+
+@register("heatmap_long", f"""WITH li AS ({NET_SQL}), {_RK_CTE}, p AS ({_PEARSON_SQL}), s AS ({_SPEARMAN_SQL})
+SELECT target, feature, 'pearson' AS method, pearson_r AS value,
+       coalesce(CAST(round_even(pearson_r, 3) AS VARCHAR), 'n/a') AS label FROM p
+UNION ALL SELECT target, feature, 'spearman', spearman_r,
+       coalesce(CAST(round_even(spearman_r, 3) AS VARCHAR), 'n/a') FROM s
+UNION ALL SELECT target, feature, m.method, NULL, 'n/a' FROM a_feats, (VALUES ('pearson'), ('spearman')) m(method)""".replace(
+    "FROM a_feats", "FROM (SELECT t.target, c.feature FROM (VALUES ('net'), ('l_quantity')) t(target), "
+    "(VALUES ('l_returnflag'), ('l_linestatus')) c(feature))"))
+def q_heatmap_long(spark, sf):
+    res = cor.run_correlations(_cor_input(spark, sf), CONS_FEATS, COR_T, categorical_cols=COR_C)
+    return pld.heatmap_long(res).withColumn("value", F.round("value", 6))
+
+
+@register("loading_heatmap")
+def q_loading_heatmap(spark, sf):
+    r = _pca(spark, sf)
+    return pld.loading_heatmap(r.loadings, r.variance)
+
+
+@register("biplot_points")
+def q_biplot_points(spark, sf):
+    r = _pca(spark, sf)
+    return pld.biplot(r.scores, r.loadings)[0]
+
+
+@register("biplot_vectors")
+def q_biplot_vectors(spark, sf):
+    r = _pca(spark, sf)
+    return pld.biplot(r.scores, r.loadings)[1]
+
+
+@register("beeswarm_points")
+def q_beeswarm_points(spark, sf):
+    return pld.beeswarm(_shap(spark, sf).values, max_display=3)
+
+
+_FRONT_SQL = """SELECT p.p_retailprice AS x, p.p_size AS y FROM part p
+WHERE NOT EXISTS (SELECT 1 FROM part u WHERE u.p_retailprice >= p.p_retailprice AND u.p_size >= p.p_size
+                  AND (u.p_retailprice > p.p_retailprice OR u.p_size > p.p_size))"""
+
+
+@register("staircase", f"""WITH f AS ({_FRONT_SQL}),
+k AS (SELECT x, y, row_number() OVER (ORDER BY x, y) - 1 AS k, count(*) OVER () AS n FROM f),
+b AS (SELECT min(x) - greatest((max(x) - min(x)) * 0.12, 1e-6) AS xl,
+             max(x) + greatest((max(x) - min(x)) * 0.12, 1e-6) AS xr,
+             min(y) - greatest((max(y) - min(y)) * 0.12, 1e-6) AS yb FROM f),
+pr AS (SELECT k.*, k2.x AS x1, k2.y AS y1 FROM k LEFT JOIN k k2 ON k2.k = k.k + 1),
+pts AS (
+  SELECT 0 AS seq, xl AS x, y FROM pr, b WHERE k = 0
+  UNION ALL SELECT 1, x, y FROM pr WHERE k = 0
+  UNION ALL SELECT 2 + 2 * k, x, y1 FROM pr WHERE x1 IS NOT NULL
+  UNION ALL SELECT 3 + 2 * k, x1, y1 FROM pr WHERE x1 IS NOT NULL
+  UNION ALL SELECT 2 * n, xr, y FROM pr, b WHERE k = n - 1)
+SELECT 'step' AS part, seq, round(x, 6) AS x, round(y, 6) AS y FROM pts
+UNION ALL SELECT 'dominated', seq, round(x, 6), round(y, 6) FROM pts
+UNION ALL SELECT 'dominated', 2 * n + 1, round(xr, 6), round(yb, 6) FROM pr, b WHERE k = n - 1
+UNION ALL SELECT 'dominated', 2 * n + 2, round(xl, 6), round(yb, 6) FROM pr, b WHERE k = n - 1""")
+def q_staircase(spark, sf):
+    front = par.pareto_front(table(spark, sf, "part"), PART_OBJ)
+    st = pld.staircase(front, "p_retailprice", "p_size")
+    return st.select("part", "seq", r6("x"), r6("y"))
+
+
+@register("objective_frame")
+def q_objective_frame(spark, sf):
+    tr = _opt_training(spark, sf)
+    front = par.pareto_front(tr.select("net", "l_tax"), ["net", "l_tax"], [True, False])
+    sug = q_suggest_pareto(spark, sf)
+    return pld.objective_frame(front, sug, "net", "l_tax", "predicted_net", "predicted_l_tax")
