@@ -903,3 +903,58 @@ def q_objective_frame(spark, sf):
     front = par.pareto_front(tr.select("net", "l_tax"), ["net", "l_tax"], [True, False])
     sug = q_suggest_pareto(spark, sf)
     return pld.objective_frame(front, sug, "net", "l_tax", "predicted_net", "predicted_l_tax")
+
+
+# ---------------------------------------------------------------------------
+# Full pipeline (M17), report summary (S9), transposed ingest
+# ---------------------------------------------------------------------------
+from sifter.plans import report as rpt  # noqa: E402
+from sifter.plans.screen import screen  # noqa: E402
+from sifter.sources import files as src  # noqa: E402
+
+SCREEN_F = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+SCREEN_T = ["net"]
+SCREEN_METHODS = ["lasso", "random_forest", "shap", "pca", "correlations"]
+
+
+def _screen(spark, sf):
+    li = _li(spark, sf).select("row_id", *SCREEN_F, "net", "l_extendedprice")
+    avg = rep.handle_replicates(li, SCREEN_F, ["net", "l_extendedprice"], "average")
+    coded, _ = enc.encode_categoricals(avg, ["l_returnflag", "l_linestatus"])
+    return screen(coded, SCREEN_F, SCREEN_T, SCREEN_METHODS, categorical_cols=["l_returnflag", "l_linestatus"],
+                  n_estimators=20, max_depth=6)
+
+
+@register("screen_consensus")
+def q_screen_consensus(spark, sf):
+    return _screen(spark, sf).consensus
+
+
+@register("screen_rankings")
+def q_screen_rankings(spark, sf):
+    return _screen(spark, sf).rankings
+
+
+@register("screen_narratives")
+def q_screen_narratives(spark, sf):
+    return _screen(spark, sf).narratives
+
+
+@register("report_summary", """SELECT 'lineitem.parquet' AS file_name, count(*) AS n_rows, CAST(5 AS BIGINT) AS n_features,
+  'net' AS target_cols, 'average' AS replicate_strategy FROM (SELECT 1 FROM lineitem
+  GROUP BY l_quantity, l_discount, l_tax, l_returnflag, l_linestatus)""")
+def q_report_summary(spark, sf):
+    li = _li(spark, sf).select("row_id", *SCREEN_F, "net")
+    avg = rep.handle_replicates(li, SCREEN_F, ["net"], "average")
+    return rpt.dataset_summary(spark, avg, "lineitem.parquet", SCREEN_F, SCREEN_T, "average")
+
+
+@register("transpose_ingest", """SELECT s_suppkey AS exp_no, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey,
+  s_acctbal FROM supplier""")
+def q_transpose_ingest(spark, sf):
+    """Supplier laid out one row per variable, read back one row per experiment."""
+    s = table(spark, sf, "supplier")
+    cols = ["s_name", "s_nationkey", "s_acctbal"]
+    stack = ", ".join(f"'{c}', CAST({c} AS STRING)" for c in cols)
+    long_df = s.selectExpr("s_suppkey AS exp_no", f"stack({len(cols)}, {stack}) AS (variable, value)")
+    return src.untranspose(long_df, "variable", "exp_no", "value").select("exp_no", *cols)
