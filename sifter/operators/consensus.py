@@ -20,10 +20,9 @@ LABEL_WEAK = "weakly important or inconsistent"
 
 def ranking_from(result: DataFrame, method: str, rank_col: str = "rank",
                  group_cols: Sequence[str] = ("target",)) -> DataFrame:
-    """K4: ``(target, method, feature, rank, seq)`` from any method result.
+    """K4: ``(target, method, feature, rank)`` from any method result.
 
-    ``seq`` is the position of the feature in the method's output order
-    (rank, then feature order) and decides first-seen order.
+    First-seen order in the consensus is (method order, rank, feature order).
     """
     groups = [g for g in group_cols if g in result.columns]
     return result.select(*groups, F.lit(method).alias("method"), "feature",

@@ -39,7 +39,7 @@ def _assemble(df: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
 
 def fit_forest(df: DataFrame, feature_cols: Sequence[str], target: str, n_estimators: int = 100,
                max_depth: int | None = None, random_state: int = 42, max_bins: int = 32,
-               min_instances_per_node: int = 1) -> RandomForestRegressionModel:
+               min_instances_per_node: int = 1, weight_col: str | None = None) -> RandomForestRegressionModel:
     if n_estimators < 1:
         raise ValueError(f"n_estimators must be at least 1; got {n_estimators}.")
     depth = MAX_DEPTH_CAP if max_depth is None else min(int(max_depth), MAX_DEPTH_CAP)
@@ -48,6 +48,8 @@ def fit_forest(df: DataFrame, feature_cols: Sequence[str], target: str, n_estima
                                maxDepth=depth, featureSubsetStrategy="all", subsamplingRate=1.0,
                                bootstrap=True, seed=random_state, maxBins=max_bins,
                                minInstancesPerNode=min_instances_per_node)
+    if weight_col:
+        rf = rf.setWeightCol(weight_col)
     return rf.fit(data)
 
 
@@ -58,11 +60,13 @@ def _ranked(df: DataFrame, score: str) -> DataFrame:
 
 def run_random_forest(df: DataFrame, feature_cols: Sequence[str], target: str,
                       n_estimators: int = 100, max_depth: int | None = None,
-                      random_state: int = 42, max_bins: int = 32) -> DataFrame:
+                      random_state: int = 42, max_bins: int = 32,
+                      weight_col: str | None = None) -> DataFrame:
     """M9: (target, feature, importance, rank); importances sum to 1."""
     if df.isEmpty():
         raise ValueError("X must contain at least one row.")
-    model = fit_forest(df, feature_cols, target, n_estimators, max_depth, random_state, max_bins)
+    model = fit_forest(df, feature_cols, target, n_estimators, max_depth, random_state, max_bins,
+                       weight_col=weight_col)
     imp = model.featureImportances.toArray()
     spark = df.sparkSession
     out = spark.createDataFrame([(target, f, float(v)) for f, v in zip(feature_cols, imp)],

@@ -958,3 +958,73 @@ def q_transpose_ingest(spark, sf):
     stack = ", ".join(f"'{c}', CAST({c} AS STRING)" for c in cols)
     long_df = s.selectExpr("s_suppkey AS exp_no", f"stack({len(cols)}, {stack}) AS (variable, value)")
     return src.untranspose(long_df, "variable", "exp_no", "value").select("exp_no", *cols)
+
+
+# ---------------------------------------------------------------------------
+# Streaming replicate statistics (A2/A4/A5 incrementally)
+# ---------------------------------------------------------------------------
+from sifter.streaming.replicates import run_to_completion  # noqa: E402
+
+
+@register("replicate_stream", """SELECT l_quantity, l_discount, count(*) AS n_replicates,
+  round(avg(l_extendedprice), 6) AS l_extendedprice_mean, round(stddev_samp(l_extendedprice), 6) AS l_extendedprice_std
+FROM lineitem GROUP BY l_quantity, l_discount""")
+def q_replicate_stream(spark, sf):
+    schema = table(spark, sf, "lineitem").schema
+    out = run_to_completion(spark, sf, schema, REP_F, ["l_extendedprice"], path_glob="lineitem.parquet")
+    return out.select(*REP_F, "n_replicates", r6("l_extendedprice_mean"), r6("l_extendedprice_std"))
+
+
+# ---------------------------------------------------------------------------
+# Preview (S6), missing-value resolution (P5), fixed conditions and units
+# (P9, P10), generic bootstrap refit (K2)
+# ---------------------------------------------------------------------------
+
+
+@register("preview", f"""WITH li AS ({LI_SQL})
+SELECT row_id, l_orderkey, l_quantity, l_extendedprice FROM li ORDER BY row_id LIMIT 10""")
+def q_preview(spark, sf):
+    """The first 10 experiments in row order (the limit is the feature)."""
+    li = _li(spark, sf)
+    return li.orderBy("row_id").limit(10).select("row_id", "l_orderkey", "l_quantity", "l_extendedprice")
+
+
+@register("resolve_missing", _MISS_SQL + """
+SELECT count(*) AS n_rows, round(avg(l_discount), 6) AS mean_discount, 3 AS n_columns
+FROM m WHERE l_discount IS NOT NULL""")
+def q_resolve_missing(spark, sf):
+    """P5: drop rows missing l_discount, exclude the l_tax column."""
+    df, feats, targets = cln.resolve_missing(_with_missing(spark, sf), ["l_quantity", "l_discount", "l_tax"],
+                                             ["l_extendedprice"], drop_rows_for=["l_discount"],
+                                             exclude=["l_tax"])
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), r6(F.avg("l_discount"), "mean_discount"),
+                  F.lit(len(feats) + len(targets)).alias("n_columns"))
+
+
+@register("units_rename", f"""WITH li AS ({LI_SQL})
+SELECT l_quantity AS "l_quantity (units)", l_discount AS "l_discount (fraction)",
+       round_even(avg(l_extendedprice), 6) AS "l_extendedprice (USD)"
+FROM li GROUP BY l_quantity, l_discount""")
+def q_units_rename(spark, sf):
+    """P10 on averaged conditions: half-even rounding to 6 places, units in names."""
+    avg = rep.handle_replicates(_rep_input(spark, sf), REP_F, REP_T, "average")
+    out = avg.select(*REP_F, "l_extendedprice")
+    return enc.rename_with_units(out, {"l_quantity": "units", "l_discount": "fraction",
+                                       "l_extendedprice": "USD"})
+
+
+@register("design_with_fixed")
+def q_design_with_fixed(spark, sf):
+    """P9 + A10: LHS over (quantity, discount); tax fixed at the best row's value."""
+    best = dsg.best_row(_li(spark, sf), ["l_quantity", "l_discount", "l_tax"], "net").first()
+    plan = q_lhs_design(spark, sf).select("point", "l_quantity", "l_discount")
+    return enc.attach_fixed(plan, {"l_tax": float(best["l_tax"])})
+
+
+@register("bootstrap_forest")
+def q_bootstrap_forest(spark, sf):
+    """K2 generic hook: one weighted forest refit per replicate (5 replicates)."""
+    def method(w, wc):
+        return frs.run_random_forest(w, LIN_F, "net", n_estimators=10, max_depth=5, weight_col=wc)
+    ranks = bst.bootstrap_refit(_li(spark, sf).select("row_id", *LIN_F, "net"), method, n_bootstrap=5)
+    return bst.rank_stability(ranks)
