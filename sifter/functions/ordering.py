@@ -8,8 +8,8 @@ give exclusive offsets, and a join adds them back.  The range-partitioned
 table is checkpointed so both passes see the same partitions even if an
 executor is lost.
 
-Everything order-dependent in the library is built on it:
-``ordered_index`` (dense 0-based row ids / group ids), ``average_ranks``
+Everything order-dependent in the library is built on the same pattern:
+``ordered_index`` (dense 0-based row ids / group ids, JVM-only variant), ``average_ranks``
 (Spearman, ties get the mean rank) and ``exact_quantiles`` (linear
 interpolation, like ``percentile`` but without holding a group in memory).
 """
@@ -29,6 +29,10 @@ from sifter.session import durable, shuffle_partitions
 # Tables at most this many rows are broadcast (offset tables have one row per
 # range partition and group, so they are bounded by partitions + groups).
 BROADCAST_ROWS = 2_000_000
+# A table (or group) of at most this many rows may be ordered by an ordinary
+# window / exact ``percentile`` buffer in one task; beyond it the
+# range-partitioned scan is used.  Both give identical results.
+FAST_ROWS = 1_000_000
 
 
 def _local_scan(group_cols: list[str], value_col: str, op: str, out_col: str):
@@ -142,10 +146,30 @@ def prefix_scan(
 
 def ordered_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_id",
                   group_cols: Sequence[str] = ()) -> DataFrame:
-    """Dense 0-based position of each row in ``order_cols`` order (per group)."""
-    tmp = df.withColumn("_one", F.lit(1.0))
-    out = prefix_scan(tmp, order_cols, "_one", "sum", group_cols, out_col="_ix_scan", inclusive=False)
-    return out.withColumn(name, F.col("_ix_scan").cast("long")).drop("_one", "_ix_scan")
+    """Dense 0-based position of each row in ``order_cols`` order (per group).
+
+    JVM only: after the range exchange and the sort, each row carries its
+    partition id and its position inside the partition (the low bits of
+    ``monotonically_increasing_id``); the table is checkpointed, the counts
+    of every (partition, group) block give the offsets, a join adds them.
+    Ties on the keys are numbered in an arbitrary but fixed order.
+    """
+    group_cols = list(group_cols)
+    keys = group_cols + list(order_cols)
+    n = shuffle_partitions(df.sparkSession)
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    tagged = durable(ranged.withColumn("_oi_pid", F.spark_partition_id())
+                     .withColumn("_oi_loc", F.monotonically_increasing_id()
+                                 - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    blocks = tagged.groupBy("_oi_pid", *group_cols).agg(F.count(F.lit(1)).alias("_oi_cnt"),
+                                                     F.min("_oi_loc").alias("_oi_first"))
+    w = Window.partitionBy(*group_cols).orderBy("_oi_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.withColumn("_oi_off", F.coalesce(F.sum("_oi_cnt").over(w), F.lit(0))).drop("_oi_cnt")
+    if offsets.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    out = tagged.join(offsets, on=["_oi_pid", *group_cols])
+    return out.withColumn(name, (F.col("_oi_off") + F.col("_oi_loc") - F.col("_oi_first")).cast("long")) \
+        .drop("_oi_pid", "_oi_loc", "_oi_first", "_oi_off")
 
 
 def average_ranks(values: DataFrame, group_cols: Sequence[str], value_col: str,
@@ -157,8 +181,14 @@ def average_ranks(values: DataFrame, group_cols: Sequence[str], value_col: str,
     """
     counts = (values.where(F.col(value_col).isNotNull())
               .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).cast("double").alias("_cnt")))
-    scanned = prefix_scan(counts, [value_col], "_cnt", "sum", group_cols,
-                          out_col="_before", inclusive=False)
+    counts = durable(counts)
+    if counts.count() <= FAST_ROWS:
+        # size-checked: every group window holds at most FAST_ROWS values
+        w = Window.partitionBy(*group_cols).orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+        scanned = counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0.0)))
+    else:
+        scanned = prefix_scan(counts, [value_col], "_cnt", "sum", group_cols,
+                              out_col="_before", inclusive=False)
     return scanned.select(*group_cols, value_col,
                           (F.col("_before") + (F.col("_cnt") + 1.0) / 2.0).alias(rank_col))
 
@@ -172,6 +202,16 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     Returns ``group_cols, n, <prefix>_<i>`` for each prob (in order).
     """
     group_cols = list(group_cols)
+    vals = df.where(F.col(value_col).isNotNull())
+    sizes = vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_gn"))
+    biggest = sizes.agg(F.max("_gn")).first()[0] or 0
+    if biggest <= FAST_ROWS:
+        # size-checked: no group buffer exceeds FAST_ROWS values
+        q = vals.groupBy(*group_cols).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.percentile(F.col(value_col).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
+        return q.select(*group_cols, F.col("n").cast("long"),
+                        *[F.col("_q")[i].alias(f"{prefix}_{i}") for i in range(len(probs))])
     counts = (df.where(F.col(value_col).isNotNull())
               .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).cast("double").alias("_cnt")))
     scanned = prefix_scan(counts, [value_col], "_cnt", "sum", group_cols,

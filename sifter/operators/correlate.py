@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from sifter.functions.ordering import BROADCAST_ROWS, average_ranks
 from sifter.functions.special import anova_p, corr_p
+from sifter.session import durable
 
 METHODS = ("pearson", "spearman", "both")
 
@@ -61,12 +62,13 @@ def with_ranks(df: DataFrame, cols: Sequence[str], prefix: str = "rk_") -> DataF
     long_vals = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols
     ])).alias("s")).select("s.*")
-    ranks = average_ranks(long_vals, ["_col"], "_v", "_rank")
+    ranks = durable(average_ranks(long_vals, ["_col"], "_v", "_rank"))
+    small = ranks.count() <= BROADCAST_ROWS
     out = df
     for c in cols:
         rc = ranks.where(F.col("_col") == c).select(F.col("_v").alias(f"_v_{c}"),
                                                    F.col("_rank").alias(f"{prefix}{c}"))
-        if rc.count() <= BROADCAST_ROWS:
+        if small:
             rc = F.broadcast(rc)
         out = out.join(rc, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
     return out

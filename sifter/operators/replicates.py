@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sifter.functions.ordering import BROADCAST_ROWS, exact_quantiles, ordered_index
+from sifter.session import durable
 
 STRATEGIES = ("average", "keep_all", "std_uncertainty")
 
@@ -124,20 +125,21 @@ def iqr_outliers(df: DataFrame, feature_cols: Sequence[str], target_cols: Sequen
     (linear interpolation) and computed by range-partitioned scans, so a
     huge replicate group is never held by one task.
     """
-    reps = detect_replicates(df, feature_cols, row_id)
-    flagged = None
-    for t in target_cols:
-        q = exact_quantiles(reps.select("replicate_group", F.col(t).cast("double").alias("_v")),
-                            ["replicate_group"], "_v", [0.25, 0.75])
-        q = q.where((F.col("n") >= 3) & (F.col("q_1") - F.col("q_0") != 0)).select(
-            "replicate_group",
-            (F.col("q_0") - k * (F.col("q_1") - F.col("q_0"))).alias("_lo"),
-            (F.col("q_1") + k * (F.col("q_1") - F.col("q_0"))).alias("_hi"))
-        hit = reps.join(q, "replicate_group").where(
-            (F.col(t) < F.col("_lo")) | (F.col(t) > F.col("_hi"))).select(row_id)
-        flagged = hit if flagged is None else flagged.unionByName(hit)
-    ids = flagged.distinct()
-    return df.join(ids, row_id, "left_semi")
+    reps = durable(detect_replicates(df.select(row_id, *feature_cols, *target_cols), feature_cols, row_id))
+    long_vals = reps.select("replicate_group", F.explode(F.array(*[
+        F.struct(F.lit(t).alias("_t"), F.col(t).cast("double").alias("_v")) for t in target_cols])).alias("s")
+    ).select("replicate_group", "s._t", "s._v")
+    q = exact_quantiles(long_vals, ["_t", "replicate_group"], "_v", [0.25, 0.75])
+    q = q.where((F.col("n") >= 3) & (F.col("q_1") - F.col("q_0") != 0)).select(
+        "_t", "replicate_group",
+        (F.col("q_0") - k * (F.col("q_1") - F.col("q_0"))).alias("_lo"),
+        (F.col("q_1") + k * (F.col("q_1") - F.col("q_0"))).alias("_hi"))
+    flagged = reps.select(row_id, "replicate_group", F.explode(F.array(*[
+        F.struct(F.lit(t).alias("_t"), F.col(t).cast("double").alias("_v")) for t in target_cols]))
+        .alias("s")).select(row_id, "replicate_group", "s._t", "s._v")
+    hits = flagged.join(q, ["_t", "replicate_group"]).where(
+        (F.col("_v") < F.col("_lo")) | (F.col("_v") > F.col("_hi"))).select(row_id).distinct()
+    return df.join(hits, row_id, "left_semi")
 
 
 def remove_rows(df: DataFrame, rows: DataFrame, row_id: str = "row_id") -> DataFrame:
