@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sifter.functions.ordering import ordered_index
+from sifter.session import durable
 
 PARAM_SCHEMA = ("feature string, type string, lower double, upper double, step double, "
                 "`values` array<double>")
@@ -132,7 +133,8 @@ def candidate_space(spark: SparkSession, params: DataFrame, n_continuous: int =
         elif r["type"] == "categorical":
             cand = cand.withColumn(r["feature"], F.explode(F.array(*[F.lit(float(v)) for v in r["values"]])))
     cand = cand.withColumn("cand_id", F.monotonically_increasing_id())
-    return cand.select("cand_id", *[r["feature"] for r in rows])
+    # ids must stay fixed across the scoring jobs that reference them
+    return durable(cand.select("cand_id", *[r["feature"] for r in rows]))
 
 
 def observed_bounds(df: DataFrame, features: Sequence[str],

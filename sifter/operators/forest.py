@@ -30,6 +30,7 @@ from sifter.session import durable, scratch_path
 
 MAX_DEPTH_CAP = 30          # MLlib's limit; "unlimited" depth maps to it
 MAX_TABLE_ENTRIES = 50_000_000
+MAX_NODES = 5_000_000       # node table collected for TreeSHAP (size-checked)
 
 
 def _assemble(df: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
@@ -89,6 +90,9 @@ def forest_nodes(model: RandomForestRegressionModel) -> pd.DataFrame:
         F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
         F.col("nodeData.split.featureIndex").alias("feature"),
         F.try_element_at(F.col("nodeData.split.leftCategoriesOrThreshold"), F.lit(1)).alias("threshold"))
+    n_nodes = nodes.count()
+    if n_nodes > MAX_NODES:
+        raise ValueError(f"forest has {n_nodes} nodes; TreeSHAP tables need max_depth lowered")
     return nodes.toPandas().sort_values(["treeID", "id"]).reset_index(drop=True)
 
 

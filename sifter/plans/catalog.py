@@ -44,8 +44,8 @@ LI_SQL = (f"SELECT *, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS net, "
           f"row_number() OVER (ORDER BY {_KEY}) - 1 AS row_id FROM lineitem")
 
 
-def _li(spark: SparkSession, sf: str) -> DataFrame:
-    return lineitem_experiments(spark, sf)
+def _li(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
+    return lineitem_experiments(spark, sf, cols=list(cols) or None)
 
 
 # ---------------------------------------------------------------------------
@@ -57,7 +57,7 @@ REP_O = ["l_returnflag", "l_linestatus"]
 
 
 def _rep_input(spark, sf):
-    return _li(spark, sf).select("row_id", *REP_F, *REP_T, *REP_O)
+    return _li(spark, sf, *REP_F, *REP_T, *REP_O).select("row_id", *REP_F, *REP_T, *REP_O)
 
 
 @register("replicate_average", f"""
@@ -99,7 +99,7 @@ SELECT l_quantity, l_discount, l_tax, l_returnflag, l_linestatus,
        round(m, 6) AS l_extendedprice_mean, round(s, 6) AS l_extendedprice_std
 FROM g""")
 def q_replicate_summary(spark, sf):
-    li = _li(spark, sf)
+    li = _li(spark, sf, *REP5_F, "l_extendedprice")
     out = rep.replicate_summary(li, REP5_F, ["l_extendedprice"])
     return out.select(*REP5_F, "replicate_group", "n_replicates",
                       r6("l_extendedprice_mean"), r6("l_extendedprice_std"))
@@ -114,7 +114,7 @@ SELECT li.row_id, li.l_quantity, li.l_discount, li.l_tax, li.l_returnflag, li.l_
        gid.replicate_group
 FROM li JOIN gid USING (l_quantity, l_discount, l_tax, l_returnflag, l_linestatus)""")
 def q_replicate_rows(spark, sf):
-    li = _li(spark, sf).select("row_id", *REP5_F)
+    li = _li(spark, sf, *REP5_F).select("row_id", *REP5_F)
     return rep.detect_replicates(li, REP5_F).select("row_id", *REP5_F, "replicate_group")
 
 
@@ -138,7 +138,7 @@ flag AS (SELECT DISTINCT reps.row_id FROM reps JOIN q USING (l_returnflag, l_lin
 
 
 def _iqr_input(spark, sf):
-    return _li(spark, sf).withColumn("qty4", F.pow("l_quantity", 4)).select(
+    return _li(spark, sf, *IQR_F, "l_quantity", "l_extendedprice").withColumn("qty4", F.pow("l_quantity", 4)).select(
         "row_id", *IQR_F, *IQR_T)
 
 
@@ -165,7 +165,7 @@ WITH li AS ({LI_SQL})
 SELECT count(*) AS n_groups FROM (SELECT 1 FROM li GROUP BY l_quantity, l_discount, l_tax,
   l_returnflag, l_linestatus HAVING count(*) > 1)""")
 def q_replicate_group_count(spark, sf):
-    li = _li(spark, sf).select("row_id", *REP5_F)
+    li = _li(spark, sf, *REP5_F).select("row_id", *REP5_F)
     return rep.count_groups(rep.detect_replicates(li, REP5_F))
 
 
@@ -392,16 +392,16 @@ LIN_F = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
 
 @register("lasso_fixed")
 def q_lasso_fixed(spark, sf):
-    return run_lasso(_li(spark, sf), LIN_F, "net", alpha=0.01)
+    return run_lasso(_li(spark, sf, *LIN_F, "net"), LIN_F, "net", alpha=0.01)
 
 
 @register("lasso_cv")
 def q_lasso_cv(spark, sf):
-    return run_lasso(_li(spark, sf), LIN_F, "net", cv=5, row_order=["row_id"])
+    return run_lasso(_li(spark, sf, *LIN_F, "net"), LIN_F, "net", cv=5, row_order=["row_id"])
 
 
 def _pca(spark, sf):
-    return run_pca(_li(spark, sf), LIN_F, keep_cols=["row_id"])
+    return run_pca(_li(spark, sf, *LIN_F), LIN_F, keep_cols=["row_id"])
 
 
 @register("pca_variance")
@@ -432,7 +432,7 @@ def q_narrative_pca(spark, sf):
 
 @register("narrative_lasso")
 def q_narrative_lasso(spark, sf):
-    return nar.interpret_lasso(run_lasso(_li(spark, sf), LIN_F, "net", cv=5), LIN_F)
+    return nar.interpret_lasso(run_lasso(_li(spark, sf, *LIN_F, "net"), LIN_F, "net", cv=5), LIN_F)
 
 
 # ---------------------------------------------------------------------------
@@ -518,7 +518,7 @@ MISS_COLS = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
 
 
 def _with_missing(spark, sf):
-    return _li(spark, sf).select("row_id", "l_quantity", "l_extendedprice",
+    return _li(spark, sf, "l_quantity", "l_extendedprice", "l_discount", "l_tax").select("row_id", "l_quantity", "l_extendedprice",
                                  F.expr("nullif(l_discount, 0)").alias("l_discount"),
                                  F.expr("nullif(l_tax, 0)").alias("l_tax"))
 
@@ -558,7 +558,7 @@ def _r4(c):
 @register("standardize", f"WITH li AS ({LI_SQL}) SELECT row_id, " + ", ".join(
     f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 4) AS {c}" for c in SCALE_COLS) + " FROM li")
 def q_standardize(spark, sf):
-    out = cln.standardize(_li(spark, sf).select("row_id", *SCALE_COLS), SCALE_COLS)
+    out = cln.standardize(_li(spark, sf, *SCALE_COLS).select("row_id", *SCALE_COLS), SCALE_COLS)
     return out.select("row_id", *[_r4(c) for c in SCALE_COLS])
 
 
@@ -566,7 +566,7 @@ def q_standardize(spark, sf):
     f"round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), 4) AS {c}" for c in SCALE_COLS)
     + " FROM li")
 def q_minmax(spark, sf):
-    out = cln.minmax(_li(spark, sf).select("row_id", *SCALE_COLS), SCALE_COLS)
+    out = cln.minmax(_li(spark, sf, *SCALE_COLS).select("row_id", *SCALE_COLS), SCALE_COLS)
     return out.select("row_id", *[_r4(c) for c in SCALE_COLS])
 
 
@@ -576,7 +576,7 @@ _MM = {c: f"(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()))"
 @register("scalarize", f"WITH li AS ({LI_SQL}) SELECT row_id, "
           f"round(0.75 * {_MM['net']} + 0.25 * (1 - {_MM['l_quantity']}), 4) AS score FROM li")
 def q_scalarize(spark, sf):
-    out = cln.scalarize(_li(spark, sf).select("row_id", "net", "l_quantity"), ["net", "l_quantity"],
+    out = cln.scalarize(_li(spark, sf, "net", "l_quantity").select("row_id", "net", "l_quantity"), ["net", "l_quantity"],
                         [3.0, 1.0], col_name="score", maximize_targets=[True, False])
     return out.select("row_id", _r4("score"))
 
@@ -587,7 +587,7 @@ def q_scalarize(spark, sf):
           "SELECT row_id, 'Min l_quantity', round(b, 4) FROM s UNION ALL "
           "SELECT row_id, 'Balanced', round(0.5 * a + 0.5 * b, 4) FROM s")
 def q_scenarios(spark, sf):
-    out = cln.scalarize_scenarios(_li(spark, sf).select("row_id", "net", "l_quantity"),
+    out = cln.scalarize_scenarios(_li(spark, sf, "net", "l_quantity").select("row_id", "net", "l_quantity"),
                                   ["net", "l_quantity"], [True, False], col_name="score")
     return out.select("row_id", "Scenario", _r4("score"))
 
@@ -605,13 +605,13 @@ def q_category_map(spark, sf):
 @register("encode_categorical", f"WITH li AS ({LI_SQL}) SELECT row_id, " + ", ".join(
     f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INTEGER) AS {c}" for c in CAT_COLS) + " FROM li")
 def q_encode_categorical(spark, sf):
-    out, _ = enc.encode_categoricals(_li(spark, sf).select("row_id", *CAT_COLS), CAT_COLS)
+    out, _ = enc.encode_categoricals(_li(spark, sf, *CAT_COLS).select("row_id", *CAT_COLS), CAT_COLS)
     return out
 
 
 @register("decode_categorical", f"WITH li AS ({LI_SQL}) SELECT row_id, l_returnflag, l_linestatus FROM li")
 def q_decode_categorical(spark, sf):
-    coded, maps = enc.encode_categoricals(_li(spark, sf).select("row_id", *CAT_COLS), CAT_COLS)
+    coded, maps = enc.encode_categoricals(_li(spark, sf, *CAT_COLS).select("row_id", *CAT_COLS), CAT_COLS)
     return enc.decode_categoricals(coded.withColumns({c: F.col(c).cast("double") + 0.3 for c in CAT_COLS}),
                                    maps)
 
@@ -628,7 +628,7 @@ SELECT row_id,
   round_even(round_even((l_quantity - 1) / 4.0, 0) * 4.0 + 1, 6) AS step_qty
 FROM li""")
 def q_snap_grid(spark, sf):
-    li = _li(spark, sf)
+    li = _li(spark, sf, "l_extendedprice", "l_quantity")
     return li.select("row_id",
                      dsg.snap_to_grid(F.col("l_extendedprice"), 900.0, 105000.0, 250.0).alias("grid_price"),
                      dsg.snap_step(F.col("l_quantity"), 1.0, 4.0, None, clamp=False).alias("step_qty"))
@@ -648,7 +648,7 @@ def q_bounds(spark, sf):
 SELECT l_quantity, l_discount, l_tax, round(net, 6) AS net, row_id FROM li
 ORDER BY net DESC, row_id LIMIT 1""")
 def q_best_row(spark, sf):
-    b = dsg.best_row(_li(spark, sf), ["l_quantity", "l_discount", "l_tax"], "net")
+    b = dsg.best_row(_li(spark, sf, "l_quantity", "l_discount", "l_tax", "net"), ["l_quantity", "l_discount", "l_tax"], "net")
     return b.select("l_quantity", "l_discount", "l_tax", r6("net"), "row_id")
 
 
@@ -687,11 +687,11 @@ RF_ARGS = dict(n_estimators=20, max_depth=6, random_state=42)
 
 @register("rf_importance")
 def q_rf_importance(spark, sf):
-    return frs.run_random_forest(_li(spark, sf), LIN_F, "net", **RF_ARGS)
+    return frs.run_random_forest(_li(spark, sf, *LIN_F, "net"), LIN_F, "net", **RF_ARGS)
 
 
 def _shap(spark, sf):
-    return frs.run_shap(_li(spark, sf), LIN_F, "net", **RF_ARGS)
+    return frs.run_shap(_li(spark, sf, *LIN_F, "net"), LIN_F, "net", **RF_ARGS)
 
 
 @register("shap_importance")
@@ -706,7 +706,7 @@ def q_shap_values(spark, sf):
 
 @register("shap_background")
 def q_shap_background(spark, sf):
-    return frs.background_sample(_li(spark, sf).select("row_id", *LIN_F), 100, 42)
+    return frs.background_sample(_li(spark, sf, *LIN_F).select("row_id", *LIN_F), 100, 42)
 
 
 @register("narrative_rf")
@@ -727,26 +727,26 @@ from sifter.operators import bootstrap as bst  # noqa: E402
 
 @register("bootstrap_pearson")
 def q_bootstrap_pearson(spark, sf):
-    ranks = bst.bootstrap_ranks(_li(spark, sf), LIN_F, "net", "pearson", n_bootstrap=100)
+    ranks = bst.bootstrap_ranks(_li(spark, sf, *LIN_F, "net"), LIN_F, "net", "pearson", n_bootstrap=100)
     return bst.rank_stability(ranks)
 
 
 @register("bootstrap_lasso")
 def q_bootstrap_lasso(spark, sf):
-    ranks = bst.bootstrap_ranks(_li(spark, sf), LIN_F, "net", "lasso", n_bootstrap=100, alpha=0.01)
+    ranks = bst.bootstrap_ranks(_li(spark, sf, *LIN_F, "net"), LIN_F, "net", "lasso", n_bootstrap=100, alpha=0.01)
     return bst.rank_stability(ranks)
 
 
 @register("bootstrap_pca")
 def q_bootstrap_pca(spark, sf):
-    ranks = bst.bootstrap_ranks(_li(spark, sf), LIN_F, None, "pca", n_bootstrap=100)
+    ranks = bst.bootstrap_ranks(_li(spark, sf, *LIN_F), LIN_F, None, "pca", n_bootstrap=100)
     return bst.rank_stability(ranks)
 
 
 @register("bootstrap_weights")
 def q_bootstrap_weights(spark, sf):
     """K1: per replicate, the number of drawn rows (mean n) and distinct rows used."""
-    reps = bst.replicate_rows(_li(spark, sf).select("row_id"), 20, 42)
+    reps = bst.replicate_rows(_li(spark, sf, "l_orderkey").select("row_id"), 20, 42)
     return reps.groupBy("b").agg(F.sum("_w").alias("n_drawn"), F.count(F.lit(1)).alias("n_distinct"))
 
 
@@ -762,7 +762,7 @@ OPT_T = ["net", "l_tax", "l_extendedprice"]
 
 def _opt_training(spark, sf):
     """Conditions = replicate-averaged (quantity, discount) settings of lineitem."""
-    li = _li(spark, sf).select("row_id", *OPT_F, *OPT_T)
+    li = _li(spark, sf, *OPT_F, *OPT_T).select("row_id", *OPT_F, *OPT_T)
     return durable(rep.handle_replicates(li, OPT_F, OPT_T, "average"))
 
 
@@ -918,7 +918,7 @@ SCREEN_METHODS = ["lasso", "random_forest", "shap", "pca", "correlations"]
 
 
 def _screen(spark, sf):
-    li = _li(spark, sf).select("row_id", *SCREEN_F, "net", "l_extendedprice")
+    li = _li(spark, sf, *SCREEN_F, "net", "l_extendedprice").select("row_id", *SCREEN_F, "net", "l_extendedprice")
     avg = rep.handle_replicates(li, SCREEN_F, ["net", "l_extendedprice"], "average")
     coded, _ = enc.encode_categoricals(avg, ["l_returnflag", "l_linestatus"])
     return screen(coded, SCREEN_F, SCREEN_T, SCREEN_METHODS, categorical_cols=["l_returnflag", "l_linestatus"],
@@ -944,7 +944,7 @@ def q_screen_narratives(spark, sf):
   'net' AS target_cols, 'average' AS replicate_strategy FROM (SELECT 1 FROM lineitem
   GROUP BY l_quantity, l_discount, l_tax, l_returnflag, l_linestatus)""")
 def q_report_summary(spark, sf):
-    li = _li(spark, sf).select("row_id", *SCREEN_F, "net")
+    li = _li(spark, sf, *SCREEN_F, "net").select("row_id", *SCREEN_F, "net")
     avg = rep.handle_replicates(li, SCREEN_F, ["net"], "average")
     return rpt.dataset_summary(spark, avg, "lineitem.parquet", SCREEN_F, SCREEN_T, "average")
 
@@ -985,7 +985,7 @@ def q_replicate_stream(spark, sf):
 SELECT row_id, l_orderkey, l_quantity, l_extendedprice FROM li ORDER BY row_id LIMIT 10""")
 def q_preview(spark, sf):
     """The first 10 experiments in row order (the limit is the feature)."""
-    li = _li(spark, sf)
+    li = _li(spark, sf, "l_orderkey", "l_quantity", "l_extendedprice")
     return li.orderBy("row_id").limit(10).select("row_id", "l_orderkey", "l_quantity", "l_extendedprice")
 
 
@@ -1016,7 +1016,7 @@ def q_units_rename(spark, sf):
 @register("design_with_fixed")
 def q_design_with_fixed(spark, sf):
     """P9 + A10: LHS over (quantity, discount); tax fixed at the best row's value."""
-    best = dsg.best_row(_li(spark, sf), ["l_quantity", "l_discount", "l_tax"], "net").first()
+    best = dsg.best_row(_li(spark, sf, "l_quantity", "l_discount", "l_tax", "net"), ["l_quantity", "l_discount", "l_tax"], "net").first()
     plan = q_lhs_design(spark, sf).select("point", "l_quantity", "l_discount")
     return enc.attach_fixed(plan, {"l_tax": float(best["l_tax"])})
 
@@ -1026,5 +1026,5 @@ def q_bootstrap_forest(spark, sf):
     """K2 generic hook: one weighted forest refit per replicate (5 replicates)."""
     def method(w, wc):
         return frs.run_random_forest(w, LIN_F, "net", n_estimators=10, max_depth=5, weight_col=wc)
-    ranks = bst.bootstrap_refit(_li(spark, sf).select("row_id", *LIN_F, "net"), method, n_bootstrap=5)
+    ranks = bst.bootstrap_refit(_li(spark, sf, *LIN_F, "net").select("row_id", *LIN_F, "net"), method, n_bootstrap=5)
     return bst.rank_stability(ranks)

@@ -35,9 +35,16 @@ def net_price():
     return F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
 
 
-def lineitem_experiments(spark: SparkSession, sf_dir: str, with_row_id: bool = True) -> DataFrame:
-    """lineitem as experiments: key columns, inputs, responses, ``row_id``."""
+def lineitem_experiments(spark: SparkSession, sf_dir: str, with_row_id: bool = True,
+                         cols: list[str] | None = None) -> DataFrame:
+    """lineitem as experiments: key columns, inputs, responses, ``row_id``.
+
+    ``cols`` prunes the table before the row ids are assigned: the row-id
+    step checkpoints its input, and Catalyst cannot prune through that.
+    """
     li = table(spark, sf_dir, "lineitem").withColumn("net", net_price())
+    if cols:
+        li = li.select(*dict.fromkeys(list(LINEITEM_KEY) + [c for c in cols if c != "row_id"]))
     if with_row_id:
         li = ordered_index(li, list(LINEITEM_KEY), name="row_id")
     return li

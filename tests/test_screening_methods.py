@@ -107,3 +107,32 @@ def test_lasso_cv_matches_numpy(averaged):
             mse[i, k] = np.mean((y[te] - pred) ** 2)
     best = alphas[int(np.argmin(mse.mean(1)))]
     assert res["alpha"].iloc[0] == pytest.approx(best, rel=1e-9)
+
+
+def _synthetic(spark):
+    rng = np.random.default_rng(0)
+    X = rng.normal(size=(50, 4))
+    y = 2 * X[:, 0] + 0.3 * X[:, 1] + rng.normal(0, 0.1, 50)
+    rows = [(i, *map(float, X[i]), float(y[i])) for i in range(50)]
+    return spark.createDataFrame(rows, "row_id long, feat_a double, feat_b double, feat_c double, "
+                                       "feat_d double, yield double")
+
+
+def test_synthetic_feat_a_first(spark):
+    df = _synthetic(spark)
+    feats = ["feat_a", "feat_b", "feat_c", "feat_d"]
+    lasso = run_lasso(df, feats, "yield", cv=5).orderBy("rank").first()
+    assert lasso["feature"] == "feat_a"
+    res = cor.run_correlations(df, feats, "yield").toPandas().set_index("feature")
+    assert res.loc["feat_a", "rank"] == 1 and res.loc["feat_a", "pearson_r"] > 0.95
+
+
+def test_dominant_component(spark):
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=100)
+    X = np.column_stack([z + rng.normal(0, 0.01, 100) for _ in range(3)])
+    df = spark.createDataFrame([(i, *map(float, X[i])) for i in range(100)], "row_id long, f1 double, f2 double, f3 double")
+    res = run_pca(df, ["f1", "f2", "f3"])
+    assert res.n_components == 1
+    with pytest.raises(ValueError):
+        run_pca(df, ["f1", "f2", "f3"], variance_threshold=0)
