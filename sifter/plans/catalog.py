@@ -817,10 +817,17 @@ def q_suggest_pareto(spark, sf):
     return sug
 
 
-@register("pareto_current")
+@register("pareto_current", """WITH li AS (SELECT l_quantity, l_discount,
+    avg(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS net, avg(l_tax) AS l_tax
+  FROM lineitem GROUP BY l_quantity, l_discount)
+SELECT round(a.net, 6) AS net, round(a.l_tax, 6) AS l_tax FROM li a
+WHERE NOT EXISTS (SELECT 1 FROM li u WHERE u.net >= a.net AND u.l_tax <= a.l_tax
+                  AND (u.net > a.net OR u.l_tax < a.l_tax))""")
 def q_pareto_current(spark, sf):
+    """Current front of the conditions in original scale (tax minimised)."""
     tr = _opt_training(spark, sf)
-    return par.pareto_front(tr.select("net", "l_tax"), ["net", "l_tax"], [True, False])
+    front = par.pareto_front(tr.select("net", "l_tax"), ["net", "l_tax"], [True, False])
+    return front.select(r6("net"), r6("l_tax"))
 
 
 # ---------------------------------------------------------------------------
