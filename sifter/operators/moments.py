@@ -38,6 +38,53 @@ def combine(parts: Sequence[Moments]) -> Moments:
     return Moments(n, mean, M)
 
 
+# Above this many columns the pairwise covar_pop expressions (q(q+1)/2 of
+# them) are replaced by per-partition numpy cross-products summed by Spark.
+WIDE_COLS = 40
+
+
+def _wide_moments(data: DataFrame, q: int, group_cols: Sequence[str], weighted: bool) -> dict[tuple, Moments]:
+    """Two passes: group means, then centred cross-products per partition
+    (numpy, one long row per (group, i, j)) reduced by a grouped sum."""
+    import pandas as pd
+
+    w = F.col("_w") if weighted else F.lit(1.0)
+    means = data.groupBy(*group_cols).agg(
+        F.sum(w).alias("_n"), *[(F.sum(w * F.col(f"_z{i}")) / F.sum(w)).alias(f"_m{i}") for i in range(q)])
+    mrows = {tuple(r[g] for g in group_cols): r for r in means.collect()}   # one row per group
+    mean_vec = {k: np.array([r[f"_m{i}"] for i in range(q)], dtype=float) for k, r in mrows.items()}
+    zcols = [f"_z{i}" for i in range(q)]
+    iu, ju = np.triu_indices(q)
+
+    def partial(batches):
+        acc: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            keys = list(zip(*[pdf[g] for g in group_cols])) if group_cols else [()] * len(pdf)
+            pdf = pdf.assign(_key=keys)
+            for key, part in pdf.groupby("_key", sort=False):
+                Z = part[zcols].to_numpy(dtype=float) - mean_vec[key]
+                wt = part["_w"].to_numpy(dtype=float) if weighted else np.ones(len(part))
+                M = (Z * wt[:, None]).T @ Z
+                acc[key] = acc.get(key, 0) + M
+        rows = []
+        for key, M in acc.items():
+            for a, b in zip(iu, ju):
+                rows.append((*key, int(a), int(b), float(M[a, b])))
+        yield pd.DataFrame(rows, columns=[*group_cols, "_i", "_j", "_v"])
+
+    gschema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.schema.fields
+                        if f.name in group_cols)
+    schema = (gschema + ", " if gschema else "") + "_i int, _j int, _v double"
+    sums = data.mapInPandas(partial, schema).groupBy(*group_cols, "_i", "_j").agg(F.sum("_v").alias("_v"))
+    out = {k: Moments(float(r["_n"]), mean_vec[k], np.zeros((q, q))) for k, r in mrows.items()}
+    for r in sums.collect():                                            # q(q+1)/2 rows per group
+        k = tuple(r[g] for g in group_cols)
+        out[k].M[r["_i"], r["_j"]] = out[k].M[r["_j"], r["_i"]] = r["_v"]
+    return out
+
+
 def moment_table(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] = (),
                  weight: str | None = None) -> dict[tuple, Moments]:
     """``{group key: Moments}`` from one aggregation over complete rows.
@@ -54,6 +101,8 @@ def moment_table(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] =
     data = df.where(complete).select(*group_cols, *[F.col(c).cast("double").alias(f"_z{i}")
                                                     for i, c in enumerate(cols)],
                                      *([F.col(weight).cast("double").alias("_w")] if weight else []))
+    if q > WIDE_COLS:
+        return _wide_moments(data, q, list(group_cols), weight is not None)
     if weight is None:
         aggs = [F.count(F.lit(1)).alias("_n")]
         aggs += [F.avg(f"_z{i}").alias(f"_m{i}") for i in range(q)]

@@ -136,3 +136,21 @@ def test_dominant_component(spark):
     assert res.n_components == 1
     with pytest.raises(ValueError):
         run_pca(df, ["f1", "f2", "f3"], variance_threshold=0)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_wide_moment_path_matches_expressions(spark, monkeypatch, weighted):
+    import sifter.operators.moments as mo
+    rng = np.random.default_rng(9)
+    X = rng.normal(size=(300, 5)) * [1, 10, 100, 0.1, 3] + [5, -2, 1e4, 0, 1]
+    rows = [(int(i % 3), float(rng.integers(0, 3)), *map(float, X[i])) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, w double, a double, b double, c double, d double, e double")
+    cols = ["a", "b", "c", "d", "e"]
+    kw = dict(weight="w") if weighted else {}
+    narrow = mo.moment_table(df, cols, ["g"], **kw)
+    monkeypatch.setattr(mo, "WIDE_COLS", 2)
+    wide = mo.moment_table(df, cols, ["g"], **kw)
+    for k in narrow:
+        assert wide[k].n == pytest.approx(narrow[k].n)
+        assert np.allclose(wide[k].mean, narrow[k].mean)
+        assert np.allclose(wide[k].M, narrow[k].M, rtol=1e-9, atol=1e-6)
