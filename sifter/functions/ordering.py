@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sifter.session import durable, shuffle_partitions
+from sifter.session import durable
 
 # Tables at most this many rows are broadcast (offset tables have one row per
 # range partition and group, so they are bounded by partitions + groups).
@@ -115,10 +115,11 @@ def prefix_scan(
         raise ValueError(f"op must be 'sum' or 'max'; got {op!r}")
     group_cols = list(group_cols)
     order_cols = list(order_cols)
-    spark = df.sparkSession
-    n = num_partitions or shuffle_partitions(spark)
     keys = group_cols + order_cols
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # without an explicit count AQE may coalesce adjacent ranges to fit the
+    # data; partition ids stay in key order, which is all the scan needs
+    ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions
+              else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
     schema = T.StructType(
         ranged.schema.fields
         + [T.StructField(out_col, T.DoubleType()), T.StructField("_excl", T.DoubleType()),
@@ -156,8 +157,7 @@ def ordered_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_id"
     """
     group_cols = list(group_cols)
     keys = group_cols + list(order_cols)
-    n = shuffle_partitions(df.sparkSession)
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)   # AQE may coalesce ranges
     tagged = durable(ranged.withColumn("_oi_pid", F.spark_partition_id())
                      .withColumn("_oi_loc", F.monotonically_increasing_id()
                                  - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
