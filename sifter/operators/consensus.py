@@ -13,9 +13,13 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Importance labels and their thresholds (share of methods that
+# rank a feature in the top K), and the top-K rule K = max(3, n // 3).
 LABEL_STRONG = "strongly important"
 LABEL_MODERATE = "moderately important"
 LABEL_WEAK = "weakly important or inconsistent"
+STRONG_SHARE, MODERATE_SHARE = 0.75, 0.50
+TOP_K_MIN, TOP_K_DIVISOR = 3, 3
 
 
 def ranking_from(result: DataFrame, method: str, rank_col: str = "rank",
@@ -60,7 +64,7 @@ def compute_consensus(rankings: DataFrame, methods: Sequence[str] | None = None,
     filled = (grid.join(r.select(*groups, "method", "feature", "rank"),
                         [*groups, "method", "feature"], "left")
               .withColumn("_rank", F.coalesce(F.col("rank"), F.col("_n"))))
-    top_k = F.greatest(F.lit(3), F.floor(F.col("_n") / 3))
+    top_k = F.greatest(F.lit(TOP_K_MIN), F.floor(F.col("_n") / TOP_K_DIVISOR))
     aggs = [F.max(F.when(F.col("method") == m, F.col("_rank"))).cast("long").alias(f"{m}_rank")
             for m in methods]
     aggs += [F.avg(F.col("_rank") / F.col("_n")).alias("avg_normalized_rank"),
@@ -74,8 +78,8 @@ def compute_consensus(rankings: DataFrame, methods: Sequence[str] | None = None,
 
 def label_expr(n_top_k: F.Column, n_methods: int) -> F.Column:
     frac = n_top_k / F.lit(float(n_methods))
-    return (F.when(frac >= 0.75, F.lit(LABEL_STRONG))
-            .when(frac >= 0.50, F.lit(LABEL_MODERATE))
+    return (F.when(frac >= STRONG_SHARE, F.lit(LABEL_STRONG))
+            .when(frac >= MODERATE_SHARE, F.lit(LABEL_MODERATE))
             .otherwise(F.lit(LABEL_WEAK)))
 
 

@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 from sifter.functions.ordering import BROADCAST_ROWS, exact_quantiles, ordered_index
 from sifter.session import durable
 
+# Replicate strategies and the IQR fence factor (k = 1.5, at
+# least 3 values per group).
 STRATEGIES = ("average", "keep_all", "std_uncertainty")
+IQR_K = 1.5
+IQR_MIN_VALUES = 3
 
 
 def validate_roles(df: DataFrame, feature_cols: Sequence[str],
@@ -117,7 +121,7 @@ def replicate_summary(df: DataFrame, feature_cols: Sequence[str], target_cols: S
 
 
 def iqr_outliers(df: DataFrame, feature_cols: Sequence[str], target_cols: Sequence[str],
-                 row_id: str = "row_id", k: float = 1.5) -> DataFrame:
+                 row_id: str = "row_id", k: float = IQR_K) -> DataFrame:
     """Rows outside [q1 - k*IQR, q3 + k*IQR] of their replicate group.
 
     Per target, only groups with >= 3 non-NULL values and IQR != 0 flag rows;
@@ -130,7 +134,7 @@ def iqr_outliers(df: DataFrame, feature_cols: Sequence[str], target_cols: Sequen
         F.struct(F.lit(t).alias("_t"), F.col(t).cast("double").alias("_v")) for t in target_cols])).alias("s")
     ).select("replicate_group", "s._t", "s._v")
     q = exact_quantiles(long_vals, ["_t", "replicate_group"], "_v", [0.25, 0.75])
-    q = q.where((F.col("n") >= 3) & (F.col("q_1") - F.col("q_0") != 0)).select(
+    q = q.where((F.col("n") >= IQR_MIN_VALUES) & (F.col("q_1") - F.col("q_0") != 0)).select(
         "_t", "replicate_group",
         (F.col("q_0") - k * (F.col("q_1") - F.col("q_0"))).alias("_lo"),
         (F.col("q_1") + k * (F.col("q_1") - F.col("q_0"))).alias("_hi"))
