@@ -181,15 +181,19 @@ def average_ranks(values: DataFrame, group_cols: Sequence[str], value_col: str,
     """
     counts = (values.where(F.col(value_col).isNotNull())
               .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).cast("double").alias("_cnt")))
-    counts = durable(counts)
+    # deterministic lineage (grouped count): persisting is enough for reuse;
+    # the scan path below checkpoints its own range-partitioned input
+    counts = counts.persist()
     sizes = counts.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_gn"))
     if (sizes.agg(F.max("_gn")).first()[0] or 0) <= FAST_ROWS:
         # size-checked: every group window holds at most FAST_ROWS values
         w = Window.partitionBy(*group_cols).orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
         scanned = counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0.0)))
     else:
+        # prefix_scan checkpoints its input eagerly; the cached counts are then not needed
         scanned = prefix_scan(counts, [value_col], "_cnt", "sum", group_cols,
                               out_col="_before", inclusive=False)
+        counts.unpersist()
     return scanned.select(*group_cols, value_col,
                           (F.col("_before") + (F.col("_cnt") + 1.0) / 2.0).alias(rank_col))
 

@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from sifter.functions.ordering import BROADCAST_ROWS, average_ranks
 from sifter.functions.special import anova_p, corr_p
-from sifter.session import durable
 
 METHODS = ("pearson", "spearman", "both")
 
@@ -62,7 +61,7 @@ def with_ranks(df: DataFrame, cols: Sequence[str], prefix: str = "rk_") -> DataF
     long_vals = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols
     ])).alias("s")).select("s.*")
-    ranks = durable(average_ranks(long_vals, ["_col"], "_v", "_rank"))
+    ranks = average_ranks(long_vals, ["_col"], "_v", "_rank").persist()   # deterministic lineage
     small = ranks.count() <= BROADCAST_ROWS
     out = df
     for c in cols:

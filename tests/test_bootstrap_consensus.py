@@ -65,3 +65,28 @@ def test_label_requires_methods(spark):
     rk = _ranks(spark, {"m1": [("X", 1)]})
     with pytest.raises(ValueError):
         cons.label_importance(cons.compute_consensus(rk, ["m1"], group_cols=()), 0)
+
+
+def test_empty_rankings_give_empty_consensus(spark):
+    empty = spark.createDataFrame([], "method string, feature string, rank long")
+    c = cons.compute_consensus(empty, [], group_cols=())
+    assert c.count() == 0
+    assert {"feature", "avg_normalized_rank", "consensus_rank", "n_methods_top_k"} <= set(c.columns)
+
+
+def test_error_contract(spark):
+    from sifter.operators.forest import run_random_forest
+    from sifter.operators.linear import run_lasso
+    from sifter.operators.pca import run_pca
+    df = spark.createDataFrame([(0, 1.0, 2.0), (1, 2.0, 3.0), (2, 3.0, 5.0)], "row_id long, a double, y double")
+    with pytest.raises(ValueError):
+        run_lasso(df, ["a"], "y", alpha=0)
+    with pytest.raises(ValueError):
+        run_random_forest(df, ["a"], "y", n_estimators=0)
+    with pytest.raises(ValueError):
+        bst.bootstrap_ranks(df, ["a"], "y", "pearson", n_bootstrap=0)
+    with pytest.raises(ValueError):
+        run_pca(df, ["a"], variance_threshold=1.5)
+    empty = df.where("false")
+    with pytest.raises(ValueError):
+        run_random_forest(empty, ["a"], "y")
