@@ -48,3 +48,24 @@ def test_scan_reads_only_needed_columns(spark):
     df = e.queries()["pearson"](spark, "/root/testdata/sf0.001")
     scan = [line for line in _plan(df).split("\n") if "FileScan parquet" in line][0]
     assert "l_returnflag" not in scan and "l_shipdate" not in scan
+
+
+def test_hot_condition_is_pre_aggregated_and_quartiles_exact(spark, monkeypatch):
+    import numpy as np
+    import sifter.functions.ordering as o
+    from sifter.operators.replicates import handle_replicates, iqr_outliers
+    n = 30_000
+    # one condition holds a third of all rows
+    df = spark.range(n).select(
+        F.col("id").alias("row_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 500 + 1).alias("cond"),
+        ((F.col("id") * 7919) % 1000 / 10.0).alias("y"))
+    avg = handle_replicates(df, ["cond"], ["y"])
+    plan = _plan(avg)
+    assert "partial_avg" in plan              # map-side combine before the shuffle
+    monkeypatch.setattr(o, "FAST_ROWS", 100)  # force the range-partitioned path for the hot group
+    q = {r["cond"]: (r["q_0"], r["q_1"]) for r in
+         o.exact_quantiles(df, ["cond"], "y", [0.25, 0.75]).where("cond = 0").collect()}
+    ys = df.where("cond = 0").select("y").toPandas()["y"].to_numpy()
+    assert q[0] == (np.percentile(ys, 25), np.percentile(ys, 75))
+    assert iqr_outliers(df, ["cond"], ["y"]).count() == 0
