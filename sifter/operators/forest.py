@@ -200,31 +200,35 @@ def tree_tables(tree: pd.DataFrame) -> TreeTables:
     return TreeTables(feat, thr, cond_node, cond_left, cond_slot, slot_feat, table, expected)
 
 
-def shap_batch(X: np.ndarray, trees: Sequence[TreeTables], p: int, chunk: int = 512) -> np.ndarray:
+def shap_batch(X: np.ndarray, trees: Sequence[TreeTables], p: int, chunk: int = 256) -> np.ndarray:
     """Forest SHAP matrix (rows x p) = mean over trees of tree SHAP values."""
     n = X.shape[0]
     phi = np.zeros((n, p))
     for t in trees:
         L, D = t.cond_node.shape
         S = t.slot_feat.shape[1]
-        onehot = np.zeros((L, S, p))
+        onehot = np.zeros((L * S, p))
         li, si = np.nonzero(t.slot_feat >= 0)
-        onehot[li, si, t.slot_feat[li, si]] = 1.0
+        onehot[li * S + si, t.slot_feat[li, si]] = 1.0
+        valid_slots = t.slot_feat >= 0
+        conds = []
+        for c in range(D):
+            lv = np.flatnonzero(t.cond_node[:, c] >= 0)
+            if len(lv):
+                conds.append((lv, t.cond_node[lv, c], t.cond_left[lv, c], t.cond_slot[lv, c]))
+        weights = (1 << np.arange(S)).astype(np.int64)
+        flat = t.table.reshape(L * (1 << S), S)
+        base = np.arange(L, dtype=np.int64) * (1 << S)
         for start in range(0, n, chunk):
             Xc = X[start:start + chunk]
             b = Xc.shape[0]
             goes_left = Xc[:, t.feat] <= t.thr[None, :] if len(t.feat) else np.zeros((b, 0), bool)
-            o = np.broadcast_to(t.slot_feat >= 0, (b, L, S)).copy()
-            for c in range(D):
-                valid = t.cond_node[:, c] >= 0
-                if not valid.any():
-                    continue
-                lv = np.flatnonzero(valid)
-                ok = goes_left[:, t.cond_node[lv, c]] == t.cond_left[lv, c][None, :]
-                o[:, lv, t.cond_slot[lv, c]] &= ok
-            mask = (o * (1 << np.arange(S))[None, None, :]).sum(axis=2)       # (b, L)
-            vals = t.table[np.arange(L)[None, :], mask]                          # (b, L, S)
-            phi[start:start + b] += np.einsum("bls,lsp->bp", vals, onehot)
+            o = np.broadcast_to(valid_slots, (b, L, S)).copy()
+            for lv, nodes, left, slots in conds:
+                o[:, lv, slots] &= goes_left[:, nodes] == left[None, :]
+            mask = o.astype(np.int64) @ weights                              # (b, L)
+            vals = flat[base[None, :] + mask]                                # (b, L, S)
+            phi[start:start + b] += vals.reshape(b, L * S) @ onehot
     return phi / max(len(trees), 1)
 
 
