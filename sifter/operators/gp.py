@@ -154,6 +154,7 @@ class GPModel:
     experts: DataFrame | None          # expert table (expert, X array<array<double>>, y array<double>)
     n_experts: int
     local: tuple | None = None         # (X, y) when n_experts == 1
+    blocks: list | None = None         # all experts' (X, y) when the table is within LOCAL_ROWS
     extra: list = field(default_factory=list)   # pseudo observations (X row, y) added by believers
 
     @property
@@ -256,7 +257,7 @@ def fit_gp(df: DataFrame, features: Sequence[str], target: str, n_iter: int = 10
                 v, g = v + vb, g + gb
             return v, g
         theta = adam(fun_local, theta0, n_iter)
-        return GPModel(feats, target, theta, lo, rng, const, y_mean, y_std, experts, n_exp)
+        return GPModel(feats, target, theta, lo, rng, const, y_mean, y_std, experts, n_exp, blocks=blocks)
 
     def fun(th):
         v, g = _nll_job(experts, th)
@@ -344,9 +345,36 @@ def predict(model: GPModel, candidates: DataFrame, id_col: str = "cand_id") -> D
                                     "std": np.sqrt(var) * ys})
 
         return cands.mapInPandas(run, schema)
+    _, os_, _, _ = _unpack(theta, len(feats))
+    if model.blocks is not None:
+        # bounded expert data (<= LOCAL_ROWS rows) travels with the task closure:
+        # candidates stay distributed, rBCM is combined per batch
+        blocks = list(model.blocks) + ([(np.vstack([e[0][None, :] for e in model.extra]),
+                                         np.array([e[1] for e in model.extra]))] if model.extra else [])
+        lo, rng_, const = model.x_lo.copy(), model.x_rng.copy(), model.x_const.copy()
+
+        def run_blocks(batches):
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                Z = (pdf[feats].to_numpy(dtype=float) - lo) / rng_
+                Z[:, const] = 0.5
+                num = np.zeros(len(Z))
+                prec = np.zeros(len(Z))
+                beta = np.zeros(len(Z))
+                for Xb, Yb in blocks:
+                    mu, var = expert_predict(theta, Xb, Yb, Z)
+                    bk = 0.5 * (math.log(os_) - np.log(var))
+                    num += bk * mu / var
+                    prec += bk / var
+                    beta += bk
+                tp = np.maximum(prec + (1.0 - beta) / os_, 1e-12)
+                yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "mean": (num / tp) * ys + ym,
+                                    "std": np.sqrt(1.0 / tp) * ys})
+
+        return cands.mapInPandas(run_blocks, schema)
     n = cands.count()
     n_chunks = max(1, int(math.ceil(n / CANDIDATE_CHUNK)))
-    _, os_, _, _ = _unpack(theta, len(feats))
     out = None
     for c in range(n_chunks):
         chunk = cands.where(F.pmod(F.xxhash64(id_col), F.lit(n_chunks)) == c).toPandas()
