@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from sifter.llm.bpe import op10_bpe
+from sifter.llm.covertree import ORACLE_OP2, op2_covertree
 from sifter.llm.simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_covertree": op2_covertree,
+    "op10_bpe": op10_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_covertree": ORACLE_OP2,
+}
