@@ -51,9 +51,11 @@ def doc_key(docs: DataFrame) -> list[Column]:
 
 def _tokens(docs: DataFrame, keyed: bool) -> DataFrame:
     """(k, k2, term, pos) for every folded word; pos counts from 0 over the words."""
-    parts = F.split(F.lower(docs["text"]), GAP)
     key = doc_key(docs) if keyed else []
-    flat = docs.select(*key, F.when(parts[0] == "", 1).otherwise(0).alias("skip"), F.posexplode(parts).alias("at", "term"))
+    split = docs.select(*key, F.split(F.lower(docs["text"]), GAP).alias("parts"))
+    # hashes and the leading gap are worked out per document, below the explode, not per word
+    split = split.select(*["k", "k2"] * keyed, "parts", F.when(F.col("parts")[0] == "", 1).otherwise(0).alias("skip"))
+    flat = split.select(*["k", "k2"] * keyed, "skip", F.posexplode_outer("parts").alias("at", "term"))    # outer: no filter that splits again
     return flat.where("term <> ''").select(*["k", "k2"] * keyed, "term", *[(F.col("at") - F.col("skip")).alias("pos")] * keyed)
 
 
