@@ -5,11 +5,13 @@ from __future__ import annotations
 from sifter.llm.bpe import op10_bpe
 from sifter.llm.covertree import ORACLE_OP2, op2_covertree
 from sifter.llm.decontaminate import ORACLE_OP9, op9_decontaminate
+from sifter.llm.pii import op5_pii
 from sifter.llm.simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_covertree": op2_covertree,
+    "op5_pii": op5_pii,
     "op9_decontaminate": op9_decontaminate,
     "op10_bpe": op10_bpe,
 }
