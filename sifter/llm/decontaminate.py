@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from sifter.llm.common import BROADCAST_BYTES, checked_broadcast, stored, table
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ANY_CASE_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -157,7 +157,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, span: int
     near = index.proximity_matches(span).groupBy("k", "k2").agg(F.count_distinct("item_id").alias("n_near"))
     hit = matches.select("k", "k2", covered(F.col("hits")).alias("n_hit"))
     found = hit.join(by_item, ["k", "k2"], "left").join(near, ["k", "k2"], "full")
-    rows = docs.select("doc_id", *doc_key(docs), F.coalesce(F.regexp_count("text", F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    parts = docs.select("doc_id", *doc_key(docs), F.split(F.coalesce("text", F.lit("")), ANY_CASE_GAP).alias("parts"))
+    edges = F.when(F.col("parts")[0] == "", 1).otherwise(0) + F.when((F.size("parts") > 1) & (F.element_at("parts", -1) == ""), 1).otherwise(0)
+    rows = parts.select("doc_id", "k", "k2", (F.size("parts") - edges).cast("long").alias("n_words"))
     items_col = F.coalesce("items", F.array().cast("array<string>"))
     return rows.join(found, ["k", "k2"], "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_col).cast("long").alias("n_items"),
