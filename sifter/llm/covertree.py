@@ -44,53 +44,58 @@ TILE = 512                 # rows of a distance tile
 SLACK = 1e-9               # bounds are widened by this much, the exact cosine decides
 FIRST_RADIUS = 0.5         # of the nets inside a block; halved down to the smallest
 LAST_RADIUS = 0.03
+PACKED = ("cls", "n", "vecs", "lens", "starts", "radii")
 
 
 class Tree:
-    """Nested nets over the unit vectors ``x`` of one block; node = (centre point, covering radius, children).
+    """Nested nets over the unit vectors of one block, laid out so that every node is a run of rows.
 
-    Level 0 covers with FIRST_RADIUS, every next level splits each node with half the radius, the
-    last level are the points.  A node's centre is also a centre on all levels below it.
+    Level 0 covers with FIRST_RADIUS, every next level splits each node with half the radius.  A node
+    is (start, covering radius); it ends where the next one starts, and its centre is its first row, which
+    is also the centre of its first child.  ``order`` gives the rows' places in the vectors given.
     """
 
-    def __init__(self, x: np.ndarray):
-        self.x = x
-        members = [np.arange(len(x))] if len(x) else []
-        radius = FIRST_RADIUS
-        self.levels: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
-        while radius >= LAST_RADIUS and members:
-            centres, radii, groups = [], [], []
-            for m in members:
-                for c, r, g in net(x, m, radius):
-                    centres.append(c)
-                    radii.append(r)
-                    groups.append(g)
-            self.levels.append((np.array(centres), np.array(radii), groups))
-            if all(len(g) == 1 for g in groups):
+    def __init__(self, x: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]):
+        self.x, self.x32, self.levels = x, x.astype(np.float32), levels
+
+    @classmethod
+    def build(cls, x: np.ndarray) -> tuple[Tree, np.ndarray]:
+        groups, levels, radius = [np.arange(len(x))], [], FIRST_RADIUS
+        while radius >= LAST_RADIUS:
+            parts = [n for g in groups for n in (net(x, g, radius) if len(g) > 1 else [(0.0, g)])]
+            groups = [g for _, g in parts]
+            sizes = np.array([len(g) for g in groups])
+            levels.append((np.cumsum(sizes) - sizes, np.array([r for r, _ in parts])))
+            if (sizes == 1).all():
                 break
-            members = groups
             radius /= 2
+        order = np.concatenate(groups)
+        return cls(x[order], levels), order
+
+    def ends(self, level: int) -> np.ndarray:
+        return np.append(self.levels[level][0][1:], len(self.x))
 
     def children(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first, last) child of every node of ``level`` on the next one, in its order of groups."""
-        parents, below = self.levels[level][2], self.levels[level + 1][2]
-        sizes = np.array([len(g) for g in below])
-        edges = np.concatenate(([0], np.cumsum(sizes)))
-        ends = np.cumsum([len(g) for g in parents])
-        last = np.searchsorted(edges, ends)
-        return np.concatenate(([0], last[:-1])), last
-
-
-def net(x: np.ndarray, members: np.ndarray, radius: float) -> Iterator[tuple[int, float, np.ndarray]]:
-    """Greedy net: the first uncovered point becomes a centre and takes all uncovered points within ``radius``."""
-    left = members
-    while len(left):
-        c = left[0]
-        d = distance(x[left], x[c][None])[:, 0]
-        d[0] = 0.0
-        near = d <= radius
-        yield int(c), float(d[near].max()), left[near]
-        left = left[~near]
+        """(first, last) child of every node of ``level``; a node of the last level stands for itself."""
+        starts = self.levels[level][0]
+        if level == len(self.levels) - 1:
+            return np.arange(len(starts)), np.arange(1, len(starts) + 1)
+        below = self.levels[level + 1][0]
+        return np.searchsorted(below, starts), np.searchsorted(below, self.ends(level))
+
+
+def net(x: np.ndarray, members: np.ndarray, radius: float) -> Iterator[tuple[float, np.ndarray]]:
+    """Greedy net: the first uncovered point becomes a centre and takes the uncovered points within ``radius``."""
+    own = x[members]
+    near = (own @ own.T) >= 1 - radius * radius / 2
+    left = np.ones(len(members), bool)
+    for c in range(len(members)):
+        if left[c]:
+            left[c] = False
+            taken = np.flatnonzero(near[c] & left)
+            left[taken] = False
+            reach = float(np.sqrt(((own[taken] - own[c]) ** 2).sum(axis=1)).max()) if len(taken) else 0.0
+            yield reach, members[np.concatenate(([c], taken))]
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -98,18 +103,26 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def dual_links(a: Tree, b: Tree, limit: float, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks (i, j) of point pairs of ``a`` x ``b`` with cosine >= ``cosine``; for ``same`` each pair once, i < j."""
+    """Blocks (i, j) of row pairs of ``a`` x ``b`` with cosine >= ``cosine``; for ``same`` each pair once, i < j."""
     if not (len(a.x) and len(b.x)):
         return
-    ca, ra, _ = a.levels[0]
-    cb, rb, _ = b.levels[0]
+    (ca, ra), (cb, rb) = a.levels[0], b.levels[0]
+    right = b.x32[cb].T
     for s in range(0, len(ca), TILE):
-        d = distance(a.x[ca[s:s + TILE]], b.x[cb])
-        i, j = np.nonzero(d <= ra[s:s + TILE, None] + rb[None] + limit + SLACK)
+        # single precision with the widest radius first (bound eased by more than its error), then the pair's own
+        reach = ra[s:s + TILE] + rb.max() + limit + 1e-3
+        close = a.x32[ca[s:s + TILE]] @ right >= (1 - reach * reach / 2).astype(np.float32)[:, None]
+        i, j = np.nonzero(close)
         i = i + s
         if same:
             i, j = i[i <= j], j[i <= j]
-        yield from _descend(a, b, 0, i, j, limit, cosine, same)
+        keep = _within(a.x[ca[i]], b.x[cb[j]], ra[i] + rb[j] + limit)
+        yield from _descend(a, b, 0, i[keep], j[keep], limit, cosine, same)
+
+
+def _within(p: np.ndarray, q: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", p, q), 0))
+    return d <= reach + SLACK
 
 
 def _descend(a: Tree, b: Tree, level: int, i: np.ndarray, j: np.ndarray, limit: float, cosine: float, same: bool):
@@ -118,28 +131,23 @@ def _descend(a: Tree, b: Tree, level: int, i: np.ndarray, j: np.ndarray, limit:
         return
     la, lb = min(level, len(a.levels) - 1), min(level, len(b.levels) - 1)
     if level >= len(a.levels) - 1 and level >= len(b.levels) - 1:
+        sa, ea, sb, eb = a.levels[la][0], a.ends(la), b.levels[lb][0], b.ends(lb)
         for p, q in zip(i.tolist(), j.tolist()):
-            yield from _points(a, b, a.levels[la][2][p], b.levels[lb][2][q], cosine, same and p == q)
+            yield from _points(a, b, np.arange(sa[p], ea[p]), np.arange(sb[q], eb[q]), cosine, same and p == q)
         return
-    fa, ta = a.children(la) if level < len(a.levels) - 1 else (np.arange(len(a.levels[la][0])), np.arange(1, len(a.levels[la][0]) + 1))
-    fb, tb = b.children(lb) if level < len(b.levels) - 1 else (np.arange(len(b.levels[lb][0])), np.arange(1, len(b.levels[lb][0]) + 1))
-    na, nb = min(level + 1, len(a.levels) - 1), min(level + 1, len(b.levels) - 1)
-    ca, ra, _ = a.levels[na]
-    cb, rb, _ = b.levels[nb]
+    (fa, ta), (fb, tb) = a.children(la), b.children(lb)
+    (ca, ra), (cb, rb) = a.levels[min(level + 1, len(a.levels) - 1)], b.levels[min(level + 1, len(b.levels) - 1)]
     sizes = (ta - fa)[i] * (tb - fb)[j]
     at = 0
     while at < len(i):
-        stop = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), 1 << 18)) + at)
+        stop = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), 1 << 16)) + at)
         p, q, size = i[at:stop], j[at:stop], sizes[at:stop]
         k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         width = np.repeat((tb - fb)[q], size)
         u, v = np.repeat(fa[p], size) + k // width, np.repeat(fb[q], size) + k % width
         if same:
             u, v = u[u <= v], v[u <= v]
-        keep = np.empty(len(u), bool)
-        for s in range(0, len(u), 1 << 16):
-            d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", a.x[ca[u[s:s + (1 << 16)]]], b.x[cb[v[s:s + (1 << 16)]]]), 0))
-            keep[s:s + (1 << 16)] = d <= ra[u[s:s + (1 << 16)]] + rb[v[s:s + (1 << 16)]] + limit + SLACK
+        keep = _within(a.x[ca[u]], b.x[cb[v]], ra[u] + rb[v] + limit)
         yield from _descend(a, b, level + 1, u[keep], v[keep], limit, cosine, same)
         at = stop
 
@@ -224,14 +232,23 @@ def assign_cells(reps: DataFrame, pivots: int, block: int) -> DataFrame:
         run, "dim int, cell long, dist double, vec array<float>, cls long, n long")
 
 
-def _pack(schema_dim: str = "dim"):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("cls")
-        return pd.DataFrame({"dim": [part["dim"].iloc[0]], "cell": [part["cell"].iloc[0]], "block": [part["block"].iloc[0]],
-                             "radius": [float(part["dist"].max())], "cls": [part["cls"].to_numpy(np.int64).tobytes()],
-                             "n": [part["n"].to_numpy(np.int64).tobytes()],
-                             "vecs": [np.stack(part["vec"]).astype(np.float32).tobytes()]})
-    return run
+def _pack(part: pd.DataFrame) -> pd.DataFrame:
+    """A block's vectors, class numbers and copies in the order of its tree, and the tree's levels."""
+    part = part.sort_values("cls")
+    raw = np.stack(part["vec"]).astype(np.float32)
+    tree, order = Tree.build(_unit(raw))
+    levels = {"lens": np.array([len(s) for s, _ in tree.levels], np.int64), "starts": np.concatenate([s for s, _ in tree.levels]).astype(np.int64),
+              "radii": np.concatenate([r for _, r in tree.levels]).astype(np.float64)}
+    rows = {"cls": part["cls"].to_numpy(np.int64)[order], "n": part["n"].to_numpy(np.int64)[order], "vecs": raw[order]}
+    return pd.DataFrame({"dim": [part["dim"].iloc[0]], "cell": [part["cell"].iloc[0]], "block": [part["block"].iloc[0]],
+                         "radius": [float(part["dist"].max())], **{k: [v.tobytes()] for k, v in {**rows, **levels}.items()}})
+
+
+def _unpack(row: dict, side: str) -> Tree:
+    x = _unit(np.frombuffer(row[f"vecs_{side}"], np.float32).reshape(-1, row["dim"]))
+    cuts = np.cumsum(np.frombuffer(row[f"lens_{side}"], np.int64))[:-1]
+    starts, radii = np.frombuffer(row[f"starts_{side}"], np.int64), np.frombuffer(row[f"radii_{side}"], np.float64)
+    return Tree(x, list(zip(np.split(starts, cuts), np.split(radii, cuts))))
 
 
 def near_links(reps: DataFrame, cosine: float, pivots: int = MAX_PIVOTS, block: int = BLOCK) -> DataFrame:
@@ -246,7 +263,7 @@ def near_links(reps: DataFrame, cosine: float, pivots: int = MAX_PIVOTS, block:
     cut = cut.withColumn("part", F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / block)))
     cut = cut.withColumn("block", F.concat_ws("/", "dim", "cell", "part"))
     packed = stored(cut.groupBy("block").applyInPandas(
-        _pack(), "dim int, cell long, block string, radius double, cls binary, n binary, vecs binary"), "blocks")
+        _pack, "dim int, cell long, block string, radius double, cls binary, n binary, vecs binary, lens binary, starts binary, radii binary"), "blocks")
     nodes = packed.select("dim", "cell", "block", "radius")
     up = nodes.groupBy("dim", "cell").agg(F.max("radius").alias("radius"))
     centres = spark.sparkContext.broadcast(_centres(placed.sparkSession, reps, cells))
@@ -269,14 +286,14 @@ def near_links(reps: DataFrame, cosine: float, pivots: int = MAX_PIVOTS, block:
                    .where((F.col("cell_a") < F.col("cell_b")) | (F.col("a") <= F.col("b")))
                    .where(F.col("gap") <= reach).select("dim", "a", "b"))
     block_pairs = stored(block_pairs, "block_pairs")
-    side = lambda s: packed.select(F.col("block").alias(s), F.col("cls").alias(f"cls_{s}"), F.col("n").alias(f"n_{s}"), F.col("vecs").alias(f"vecs_{s}"))
+    side = lambda s: packed.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in PACKED])
     work = block_pairs.repartition(F.col("a"), F.col("b")).join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[str, Tree] = {}
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {c: batch.column(c)[r].as_py() for c in ("dim", "a", "b", "cls_a", "n_a", "vecs_a", "cls_b", "n_b", "vecs_b")}
+                row = {c: batch.column(c)[r].as_py() for c in ("dim", "a", "b", *[f"{c}_{s}" for s in "ab" for c in PACKED])}
                 yield _block_pair(row, trees, limit, cosine)
 
     return work.mapInArrow(run, "cls long, linked long, hook long")
@@ -290,7 +307,7 @@ def _block_pair(row: dict, trees: dict[str, Tree], limit: float, cosine: float)
         if name not in trees:
             if len(trees) > 3:
                 trees.clear()
-            trees[name] = Tree(_unit(np.frombuffer(row[f"vecs_{s}"], np.float32).reshape(-1, row["dim"])))
+            trees[name] = _unpack(row, s)
         side[s] = (trees[name], np.frombuffer(row[f"cls_{s}"], np.int64), np.frombuffer(row[f"n_{s}"], np.int64))
     (ta, cls_a, n_a), (tb, cls_b, n_b) = side["a"], side["b"]
     shift = 0 if same else len(cls_a)
