@@ -24,7 +24,7 @@ from sifter.llm.decontaminate import ascii_lower
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 DIMS = 1 << 12             # gram buckets, by XXH64
-FEATURES = 1 << 18         # places of the ML stage, many enough to keep the buckets apart
+FEATURES = 1 << 14         # places of the ML stage
 SIZES = (3, 4)
 
 # The small labelled table.  Unwanted hosts sell, bet, spam or track; the others publish.
