@@ -11,7 +11,7 @@ from sifter.deploy import ship_package
 from sifter.session import scratch_path
 from sifter.sources.tables import table
 
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 4 << 20
 BROADCAST_BYTES = 64 << 20
 
 
