@@ -40,7 +40,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 SEPARATORS = "\x1c\x1d\x1e\x1f"        # str.split() parts at these, the tokenizer does not
 _MODELS: dict[str, "Encoder"] = {}
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sifter.llm.common import prepare, table
 
-PATH_DIMS, WORD_DIMS, NUMBERS = 96, 32, 4
+PATH_DIMS, WORD_DIMS, NUMBERS = 256, 32, 4
 INPUT = PATH_DIMS + WORD_DIMS + NUMBERS
 HIDDEN = 16
 TRAIN_PAGES = 240
@@ -290,12 +290,12 @@ def varied(page: str, rng: np.random.Generator, texts: list[str]) -> str:
 
 
 def training_set(pages: list[str], seed: int = 5) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Vectors and silver labels of the pages and of two varied copies of each; the marks of the copies are hidden."""
+    """Vectors and silver labels of the pages and of three varied copies of each; the marks of the copies are hidden."""
     rng = np.random.default_rng(seed)
     texts = [entities.escape(b.text[:300]) for p in pages for b in blocks(p)] or ["text"]
     xs, ys = [], []
     for p in pages:
-        for version in (p, varied(p, rng, texts), varied(p, rng, texts)):
+        for version in (p, *(varied(p, rng, texts) for _ in range(3))):
             found = blocks(version)
             if found:
                 ys.append(silver(found))
