@@ -4,19 +4,21 @@ The forest is MLlib's ``RandomForestRegressor`` (all features per split,
 bootstrap on), so training is distributed; ``featureImportances`` is the
 normalised mean decrease in impurity.
 
-SHAP values are path-dependent TreeSHAP (Lundberg et al., 2018) computed
-exactly for every row.  The fitted forest is saved to the shared checkpoint
-folder and its node table read back as Parquet.  For every leaf the Shapley
-contribution depends only on which of the d features on its path the row
-satisfies, so the driver precomputes a table of the 2^d possible
-contributions per leaf (weights |S|!(d-|S|-1)!/d!, cover fractions from node
-counts).  Rows then only need the mask of satisfied conditions and a gather:
-a ``mapInPandas`` over row batches, vectorised over rows and leaves.
+SHAP values are path-dependent TreeSHAP (Lundberg et al., 2018), exact for every
+row and any depth.  A leaf of value v whose path tests d distinct features, with
+cover fractions z_j and the row's satisfied flags o_j, gives feature i
+
+    v (o_i - z_i) * integral over t in (0, 1) of prod_{j != i} (z_j (1 - t) + o_j t)
+
+The integrand is a polynomial of degree d - 1, so Gauss-Legendre quadrature with
+ceil(d / 2) points is exact; nothing grows with 2^d.  The fitted forest is saved to
+the shared checkpoint folder, its paths are broadcast once, and ``mapInPandas``
+evaluates row batches in blocks of bounded size.  Importance needs sums of |phi|
+per batch only, never the long table.
 """
 
 from __future__ import annotations
 
-import math
 from typing import NamedTuple, Sequence
 
 import numpy as np
@@ -26,11 +28,10 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sifter.session import durable, scratch_path
+from sifter.session import scratch_path
 
 MAX_DEPTH_CAP = 30          # MLlib's limit; "unlimited" depth maps to it
-MAX_TABLE_ENTRIES = 50_000_000
-MAX_NODES = 5_000_000       # node table collected for TreeSHAP (size-checked)
+BLOCK_ENTRIES = 2_000_000   # rows x leaves x path features held at once
 
 
 def _assemble(df: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
@@ -43,7 +44,9 @@ def fit_forest(df: DataFrame, feature_cols: Sequence[str], target: str, n_estima
                min_instances_per_node: int = 1, weight_col: str | None = None) -> RandomForestRegressionModel:
     if n_estimators < 1:
         raise ValueError(f"n_estimators must be at least 1; got {n_estimators}.")
-    depth = MAX_DEPTH_CAP if max_depth is None else min(int(max_depth), MAX_DEPTH_CAP)
+    depth = MAX_DEPTH_CAP if max_depth is None else int(max_depth)
+    if depth > MAX_DEPTH_CAP:
+        raise ValueError(f"trees can be at most {MAX_DEPTH_CAP} levels deep; got {depth}")
     data = _assemble(df.where(F.col(target).isNotNull()), feature_cols)
     rf = RandomForestRegressor(featuresCol="_features", labelCol=target, numTrees=n_estimators,
                                maxDepth=depth, featureSubsetStrategy="all", subsamplingRate=1.0,
@@ -76,11 +79,11 @@ def run_random_forest(df: DataFrame, feature_cols: Sequence[str], target: str,
 
 
 # --------------------------------------------------------------------------
-# TreeSHAP tables
+# TreeSHAP paths
 # --------------------------------------------------------------------------
 
 def forest_nodes(model: RandomForestRegressionModel) -> pd.DataFrame:
-    """Node table of all trees (bounded by trees x 2^(depth+1)), via the saved model."""
+    """Node table of all trees, via the saved model (as large as the model the driver already holds)."""
     spark = SparkSession.getActiveSession()
     path = scratch_path(spark, "forest")
     model.write().overwrite().save(path)
@@ -90,145 +93,88 @@ def forest_nodes(model: RandomForestRegressionModel) -> pd.DataFrame:
         F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
         F.col("nodeData.split.featureIndex").alias("feature"),
         F.try_element_at(F.col("nodeData.split.leftCategoriesOrThreshold"), F.lit(1)).alias("threshold"))
-    n_nodes = nodes.count()
-    if n_nodes > MAX_NODES:
-        raise ValueError(f"forest has {n_nodes} nodes; TreeSHAP tables need max_depth lowered")
     return nodes.toPandas().sort_values(["treeID", "id"]).reset_index(drop=True)
 
 
-class TreeTables(NamedTuple):
+class TreePaths(NamedTuple):
     feat: np.ndarray        # internal node -> feature index
     thr: np.ndarray         # internal node -> threshold (x <= thr goes left)
     cond_node: np.ndarray   # (L, D) internal-node position per path condition (-1 pad)
     cond_left: np.ndarray   # (L, D) bool: condition is "goes left"
     cond_slot: np.ndarray   # (L, D) slot (0..d-1) of the condition's feature (-1 pad)
     slot_feat: np.ndarray   # (L, S) feature index of each slot (-1 pad)
-    table: np.ndarray       # (L, 2^S, S) Shapley contribution per mask and slot
+    z: np.ndarray           # (L, S) cover fraction of each slot's conditions (1 in pads)
+    value: np.ndarray       # (L,) leaf values
     expected: float
 
 
-def _weights(d: int) -> np.ndarray:
-    return np.array([math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d) for s in range(d)])
-
-
-def _leaf_table(z: np.ndarray, v: float, S: int) -> np.ndarray:
-    """(2^S, S) contributions of one leaf with d = len(z) path features."""
-    d = len(z)
-    out = np.zeros((1 << S, S))
-    if d == 0:
-        return out
-    masks = np.arange(1 << d)
-    o = ((masks[:, None] >> np.arange(d)[None, :]) & 1).astype(float)       # (2^d, d)
-    w = _weights(d)
-    # full product polynomial prod_j (z_j + o_j t), coefficients in t
-    P = np.zeros((1 << d, d + 1))
-    P[:, 0] = 1.0
-    for j in range(d):
-        nxt = P * z[j]
-        nxt[:, 1:] += P[:, :-1] * o[:, j:j + 1]
-        P = nxt
-    for i in range(d):
-        # divide out (z_i + o_i t)
-        Q = np.zeros((1 << d, d))
-        one = o[:, i] == 1
-        if (~one).any():
-            Q[~one] = P[~one, :d] / z[i]
-        if one.any():
-            Pi = P[one]
-            q = np.zeros((Pi.shape[0], d))
-            q[:, d - 1] = Pi[:, d]
-            for s in range(d - 1, 0, -1):
-                q[:, s - 1] = Pi[:, s] - z[i] * q[:, s]
-            Q[one] = q
-        out[:len(masks), i] = v * (o[:, i] - z[i]) * (Q @ w)
-    return out
-
-
-def tree_tables(tree: pd.DataFrame) -> TreeTables:
-    """Precompute the per-leaf contribution tables of one tree."""
-    by_id = {int(r.id): r for r in tree.itertuples()}
-    internal = [i for i, r in by_id.items() if r.left >= 0]
+def tree_tables(tree: pd.DataFrame) -> TreePaths:
+    """Paths of one tree as padded arrays."""
+    left, right = ({int(i): int(c) for i, c in zip(tree["id"], tree[side])} for side in ("left", "right"))
+    cover, value = ({int(i): float(c) for i, c in zip(tree["id"], tree[c])} for c in ("cover", "value"))
+    internal = [i for i in left if left[i] >= 0]
     pos = {nid: k for k, nid in enumerate(internal)}
-    feat = np.array([int(by_id[i].feature) for i in internal], dtype=np.int64)
-    thr = np.array([float(by_id[i].threshold) for i in internal], dtype=float)
-    root_cover = float(by_id[0].cover)
-    leaves: list[tuple] = []
-
-    def walk(nid, path):
-        r = by_id[nid]
-        if r.left < 0:
-            leaves.append((nid, list(path)))
-            return
-        for child, left in ((int(r.left), True), (int(r.right), False)):
-            frac = float(by_id[child].cover) / float(r.cover) if r.cover else 0.0
-            path.append((nid, left, frac))
-            walk(child, path)
-            path.pop()
-
-    walk(0, [])
-    L = len(leaves)
-    D = max(1, max(len(p) for _, p in leaves))
-    slots_per_leaf = []
-    for _, p in leaves:
-        fs = []
-        for nid, _, _ in p:
-            f = int(by_id[nid].feature)
-            if f not in fs:
-                fs.append(f)
-        slots_per_leaf.append(fs)
-    S = max(1, max(len(fs) for fs in slots_per_leaf))
-    if L * (1 << S) * S > MAX_TABLE_ENTRIES:
-        raise ValueError("tree too deep for tabulated TreeSHAP; lower max_depth")
-    cond_node = -np.ones((L, D), dtype=np.int64)
-    cond_left = np.zeros((L, D), dtype=bool)
-    cond_slot = -np.ones((L, D), dtype=np.int64)
-    slot_feat = -np.ones((L, S), dtype=np.int64)
-    table = np.zeros((L, 1 << S, S))
-    expected = 0.0
-    for li, ((nid, path), fs) in enumerate(zip(leaves, slots_per_leaf)):
-        z = np.ones(len(fs))
-        for c, (pn, left, frac) in enumerate(path):
-            k = fs.index(int(by_id[pn].feature))
-            cond_node[li, c] = pos[pn]
-            cond_left[li, c] = left
-            cond_slot[li, c] = k
-            z[k] *= frac
-        slot_feat[li, :len(fs)] = fs
-        v = float(by_id[nid].value)
-        table[li] = _leaf_table(z, v, S)
-        expected += v * float(by_id[nid].cover) / root_cover
-    return TreeTables(feat, thr, cond_node, cond_left, cond_slot, slot_feat, table, expected)
-
-
-def shap_batch(X: np.ndarray, trees: Sequence[TreeTables], p: int, chunk: int = 256) -> np.ndarray:
+    feature = {int(i): int(f) for i, f, c in zip(tree["id"], tree["feature"], tree["left"]) if c >= 0}
+    thr = {int(i): float(t) for i, t, c in zip(tree["id"], tree["threshold"], tree["left"]) if c >= 0}
+    leaves: list[tuple[int, list[tuple[int, bool, float]]]] = []
+    todo: list[tuple[int, list]] = [(0, [])]
+    while todo:
+        nid, path = todo.pop()
+        if left[nid] < 0:
+            leaves.append((nid, path))
+            continue
+        for child, goes_left in ((left[nid], True), (right[nid], False)):
+            share = cover[child] / cover[nid] if cover[nid] else 0.0
+            todo.append((child, [*path, (nid, goes_left, share)]))
+    slots = [list(dict.fromkeys(feature[n] for n, _, _ in path)) for _, path in leaves]
+    L, D, S = len(leaves), max(1, max(len(p) for _, p in leaves)), max(1, max(map(len, slots)))
+    cond_node, cond_slot = -np.ones((L, D), dtype=np.int64), -np.ones((L, D), dtype=np.int64)
+    cond_left, slot_feat, z = np.zeros((L, D), dtype=bool), -np.ones((L, S), dtype=np.int64), np.ones((L, S))
+    for k, ((_, path), own) in enumerate(zip(leaves, slots)):
+        slot_feat[k, :len(own)] = own
+        for c, (n, goes_left, share) in enumerate(path):
+            at = own.index(feature[n])
+            cond_node[k, c], cond_left[k, c], cond_slot[k, c] = pos[n], goes_left, at
+            z[k, at] *= share
+    values = np.array([value[n] for n, _ in leaves])
+    expected = float(values @ np.array([cover[n] for n, _ in leaves]) / cover[0])
+    return TreePaths(np.array([feature[i] for i in internal], dtype=np.int64), np.array([thr[i] for i in internal], dtype=float),
+                     cond_node, cond_left, cond_slot, slot_feat, z, values, expected)
+
+
+def _leaf_contributions(o: np.ndarray, t: TreePaths) -> np.ndarray:
+    """(rows, L, S) Shapley contributions from the satisfied flags ``o`` of a block of rows."""
+    points, weights = np.polynomial.legendre.leggauss((t.z.shape[1] + 1) // 2)
+    total = np.zeros(o.shape)
+    for x, w in zip((points + 1) / 2, weights / 2):
+        factor = t.z * (1 - x) + o * x
+        # a factor is 0 only for an unsatisfied slot without cover; its own term then has weight o - z = 0
+        safe = np.where(factor > 0, factor, 1.0)
+        total += w * (factor.prod(axis=2)[:, :, None] / safe)
+    return t.value[:, None] * (o - t.z) * total
+
+
+def shap_batch(X: np.ndarray, trees: Sequence[TreePaths], p: int) -> np.ndarray:
     """Forest SHAP matrix (rows x p) = mean over trees of tree SHAP values."""
     n = X.shape[0]
     phi = np.zeros((n, p))
     for t in trees:
-        L, D = t.cond_node.shape
-        S = t.slot_feat.shape[1]
-        onehot = np.zeros((L * S, p))
-        li, si = np.nonzero(t.slot_feat >= 0)
-        onehot[li * S + si, t.slot_feat[li, si]] = 1.0
-        valid_slots = t.slot_feat >= 0
-        conds = []
-        for c in range(D):
-            lv = np.flatnonzero(t.cond_node[:, c] >= 0)
-            if len(lv):
-                conds.append((lv, t.cond_node[lv, c], t.cond_left[lv, c], t.cond_slot[lv, c]))
-        weights = (1 << np.arange(S)).astype(np.int64)
-        flat = t.table.reshape(L * (1 << S), S)
-        base = np.arange(L, dtype=np.int64) * (1 << S)
-        for start in range(0, n, chunk):
-            Xc = X[start:start + chunk]
-            b = Xc.shape[0]
-            goes_left = Xc[:, t.feat] <= t.thr[None, :] if len(t.feat) else np.zeros((b, 0), bool)
-            o = np.broadcast_to(valid_slots, (b, L, S)).copy()
-            for lv, nodes, left, slots in conds:
-                o[:, lv, slots] &= goes_left[:, nodes] == left[None, :]
-            mask = o.astype(np.int64) @ weights                              # (b, L)
-            vals = flat[base[None, :] + mask]                                # (b, L, S)
-            phi[start:start + b] += vals.reshape(b, L * S) @ onehot
+        L, S = t.slot_feat.shape
+        flat = t.slot_feat.reshape(-1)
+        order = np.argsort(flat, kind="stable")[np.count_nonzero(flat < 0):]     # slots by feature, pads left out
+        if not len(order):
+            continue
+        features, starts = np.unique(flat[order], return_index=True)
+        conds = [(lv, t.cond_node[lv, c], t.cond_left[lv, c], t.cond_slot[lv, c])
+                 for c in range(t.cond_node.shape[1]) if len(lv := np.flatnonzero(t.cond_node[:, c] >= 0))]
+        rows = max(1, BLOCK_ENTRIES // (L * S))
+        for start in range(0, n, rows):
+            goes_left = X[start:start + rows][:, t.feat] <= t.thr[None, :]
+            o = np.ones((goes_left.shape[0], L, S), dtype=bool)
+            for lv, nodes, is_left, slots in conds:
+                o[:, lv, slots] &= goes_left[:, nodes] == is_left[None, :]
+            out = _leaf_contributions(o, t).reshape(len(o), L * S)
+            phi[start:start + rows, features] += np.add.reduceat(out[:, order], starts, axis=1)
     return phi / max(len(trees), 1)
 
 
@@ -259,24 +205,32 @@ def run_shap(df: DataFrame, feature_cols: Sequence[str], target: str, row_id: st
     expected = float(np.mean([t.expected for t in trees]))
     p = len(feats)
 
-    def explain(batches):
+    shared = df.sparkSession.sparkContext.broadcast(trees)
+    parts = max(1, 4096 // max(1, p))                   # rows explained at once within a batch
+
+    def blocks(batches):
         for pdf in batches:
-            if pdf.empty:
-                continue
-            X = pdf[feats].to_numpy(dtype=float)
-            phi = shap_batch(X, trees, p)
-            ids = np.repeat(pdf[row_id].to_numpy(), p)
-            yield pd.DataFrame({row_id: ids, "feature": np.tile(np.array(feats, dtype=object), len(pdf)),
+            for start in range(0, len(pdf), parts):
+                part = pdf.iloc[start:start + parts]
+                X = part[feats].to_numpy(dtype=float)
+                yield part, X, shap_batch(X, shared.value, p)
+
+    def explain(batches):
+        for part, X, phi in blocks(batches):
+            yield pd.DataFrame({row_id: np.repeat(part[row_id].to_numpy(), p),
+                                "feature": np.tile(np.array(feats, dtype=object), len(part)),
                                 "shap_value": phi.reshape(-1), "feature_value": X.reshape(-1)})
 
+    def totals(batches):
+        for part, _, phi in blocks(batches):
+            yield pd.DataFrame({"feature": feats, "s": np.abs(phi).sum(axis=0), "n": len(part)})
+
     rows = df.where(F.col(target).isNotNull()).select(row_id, *[F.col(f).cast("double") for f in feats])
     for f in feats:
         rows = rows.where(F.col(f).isNotNull())
-    # the costliest table of the library: computed once, reused by importance/beeswarm
-    values = durable(rows.mapInPandas(explain, f"{row_id} long, feature string, shap_value double, "
-                                               "feature_value double"))
-    imp = values.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("mean_abs_shap")) \
-        .withColumn("target", F.lit(target))
+    values = rows.mapInPandas(explain, f"{row_id} long, feature string, shap_value double, feature_value double")
+    imp = (rows.mapInPandas(totals, "feature string, s double, n long").groupBy("feature")
+           .agg((F.sum("s") / F.sum("n")).alias("mean_abs_shap")).withColumn("target", F.lit(target)))
     imp = _ranked(imp, "mean_abs_shap").select("target", "feature", "mean_abs_shap", "rank")
     bg = background_sample(df.select(row_id, *feats), background_samples, random_state, row_id)
     return SHAPResult(values, imp, expected, bg)

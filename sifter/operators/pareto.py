@@ -53,27 +53,39 @@ def _local_skyline(m: int):
     cols = [f"_o{i}" for i in range(m)]
 
     def run(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if pdf.empty:
-            yield pdf
-            return
-        Y = pdf[cols].to_numpy(dtype=float)
-        order = np.argsort(-Y.sum(axis=1), kind="stable")
-        keep: list[int] = []
-        sky = np.empty((0, m))
-        for idx in order:
-            y = Y[idx]
-            if len(sky):
-                dom = np.all(sky >= y, axis=1) & np.any(sky > y, axis=1)
-                if dom.any():
-                    continue
-            keep.append(idx)
-            sky = np.vstack([sky, y])
-        yield pdf.iloc[sorted(keep)]
+        kept = None
+        for pdf in batches:             # a running skyline: what is held is the skyline so far and one batch
+            if pdf.empty:
+                continue
+            both = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
+            kept = both[undominated(both[cols].to_numpy(dtype=float))]
+        if kept is not None:
+            yield kept
 
     return run
 
 
+def undominated(Y: np.ndarray, block: int = 512) -> np.ndarray:
+    """Mask of the rows that no other row dominates (all objectives maximised), block by block."""
+    order = np.argsort(-Y.sum(axis=1), kind="stable")       # a dominating row has the larger sum
+    alive = np.ones(len(Y), dtype=bool)
+    sky = np.empty((0, Y.shape[1]))
+    for start in range(0, len(order), block):
+        rows = order[start:start + block]
+        for s in range(0, len(sky), 4096):
+            rows = rows[~_dominated(Y[rows], sky[s:s + 4096])]
+        rows = rows[~_dominated(Y[rows], Y[rows])]
+        alive[np.setdiff1d(order[start:start + block], rows)] = False
+        sky = np.concatenate([sky, Y[rows]])
+    return alive
+
+
+def _dominated(Y: np.ndarray, by: np.ndarray) -> np.ndarray:
+    ge = np.all(by[None, :, :] >= Y[:, None, :], axis=2)
+    gt = np.any(by[None, :, :] > Y[:, None, :], axis=2)
+    return np.any(ge & gt, axis=1)
+
+
 def _filter_by(m: int, chunk: np.ndarray):
     cols = [f"_o{i}" for i in range(m)]
 
@@ -95,7 +107,7 @@ def _filter_by(m: int, chunk: np.ndarray):
 
 
 def _front_m(df: DataFrame, m: int) -> DataFrame:
-    # local skylines: a partition is at most one input split, so its rows fit a task
+    # local skylines, streamed: a task holds its skyline so far and one batch
     local = durable(df.mapInPandas(_local_skyline(m), df.schema))
     cols = [f"_o{i}" for i in range(m)]
     n = local.count()

@@ -72,3 +72,37 @@ def test_run_shap_ranks_dominant_feature(synthetic):
     assert top["feature"] == "feat_a"
     assert res.values.count() == 50 * 4
     assert res.background.count() == 50
+
+
+def test_shap_runs_at_defaults_on_many_features_and_stays_additive(spark):
+    rng = np.random.default_rng(1)
+    X = rng.normal(size=(400, 12))
+    y = X[:, 0] * X[:, 1] + X[:, 2] + 0.1 * rng.normal(size=400)
+    feats = [f"f{i}" for i in range(12)]
+    df = spark.createDataFrame([(i, *map(float, X[i]), float(y[i])) for i in range(400)],
+                               "row_id long, " + ", ".join(f"{f} double" for f in feats) + ", y double")
+    model = fr.fit_forest(df, feats, "y", n_estimators=3)
+    nodes = fr.forest_nodes(model)
+    trees = [fr.tree_tables(g) for _, g in nodes.groupby("treeID", sort=True)]
+    phi = fr.shap_batch(X, trees, 12)
+    assert max(t.cond_node.shape[1] for t in trees) > 8 and max(t.z.shape[1] for t in trees) > 8
+    assert np.allclose(phi.sum(1) + np.mean([t.expected for t in trees]), fr.forest_predict_numpy(nodes, X), atol=1e-8)
+    res = fr.run_shap(df, feats, "y", n_estimators=5)
+    sums = res.values.groupBy("feature").agg({"shap_value": "count"}).collect()
+    assert {r[1] for r in sums} == {400} and res.feature_importance.count() == 12
+
+
+def test_depth_beyond_the_limit_raises(synthetic):
+    with pytest.raises(ValueError):
+        fr.fit_forest(synthetic, FEATS, "y", n_estimators=1, max_depth=31)
+
+
+def test_skyline_with_more_partitions_than_rows(spark):
+    from sifter.operators.pareto import pareto_front
+    df = spark.createDataFrame([(1, 1.0, 2.0, 3.0), (2, 0.5, 1.0, 2.0)], "row_id long, a double, b double, c double").repartition(6)
+    assert [r["row_id"] for r in pareto_front(df, ["a", "b", "c"]).collect()] == [1]
+    rng = np.random.default_rng(2)
+    Y = rng.integers(0, 12, (1500, 3)).astype(float)
+    got = pareto_front(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(Y)], "row_id long, a double, b double, c double"), ["a", "b", "c"])
+    want = {i for i in range(len(Y)) if not (np.all(Y >= Y[i], 1) & np.any(Y > Y[i], 1)).any()}
+    assert {r["row_id"] for r in got.collect()} == want
