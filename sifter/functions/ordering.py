@@ -24,11 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sifter.functions.broadcasting import broadcast_if_small
 from sifter.session import durable
 
-# Tables at most this many rows are broadcast (offset tables have one row per
-# range partition and group, so they are bounded by partitions + groups).
-BROADCAST_ROWS = 2_000_000
 # A table (or group) of at most this many rows may be ordered by an ordinary
 # window / exact ``percentile`` buffer in one task; beyond it the
 # range-partitioned scan is used.  Both give identical results.
@@ -133,8 +131,7 @@ def prefix_scan(
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off_expr = F.sum("_blk").over(w) if op == "sum" else F.max("_blk").over(w)
     offsets = blocks.withColumn("_off", off_expr).drop("_blk")
-    if offsets.count() <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
+    offsets = broadcast_if_small(offsets)
     joined = local.join(offsets, on=["_pid", *group_cols], how="left")
     col = out_col if inclusive else "_excl"
     local_val = F.when(~F.isnan(F.col(col)), F.col(col))
@@ -165,8 +162,7 @@ def ordered_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_id"
                                                      F.min("_oi_loc").alias("_oi_first"))
     w = Window.partitionBy(*group_cols).orderBy("_oi_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("_oi_off", F.coalesce(F.sum("_oi_cnt").over(w), F.lit(0))).drop("_oi_cnt")
-    if offsets.count() <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
+    offsets = broadcast_if_small(offsets)
     out = tagged.join(offsets, on=["_oi_pid", *group_cols])
     return out.withColumn(name, (F.col("_oi_off") + F.col("_oi_loc") - F.col("_oi_first")).cast("long")) \
         .drop("_oi_pid", "_oi_loc", "_oi_first", "_oi_off")

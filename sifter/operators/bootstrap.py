@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sifter.functions.draws import uniform
 from sifter.operators.consensus import stability_summary
 from sifter.operators.linear import _standardised_problem, coordinate_descent
 from sifter.operators.moments import correlation_from, moment_table
@@ -32,8 +33,8 @@ _POISSON1_CDF = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
 
 def poisson_weight(key: Column, b: Column, seed: int) -> Column:
-    """Seeded Poisson(1) count for (row, replicate) by inverse CDF of a hash."""
-    u = F.pmod(F.xxhash64(key, b, F.lit(seed)), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    """Seeded Poisson(1) count for (row, replicate) by inverse CDF of an MD5 draw (any SQL engine can repeat it)."""
+    u = uniform(seed, key, b)
     w = F.lit(len(_POISSON1_CDF))
     for k in range(len(_POISSON1_CDF) - 1, -1, -1):
         w = F.when(u < float(_POISSON1_CDF[k]), F.lit(k)).otherwise(w)

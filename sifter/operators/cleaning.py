@@ -24,14 +24,15 @@ def drop_missing(df: DataFrame, cols: Sequence[str] | None = None,
                  row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """Rows without NULLs in ``cols`` (default all) and the dropped row ids.
 
-    The dropped ids come back as a DataFrame, not a driver-side list.
+    The dropped ids come back as a DataFrame, not a driver-side list; without an
+    id column the dropped rows themselves.
     """
     check = list(cols) if cols is not None else [c for c in df.columns if c != row_id]
     missing = [c for c in check if c not in df.columns]
     if missing:
         raise ValueError(f"Columns not found in DataFrame: {missing}")
     cleaned = df.where(~_any_null(check))
-    dropped = df.where(_any_null(check)).select(row_id)
+    dropped = df.where(_any_null(check)).select(*([row_id] if row_id in df.columns else df.columns))
     return cleaned, dropped
 
 

@@ -22,7 +22,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sifter.functions.ordering import BROADCAST_ROWS, average_ranks
+from sifter.functions.broadcasting import spread_join
+from sifter.functions.ordering import average_ranks
 from sifter.functions.special import anova_p, corr_p
 
 METHODS = ("pearson", "spearman", "both")
@@ -62,14 +63,11 @@ def with_ranks(df: DataFrame, cols: Sequence[str], prefix: str = "rk_") -> DataF
         F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols
     ])).alias("s")).select("s.*")
     ranks = average_ranks(long_vals, ["_col"], "_v", "_rank").persist()   # deterministic lineage
-    small = ranks.count() <= BROADCAST_ROWS
     out = df
-    for c in cols:
+    for c in cols:      # each column's table by its own size: a few levels are broadcast, many values shuffle
         rc = ranks.where(F.col("_col") == c).select(F.col("_v").alias(f"_v_{c}"),
                                                    F.col("_rank").alias(f"{prefix}{c}"))
-        if small:
-            rc = F.broadcast(rc)
-        out = out.join(rc, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+        out = spread_join(out.withColumn(f"_v_{c}", F.col(c).cast("double")), rc, [f"_v_{c}"]).drop(f"_v_{c}")
     return out
 
 

@@ -19,6 +19,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sifter.functions.draws import uniform
 from sifter.functions.ordering import ordered_index
 from sifter.session import durable
 
@@ -95,10 +96,9 @@ def latin_hypercube(spark: SparkSession, n_points: int, params: Sequence[tuple],
             raise ValueError("Each lower bound must be strictly less than its upper bound.")
     pts = spark.range(n_points).withColumnRenamed("id", "point")
     long_df = pts.withColumn("dim", F.explode(F.sequence(F.lit(0), F.lit(len(params) - 1))))
-    long_df = long_df.withColumn("_h", F.xxhash64("point", "dim", F.lit(seed)))
+    long_df = long_df.withColumn("_h", uniform(seed, F.col("point"), F.col("dim")))
     perm = ordered_index(long_df, ["_h", "point"], name="_stratum", group_cols=["dim"])
-    jitter = (F.pmod(F.xxhash64("point", "dim", F.lit(seed + 1)), F.lit(1 << 53)).cast("double")
-              / float(1 << 53))
+    jitter = uniform(seed + 1, F.col("point"), F.col("dim"))
     u = (F.col("_stratum") + jitter) / float(n_points)
     cols = []
     for j, p in enumerate(params):

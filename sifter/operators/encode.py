@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sifter.functions.ordering import BROADCAST_ROWS, ordered_index
+from sifter.functions.broadcasting import broadcast_if_small
+from sifter.functions.ordering import ordered_index
 
 
 def categorical_columns(df: DataFrame) -> list[str]:
@@ -36,7 +37,7 @@ def category_map(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return broadcast_if_small(df)
 
 
 def encode_categoricals(df: DataFrame, cols: Sequence[str] | None = None

@@ -28,6 +28,7 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sifter.functions.draws import uniform
 from sifter.session import scratch_path
 
 MAX_DEPTH_CAP = 30          # MLlib's limit; "unlimited" depth maps to it
@@ -188,7 +189,7 @@ class SHAPResult(NamedTuple):
 def background_sample(df: DataFrame, k: int = 100, seed: int = 42,
                       row_id: str = "row_id") -> DataFrame:
     """min(n, k) rows without replacement (seeded hash order), in row order."""
-    return (df.orderBy(F.xxhash64(F.col(row_id), F.lit(seed)), row_id).limit(k)
+    return (df.orderBy(uniform(seed, F.col(row_id)), row_id).limit(k)
             .orderBy(row_id))
 
 

@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifter.functions.ordering import BROADCAST_ROWS, prefix_scan
+from sifter.functions.broadcasting import spread_join
+from sifter.functions.ordering import prefix_scan
 from sifter.session import durable
 
 CHUNK_ROWS = 200_000
@@ -42,9 +43,7 @@ def _front2(df: DataFrame) -> DataFrame:
     best = df.groupBy("_o0").agg(F.max("_o1").alias("_bmax")).withColumn("_neg", -F.col("_o0"))
     scanned = prefix_scan(best, ["_neg"], "_bmax", op="max", out_col="_gt", inclusive=False)
     info = scanned.select("_o0", "_bmax", "_gt")
-    if info.count() <= BROADCAST_ROWS:
-        info = F.broadcast(info)
-    j = df.join(info, "_o0")
+    j = spread_join(df, info, ["_o0"], "inner")
     dominated = (F.col("_o1") < F.col("_bmax")) | (F.coalesce(F.col("_gt") >= F.col("_o1"), F.lit(False)))
     return j.where(~dominated).drop("_bmax", "_gt")
 

@@ -15,11 +15,12 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sifter.functions.ordering import BROADCAST_ROWS, exact_quantiles, ordered_index
+from sifter.functions.broadcasting import broadcast_if_small
+from sifter.functions.ordering import exact_quantiles, ordered_index
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return broadcast_if_small(df)
 
 
 def scree(variance: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def beeswarm(shap_values: DataFrame, max_display: int | None = None, seed: int =
                                                 F.lit(0)), F.col("_nb") - 1)).otherwise(F.lit(0))
     j = j.withColumn("_bin", binc.cast("int"))
     counts = j.groupBy("feature", "_bin").agg(F.count(F.lit(1)).alias("_dens"))
-    j = j.join(counts, ["feature", "_bin"])
+    j = j.join(_small(counts), ["feature", "_bin"])      # at most 80 bins a feature
     dr = j.groupBy("feature").agg(F.min("_dens").alias("_dmin"), F.max("_dens").alias("_dmax"))
     j = j.join(_small(dr), "feature")
     dn = F.when(F.col("_dmax") > F.col("_dmin"),

@@ -18,7 +18,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifter.functions.ordering import BROADCAST_ROWS, exact_quantiles, ordered_index
+from sifter.functions.broadcasting import spread_join
+from sifter.functions.ordering import exact_quantiles, ordered_index
 from sifter.session import durable
 
 # Replicate strategies and the IQR fence factor (k = 1.5, at
@@ -70,11 +71,8 @@ def detect_replicates(df: DataFrame, feature_cols: Sequence[str],
     """A1: rows whose feature tuple occurs more than once, plus ``replicate_group``."""
     validate_roles(df, feature_cols)
     groups = replicate_groups(df, feature_cols, row_id).select(*feature_cols, "replicate_group")
-    # the group table has one row per replicated condition; broadcast it when
-    # it is provably small, otherwise both sides shuffle on the feature tuple
-    if groups.count() <= BROADCAST_ROWS:
-        groups = F.broadcast(groups)
-    return _keyed(df, feature_cols).join(groups, on=list(feature_cols), how="inner") \
+    # one row per replicated condition: broadcast if its bytes fit, else only frequent conditions are
+    return spread_join(_keyed(df, feature_cols), groups, list(feature_cols), "inner") \
         .withColumn("replicate_group", F.col("replicate_group").cast("long"))
 
 
@@ -138,11 +136,14 @@ def iqr_outliers(df: DataFrame, feature_cols: Sequence[str], target_cols: Sequen
         "_t", "replicate_group",
         (F.col("q_0") - k * (F.col("q_1") - F.col("q_0"))).alias("_lo"),
         (F.col("q_1") + k * (F.col("q_1") - F.col("q_0"))).alias("_hi"))
-    flagged = reps.select(row_id, "replicate_group", F.explode(F.array(*[
-        F.struct(F.lit(t).alias("_t"), F.col(t).cast("double").alias("_v")) for t in target_cols]))
-        .alias("s")).select(row_id, "replicate_group", "s._t", "s._v")
-    hits = flagged.join(q, ["_t", "replicate_group"]).where(
-        (F.col("_v") < F.col("_lo")) | (F.col("_v") > F.col("_hi"))).select(row_id).distinct()
+    # fences wide, one row a group: one join and one filter over the rows
+    wide = q.groupBy("replicate_group").agg(*[F.max(F.when(F.col("_t") == t, F.col(e))).alias(f"{e}_{i}")
+                                              for i, t in enumerate(target_cols) for e in ("_lo", "_hi")])
+    out_of = F.lit(False)
+    for i, t in enumerate(target_cols):
+        v = F.col(t).cast("double")
+        out_of = out_of | F.coalesce((v < F.col(f"_lo_{i}")) | (v > F.col(f"_hi_{i}")), F.lit(False))
+    hits = spread_join(reps, wide, ["replicate_group"], "inner").where(out_of).select(row_id).distinct()
     return df.join(hits, row_id, "left_semi")
 
 

@@ -16,6 +16,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sifter.functions.draws import uniform_sql
 from sifter.operators import replicates as rep
 from sifter.session import durable
 from sifter.sources.tables import LINEITEM_KEY, lineitem_experiments, table
@@ -48,6 +49,11 @@ def _li(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
     return lineitem_experiments(spark, sf, cols=list(cols) or None)
 
 
+def _plain(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
+    """Experiments without row ids, for results that neither show nor need an order (no sort, no checkpoint)."""
+    return lineitem_experiments(spark, sf, with_row_id=False, cols=list(cols)).select(*cols)
+
+
 # ---------------------------------------------------------------------------
 # Replicates
 # ---------------------------------------------------------------------------
@@ -392,7 +398,7 @@ LIN_F = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
 
 @register("lasso_fixed")
 def q_lasso_fixed(spark, sf):
-    return run_lasso(_li(spark, sf, *LIN_F, "net"), LIN_F, "net", alpha=0.01)
+    return run_lasso(_plain(spark, sf, *LIN_F, "net"), LIN_F, "net", alpha=0.01)
 
 
 @register("lasso_cv")
@@ -400,8 +406,8 @@ def q_lasso_cv(spark, sf):
     return run_lasso(_li(spark, sf, *LIN_F, "net"), LIN_F, "net", cv=5, row_order=["row_id"])
 
 
-def _pca(spark, sf):
-    return run_pca(_li(spark, sf, *LIN_F), LIN_F, keep_cols=["row_id"])
+def _pca(spark, sf, source=_plain):
+    return run_pca(source(spark, sf, *LIN_F), LIN_F, keep_cols=["row_id"])
 
 
 @register("pca_variance")
@@ -416,7 +422,7 @@ def q_pca_loadings(spark, sf):
 
 @register("pca_scores")
 def q_pca_scores(spark, sf):
-    return _pca(spark, sf).scores
+    return _pca(spark, sf, _li).scores
 
 
 @register("pca_feature_rank")
@@ -517,8 +523,9 @@ from sifter.operators import encode as enc  # noqa: E402
 MISS_COLS = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
 
 
-def _with_missing(spark, sf):
-    return _li(spark, sf, "l_quantity", "l_extendedprice", "l_discount", "l_tax").select("row_id", "l_quantity", "l_extendedprice",
+def _with_missing(spark, sf, source=_plain):
+    rows = source(spark, sf, "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return rows.select(*[c for c in ("row_id",) if c in rows.columns], "l_quantity", "l_extendedprice",
                                  F.expr("nullif(l_discount, 0)").alias("l_discount"),
                                  F.expr("nullif(l_tax, 0)").alias("l_tax"))
 
@@ -544,7 +551,7 @@ def q_drop_missing(spark, sf):
 
 @register("dropped_rows", _MISS_SQL + " SELECT row_id FROM m WHERE l_discount IS NULL OR l_tax IS NULL")
 def q_dropped_rows(spark, sf):
-    _, dropped = cln.drop_missing(_with_missing(spark, sf), ["l_discount", "l_tax"])
+    _, dropped = cln.drop_missing(_with_missing(spark, sf, _li), ["l_discount", "l_tax"])
     return dropped
 
 
@@ -652,7 +659,28 @@ def q_best_row(spark, sf):
     return b.select("l_quantity", "l_discount", "l_tax", r6("net"), "row_id")
 
 
-@register("lhs_design")
+def _lhs_sql(n: str, dims: list[tuple]) -> str:
+    """Latin hypercube in SQL: ``dims`` are (name, lower, upper, step or None), bounds as SQL expressions."""
+    parts = []
+    for j, (name, lo, hi, step) in enumerate(dims):
+        x = f"({lo} + max(CASE WHEN dim = {j} THEN u END) * ({hi} - {lo}))"
+        if step:
+            x = f"least(round_even(({x} - {lo}) / {step}, 0) * {step} + {lo}, {lo} + floor(({hi} - {lo}) / {step} + 1e-9) * {step})"
+        parts.append(f"round_even({x}, 6) AS {name}")
+    return f"""(SELECT point, {', '.join(parts)} FROM (
+      SELECT point, dim, (row_number() OVER (PARTITION BY dim ORDER BY {uniform_sql(42, 'point', 'dim')}, point) - 1
+                          + {uniform_sql(43, 'point', 'dim')}) / n AS u, lim.*
+      FROM (SELECT unnest(range(n)) AS point, n FROM (SELECT {n} AS n)), (SELECT unnest(range({len(dims)})) AS dim), lim) GROUP BY point, lim.*)"""
+
+
+_LIM_SQL = ("WITH lim AS (SELECT " + ", ".join(f"min({c})::DOUBLE AS lo_{c}, max({c})::DOUBLE AS hi_{c}"
+                                              for c in ("l_quantity", "l_discount", "l_tax")) + " FROM lineitem)")
+_LHS_DIMS = [("l_quantity", "any_value(lo_l_quantity)", "any_value(hi_l_quantity)", 1.0),
+             ("l_discount", "any_value(lo_l_discount)", "any_value(hi_l_discount)", None), ("l_tax", "any_value(lo_l_tax)", "any_value(hi_l_tax)", None)]
+_LHS_SQL = _lhs_sql("(SELECT count(*) FROM supplier)", _LHS_DIMS).replace("GROUP BY point, lim.*", "GROUP BY point")
+
+
+@register("lhs_design", f"{_LIM_SQL} SELECT * FROM {_LHS_SQL}")
 def q_lhs_design(spark, sf):
     """One new run per supplier over the observed ranges (plan size grows with the data)."""
     n = table(spark, sf, "supplier").count()
@@ -662,8 +690,18 @@ def q_lhs_design(spark, sf):
     return dsg.latin_hypercube(spark, int(n), params, seed=42)
 
 
-@register("parameter_space")
+@register("parameter_space", """
+SELECT 'l_quantity' AS feature, 'ordinal' AS type, min(l_quantity)::DOUBLE AS lower, max(l_quantity)::DOUBLE AS upper, 1.0::DOUBLE AS step, NULL::VARCHAR AS level_list FROM lineitem
+UNION ALL SELECT 'l_discount', 'continuous', min(l_discount)::DOUBLE, max(l_discount)::DOUBLE, NULL, NULL FROM lineitem
+UNION ALL SELECT 'l_returnflag', 'categorical', 0.0, count(DISTINCT l_returnflag) - 1.0, NULL,
+  (SELECT string_agg(k::DOUBLE::VARCHAR, ',' ORDER BY k) FROM (SELECT row_number() OVER (ORDER BY f) - 1 AS k FROM (SELECT DISTINCT l_returnflag AS f FROM lineitem))) FROM lineitem""")
 def q_parameter_space(spark, sf):
+    """P17; the levels of a categorical feature as text."""
+    levels = F.array_join(F.transform("values", lambda v: v.cast("string")), ",")
+    return _parameter_space(spark, sf).withColumn("level_list", levels).drop("values")
+
+
+def _parameter_space(spark, sf):
     li = table(spark, sf, "lineitem")
     coded, _ = enc.encode_categoricals(li.select("l_quantity", "l_discount", "l_returnflag"), ["l_returnflag"])
     b = {r["feature"]: r.asDict() for r in
@@ -672,9 +710,14 @@ def q_parameter_space(spark, sf):
     return dsg.build_parameter_space(spark, ["l_quantity", "l_discount", "l_returnflag"], b)
 
 
-@register("candidate_space")
+@register("candidate_space", f"""{_LIM_SQL}
+SELECT q::DOUBLE AS l_quantity, l_discount, f::DOUBLE AS l_returnflag
+FROM {_lhs_sql('64', [_LHS_DIMS[1]]).replace('GROUP BY point, lim.*', 'GROUP BY point')},
+  (SELECT unnest(range(min(l_quantity)::BIGINT, max(l_quantity)::BIGINT + 1)) AS q FROM lineitem),
+  (SELECT unnest(range(count(DISTINCT l_returnflag))) AS f FROM lineitem)""")
 def q_candidate_space(spark, sf):
-    return dsg.candidate_space(spark, q_parameter_space(spark, sf), n_continuous=64)
+    """64 stratified points (the operator's count parameter) at every level of the discrete features."""
+    return dsg.candidate_space(spark, _parameter_space(spark, sf), n_continuous=64).drop("cand_id")
 
 
 # ---------------------------------------------------------------------------
@@ -687,7 +730,7 @@ RF_ARGS = dict(n_estimators=20, max_depth=6, random_state=42)
 
 @register("rf_importance")
 def q_rf_importance(spark, sf):
-    return frs.run_random_forest(_li(spark, sf, *LIN_F, "net"), LIN_F, "net", **RF_ARGS)
+    return frs.run_random_forest(_plain(spark, sf, *LIN_F, "net"), LIN_F, "net", **RF_ARGS)
 
 
 def _shap(spark, sf):
@@ -704,7 +747,21 @@ def q_shap_values(spark, sf):
     return _shap(spark, sf).values
 
 
-@register("shap_background")
+@register("shap_additivity", "SELECT count(*) AS n_rows, 0::BIGINT AS n_violations FROM lineitem")
+def q_shap_additivity(spark, sf):
+    """For every row, expected value + its SHAP values = the forest's prediction."""
+    rows = _li(spark, sf, *LIN_F, "net")
+    model = frs.fit_forest(rows, LIN_F, "net", n_estimators=10, max_depth=8)
+    shap = frs.run_shap(rows, LIN_F, "net", n_estimators=10, max_depth=8)
+    sums = shap.values.groupBy("row_id").agg(F.sum("shap_value").alias("phi"))
+    predicted = model.transform(frs._assemble(rows, LIN_F)).select("row_id", "prediction")
+    off = F.abs(F.col("prediction") - F.col("phi") - shap.expected_value) > 1e-6 * F.greatest(F.lit(1.0), F.abs("prediction"))
+    return predicted.join(sums, "row_id", "left").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.coalesce(off, F.lit(True))).alias("n_violations"))
+
+
+@register("shap_background", f"""WITH li AS ({LI_SQL})
+SELECT row_id, {', '.join(LIN_F)} FROM li ORDER BY {uniform_sql(42, 'row_id')}, row_id LIMIT 100""")
 def q_shap_background(spark, sf):
     return frs.background_sample(_li(spark, sf, *LIN_F).select("row_id", *LIN_F), 100, 42)
 
@@ -743,10 +800,17 @@ def q_bootstrap_pca(spark, sf):
     return bst.rank_stability(ranks)
 
 
-@register("bootstrap_weights")
+_POISSON_SQL = "CASE " + " ".join(
+    f"WHEN u < {float(v)!r} THEN {k}" for k, v in enumerate(bst._POISSON1_CDF)) + f" ELSE {len(bst._POISSON1_CDF)} END"
+
+
+@register("bootstrap_weights", f"""WITH li AS ({LI_SQL}),
+d AS (SELECT b, {uniform_sql(42, 'row_id', 'b')} AS u FROM li, (SELECT unnest(range(100)) AS b)),
+w AS (SELECT b, {_POISSON_SQL} AS w FROM d)
+SELECT b, CAST(sum(w) AS DOUBLE) AS n_drawn, count(*) AS n_distinct FROM w WHERE w > 0 GROUP BY b""")
 def q_bootstrap_weights(spark, sf):
     """K1: per replicate, the number of drawn rows (mean n) and distinct rows used."""
-    reps = bst.replicate_rows(_li(spark, sf, "l_orderkey").select("row_id"), 20, 42)
+    reps = bst.replicate_rows(_li(spark, sf, "l_orderkey").select("row_id"), 100, 42)
     return reps.groupBy("b").agg(F.sum("_w").alias("n_drawn"), F.count(F.lit(1)).alias("n_distinct"))
 
 
@@ -874,7 +938,8 @@ def q_biplot_vectors(spark, sf):
 
 @register("beeswarm_points")
 def q_beeswarm_points(spark, sf):
-    return pld.beeswarm(_shap(spark, sf).values, max_display=3)
+    values = durable(_shap(spark, sf).values)       # read several times by the plot
+    return pld.beeswarm(values, max_display=4)
 
 
 _FRONT_SQL = """SELECT p.p_retailprice AS x, p.p_size AS y FROM part p
@@ -992,8 +1057,9 @@ def q_replicate_stream(spark, sf):
 SELECT row_id, l_orderkey, l_quantity, l_extendedprice FROM li ORDER BY row_id LIMIT 10""")
 def q_preview(spark, sf):
     """The first 10 experiments in row order (the limit is the feature)."""
-    li = _li(spark, sf, "l_orderkey", "l_quantity", "l_extendedprice")
-    return li.orderBy("row_id").limit(10).select("row_id", "l_orderkey", "l_quantity", "l_extendedprice")
+    first = lineitem_experiments(spark, sf, with_row_id=False).orderBy(*LINEITEM_KEY).limit(10)       # a top-ten, no sort of all rows
+    numbered = first.withColumn("row_id", F.row_number().over(Window.orderBy(*LINEITEM_KEY)).cast("long") - 1)
+    return numbered.select("row_id", "l_orderkey", "l_quantity", "l_extendedprice")
 
 
 @register("resolve_missing", _MISS_SQL + """
@@ -1020,7 +1086,8 @@ def q_units_rename(spark, sf):
                                        "l_extendedprice": "USD"})
 
 
-@register("design_with_fixed")
+@register("design_with_fixed", f"""{_LIM_SQL}, li AS ({LI_SQL})
+SELECT point, l_quantity, l_discount, (SELECT l_tax FROM li ORDER BY net DESC, row_id LIMIT 1)::DOUBLE AS l_tax FROM {_LHS_SQL}""")
 def q_design_with_fixed(spark, sf):
     """P9 + A10: LHS over (quantity, discount); tax fixed at the best row's value."""
     best = dsg.best_row(_li(spark, sf, "l_quantity", "l_discount", "l_tax", "net"), ["l_quantity", "l_discount", "l_tax"], "net").first()
