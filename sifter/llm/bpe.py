@@ -87,6 +87,7 @@ class Encoder:
         self.final = [ids[c + WORD_END] for c in chars]      # and at its end
         base = [*self.inner, *self.final]
         self.spelling = {i: chr(i + 1) for i in base}        # a symbol is one character of the automaton's alphabet
+        self.inner_char, self.final_char = [self.spelling[i] for i in self.inner], [self.spelling[i] for i in self.final]
         self.rank = dict.fromkeys(base, -1)                  # symbols exist before any merge
         self.parts = {i: (i, i) for i in base}
         self.merged: dict[tuple[int, int], int] = {}
@@ -143,9 +144,7 @@ class Encoder:
     def encode_word(self, data: bytes) -> list[int]:
         """Ids of one word's bytes."""
         n = len(data)
-        symbols = [self.inner[x] for x in data]
-        symbols[-1] = self.final[data[-1]]
-        spelled = "".join([self.spelling[s] for s in symbols])
+        spelled = "".join([self.inner_char[x] for x in data[:-1]]) + self.final_char[data[-1]]
         longest = [-1] * n
         for end, (token, size) in self.automaton.iter(spelled):     # ends grow, so the last match of a start is its longest
             longest[end + 1 - size] = token
@@ -169,6 +168,8 @@ class Encoder:
 
     def encode_chunk(self, chunk: str) -> bytes:
         """Ids (int32 bytes) of a text without white space or added tokens."""
+        if chunk.isascii() and chunk.isalpha():         # normal already, and one word of the pattern
+            return self._word(chunk.lower())
         text = unicodedata.normalize("NFC", chunk)
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()   # no final-sigma rule
         return b"".join([self._word(w) for w in self.words.findall(text)])
