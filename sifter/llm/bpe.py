@@ -12,7 +12,7 @@ Decoding gathers byte ranges: token i is ``blob[offset[i]:offset[i + 1]]``; the
 second table spells the ids in decimal.
 
 Scale: one pass over the texts, no shuffle.  Only the vocabulary (a fixed size) is broadcast.  Each
-worker remembers the ids of at most ``CACHE_WORDS`` white-space separated chunks; the cache is emptied
+worker remembers the ids of at most ``cache_words`` white-space separated chunks; the cache is emptied
 when full, which changes speed only.
 
 Defined cases: a null text counts as empty (no tokens, the SHA-256 of nothing); very long texts are
@@ -40,7 +40,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 SEPARATORS = "\x1c\x1d\x1e\x1f"        # str.split() parts at these, the tokenizer does not
 _MODELS: dict[str, "Encoder"] = {}
 
@@ -112,6 +112,7 @@ class Encoder:
         self.text_table = offset_table([t.encode() + b" " for t in tokens])
         self.id_table = offset_table([b"%d " % i for i in range(len(tokens))])
         self.cache: dict[str, bytes] = {}
+        self.cache_words = CACHE_WORDS
 
     def _stable(self, left: int, right: int, before: int) -> bool:
         """No merge of rank < ``before`` crosses the boundary while both sides are built up.
@@ -178,14 +179,14 @@ class Encoder:
         ids = self.cache.get(word)
         if ids is None:
             ids = array("i", self.encode_word(word.encode())).tobytes()
-            if len(word) <= 64 and len(self.cache) <= CACHE_WORDS:
+            if len(word) <= 64 and len(self.cache) <= self.cache_words:
                 self.cache[word] = ids
         return ids
 
     def _ordinary(self, text: str) -> bytes:
         chunks = self.spaces.split(text) if any(c in text for c in SEPARATORS) else text.split()
         cache = self.cache
-        if len(cache) > CACHE_WORDS:
+        if len(cache) > self.cache_words:
             cache.clear()
         try:
             return b"".join([cache[c] for c in chunks])
@@ -195,7 +196,7 @@ class Encoder:
                 ids = cache.get(c)
                 if ids is None:
                     ids = self.encode_chunk(c)
-                    if len(cache) <= CACHE_WORDS and len(c) <= 64:
+                    if len(cache) <= self.cache_words and len(c) <= 64:
                         cache[c] = ids
                 out.append(ids)
             return b"".join(out)
@@ -246,7 +247,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = True, cache_words: int = CACHE_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and token_ids, if asked) of every row of ``docs``."""
     spark = docs.sparkSession
     prepare(spark)
@@ -255,6 +256,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
+        enc.cache_words = cache_words
         sha = hashlib.sha256
         for b in batches:
             n, spelled, decoded, ids = [], [], [], []
