@@ -16,10 +16,12 @@ from typing import Iterable
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sifter.functions.ordering import ordered_index
+
 # The tokens a CSV reader treats as missing (same set as the
 # default NA list of pandas.read_csv).
 NULL_TOKENS = [
@@ -31,20 +33,25 @@ NULL_TOKENS = [
 SUPPORTED_EXTENSIONS = {".csv", ".xlsx", ".xls"}
 
 
-def _check_path(path: str) -> str:
-    """Error contract: missing local path, unsupported extension."""
-    has_scheme = re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*://", path) is not None
-    is_glob = any(ch in path for ch in "*?[")
-    if not has_scheme and not is_glob and not os.path.exists(path):
-        raise FileNotFoundError(f"File not found: {path}")
-    if not has_scheme and os.path.isdir(path):
-        return ".csv"
-    suffix = os.path.splitext(path.rstrip("/"))[1].lower()
-    if suffix not in SUPPORTED_EXTENSIONS:
-        raise ValueError(
-            f"Unsupported file extension '{suffix}'. "
-            f"Supported formats: {', '.join(sorted(SUPPORTED_EXTENSIONS))}")
-    return suffix
+def _format_of(path: str) -> str:
+    """The reader for a path by its ending; a local folder is read as CSV parts.
+
+    Only plain local paths can be looked up here: a glob or a path with a scheme is left to Spark.
+    """
+    ending = os.path.splitext(path.rstrip("/"))[1].lower()
+    if not re.match(r"\w[\w+.-]*:/", path) and not set("*?[") & set(path):
+        if os.path.isdir(path):
+            return ".csv"
+        if not os.path.exists(path):
+            raise FileNotFoundError(path)
+    if ending not in SUPPORTED_EXTENSIONS:
+        raise ValueError(f"Unsupported file extension {ending!r} (readable: {sorted(SUPPORTED_EXTENSIONS)})")
+    return ending
+
+
+def quoted(name: str) -> str:
+    """A column name as an identifier; headers such as ``Temp. (C)`` hold dots, blanks and brackets."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def null_tokens(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
@@ -53,7 +60,7 @@ def null_tokens(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
         f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     tokens = F.array(*[F.lit(t) for t in NULL_TOKENS])
     return df.withColumns({
-        c: F.when(~F.array_contains(tokens, F.trim(F.col(c))), F.col(c)) for c in cols})
+        c: F.when(~F.array_contains(tokens, F.trim(F.col(quoted(c)))), F.col(quoted(c))) for c in cols})
 
 
 def restore_types(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
@@ -69,10 +76,10 @@ def restore_types(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame
         return df
     aggs = []
     for i, c in enumerate(cols):
-        v = F.trim(F.col(c))
+        v = F.trim(F.col(quoted(c)))
         aggs += [F.count(v).alias(f"n{i}"),
-                 F.count(F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)")).alias(f"d{i}"),
-                 F.count(F.when(F.trim(F.col(c)).rlike(r"^[+-]?\d+$"), 1)).alias(f"l{i}"),
+                 F.count(F.expr(f"try_cast(trim({quoted(c)}) AS DOUBLE)")).alias(f"d{i}"),
+                 F.count(F.when(v.rlike(r"^[+-]?\d+$"), 1)).alias(f"l{i}"),
                  F.count(F.lit(1)).alias(f"r{i}")]
     stats = df.agg(*aggs).first()
     casts = {}
@@ -81,9 +88,9 @@ def restore_types(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame
         if n == 0 or d != n:
             continue
         if lng == n and n == rows:
-            casts[c] = F.expr(f"try_cast(trim(`{c}`) AS BIGINT)")
+            casts[c] = F.expr(f"try_cast(trim({quoted(c)}) AS BIGINT)")
         else:
-            casts[c] = F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)")
+            casts[c] = F.expr(f"try_cast(trim({quoted(c)}) AS DOUBLE)")
     return df.withColumns(casts) if casts else df
 
 
@@ -98,7 +105,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def load_file(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """Load a CSV (file, directory or glob) or an .xlsx workbook."""
-    suffix = _check_path(path)
+    suffix = _format_of(path)
     if suffix == ".csv":
         return read_csv(spark, path)
     if suffix == ".xls":
@@ -180,22 +187,27 @@ def list_sheets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """First sheet (or ``sheet``) of each workbook, header in row 1."""
+    """First sheet (or ``sheet``) of each workbook, header in row 1.
+
+    Every workbook's cells go by its own header, so workbooks may order their columns differently; a
+    column that a workbook lacks is NULL there.  A header that repeats inside a workbook gets ``.1``,
+    ``.2``, ... in column order; cells under no header are left out.
+    """
     cells = workbook_cells(spark, path)
     if sheet is None:
         cells = cells.join(F.broadcast(_first_sheets(spark, path)), ["file", "sheet"])
     else:
         cells = cells.where(F.col("sheet") == sheet)
-    header = {r["col_no"]: r["value"] for r in
-              cells.where(F.col("row_no") == 0).select("col_no", "value").distinct().collect()}
-    if not header:
-        raise ValueError(f"File is empty (no columns found): {path}")
-    order = sorted(header)
-    body = cells.where(F.col("row_no") > 0)
-    wide = (body.groupBy("file", "row_no").pivot("col_no", order).agg(F.first("value"))
-            .orderBy("file", "row_no"))
-    wide = wide.select(*[F.col(str(c)).cast("string").alias(str(header[c])) for c in order])
-    return restore_types(null_tokens(wide))
+    repeat = F.row_number().over(Window.partitionBy("file", "value").orderBy("col_no")) - 1
+    header = cells.where(F.col("row_no") == 0).withColumn("_k", repeat).select(
+        "file", "col_no", F.when(F.col("_k") == 0, F.col("value")).otherwise(F.concat_ws(".", "value", "_k")).alias("column"))
+    # one entry per distinct column name: the schema of the result
+    names = [r["column"] for r in header.groupBy("column").agg(F.min("col_no").alias("at")).orderBy("at", "column").collect()]
+    if not names:
+        raise ValueError(f"No header row in the sheet: {path}")
+    body = cells.where(F.col("row_no") > 0).join(header, ["file", "col_no"])
+    wide = body.groupBy("file", "row_no").pivot("column", names).agg(F.max("value")).orderBy("file", "row_no")
+    return restore_types(null_tokens(wide.drop("file", "row_no")))
 
 
 def _first_sheets(spark: SparkSession, path: str) -> DataFrame:
@@ -229,8 +241,11 @@ def untranspose(long_df: DataFrame, name_col: str = "variable", exp_col: str = "
     # one entry per variable: small
     names = [r[0] for r in long_df.select(F.col(name_col).cast("string")).distinct().collect()]
     order = _variable_order(long_df, name_col, names)
+    text = F.col(value_col).cast("string")
+    # a variable listed twice: the first in the file counts, or the least value where no position is known
+    value = F.min_by(text, F.col("_var_pos")) if "_var_pos" in long_df.columns else F.min(text)
     wide = (long_df.withColumn(name_col, F.col(name_col).cast("string"))
-            .groupBy(exp_col).pivot(name_col, order).agg(F.first(F.col(value_col).cast("string"))))
+            .groupBy(exp_col).pivot(name_col, order).agg(value))
     return restore_types(null_tokens(wide, order), order).orderBy(exp_col)
 
 
@@ -258,11 +273,8 @@ def read_transposed(spark: SparkSession, path: str) -> DataFrame:
     if non_numeric:
         named = raw.withColumn("variable", F.col(first))
     else:
-        # variables are the file's rows (few); name them "0", "1", ... in file order
-        pos = sorted(r[0] for r in raw.select("_var_pos").collect())
-        names = {p: str(i) for i, p in enumerate(pos)}
-        mapping = F.create_map(*[x for p, n in names.items() for x in (F.lit(p), F.lit(n))])
-        named = raw.withColumn("variable", mapping[F.col("_var_pos")])
+        # variables are the file's rows, named "0", "1", ... in file order
+        named = ordered_index(raw, ["_var_pos"], name="_nth").withColumn("variable", F.col("_nth").cast("string"))
     stack = ", ".join(f"{i}, `{c}`" for i, c in enumerate(exp_cols))
     long_df = named.selectExpr("variable", "_var_pos",
                                f"stack({len(exp_cols)}, {stack}) AS (exp_no, value)")
