@@ -119,16 +119,9 @@ def scalarize(df: DataFrame, target_cols: Sequence[str], weights: Sequence[float
     Weights must be non-negative and not all zero; they are normalised to
     sum to 1.
     """
-    if not target_cols:
-        raise ValueError("target_cols must not be empty.")
-    if len(weights) != len(target_cols):
-        raise ValueError(f"len(weights)={len(weights)} must equal "
-                         f"len(target_cols)={len(target_cols)}.")
-    if any(w < 0 for w in weights):
-        raise ValueError("All weights must be non-negative.")
     total = float(sum(weights))
-    if total == 0:
-        raise ValueError("At least one weight must be positive.")
+    if not target_cols or len(weights) != len(target_cols) or min(weights) < 0 or total == 0:
+        raise ValueError(f"{list(target_cols)} need one weight each, none negative and some above zero; got {list(weights)}")
     stats = column_moments(df, target_cols)
     score = F.lit(0.0)
     for i, (t, w) in enumerate(zip(target_cols, weights)):

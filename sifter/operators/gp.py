@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sifter.operators.cleaning import column_moments
+from sifter.functions.ordering import ordered_index
 from sifter.session import durable
 
 SQRT5 = math.sqrt(5.0)
@@ -186,7 +187,10 @@ def expert_rows(df: DataFrame, features: Sequence[str], target: str, n_experts:
     zs = [F.lit(0.5) if const[j] else (F.col(f).cast("double") - float(lo[j])) / float(rng[j])
           for j, f in enumerate(features)]
     ys = (F.col(target).cast("double") - y_mean) / y_std
-    hkey = F.col(key) if key else F.monotonically_increasing_id()
+    if not key:     # without a row key: the position in the order of the values, the same on every run
+        key = "_expert_key"
+        df = ordered_index(df.select(*dict.fromkeys([*features, target])), list(dict.fromkeys([*features, target])), name=key)
+    hkey = F.col(key)
     rows = df.select(F.pmod(F.xxhash64(hkey, F.lit(seed)), F.lit(n_experts)).alias("expert"),
                      F.array(*zs).alias("x"), ys.alias("y"))
     # an expert holds about n / E rows by construction (hash of a row key)
