@@ -99,27 +99,39 @@ def bootstrap_ranks(df: DataFrame, feature_cols: Sequence[str], target: str | No
     return spark.createDataFrame(rows, "b int, feature string, rank long")
 
 
-def bootstrap_refit(df: DataFrame, method: Callable[[DataFrame, str], DataFrame],
-                    n_bootstrap: int = 100, random_state: int = 42,
-                    row_id: str = "row_id") -> DataFrame:
-    """K2 for any method: ``method(weighted_df, weight_col) -> (feature, rank)``.
+def resampled(df: DataFrame, b: int, seed: int = 42, row_id: str = "row_id") -> DataFrame:
+    """K1 as rows: each row as often as replicate ``b`` draws it, every copy with a row id of its own.
 
-    One refit (one Spark job) per replicate; a replicate whose fit raises is
-    skipped and not counted.
+    A narrow ``explode`` of the same draws that ``replicate_rows`` uses as weights, for methods that take none.
     """
-    out = None
+    times = poisson_weight(F.col(row_id), F.lit(b), seed).cast("int")
+    copies = df.select("*", F.posexplode(F.array_repeat(F.lit(0), times)).alias("_copy", "_zero"))
+    ids = F.col(row_id) * (len(_POISSON1_CDF) + 1) + F.col("_copy")
+    return copies.withColumn(row_id, ids.cast("long")).drop("_copy", "_zero")
+
+
+def bootstrap_refit(df: DataFrame, method: Callable[..., DataFrame], n_bootstrap: int = 100,
+                    random_state: int = 42, row_id: str = "row_id", weighted: bool = True) -> DataFrame:
+    """K2 for any method, one refit per replicate; returns ``(feature, rank, b)``.
+
+    ``weighted``: ``method(df, weight_col)`` gets the drawn rows with their counts; otherwise ``method(df)``
+    gets the resampled rows themselves, so correlations, Spearman ranks, ANOVA, cross-validated LASSO
+    and SHAP run as they are.  A replicate on which a fit is impossible (``ValueError`` or a singular
+    matrix) is skipped and not counted; every other error is raised.
+    """
+    done: list[tuple] = []
     for b in range(n_bootstrap):
-        w = df.withColumn("_w", poisson_weight(F.col(row_id), F.lit(b), random_state)).where(F.col("_w") > 0)
         try:
-            ranks = method(w, "_w").select("feature", F.col("rank").cast("long"))
-            ranks = ranks.withColumn("b", F.lit(b))
-            ranks.first()
-        except Exception:  # noqa: BLE001 - a failed replicate is skipped, as specified
+            if weighted:
+                drawn = df.withColumn("_w", poisson_weight(F.col(row_id), F.lit(b), random_state)).where(F.col("_w") > 0)
+                ranks = method(drawn, "_w")
+            else:
+                ranks = method(resampled(df, b, random_state, row_id))
+            # one row per feature; kept as values, so that no replicate is computed twice
+            done += [(r["feature"], int(r["rank"]), b) for r in ranks.select("feature", "rank").collect()]
+        except (ValueError, np.linalg.LinAlgError):
             continue
-        out = ranks if out is None else out.unionByName(ranks)
-    if out is None:
-        return df.sparkSession.createDataFrame([], "feature string, rank long, b int")
-    return out
+    return df.sparkSession.createDataFrame(done, "feature string, rank long, b int")
 
 
 def rank_stability(boot_ranks: DataFrame) -> DataFrame:

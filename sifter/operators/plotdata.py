@@ -176,8 +176,7 @@ def staircase(front: DataFrame, x: str, y: str, x_left: float | None = None,
 
 def objective_frame(front: DataFrame, suggestions: DataFrame, x: str, y: str,
                     sx: str | None = None, sy: str | None = None) -> DataFrame:
-    """V8: axis frame over front and suggestions (12 % padding, min 1e-6) and
-    the suggestions numbered ``#1``, ``#2``, ... in their given order."""
+    """V8: axis frame over front and suggestions (12 % padding, min 1e-6)."""
     sx, sy = sx or x, sy or y
     allp = front.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) \
         .unionByName(suggestions.select(F.col(sx).cast("double").alias("x"), F.col(sy).cast("double").alias("y")))
@@ -186,3 +185,28 @@ def objective_frame(front: DataFrame, suggestions: DataFrame, x: str, y: str,
     yp = F.greatest((F.col("y1") - F.col("y0")) * 0.12, F.lit(1e-6))
     return b.select((F.col("x0") - xp).alias("x_left"), (F.col("x1") + xp).alias("x_right"),
                     (F.col("y0") - yp).alias("y_bottom"), (F.col("y1") + yp).alias("y_top"))
+
+
+def objective_points(front: DataFrame | None, suggestions: DataFrame, x: str, y: str, sx: str | None = None,
+                     sy: str | None = None, order_by: Sequence[str] | None = None,
+                     category: str | None = None) -> DataFrame:
+    """V8: the points of the objective plot, ``(kind, seq, label, x, y, category)``.
+
+    The front comes sorted by x (then y) and numbered from 0; suggestions are numbered ``#1``, ``#2``, ... in the
+    order of ``order_by`` (default: their x, then y) and carry ``category`` as the colour.  Without a front
+    (``None``), only suggestions come; points without an x or y are not drawn.
+    """
+    def points(df: DataFrame, cx: str, cy: str, order: Sequence[str], colour: str | None) -> DataFrame:
+        tint = F.col(colour).cast("string") if colour else F.lit(None).cast("string")
+        rows = df.select(F.col(cx).cast("double").alias("x"), F.col(cy).cast("double").alias("y"), tint.alias("category"),
+                         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+        rows = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+        return ordered_index(rows, [*[f"_o{i}" for i in range(len(order))], "x", "y"], name="seq")
+
+    drawn = points(suggestions, sx or x, sy or y, list(order_by or ()), category).select(
+        F.lit("suggestion").alias("kind"), "seq", F.concat(F.lit("#"), F.col("seq") + 1).alias("label"), "x", "y", "category")
+    if front is None:
+        return drawn
+    line = points(front, x, y, (), None).select(
+        F.lit("front").alias("kind"), "seq", F.lit(None).cast("string").alias("label"), "x", "y", "category")
+    return line.unionByName(drawn)

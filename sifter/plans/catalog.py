@@ -782,10 +782,27 @@ def q_narrative_shap(spark, sf):
 from sifter.operators import bootstrap as bst  # noqa: E402
 
 
-@register("bootstrap_pearson")
+_POISSON_SQL = "CASE " + " ".join(
+    f"WHEN u < {float(v)!r} THEN {k}" for k, v in enumerate(bst._POISSON1_CDF)) + f" ELSE {len(bst._POISSON1_CDF)} END"
+_BOOT_PEARSON_SQL = f"""WITH li AS ({LI_SQL}),
+d AS (SELECT b, li.*, {uniform_sql(42, 'row_id', 'b')} AS u FROM li, (SELECT unnest(range(100)) AS b)),
+w AS (SELECT *, {_POISSON_SQL} AS w FROM d),
+m AS (SELECT avg(net) AS net, {', '.join(f"avg({f}) AS {f}" for f in LIN_F)} FROM li),
+c AS ({' UNION ALL '.join(f"""
+  SELECT b, '{f}' AS feature, sum(w) AS n, sum(w * (w.{f} - m.{f})) AS sx, sum(w * (w.net - m.net)) AS sy,
+         sum(w * (w.{f} - m.{f}) * (w.net - m.net)) AS sxy, sum(w * (w.{f} - m.{f}) ** 2) AS sxx,
+         sum(w * (w.net - m.net) ** 2) AS syy FROM w, m WHERE w > 0 GROUP BY b""" for f in LIN_F)}),
+r AS (SELECT b, feature, rank() OVER (PARTITION BY b ORDER BY
+        abs((sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n))) DESC) AS rank FROM c)
+SELECT feature, quantile_cont(rank, 0.5) AS median_rank, quantile_cont(rank, 0.25) AS rank_q25,
+       quantile_cont(rank, 0.75) AS rank_q75, round(stddev_pop(rank), 6) AS rank_std, count(DISTINCT b) AS n_success
+FROM r GROUP BY feature"""
+
+
+@register("bootstrap_pearson", _BOOT_PEARSON_SQL)
 def q_bootstrap_pearson(spark, sf):
     ranks = bst.bootstrap_ranks(_li(spark, sf, *LIN_F, "net"), LIN_F, "net", "pearson", n_bootstrap=100)
-    return bst.rank_stability(ranks)
+    return bst.rank_stability(ranks).withColumn("rank_std", F.round("rank_std", 6))
 
 
 @register("bootstrap_lasso")
@@ -800,10 +817,6 @@ def q_bootstrap_pca(spark, sf):
     return bst.rank_stability(ranks)
 
 
-_POISSON_SQL = "CASE " + " ".join(
-    f"WHEN u < {float(v)!r} THEN {k}" for k, v in enumerate(bst._POISSON1_CDF)) + f" ELSE {len(bst._POISSON1_CDF)} END"
-
-
 @register("bootstrap_weights", f"""WITH li AS ({LI_SQL}),
 d AS (SELECT b, {uniform_sql(42, 'row_id', 'b')} AS u FROM li, (SELECT unnest(range(100)) AS b)),
 w AS (SELECT b, {_POISSON_SQL} AS w FROM d)
@@ -1102,3 +1115,82 @@ def q_bootstrap_forest(spark, sf):
         return frs.run_random_forest(w, LIN_F, "net", n_estimators=10, max_depth=5, weight_col=wc)
     ranks = bst.bootstrap_refit(_li(spark, sf, *LIN_F, "net").select("row_id", *LIN_F, "net"), method, n_bootstrap=5)
     return bst.rank_stability(ranks)
+
+
+def _refit_on_rows(spark, sf, method, n_bootstrap=5):
+    """K2 on resampled rows (5 replicates, each a full refit over all rows)."""
+    runs = durable(_li(spark, sf, *LIN_F, "net").select("row_id", *LIN_F, "net"))
+    return bst.rank_stability(bst.bootstrap_refit(runs, method, n_bootstrap=n_bootstrap, weighted=False))
+
+
+@register("bootstrap_correlations")
+def q_bootstrap_correlations(spark, sf):
+    """K2: Pearson and Spearman together, by the larger of the two."""
+    return _refit_on_rows(spark, sf, lambda rows: cor.run_correlations(rows, LIN_F, "net"))
+
+
+@register("bootstrap_lasso_cv")
+def q_bootstrap_lasso_cv(spark, sf):
+    """K2: LASSO with its penalty cross-validated anew in each replicate."""
+    return _refit_on_rows(spark, sf, lambda rows: run_lasso(rows, LIN_F, "net", row_order=["row_id"]))
+
+
+@register("bootstrap_shap")
+def q_bootstrap_shap(spark, sf):
+    """K2: SHAP importance of a forest grown anew in each replicate."""
+    return _refit_on_rows(spark, sf, lambda rows: frs.run_shap(rows, LIN_F, "net", **RF_ARGS).feature_importance, 2)
+
+
+# ---------------------------------------------------------------------------
+# Round trips (S1, S7, S8), role projection (P6), keep_all (A3), plot points (V8)
+# ---------------------------------------------------------------------------
+from sifter.session import scratch_path  # noqa: E402
+
+_CSV_COLS = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]
+
+
+@register("csv_round_trip", f"SELECT l_orderkey::BIGINT AS l_orderkey, l_linenumber::BIGINT AS l_linenumber, {', '.join(_CSV_COLS[2:])} FROM lineitem")
+def q_csv_round_trip(spark, sf):
+    """S7 then S1: the experiments written as CSV parts and loaded with their types restored."""
+    path = scratch_path(spark, "experiments") + ".csv"
+    rpt.write_csv(table(spark, sf, "lineitem").select(*_CSV_COLS), path)
+    return src.load_file(spark, path)
+
+
+@register("result_store", f"""WITH li AS ({NET_SQL})
+SELECT target, 'pearson' AS method, feature, pearson_r FROM ({_PEARSON_SQL})""")
+def q_result_store(spark, sf):
+    """Correlations of every target written to the result store and read back."""
+    path = scratch_path(spark, "results")
+    found = cor.pearson_table(_cor_input(spark, sf), COR_F, COR_T)
+    rpt.write_result_store(found.select("target", F.lit("pearson").alias("method"), "feature", r6("r", "pearson_r")), path)
+    return spark.read.parquet(path).select("target", "method", "feature", "pearson_r")
+
+
+@register("role_projection", f"WITH li AS ({LI_SQL}) SELECT row_id, l_quantity, l_discount, round(net, 6) AS net FROM li")
+def q_role_projection(spark, sf):
+    """Inputs and response of one screening."""
+    return cln.project_roles(_li(spark, sf, *OPT_F, *OPT_T), OPT_F, "net").withColumn("net", F.round("net", 6))
+
+
+@register("replicate_keep_all", f"""WITH li AS ({LI_SQL})
+SELECT row_id, l_quantity, l_discount, l_extendedprice, round(net, 6) AS net, l_returnflag, l_linestatus FROM li""")
+def q_replicate_keep_all(spark, sf):
+    """A3: every row stays as it is."""
+    kept = rep.handle_replicates(_rep_input(spark, sf), REP_F, REP_T, "keep_all")
+    return kept.withColumn("net", F.round("net", 6))
+
+
+@register("objective_points", f"""WITH f AS ({_FRONT_SQL}),
+s AS (SELECT p_size, max(p_retailprice) AS x FROM part GROUP BY p_size)
+SELECT 'front' AS kind, row_number() OVER (ORDER BY x, y) - 1 AS seq, NULL::VARCHAR AS label, round(x, 6) AS x, round(y, 6) AS y,
+       NULL::VARCHAR AS category FROM f
+UNION ALL SELECT 'suggestion', row_number() OVER (ORDER BY p_size) - 1, '#' || row_number() OVER (ORDER BY p_size),
+       round(x, 6), p_size::DOUBLE, p_size::VARCHAR FROM s""")
+def q_objective_points(spark, sf):
+    """V8: the front of price and size, and the dearest part of each size as numbered points."""
+    part = table(spark, sf, "part")
+    dearest = part.groupBy("p_size").agg(F.max("p_retailprice").alias("p_retailprice"))
+    pts = pld.objective_points(par.pareto_front(part, PART_OBJ), dearest, "p_retailprice", "p_size",
+                               order_by=["p_size"], category="p_size")
+    return pts.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})

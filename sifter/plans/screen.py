@@ -14,6 +14,7 @@ from typing import NamedTuple, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sifter.operators import bootstrap as bst
 from sifter.operators import consensus as cons
 from sifter.operators import correlate as cor
 from sifter.operators import forest as frs
@@ -31,13 +32,38 @@ class ScreenResult(NamedTuple):
     tables: dict             # method -> result DataFrame (all targets)
     consensus: DataFrame     # target, feature, <method>_rank..., labels
     narratives: DataFrame    # target, method, narrative
+    stability: DataFrame | None = None      # target, method, feature, bootstrap rank statistics
+
+
+RESAMPLED = ("lasso", "random_forest", "shap", "pca", "correlations")   # a Gaussian process is not refitted
+
+
+def _stability(data: DataFrame, features: list[str], targets: list[str], methods: Sequence[str], categorical: list[str],
+               row_id: str, n_bootstrap: int, seed: int, lasso: dict, trees: tuple) -> DataFrame | None:
+    """K1-K3 of every bootstrapped method and target on resampled rows; PCA knows no target and runs once."""
+    fits = {
+        "lasso": lambda t: lambda d: run_lasso(d, features, t, row_order=[row_id], **lasso),
+        "random_forest": lambda t: lambda d: frs.run_random_forest(d, features, t, *trees),
+        "shap": lambda t: lambda d: frs.run_shap(d, features, t, row_id, *trees).feature_importance,
+        "pca": lambda t: lambda d: run_pca(d, features).feature_rank,
+        "correlations": lambda t: lambda d: cor.run_correlations(d, features, t, categorical_cols=categorical),
+    }
+    out = None
+    for m in (m for m in methods if m in RESAMPLED):
+        for group in ([targets] if m == "pca" else [[t] for t in targets]):
+            ranks = bst.bootstrap_refit(data, fits[m](group[0]), n_bootstrap, seed, row_id, weighted=False)
+            part = bst.rank_stability(ranks).withColumn("target", F.explode(F.array(*[F.lit(t) for t in group])))
+            part = part.select("target", F.lit(m).alias("method"), *[c for c in part.columns if c != "target"])
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def screen(df: DataFrame, feature_cols: Sequence[str], target_cols: Sequence[str],
            methods: Sequence[str] = METHODS, categorical_cols: Sequence[str] | None = None,
            row_id: str = "row_id", lasso_alpha: float | None = None, lasso_cv: int = 5,
            n_estimators: int = 100, max_depth: int | None = None, random_state: int = 42,
-           gp_iter: int = 100) -> ScreenResult:
+           gp_iter: int = 100, n_bootstrap: int = 0) -> ScreenResult:
+    """Every method for every target; ``n_bootstrap`` > 0 adds the rank stability of ``RESAMPLED`` methods."""
     unknown = [m for m in methods if m not in METHODS]
     if unknown:
         raise ValueError(f"Unknown methods: {unknown}; valid: {list(METHODS)}")
@@ -104,4 +130,8 @@ def screen(df: DataFrame, feature_cols: Sequence[str], target_cols: Sequence[str
         narratives = narratives.unionByName(
             tg.withColumn("_k", F.lit(1)).join(pn.withColumn("_k", F.lit(1)), "_k")
             .select("target", "method", "narrative"))
-    return ScreenResult(rankings, tables, labelled, narratives)
+    stability = None
+    if n_bootstrap:
+        stability = _stability(data, feats, targets, methods, cats, row_id, n_bootstrap, random_state,
+                               {"alpha": lasso_alpha, "cv": lasso_cv}, (n_estimators, max_depth, random_state))
+    return ScreenResult(rankings, tables, labelled, narratives, stability)
