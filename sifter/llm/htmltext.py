@@ -38,7 +38,7 @@ TRAIN_PAGES = 240
 EPOCHS = 12
 BATCH_STEPS = 1 << 14        # blocks a forward pass holds at once
 
-# HTML's inline, void and raw-text elements, and the containers training pages are varied with.
+# HTML's inline, void and raw-text elements, and the containers and the forms of an article's blocks that training pages are varied with.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|iframe|svg|textarea|select"
@@ -52,6 +52,9 @@ BOILERPLATE = (
 )
 CONTENT = ('<article>', '<main>', '<main><article>', '<div class="content">', '<div class="article-body">', '<div class="post-content">', '<div id="content">',
            '<section class="entry-content">', '<div class="main-text">', '<article class="post">', '<div class="story">')
+FORMS = ("<h2>{}</h2>", "<h3>{}</h3>", "<ul><li>{}</li><li>{}</li></ul>", "<ol><li>{}</li><li>{}</li><li>{}</li></ol>", "<blockquote>{}</blockquote>",
+         "<blockquote><p>{}</p></blockquote>", "<pre>{}</pre>", "<table><tr><th>{}</th><td>{}</td></tr><tr><td>{}</td><td>{}</td></tr></table>",
+         "<figure><figcaption>{}</figcaption></figure>", "<dl><dt>{}</dt><dd>{}</dd></dl>", "<div>{}</div>", "<section><h2>{}</h2><p>{}</p></section>")
 SILVER_SKIP = re.compile(r"^(?:header|nav|aside|footer|form|title|head|button)$")
 
 _TOKEN = re.compile(
@@ -137,7 +140,7 @@ def vectors(page: list[Block]) -> np.ndarray:
     x = np.zeros((len(page), INPUT), np.float32)
     for i, b in enumerate(page):
         for t in b.path:
-            x[i, _hash(t) % PATH_DIMS] = 1.0
+            x[i, _hash(t.rstrip("s") or t) % PATH_DIMS] = 1.0         # ads as ad, comments as comment
         words = b.text.lower().split()
         counts = np.bincount(np.fromiter((_hash(w) for w in words), np.int64, len(words)) % WORD_DIMS, minlength=WORD_DIMS)
         x[i, PATH_DIMS:PATH_DIMS + WORD_DIMS] = np.log1p(counts) / 4
@@ -271,20 +274,28 @@ def _closing(tags: str) -> str:
 
 
 def varied(page: str, rng: np.random.Generator, texts: list[str]) -> str:
-    """A copy of a page with its article in some content container and boilerplate containers around and inside it."""
+    """A copy of a page: its article in some content container and with more forms of blocks, boilerplate around and inside it."""
     def box() -> str:
         tag = BOILERPLATE[rng.integers(len(BOILERPLATE))]
         lines = [texts[rng.integers(len(texts))] for _ in range(rng.integers(1, 4))]
         inner = "".join(f"<li><a href='#'>{t}</a></li>" if rng.random() < 0.3 else f"<p>{t}</p>" if rng.random() < 0.6 else t for t in lines)
         return f'<div role="boilerplate0">{tag}{inner}{_closing(tag)}</div>'
+    def block() -> str:
+        form = FORMS[rng.integers(len(FORMS))]
+        return form.format(*[texts[rng.integers(len(texts))][:rng.integers(10, 300)] for _ in range(form.count("{}"))])
     wrap = CONTENT[rng.integers(len(CONTENT))]
     start, end = re.search(r"<article\b[^>]*>", page), page.rfind("</article>")
     if not start or end < 0:
         return page
-    body = page[start.end():end]
-    cut = [m.start() for m in re.finditer(r"<p>", body)] or [len(body)]
-    spot = cut[rng.integers(len(cut))]
-    body = body[:spot] + (box() if rng.random() < 0.6 else "") + body[spot:]
+    pieces = re.split(r"(?=<p>)", page[start.end():end])            # a block form or a boilerplate box may stand before any paragraph
+    spot = rng.integers(len(pieces))
+    body = ""
+    for i, piece in enumerate(pieces):
+        body += piece
+        if rng.random() < 0.25:
+            body += block()
+        if i == spot and rng.random() < 0.6:
+            body += box()
     return (page[:start.start()] + "".join(box() for _ in range(rng.integers(0, 3))) + f'<div role="content0">{wrap}' + body + _closing(wrap) + "</div>"
             + "".join(box() for _ in range(rng.integers(0, 3))) + page[end + len("</article>"):])
 

@@ -105,6 +105,11 @@ def test_extraction_drops_boilerplate(llm, pages):
              f'<article><p>{words(30)}</p><form class="newsletter"><p>sign up</p></form><p>{words(25)}</p></article><section class="comments"><p>first!</p></section>')
     text = htmltext.extract(llm.createDataFrame([(1, "u", other)], "page_id long, url string, html string"), model).first()["text"]
     assert len(text.split("\n")) == 2 and "cookies" not in text
+    forms = [words(20), words(3), words(15), words(8), words(9), words(25), words(30)]
+    rich = ("<body><nav><ul><li><a href='/'>home</a></li></ul></nav><article><h1>{}</h1><h2>{}</h2><p>{}</p><ul><li>{}</li><li>{}</li></ul>"
+            "<blockquote>{}</blockquote><p>{}</p></article><div class='comments'><div class='comment'><p>a reader's view</p></div></div><footer>end</footer>").format(*forms)
+    text = htmltext.extract(llm.createDataFrame([(1, "u", rich)], "page_id long, url string, html string"), model).first()["text"]
+    assert text == "\n".join(forms)
     odd = {r["page_id"]: r["text"] for r in htmltext.extract(pages, model).collect()}
     assert odd[1] == odd[2] == "" and len(odd) == len(ODD)
     assert htmltext.extract(pages.limit(0), htmltext.fit(pages.limit(0))).count() == 0
