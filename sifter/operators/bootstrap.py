@@ -34,11 +34,13 @@ _POISSON1_CDF = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
 def poisson_weight(key: Column, b: Column, seed: int) -> Column:
     """Seeded Poisson(1) count for (row, replicate) by inverse CDF of an MD5 draw (any SQL engine can repeat it)."""
-    u = uniform(seed, key, b)
-    w = F.lit(len(_POISSON1_CDF))
-    for k in range(len(_POISSON1_CDF) - 1, -1, -1):
-        w = F.when(u < float(_POISSON1_CDF[k]), F.lit(k)).otherwise(w)
-    return w.cast("double")
+    def counted(u: Column) -> Column:
+        w = F.lit(len(_POISSON1_CDF))
+        for k in range(len(_POISSON1_CDF) - 1, -1, -1):
+            w = F.when(u < float(_POISSON1_CDF[k]), F.lit(k)).otherwise(w)
+        return w.cast("double")
+    # through a lambda variable: a plain CASE would hash anew in each of its branches
+    return F.transform(F.array(uniform(seed, key, b)), counted)[0]
 
 
 def replicate_rows(df: DataFrame, n_bootstrap: int, seed: int = 42, row_id: str = "row_id") -> DataFrame:
