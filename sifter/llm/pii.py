@@ -38,10 +38,19 @@ GIVEN_END = {("latin", "f"): "a", ("latin", "m"): "n", ("cyrillic", "f"): "на"
 SURNAME_END = {("latin", "f"): "l", ("latin", "m"): "l", ("cyrillic", "f"): "ова", ("cyrillic", "m"): "ов",
                ("greek", "f"): "ου", ("greek", "m"): "ης"}
 OTHER_LATIN = "àâäçéèêëîïôöùûüñß"
+# Letters and signs of scripts without names above; those of any further script become a-z, other numerals 0-9.
+ALPHABETS = {
+    "Han": "".join(chr(0x4E00 + 81 * k) for k in range(256)), "Hangul": "".join(chr(0xAC00 + 43 * k) for k in range(256)),
+    "Hiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ",
+    "Katakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
+    "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "Hebrew": "אבגדהוזחטיכלמנסעפצקרשת",
+    "Devanagari": "अआइईउऊएओकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह", "Thai": "กขคงจฉชซญดตถทนบปผพฟภมยรลวสหอ",
+}
+CROWDED = 8                  # from this attempt on, a surrogate of fixed length grows too
 
 NAME = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
 PATTERNS = [
-    ("EMAIL", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+"),
+    ("EMAIL", r"(?<![\p{L}\p{M}\p{N}._%+\-])[\p{L}\p{M}\p{N}._%+\-]++@[\p{L}\p{M}\p{N}\-]++(?:\.[\p{L}\p{M}\p{N}\-]++)+"),
     ("TOKEN", r"(?<![\p{L}\p{N}_])(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![\p{L}\p{N}_])"),
     ("IBAN", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
     ("IP", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"),
@@ -115,11 +124,14 @@ def _byte(pool: Column, i: Column) -> Column:
 def _letter(c: Column, b: Column) -> Column:
     """A character of the same class as ``c`` (a canonical character), chosen by the byte ``b``."""
     at = lambda s: F.substr(F.lit(s), F.pmod(b, F.lit(len(s))) + 1, F.lit(1))
+    other = F.when(c.rlike(r"[\p{L}\p{M}]"), at("abcdefghijklmnopqrstuvwxyz")).when(c.rlike(r"\p{N}"), at("0123456789")).otherwise(c)
+    for script, letters in ALPHABETS.items():
+        other = F.when(c.rlike(rf"(?=[\p{{L}}\p{{M}}])\p{{Is{script}}}"), at(letters)).otherwise(other)
     return (F.when(c.rlike("[0-9]"), at("0123456789")).when(c.rlike("[a-z]"), at("abcdefghijklmnopqrstuvwxyz"))
             .when(c.rlike("[A-Z]"), at("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
             .when(c.rlike(r"\p{IsCyrillic}"), at("абвгдежзиклмнопрстуфхцчшщэюя"))
             .when(c.rlike(r"\p{IsGreek}"), at("αβγδεζηθικλμνξοπρστυφχψω"))
-            .when(c.rlike(r"\p{IsLatin}"), at(OTHER_LATIN)).otherwise(c))
+            .when(c.rlike(r"\p{IsLatin}"), at(OTHER_LATIN)).otherwise(other))
 
 
 def _spelled(form: Column, pool: Column, keep: Column) -> Column:
@@ -158,20 +170,28 @@ def _name(kind: Column, pool: Column, attempt: Column) -> Column:
 
 
 def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
-    """The replacement of a canonical form, itself canonical."""
+    """The replacement of a canonical form, itself canonical.
+
+    An address gets a letter more with each attempt (and one at once if it has none to replace), numbers and
+    secrets from attempt ``CROWDED`` on: whatever the corpus holds, some attempt is free.
+    """
     seed = F.concat_ws(SEP, F.lit(key), kind, form, attempt.cast("string"))
     pool = _let(F.sha2(seed, 256), lambda h: F.concat(h, F.sha2(h, 256)))
     octet = lambda p: lambda i: (F.pmod(_byte(p, i), F.lit(223)) + 1).cast("string")
+    more = F.greatest(attempt - (CROWDED - 1), F.lit(0))
+    longer = F.concat(form, F.repeat(F.lit("0"), more))
     label = F.regexp_extract(form, r"\A(.*)(\.[^.]*)\z", 1)
+    bare = F.when(label.rlike(r"[\p{L}\p{M}\p{N}]"), F.lit(0)).otherwise(F.lit(1))
+    label = F.concat(F.repeat(F.lit("a"), attempt + bare), label)
     top = F.regexp_extract(form, r"\A(.*)(\.[^.]*)\z", 2)
     return _let(pool, lambda p: (
         F.when(kind == "EMAIL", F.concat(_spelled(label, p, F.lit(0)), top))
-        .when(kind == "IP", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), octet(p)), "."))
-        .when(kind == "CARD", _card(form, p))
-        .when(kind == "PHONE", _spelled(form, p, F.when(F.startswith(form, F.lit("+")), F.lit(2)).otherwise(F.lit(0))))
-        .when(kind == "IBAN", _spelled(form, p, F.lit(2)))
-        .when(kind == "TOKEN", _token(form, p))
-        .when(kind == "SSN", _spelled(form, p, F.lit(0)))
+        .when(kind == "IP", F.array_join(F.transform(F.sequence(F.lit(0), more + 3), octet(p)), "."))
+        .when(kind == "CARD", _card(F.concat(F.repeat(F.lit("0"), more), form), p))      # zeros in front leave the check digit
+        .when(kind == "PHONE", _spelled(longer, p, F.when(F.startswith(form, F.lit("+")), F.lit(2)).otherwise(F.lit(0))))
+        .when(kind == "IBAN", _spelled(longer, p, F.lit(2)))
+        .when(kind == "TOKEN", _token(longer, p))
+        .when(kind == "SSN", _spelled(longer, p, F.lit(0)))
         .otherwise(_name(kind, p, attempt))))
 
 
@@ -189,12 +209,15 @@ def formatted(e: Column, form: Column) -> Column:
         dressed = F.when(c.rlike(r"\p{Lu}"), F.upper(here)).otherwise(here)
         return F.when(c.rlike(r"[\p{L}\p{N}+]"), F.struct((acc["at"] + 1).alias("at"), F.concat(acc["s"], dressed).alias("s"))).otherwise(
             F.struct(acc["at"].alias("at"), F.concat(acc["s"], c).alias("s")))
-    return F.aggregate(F.split(e, ""), F.struct(F.lit(1).alias("at"), F.lit("").alias("s")), put, lambda a: a["s"])
+    return F.aggregate(F.split(e, ""), F.struct(F.lit(1).alias("at"), F.lit("").alias("s")), put,
+                       lambda a: F.concat(a["s"], F.substr(form, a["at"])))
 
 
 def _dress_email(e: Column, form: Column) -> Column:
-    """Case by position: an address and its surrogate have the same length."""
-    return F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(F.substr(e, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
+    """Case by position from the end: letters that a later attempt adds stand in front."""
+    ahead = F.char_length(form) - F.char_length(e)
+    same = lambda i: F.when(i >= ahead, F.substr(e, i - ahead + 1, F.lit(1))).otherwise(F.lit(""))
+    return F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(same(i).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
 
 
 def replacement(e: Column, attempts: Column | None, key: str) -> Column:

@@ -118,6 +118,24 @@ def test_pii_collisions_are_moved(llm, monkeypatch):
     assert len(out) == len(set(out)) == 89
 
 
+def test_pii_addresses_of_any_script_and_few_surrogates(llm, monkeypatch):
+    locals_ = ["山田太郎", "محمد", "דוד", "김철수", "さくら", "नमस्ते", "Գագիկ", "๑๒๓"]
+    mails = [f"{x}@example.com" for x in locals_] + ["山田@例え.com", "_@-.com", "%@--.com", "Jo@EXAMPLE.com"]
+    docs = llm.createDataFrame([(i, f"mail {m} now") for i, m in enumerate(mails)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs).collect()}
+    new = [out[i].removeprefix("mail ").removesuffix(" now") for i in range(len(mails))]
+    assert len({m.lower() for m in new}) == len(mails) and not {m.lower() for m in new} & {m.lower() for m in mails}
+    assert all(old not in now for old, now in zip(locals_, new))
+    assert all("\u4e00" <= c <= "\u9fff" for c in new[0].split("@")[0][-4:]) and all("\u0590" <= c <= "\u05ff" for c in new[2].split("@")[0][-3:])
+    # fewer surrogates of the same length than forms: x@y.com (676) and +1 22 33 (10,000)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    monkeypatch.setattr(pii, "CROWDED", 2)
+    full = [f"{a}@{b}.com" for a in alphabet for b in alphabet] + [f"+1 {n // 100:02d} {n % 100:02d}" for n in range(10000)]
+    docs = llm.createDataFrame([(i, m) for i, m in enumerate(full)], "doc_id long, text string")
+    got = [r["text"] for r in pii.pseudonymise(docs).collect()]
+    assert len(set(got)) == len(full) and not set(got) & set(full)
+
+
 def test_toxicity_learns_held_out_and_interactions(llm, no_docs):
     rng = random.Random(6)
     filler = [f"word{i}" for i in range(300)]
