@@ -4,7 +4,7 @@ Entities are found by one alternation of patterns.  Each has a type and a canoni
 digits, a lower-cased address, each word of a name); the surrogate of a canonical form is spelled from
 SHA-256(key, type, form, attempt), so every mention, however formatted, gets the same replacement:
 digits become digits, letters letters of the same script and case, punctuation stays, an IP's octets
-stay octets, a card that passes its check digit still does, a name keeps its title and its gender's ending.
+stay octets, a card that passes its check digit still does, a name keeps its titles and its gender's ending, if they tell one.
 
 Collision check: all distinct forms of the corpus are grouped; a form whose surrogate is taken by a
 smaller form of its type, or is itself a form of the corpus, moves to its next attempt, until none is
@@ -28,15 +28,17 @@ from sifter.llm.common import BROADCAST_BYTES, stored, table
 # Titles by gender, and the letters and endings surrogates are spelled with, by script.
 TITLES_F = "Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mademoiselle|Signora|Госпожа|Κυρία"
 TITLES_M = "Mr|Herr|Señor|Monsieur|Signor|Господин|Κύριος"
+TITLES_N = "Dr|Prof|Doctor|Professor|Mx|Rev|Доктор|Профессор|Δρ"
+TITLE = rf"(?:(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? )"
 SYLLABLES = {
     "latin": ("b d f g k l m n p r s t v z br tr", "a e i o u ai ei ou"),
     "cyrillic": ("б в г д ж з к л м н п р с т ф х", "а е и о у ы ю я"),
     "greek": ("β γ δ ζ θ κ λ μ ν π ρ σ τ φ χ ψ", "α ε η ι ο υ ω αι"),
 }
 GIVEN_END = {("latin", "f"): "a", ("latin", "m"): "n", ("cyrillic", "f"): "на", ("cyrillic", "m"): "н",
-             ("greek", "f"): "α", ("greek", "m"): "ος"}
+             ("greek", "f"): "α", ("greek", "m"): "ος", ("latin", "n"): "i", ("cyrillic", "n"): "и", ("greek", "n"): "ι"}
 SURNAME_END = {("latin", "f"): "l", ("latin", "m"): "l", ("cyrillic", "f"): "ова", ("cyrillic", "m"): "ов",
-               ("greek", "f"): "ου", ("greek", "m"): "ης"}
+               ("greek", "f"): "ου", ("greek", "m"): "ης", ("latin", "n"): "l", ("cyrillic", "n"): "ко", ("greek", "n"): "ας"}
 OTHER_LATIN = "àâäçéèêëîïôöùûüñß"
 # Letters and signs of scripts without names above; those of any further script become a-z, other numerals 0-9.
 ALPHABETS = {
@@ -48,7 +50,8 @@ ALPHABETS = {
 }
 CROWDED = 8                  # from this attempt on, a surrogate of fixed length grows too
 
-NAME = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
+# A name word is read to its last letter, whatever capitals, apostrophes and hyphens it holds; a possessive 's is not part of it.
+NAME = r"\p{Lu}\p{M}*+(?:(?!['’]s(?![\p{L}\p{M}]))['’\-]?[\p{L}\p{M}])++"
 PATTERNS = [
     ("EMAIL", r"(?<![\p{L}\p{M}\p{N}._%+\-])[\p{L}\p{M}\p{N}._%+\-]++@[\p{L}\p{M}\p{N}\-]++(?:\.[\p{L}\p{M}\p{N}\-]++)+"),
     ("TOKEN", r"(?<![\p{L}\p{N}_])(?:[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![\p{L}\p{N}_])"),
@@ -59,10 +62,10 @@ PATTERNS = [
               r"|(?<![\p{L}\p{N}+.\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\d\-])"),
     ("SSN", r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])"),
     ("CARD", r"(?<![\p{L}\p{N}.\-])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])"),
-    ("PERSON", rf"(?<!\p{{L}})(?:{TITLES_F}|{TITLES_M})\.? {NAME}(?: {NAME}){{0,2}}"),
+    ("PERSON", rf"(?<!\p{{L}}){TITLE}++{NAME}(?: (?!{TITLE}){NAME}){{0,2}}"),
 ]
 ENTITY = "|".join(f"(?:{p})" for _, p in PATTERNS)
-HINT = rf"[0-9@]|(?:{TITLES_F}|{TITLES_M})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|{TITLE}\p{{Lu}}"
 SEP = "\x1f"
 
 
@@ -85,10 +88,16 @@ def entity_type(e: Column) -> Column:
 
 
 def person_parts(e: Column) -> tuple[Column, Column, Column]:
-    """(title with its trailing blank, name words, gender) of a PERSON entity."""
-    title = F.regexp_extract(e, rf"\A(?:{TITLES_F}|{TITLES_M})\.? ", 0)
+    """(titles with their trailing blank, name words, gender) of a PERSON entity."""
+    title = F.regexp_extract(e, rf"\A{TITLE}++", 0)
     names = F.split(F.substr(e, F.char_length(title) + 1), " ")
-    return title, names, F.when(title.rlike(rf"\A(?:{TITLES_F})\.? "), F.lit("f")).otherwise(F.lit("m"))
+    has = lambda titles: title.rlike(rf"(?<!\p{{L}})(?:{titles})\.? ")
+    return title, names, F.when(has(TITLES_F), F.lit("f")).when(has(TITLES_M), F.lit("m")).otherwise(F.lit("n"))
+
+
+def name_form(word: Column) -> Column:
+    """A name word whatever its case and apostrophe."""
+    return F.translate(F.lower(word), "’", "'")
 
 
 def script_of(word: Column) -> Column:
@@ -112,7 +121,7 @@ def units(e: Column) -> Column:
     """The (type, form) pairs of an entity: one, or one per word of a name."""
     title, names, gender = person_parts(e)
     size = F.size(names)
-    of_names = F.transform(names, lambda w, i: F.struct(name_type(w, gender, i == size - 1).alias("kind"), F.lower(w).alias("form")))
+    of_names = F.transform(names, lambda w, i: F.struct(name_type(w, gender, i == size - 1).alias("kind"), name_form(w).alias("form")))
     single = _let(entity_type(e), lambda t: F.array(F.struct(t.alias("kind"), canonical(t, e).alias("form"))))
     return F.when(entity_type(e) == "PERSON", of_names).otherwise(single)
 
@@ -227,7 +236,7 @@ def replacement(e: Column, attempts: Column | None, key: str) -> Column:
         return surrogate(kind, form, n, key)
     title, names, gender = person_parts(e)
     size = F.size(names)
-    words = F.transform(names, lambda w, i: F.initcap(new(name_type(w, gender, i == size - 1), F.lower(w))))
+    words = F.transform(names, lambda w, i: F.initcap(new(name_type(w, gender, i == size - 1), name_form(w))))
     person = F.concat(title, F.array_join(words, " "))
     other = lambda t: _let(new(t, canonical(t, e)), lambda s: (
         F.when(t == "EMAIL", _dress_email(e, s)).when(t.isin("IP", "TOKEN"), s).otherwise(formatted(e, s))))

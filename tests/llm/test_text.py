@@ -136,6 +136,24 @@ def test_pii_addresses_of_any_script_and_few_surrogates(llm, monkeypatch):
     assert len(set(got)) == len(full) and not set(got) & set(full)
 
 
+def test_pii_names_with_inner_capitals_and_neutral_titles(llm):
+    said = ["Mr. O'Brien", "Mr. O’Brien", "Mr. O'Brien's", "Mrs. Mary McDonald", "Ms. MacLeod-Jones", "Mr. SMITH", "Mr. Jean-Luc D'Arc", "Dr. Kovacs", "Prof. Dr. Müller",
+            "Frau Dr. von", "Frau Dr. Weber-McKay", "Herr Prof. Dr. Weiß", "Доктор Живаго"]
+    docs = llm.createDataFrame([(i, f"met {m} today") for i, m in enumerate(said)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs).collect()}
+    import re
+    for i, (title, parts) in enumerate([("Mr. ", 1), ("Mr. ", 1), ("Mr. ", 1), ("Mrs. ", 2), ("Ms. ", 1), ("Mr. ", 1), ("Mr. ", 2), ("Dr. ", 1), ("Prof. Dr. ", 1),
+                                        (None, 0), ("Frau Dr. ", 1), ("Herr Prof. Dr. ", 1), ("Доктор ", 1)]):
+        if title is None:
+            assert out[i] == f"met {said[i]} today"
+            continue
+        new = re.fullmatch(rf"met {re.escape(title)}([^\W\d_]+(?: [^\W\d_]+){{{parts - 1}}})('s)? today", out[i])
+        assert new and not set(re.findall(r"\w{3,}", said[i].removeprefix(title))) & set(re.findall(r"\w{3,}", new[1])), out[i]
+    assert out[0] == out[1] and out[2] == out[0].replace(" today", "'s today")
+    plain = llm.createDataFrame([(1, "The Dr. said so; prof. and Mr. went. Mrs. Anna Kovacs, Drive Dr.")], "doc_id long, text string")
+    assert re.fullmatch(r"The Dr\. said so; prof\. and Mr\. went\. Mrs\. \w+a \w+l, Drive Dr\.", pii.pseudonymise(plain).first()["text"])
+
+
 def test_toxicity_learns_held_out_and_interactions(llm, no_docs):
     rng = random.Random(6)
     filler = [f"word{i}" for i in range(300)]
