@@ -73,6 +73,12 @@ def test_blocks_of_messy_html():
     assert htmltext.blocks(None) == htmltext.blocks("") == htmltext.blocks("<p></p>") == []
 
 
+def test_custom_elements_are_no_raw_text():
+    for tag in ("svg-icon", "style-guide", "template-x", "select-box"):
+        page = f"<article><p>one</p><{tag} name='x'></{tag}><p>two</p><{tag}/><p>three</p></article><svg><text>no</text></svg><script\n>no</script><p>four</p>"
+        assert [b.text for b in htmltext.blocks(page)] == ["one", "two", "three", "four"]
+
+
 def test_gradient_of_the_network():
     rng = np.random.default_rng(2)
     model = htmltext.Labeller()
