@@ -6,9 +6,9 @@ tag path (names, classes, ids and roles of its ancestors), a hashed bag of its w
 decision sees the whole document; blocks it labels content are joined.
 
 Training: a bounded sample of pages (``TRAIN_PAGES``, chosen by hash).  Their silver labels come from the
-document structure (inside the article and in none of the boilerplate containers); copies of the
-sample with boilerplate and content containers of other names, listed below, teach the forms the
-sample lacks.  The fitted network is a fixed-size array, broadcast to one pass over all pages; no shuffle.
+document structure (inside the article and in none of the boilerplate containers, by tag or by class); copies
+of the sample with boilerplate and content containers of other names, listed below, teach the forms the
+sample lacks.  A page without article or main has no label: copies of a generated article stand for it.  The fitted network is a fixed-size array, broadcast to one pass over all pages; no shuffle.
 
 Defined cases: null or empty html and pages without blocks give an empty text; unclosed, misnested and
 unknown tags are tolerated; an unclosed comment, script or style hides the rest of the page; very long pages
@@ -71,6 +71,7 @@ class Block:
     path: tuple[str, ...]
     linked: int = 0
     parts: list[str] = field(default_factory=list, repr=False)
+    boxes: tuple[tuple[str, ...], ...] = field(default=(), repr=False)      # the path by element: name, then words
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -87,7 +88,7 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(t for _, own in stack for t in own), linked))
+                out.append(Block(text, tuple(t for _, own in stack for t in own), linked, boxes=tuple(own for _, own in stack)))
         parts, linked = [], 0
 
     for m in _TOKEN.finditer(page):
@@ -127,6 +128,9 @@ def _own(attrs: str) -> list[str]:
     return [w for m in _ATTR.finditer(attrs) for w in re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower()) if w] if "=" in attrs else []
 
 
+BOILERPLATE_WORDS = {w.rstrip("s") for tag in BOILERPLATE for w in _own(tag)} - {"site", "list", "author"}
+
+
 def _hash(word: str) -> int:
     h = _HASHES.get(word)
     if h is None:
@@ -265,7 +269,8 @@ def silver(page: list[Block], opening: tuple[str, ...] = ()) -> np.ndarray:
     def one(b: Block) -> bool:
         if "boilerplate0" in b.path or any(SILVER_SKIP.match(t) for t in b.path):
             return False
-        return "content0" in b.path or "article" in b.path or "main" in b.path
+        inside = next((i for i, own in enumerate(b.boxes) if own[0] in ("article", "main") or "content0" in own), None)
+        return inside is not None and not any(w.rstrip("s") in BOILERPLATE_WORDS for own in b.boxes[inside + 1:] for w in own[1:])
     return np.array([one(b) for b in page], np.float32)
 
 
@@ -284,9 +289,14 @@ def varied(page: str, rng: np.random.Generator, texts: list[str]) -> str:
         form = FORMS[rng.integers(len(FORMS))]
         return form.format(*[texts[rng.integers(len(texts))][:rng.integers(10, 300)] for _ in range(form.count("{}"))])
     wrap = CONTENT[rng.integers(len(CONTENT))]
-    start, end = re.search(r"<article\b[^>]*>", page), page.rfind("</article>")
-    if not start or end < 0:
+    for name in ("article", "main"):
+        start = re.search(rf"<{name}(?=[\s>])[^>]*>", page, re.I)
+        ends = [m for m in re.finditer(rf"</{name}\s*>", page, re.I)]
+        if start and ends and ends[-1].start() >= start.end():
+            break
+    else:
         return page
+    end = ends[-1].start()
     pieces = re.split(r"(?=<p>)", page[start.end():end])            # a block form or a boilerplate box may stand before any paragraph
     spot = rng.integers(len(pieces))
     body = ""
@@ -297,16 +307,27 @@ def varied(page: str, rng: np.random.Generator, texts: list[str]) -> str:
         if i == spot and rng.random() < 0.6:
             body += box()
     return (page[:start.start()] + "".join(box() for _ in range(rng.integers(0, 3))) + f'<div role="content0">{wrap}' + body + _closing(wrap) + "</div>"
-            + "".join(box() for _ in range(rng.integers(0, 3))) + page[end + len("</article>"):])
+            + "".join(box() for _ in range(rng.integers(0, 3))) + page[ends[-1].end():])
+
+
+def generated(rng: np.random.Generator, prose: list[str]) -> str:
+    """A page with an article of the corpus's longer texts."""
+    body = "".join(f"<p>{prose[rng.integers(len(prose))]}</p>" for _ in range(rng.integers(2, 9)))
+    return f"<html><body><article><h1>{prose[rng.integers(len(prose))][:60]}</h1>{body}</article></body></html>"
 
 
 def training_set(pages: list[str], seed: int = 5) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Vectors and silver labels of the pages and of three varied copies of each; the marks of the copies are hidden."""
+    """Vectors and silver labels of the pages and of three varied copies of each; the marks of the copies are hidden.
+
+    A page without any labelled block is left out, and the copies are those of a generated article."""
     rng = np.random.default_rng(seed)
     texts = [entities.escape(b.text[:300]) for p in pages for b in blocks(p)] or ["text"]
+    prose = sorted(texts, key=len)[len(texts) // 2:]
     xs, ys = [], []
     for p in pages:
-        for version in (p, *(varied(p, rng, texts) for _ in range(3))):
+        known = silver(blocks(p)).any()
+        base = p if known else generated(rng, prose)
+        for version in (*[p] * bool(known), *(varied(base, rng, texts) for _ in range(3))):
             found = blocks(version)
             if found:
                 ys.append(silver(found))

@@ -93,6 +93,26 @@ def test_gradient_of_the_network():
     assert all((m == (t > 0.5)).all() for m, t in zip(model.content(pages), y))
 
 
+def test_training_on_pages_without_article_and_with_comments_inside():
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"w{v}" for v in rng.integers(0, 500, n))
+
+    def page(i):
+        body = [words(8), *(words(rng.integers(15, 60)) for _ in range(4))]
+        main = f"<h1>{body[0]}</h1>" + "".join(f"<p>{b}</p>" for b in body[1:])
+        inner = f'<div class="ad">{words(5)}</div><section class="comments"><p>{words(9)}</p><p>{words(20)}</p></section>' if i % 3 == 1 else ""
+        main = f'<div class="content">{main}</div>' if i % 3 == 0 else f"<article>{main}{inner}</article>"
+        return f'<html><head><title>{words(3)}</title></head><body><nav><ul><li><a href="/">{words(1)}</a></li></ul></nav>{main}<footer>{words(4)}</footer></body></html>', body
+    made = [page(i) for i in range(150)]
+    model = htmltext.Labeller().fit(*htmltext.training_set([h for h, _ in made]))
+    found = [htmltext.blocks(h) for h, _ in made]
+    got = [[b.text for b, ok in zip(p, m) if ok] for p, m in zip(found, model.content([htmltext.vectors(p) for p in found]))]
+    assert [sum(g == b for g, (_, b) in zip(got[k::3], made[k::3])) for k in range(3)] == [50, 50, 50]
+    assert not htmltext.silver(htmltext.blocks("<div class='content'><p>a</p></div>")).any()
+    marked = htmltext.silver(htmltext.blocks("<div class='related'><article class='post notice'><p>a</p><div class='cookie-notice'>b</div><div class='ads'>c</div></article></div>"))
+    assert marked.tolist() == [1, 0, 0]
+
+
 def test_extraction_drops_boilerplate(llm, pages):
     rng = np.random.default_rng(3)
     words = lambda n: " ".join(f"w{v}" for v in rng.integers(0, 500, n))
