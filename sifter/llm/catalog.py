@@ -7,6 +7,7 @@ from sifter.llm.covertree import ORACLE_OP2, op2_covertree
 from sifter.llm.decontaminate import ORACLE_OP9, op9_decontaminate
 from sifter.llm.htmltext import op8_html_text
 from sifter.llm.langid import op6_language_id
+from sifter.llm.merkle import ORACLE_OP13, op13_merkle
 from sifter.llm.pii import op5_pii
 from sifter.llm.simhash import op1_simhash
 from sifter.llm.toxicity import op4_toxicity
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_decontaminate": op9_decontaminate,
     "op10_bpe": op10_bpe,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE: dict[str, str] = {
     "op2_covertree": ORACLE_OP2,
     "op7_warc": ORACLE_OP7,
     "op9_decontaminate": ORACLE_OP9,
+    "op13_merkle": ORACLE_OP13,
 }
