@@ -10,6 +10,7 @@ from sifter.llm.langid import op6_language_id
 from sifter.llm.merkle import ORACLE_OP13, op13_merkle
 from sifter.llm.pii import op5_pii
 from sifter.llm.simhash import op1_simhash
+from sifter.llm.tokenfile import op12_token_blocks
 from sifter.llm.toxicity import op4_toxicity
 from sifter.llm.urls import op3_url_filter
 from sifter.llm.warc import ORACLE_OP7, op7_warc
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_decontaminate": op9_decontaminate,
     "op10_bpe": op10_bpe,
+    "op12_token_blocks": op12_token_blocks,
     "op13_merkle": op13_merkle,
 }
 
