@@ -14,6 +14,7 @@ from sifter.llm.tokenfile import op12_token_blocks
 from sifter.llm.toxicity import op4_toxicity
 from sifter.llm.urls import op3_url_filter
 from sifter.llm.warc import ORACLE_OP7, op7_warc
+from sifter.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_decontaminate": op9_decontaminate,
     "op10_bpe": op10_bpe,
+    "op11_whitening": op11_whitening,
     "op12_token_blocks": op12_token_blocks,
     "op13_merkle": op13_merkle,
 }
