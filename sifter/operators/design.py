@@ -5,6 +5,8 @@
   seeded permutation of the n strata (ranks of a seeded hash, assigned by
   ``ordered_index`` so n is not limited by one task), jittered inside the
   stratum and scaled to the bounds.
+* ``mixed_design`` is one Latin hypercube over parameters of all types, as
+  large as asked for; suggestions take their candidates from it.
 * ``candidate_space`` enumerates stepped/discrete levels with ``explode``
   (a product without join) on top of LHS points for continuous dimensions.
 * ``snap_to_grid`` / ``snap_step`` map values onto stepped levels.
@@ -81,6 +83,15 @@ def snap_step(value: F.Column, lo: float, step: float, hi: float | None = None,
     return F.bround(snapped, decimals)
 
 
+def _strata(spark: SparkSession, n_points: int, dims: int, seed: int) -> DataFrame:
+    """(point, dim, _stratum, _u): every dimension's strata in a seeded order, a uniform place in each."""
+    pts = spark.range(n_points).withColumnRenamed("id", "point")
+    long_df = pts.withColumn("dim", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))))
+    long_df = long_df.withColumn("_h", uniform(seed, F.col("point"), F.col("dim")))
+    perm = ordered_index(long_df, ["_h", "point"], name="_stratum", group_cols=["dim"])
+    return perm.withColumn("_u", (F.col("_stratum") + uniform(seed + 1, F.col("point"), F.col("dim"))) / float(n_points))
+
+
 def latin_hypercube(spark: SparkSession, n_points: int, params: Sequence[tuple],
                     seed: int = 42, clamp: bool = True) -> DataFrame:
     """G1: n-point Latin hypercube over ``(name, lower, upper[, step])`` dims.
@@ -94,23 +105,43 @@ def latin_hypercube(spark: SparkSession, n_points: int, params: Sequence[tuple],
     for p in params:
         if float(p[1]) >= float(p[2]):
             raise ValueError("Each lower bound must be strictly less than its upper bound.")
-    pts = spark.range(n_points).withColumnRenamed("id", "point")
-    long_df = pts.withColumn("dim", F.explode(F.sequence(F.lit(0), F.lit(len(params) - 1))))
-    long_df = long_df.withColumn("_h", uniform(seed, F.col("point"), F.col("dim")))
-    perm = ordered_index(long_df, ["_h", "point"], name="_stratum", group_cols=["dim"])
-    jitter = uniform(seed + 1, F.col("point"), F.col("dim"))
-    u = (F.col("_stratum") + jitter) / float(n_points)
     cols = []
     for j, p in enumerate(params):
         lo, hi = float(p[1]), float(p[2])
-        x = F.lit(lo) + F.max(F.when(F.col("dim") == j, u)) * (hi - lo)
+        x = F.lit(lo) + F.max(F.when(F.col("dim") == j, F.col("_u"))) * (hi - lo)
         step = p[3] if len(p) > 3 else None
         if step:
             x = snap_step(x, lo, float(step), hi, clamp=clamp)
         else:
             x = F.bround(x, 6)
         cols.append(x.alias(str(p[0])))
-    return perm.groupBy("point").agg(*cols)
+    return _strata(spark, n_points, len(params), seed).groupBy("point").agg(*cols)
+
+
+def mixed_design(spark: SparkSession, params: DataFrame, n_points: int, seed: int = 42) -> DataFrame:
+    """``n_points`` feasible points from one Latin hypercube over all parameters of any type.
+
+    A stepped or categorical parameter's strata are dealt to its levels in order, so that the levels' counts
+    differ by one at most; nothing multiplies levels, so the design is as large as asked for.
+    Output: ``point`` plus one column per parameter.  The parameter table has a row per feature.
+    """
+    if n_points < 1:
+        raise ValueError("n_points must be >= 1")
+    cols = []
+    rows = params.collect()
+    for j, r in enumerate(rows):
+        own = F.max(F.when(F.col("dim") == j, F.col("_u")))
+        stratum = F.max(F.when(F.col("dim") == j, F.col("_stratum")))
+        level = lambda count: F.floor(stratum * F.lit(count) / F.lit(n_points))
+        if r["type"] == "ordinal":
+            count = math.floor((r["upper"] - r["lower"]) / r["step"] + 1e-9) + 1
+            x = F.round(F.lit(r["lower"]) + level(count) * r["step"], 10)
+        elif r["type"] == "categorical":
+            x = F.element_at(F.array(*[F.lit(float(v)) for v in r["values"]]), level(len(r["values"])).cast("int") + 1)
+        else:
+            x = F.bround(F.lit(r["lower"]) + own * (r["upper"] - r["lower"]), 6)
+        cols.append(x.alias(r["feature"]))
+    return _strata(spark, n_points, len(rows), seed).groupBy("point").agg(*cols)
 
 
 def candidate_space(spark: SparkSession, params: DataFrame, n_continuous: int = 256,

@@ -2,35 +2,43 @@
 
 Inputs are min-max scaled to [0, 1] (constant column -> 0.5), the response
 is standardised (population std).  Model: constant mean + outputscale *
-Matern-5/2 with one lengthscale per feature + Gaussian noise.  Hyper-
-parameters are MAP estimates under Gamma priors, optimised with Adam
-(lr 0.1, ``n_iter`` steps), in log space.
-
-Distribution: rows are hashed into E = ceil(n / m) experts of about m rows
-(``expert_rows``).  The log marginal likelihood factorises over experts
-(Deisenroth & Ng, 2015), so each Adam step is one Spark job: a
-``mapInPandas`` over the expert table returns per-partition sums of every
-expert's negative log likelihood and gradient.  With one expert (n <= m) the
-model is the exact GP and is fitted on the driver (its data is bounded by m).
-Prediction combines the experts with the robust Bayesian committee machine;
-candidates are broadcast in bounded chunks and every partition of the expert
-table pre-sums its experts' contributions, so only (candidates x partitions)
-rows are shuffled.
+Matern-5/2 with one lengthscale per feature + Gaussian noise.
+
+Rows with the same inputs are first merged into one point (mean, count,
+sum of squares within); the likelihood of the merged points is exactly that
+of the rows, so a setting that a third of all rows share is one point.
+
+Fit: points are dealt by a hash of their inputs into experts of about
+``FIT_ROWS`` points, each a sample of the whole space, and the log
+likelihood is the sum over experts (Deisenroth & Ng, 2015).  Hyper-parameters
+are MAP estimates under Gamma priors, found by L-BFGS whose line search
+evaluates all of its step lengths in one Spark job, so a fit takes at most
+``MAX_JOBS`` jobs whatever the number of rows.
+
+Prediction: points are cut into regions of at most ``expert_size`` points by
+a tree of quantile splits, held as stored split tables; a candidate is routed
+down the tree to its own region and to those a fraction of a lengthscale away
+in every direction, meets their points by an equi-join on the region, and the
+regions' answers are combined with the robust Bayesian committee machine.
+Work is linear in candidates.  There is one path at every size: with few
+points there is one expert and one region, and the model is the exact GP.
 """
 
 from __future__ import annotations
 
+import sifter._blas  # noqa: F401  (one BLAS thread a process)
+
 import math
-from dataclasses import dataclass, field
-from typing import Sequence
+from dataclasses import dataclass
+from typing import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sifter.functions.broadcasting import broadcast_if_small
 from sifter.operators.cleaning import column_moments
-from sifter.functions.ordering import ordered_index
 from sifter.session import durable
 
 SQRT5 = math.sqrt(5.0)
@@ -41,15 +49,17 @@ OUTPUTSCALE_PRIOR = (2.0, 0.15)
 NOISE_PRIOR = (1.1, 0.05)
 NOISE_FLOOR = 1e-4
 JITTER = 1e-8
-CANDIDATE_CHUNK = 200_000
-# Expert tables of at most this many rows are optimised on the driver (same
-# factorised objective, one collect of bounded size); larger ones run one
-# Spark job per optimiser step.
-LOCAL_ROWS = 4096
+FIT_ROWS = 256              # points of an expert in the fit
+REGION_ROWS = 512           # points of a region in prediction
+FAN = 4                     # regions that a split makes
+REACH = 0.5                 # how far, in lengthscales, a candidate looks for neighbouring regions
+CHUNK = 2048                # candidates that meet a region in one group
+MAX_JOBS = 24
+STEPS = (1.0, 0.3, 0.1, 3.0, 0.01)      # step lengths that one job of the line search evaluates
 
 
 # ----------------------------------------------------------------------------
-# numpy core (used inside tasks and for the single-expert case)
+# numpy core (used inside tasks)
 # ----------------------------------------------------------------------------
 
 def _unpack(theta: np.ndarray, p: int):
@@ -69,26 +79,34 @@ def matern52(A: np.ndarray, B: np.ndarray, ls: np.ndarray) -> tuple[np.ndarray,
     return K, d2
 
 
-def expert_nll_grad(theta: np.ndarray, X: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-    """Negative log marginal likelihood of one expert and its gradient."""
+def expert_nll_grad(theta: np.ndarray, X: np.ndarray, y: np.ndarray, count: np.ndarray | None = None,
+                    within: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """Negative log marginal likelihood of one expert and its gradient.
+
+    ``count`` rows were merged into each point and ``y`` is their mean, ``within`` their sum of squares around it.
+    """
     m, p = X.shape
+    count = np.ones(m) if count is None else count
+    within = np.zeros(m) if within is None else within
     ls, os_, noise, mean = _unpack(theta, p)
     K0, d2 = matern52(X, X, ls)
     r = np.sqrt(d2.sum(axis=2))
-    K = os_ * K0 + (noise + JITTER) * np.eye(m)
-    L = np.linalg.cholesky(K)
+    L = np.linalg.cholesky(os_ * K0 + np.diag(noise / count + JITTER))
+    Linv = np.linalg.inv(L)
+    Kinv = Linv.T @ Linv
     resid = y - mean
-    alpha = np.linalg.solve(L.T, np.linalg.solve(L, resid))
-    nll = 0.5 * resid @ alpha + np.log(np.diag(L)).sum() + 0.5 * m * math.log(2 * math.pi)
-    Kinv = np.linalg.solve(L.T, np.linalg.solve(L, np.eye(m)))
+    alpha = Kinv @ resid
+    more = count - 1.0
+    nll = (0.5 * resid @ alpha + np.log(np.diag(L)).sum() + 0.5 * m * math.log(2 * math.pi)
+           + 0.5 * (more.sum() * math.log(2 * math.pi * noise) + np.log(count).sum() + within.sum() / noise))
     W = np.outer(alpha, alpha) - Kinv
     grad = np.zeros_like(theta)
-    common = os_ * (5.0 / 3.0) * (1.0 + SQRT5 * r) * np.exp(-SQRT5 * r)
+    common = W * (os_ * (5.0 / 3.0) * (1.0 + SQRT5 * r) * np.exp(-SQRT5 * r))
     for d in range(p):
-        dK = common * d2[:, :, d]
-        grad[d] = -0.5 * np.sum(W * dK)
+        grad[d] = -0.5 * np.sum(common * d2[:, :, d])
     grad[p] = -0.5 * np.sum(W * (os_ * K0))
-    grad[p + 1] = -0.5 * np.trace(W) * (noise - NOISE_FLOOR)
+    by_noise = -0.5 * np.sum(np.diag(W) / count) + 0.5 * (more.sum() / noise - within.sum() / noise ** 2)
+    grad[p + 1] = by_noise * (noise - NOISE_FLOOR)
     grad[p + 2] = -alpha.sum()
     return float(nll), grad
 
@@ -109,39 +127,159 @@ def prior_nll_grad(theta: np.ndarray, p: int) -> tuple[float, np.ndarray]:
     return val, g
 
 
-def adam(fun, theta0: np.ndarray, n_iter: int = 100, lr: float = 0.1) -> np.ndarray:
+Evaluate = Callable[[list[np.ndarray]], list[tuple[float, np.ndarray]]]
+
+
+def lbfgs(evaluate: Evaluate, theta0: np.ndarray, max_jobs: int = MAX_JOBS, memory: int = 8, tol: float = 1e-7) -> np.ndarray:
+    """Minimise by L-BFGS; ``evaluate`` gives value and gradient at several points at once, one job a call."""
     theta = theta0.copy()
-    m = np.zeros_like(theta)
-    v = np.zeros_like(theta)
-    b1, b2, eps = 0.9, 0.999, 1e-8
-    for t in range(1, n_iter + 1):
-        _, g = fun(theta)
-        g = np.nan_to_num(g, nan=0.0, posinf=0.0, neginf=0.0)
-        m = b1 * m + (1 - b1) * g
-        v = b2 * v + (1 - b2) * g * g
-        theta = theta - lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps)
+    value, grad = evaluate([theta])[0]
+    pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
+    jobs, shrink = 1, 1.0
+    while jobs < max_jobs and np.abs(grad).max() > tol * max(1.0, abs(value)):
+        q, used = grad.copy(), []
+        for s, y, rho in reversed(pairs):
+            a = rho * (s @ q)
+            used.append(a)
+            q -= a * y
+        if pairs:
+            s, y, _ = pairs[-1]
+            q *= (s @ y) / (y @ y)
+        else:
+            q *= min(1.0, 1.0 / np.abs(grad).max())
+        for (s, y, rho), a in zip(pairs, reversed(used)):
+            q += (a - rho * (y @ q)) * s
+        step = -q * shrink
+        step *= min(1.0, 2.0 / np.abs(step).max())                  # log scale: no factor beyond e^2 at once
+        found = evaluate([theta + t * step for t in STEPS])
+        jobs += 1
+        slope = grad @ step
+        good = [(v, t, g) for t, (v, g) in zip(STEPS, found) if math.isfinite(v) and np.isfinite(g).all() and v <= value + 1e-4 * t * slope]
+        if not good:
+            if not pairs and shrink < 1e-6:
+                break
+            pairs, shrink = [], shrink * 1e-2                       # steepest descent, shorter
+            continue
+        new_value, t, new_grad = min(good, key=lambda c: c[0])
+        s, y = t * step, new_grad - grad
+        if s @ y > 1e-12 * np.linalg.norm(s) * np.linalg.norm(y):
+            pairs = [*pairs[-(memory - 1):], (s, y, 1.0 / (s @ y))]
+        settled = value - new_value <= tol * 1e-2 * max(1.0, abs(value))
+        theta, value, grad, shrink = theta + s, new_value, new_grad, 1.0
+        if settled:
+            break
     return theta
 
 
-def expert_predict(theta: np.ndarray, X: np.ndarray, y: np.ndarray, Xs: np.ndarray):
+def expert_predict(theta: np.ndarray, X: np.ndarray, y: np.ndarray, Xs: np.ndarray, count: np.ndarray | None = None):
     """Latent mean and variance of one expert at Xs."""
     m, p = X.shape
     ls, os_, noise, mean = _unpack(theta, p)
     K0, _ = matern52(X, X, ls)
-    L = np.linalg.cholesky(os_ * K0 + (noise + JITTER) * np.eye(m))
-    alpha = np.linalg.solve(L.T, np.linalg.solve(L, y - mean))
-    Ks, _ = matern52(Xs, X, ls)
-    Ks = os_ * Ks
-    mu = mean + Ks @ alpha
-    V = np.linalg.solve(L, Ks.T)
-    var = np.maximum(os_ - np.sum(V * V, axis=0), 1e-12)
+    L = np.linalg.cholesky(os_ * K0 + np.diag(noise / (np.ones(m) if count is None else count) + JITTER))
+    Linv = np.linalg.inv(L)
+    mu, var = np.empty(len(Xs)), np.empty(len(Xs))
+    alpha = Linv.T @ (Linv @ (y - mean))
+    for a in range(0, len(Xs), 512):
+        Ks = os_ * matern52(Xs[a:a + 512], X, ls)[0]
+        mu[a:a + 512] = mean + Ks @ alpha
+        V = Linv @ Ks.T
+        var[a:a + 512] = np.maximum(os_ - np.sum(V * V, axis=0), 1e-12)
     return mu, var
 
 
+def rows_of(xs) -> np.ndarray:
+    """A nested list of one expert's inputs as a matrix."""
+    return np.array([np.asarray(r, dtype=float) for r in xs])
+
+
 # ----------------------------------------------------------------------------
 # Spark side
 # ----------------------------------------------------------------------------
 
+def merged_points(df: DataFrame, features: Sequence[str], target: str, lo, rng, const, y_mean: float, y_std: float) -> DataFrame:
+    """One row per distinct (scaled) input: x, y (mean), n (rows), ss (sum of squares within)."""
+    zs = [F.lit(0.5) if const[j] else (F.col(f"`{f}`").cast("double") - float(lo[j])) / float(rng[j]) for j, f in enumerate(features)]
+    rows = df.select(F.array(*zs).alias("x"), ((F.col(f"`{target}`").cast("double") - y_mean) / y_std).alias("y"))
+    return rows.groupBy("x").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("n"),
+                                 (F.var_pop("y") * F.count(F.lit(1))).alias("ss"))
+
+
+def grouped_points(points: DataFrame, by: str) -> DataFrame:
+    """One row per expert or region, its points as arrays X, Y, N, S (bounded by how ``by`` was made)."""
+    packed = points.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("x", "y", "n", "ss"))).alias("_r"))
+    return packed.select(by, *[F.col(f"_r.{c}").alias(name) for c, name in (("x", "X"), ("y", "Y"), ("n", "N"), ("ss", "S"))])
+
+
+def nll_job(experts: DataFrame, thetas: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+    """Negative log likelihood and gradient summed over all experts, at every theta, in one job."""
+    k = len(thetas[0])
+
+    def run(batches):
+        value, grad = np.zeros(len(thetas)), np.zeros((len(thetas), k))
+        for pdf in batches:
+            for X, Y, N, S in zip(pdf["X"], pdf["Y"], pdf["N"], pdf["S"]):
+                X, Y, N, S = rows_of(X), *(np.asarray(v, dtype=float) for v in (Y, N, S))
+                for i, theta in enumerate(thetas):
+                    try:
+                        v, g = expert_nll_grad(theta, X, Y, N, S)
+                    except np.linalg.LinAlgError:       # far out: no step goes there
+                        v, g = math.inf, np.zeros(k)
+                    value[i] += v
+                    grad[i] += g
+        yield pd.DataFrame({"step": np.arange(len(thetas), dtype=np.int32), "nll": value, "g": grad.tolist()})
+
+    parts = experts.mapInPandas(run, "step int, nll double, g array<double>")
+    sums = parts.groupBy("step").agg(F.sum("nll").alias("nll"), *[F.sum(F.col("g")[i]).alias(f"g{i}") for i in range(k)])
+    got = {r["step"]: (float(r["nll"]), np.array([r[f"g{i}"] for i in range(k)], dtype=float)) for r in sums.collect()}   # a row a step
+    return [got.get(i, (0.0, np.zeros(k))) for i in range(len(thetas))]
+
+
+class RegionTree:
+    """Regions of at most ``size`` points, cut at quantiles of the widest input; one stored split table a level.
+
+    Node 0 is the whole space, the slices of node v are FAN * v + 1 ... FAN * v + FAN; a node without
+    a split is a region.
+    """
+
+    def __init__(self, points: DataFrame, size: int):
+        dims = len(points.select("x").head(1)[0]["x"])
+        self.levels: list[DataFrame] = []
+        at = points.withColumn("node", F.lit(0).cast("long"))
+        while True:
+            spread = [F.max(F.col("x")[d]) - F.min(F.col("x")[d]) for d in range(dims)]
+            nodes = at.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.array(*spread).alias("width"))
+            wide = durable(nodes.where(F.col("n") > size).where(F.array_max("width") > 0)
+                           .select("node", (F.array_position("width", F.array_max("width")) - 1).cast("int").alias("dim")))
+            if wide.isEmpty():
+                break
+            inside = at.join(broadcast_if_small(wide), "node").withColumn("v", F.element_at("x", F.col("dim") + 1))
+            cuts = F.percentile_approx("v", F.array(*[F.lit(i / FAN) for i in range(1, FAN)]), 1000)
+            split = inside.groupBy("node", "dim").agg(cuts.alias("cuts"), F.max("v").alias("top"))
+            # a value equal to a cut lies below it; the largest value must not be a cut, or nothing is cut off
+            split = split.select("node", "dim", F.array_distinct(F.transform("cuts", lambda c: F.when(c < F.col("top"), c))).alias("cuts"))
+            split = split.select("node", "dim", F.filter("cuts", lambda c: c.isNotNull()).alias("cuts"))
+            low = inside.groupBy("node").agg(F.min("v").alias("low"), F.max("v").alias("top"))
+            split = split.join(low, "node").select("node", "dim", F.when(F.size("cuts") > 0, F.col("cuts")).otherwise(
+                F.array((F.col("low") + F.col("top")) / 2)).alias("cuts"))
+            self.levels.append(durable(split))
+            at = durable(self._down(at, self.levels[-1]))
+        self.points = at
+
+    @staticmethod
+    def _down(rows: DataFrame, split: DataFrame) -> DataFrame:
+        joined = rows.join(broadcast_if_small(split), "node", "left")
+        below = F.size(F.filter("cuts", lambda c: c < F.element_at("x", F.col("dim") + 1)))
+        return joined.withColumn("node", F.when(F.col("dim").isNull(), F.col("node")).otherwise(F.col("node") * FAN + 1 + below)).drop("dim", "cuts")
+
+    def route(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (with x) and the region each of them lies in, as ``node``."""
+        rows = rows.withColumn("node", F.lit(0).cast("long"))
+        for split in self.levels:
+            rows = self._down(rows, split)
+        return rows
+
+
 @dataclass
 class GPModel:
     features: list[str]
@@ -152,258 +290,126 @@ class GPModel:
     x_const: np.ndarray
     y_mean: float
     y_std: float
-    experts: DataFrame | None          # expert table (expert, X array<array<double>>, y array<double>)
-    n_experts: int
-    local: tuple | None = None         # (X, y) when n_experts == 1
-    blocks: list | None = None         # all experts' (X, y) when the table is within LOCAL_ROWS
-    extra: list = field(default_factory=list)   # pseudo observations (X row, y) added by believers
+    points: DataFrame           # stored: x, y, n, ss
+    tree: RegionTree
+    regions: DataFrame          # stored: node, X, Y, N, S
 
     @property
     def lengthscales(self) -> np.ndarray:
         return np.exp(self.theta[:len(self.features)])
 
+    def scaled(self) -> Column:
+        """The features of a candidate row as the model's x."""
+        return F.array(*[F.lit(0.5) if self.x_const[j] else (F.col(f"`{f}`").cast("double") - float(self.x_lo[j])) / float(self.x_rng[j])
+                         for j, f in enumerate(self.features)])
+
     def scale_x(self, X: np.ndarray) -> np.ndarray:
         Z = (X - self.x_lo) / self.x_rng
         Z[:, self.x_const] = 0.5
         return Z
 
 
-def _scaled_columns(df: DataFrame, features: Sequence[str], target: str):
-    stats = column_moments(df, list(features) + [target])
-    lo = np.array([stats[f]["min"] for f in features], dtype=float)
-    hi = np.array([stats[f]["max"] for f in features], dtype=float)
-    rng = hi - lo
-    const = rng == 0
-    rng[const] = 1.0
-    y_mean = stats[target]["mean"]
-    y_std = stats[target]["std"]
-    n = stats[target]["n"]
-    return lo, rng, const, y_mean, y_std, n
-
-
-def expert_rows(df: DataFrame, features: Sequence[str], target: str, n_experts: int,
-                key: str | None, seed: int, lo, rng, const, y_mean, y_std) -> DataFrame:
-    """Expert table: one row per expert with its (scaled) X rows and y."""
-    zs = [F.lit(0.5) if const[j] else (F.col(f).cast("double") - float(lo[j])) / float(rng[j])
-          for j, f in enumerate(features)]
-    ys = (F.col(target).cast("double") - y_mean) / y_std
-    if not key:     # without a row key: the position in the order of the values, the same on every run
-        key = "_expert_key"
-        df = ordered_index(df.select(*dict.fromkeys([*features, target])), list(dict.fromkeys([*features, target])), name=key)
-    hkey = F.col(key)
-    rows = df.select(F.pmod(F.xxhash64(hkey, F.lit(seed)), F.lit(n_experts)).alias("expert"),
-                     F.array(*zs).alias("x"), ys.alias("y"))
-    # an expert holds about n / E rows by construction (hash of a row key)
-    grouped = rows.groupBy("expert").agg(F.collect_list(F.struct("x", "y")).alias("_r"))
-    return grouped.select("expert", F.transform("_r", lambda r: r["x"]).alias("X"),
-                          F.transform("_r", lambda r: r["y"]).alias("Y"))
-
-
-def _nll_job(experts: DataFrame, theta: np.ndarray) -> tuple[float, np.ndarray]:
-    k = len(theta)
-
-    def run(batches):
-        tot = 0.0
-        g = np.zeros(k)
-        for pdf in batches:
-            for Xl, Yl in zip(pdf["X"], pdf["Y"]):
-                X = np.array([np.asarray(r, dtype=float) for r in Xl])
-                v, gr = expert_nll_grad(theta, X, np.asarray(Yl, dtype=float))
-                tot += v
-                g += gr
-        yield pd.DataFrame({"nll": [tot], "g": [g.tolist()]})
-
-    parts = experts.mapInPandas(run, "nll double, g array<double>")
-    agg = parts.agg(F.sum("nll").alias("nll"),
-                    *[F.sum(F.col("g")[i]).alias(f"g{i}") for i in range(k)]).first()
-    return float(agg["nll"]), np.array([agg[f"g{i}"] for i in range(k)], dtype=float)
-
-
-def fit_gp(df: DataFrame, features: Sequence[str], target: str, n_iter: int = 100,
-           random_state: int = 42, expert_size: int = 512, key: str | None = "row_id",
-           min_rows: int = 2, local_rows: int = LOCAL_ROWS) -> GPModel:
+def fit_gp(df: DataFrame, features: Sequence[str], target: str, n_iter: int = MAX_JOBS, random_state: int = 42,
+           expert_size: int = REGION_ROWS, min_rows: int = 2, fit_rows: int = FIT_ROWS) -> GPModel:
     """Fit the surrogate; errors on too few rows or a constant response."""
     feats = list(features)
-    keep = [c for c in feats + [target] + ([key] if key else []) if c in df.columns]
-    data = df.select(*keep)
-    for c in feats + [target]:
-        data = data.where(F.col(c).isNotNull())
-    lo, rng, const, y_mean, y_std, n = _scaled_columns(data, feats, target)
-    p = len(feats)
+    data = df.select(*dict.fromkeys(feats + [target])).dropna()
+    stats = column_moments(data, list(dict.fromkeys(feats + [target])))
+    n, p = stats[target]["n"], len(feats)
     if n < min_rows:
-        raise ValueError(f"Need at least {min_rows} rows to fit a GP; got {n}.")
-    if not y_std or y_std == 0:
-        raise ValueError("Target y has zero variance; cannot fit GP.")
-    n_exp = max(1, int(math.ceil(n / expert_size)))
-    theta0 = np.r_[np.full(p, math.log(0.693)), 0.0, math.log(0.1), 0.0]
-    experts = expert_rows(data, feats, target, n_exp, key if key in data.columns else None,
-                          random_state, lo, rng, const, y_mean, y_std)
-    if n_exp == 1:
-        row = experts.first()
-        X = np.array([np.asarray(r, dtype=float) for r in row["X"]])
-        Y = np.asarray(row["Y"], dtype=float)
-
-        def fun(th):
-            v, g = expert_nll_grad(th, X, Y)
-            pv, pg = prior_nll_grad(th, p)
-            return v + pv, g + pg
-        theta = adam(fun, theta0, n_iter)
-        return GPModel(feats, target, theta, lo, rng, const, y_mean, y_std, experts, 1, (X, Y))
-    experts = durable(experts)
-    if n <= local_rows:
-        blocks = [(np.array([np.asarray(r, dtype=float) for r in row["X"]]), np.asarray(row["Y"], dtype=float))
-                  for row in experts.collect()]
-
-        def fun_local(th):
-            v, g = prior_nll_grad(th, p)
-            for Xb, Yb in blocks:
-                vb, gb = expert_nll_grad(th, Xb, Yb)
-                v, g = v + vb, g + gb
-            return v, g
-        theta = adam(fun_local, theta0, n_iter)
-        return GPModel(feats, target, theta, lo, rng, const, y_mean, y_std, experts, n_exp, blocks=blocks)
-
-    def fun(th):
-        v, g = _nll_job(experts, th)
-        pv, pg = prior_nll_grad(th, p)
-        return v + pv, g + pg
-    theta = adam(fun, theta0, n_iter)
-    return GPModel(feats, target, theta, lo, rng, const, y_mean, y_std, experts, n_exp)
-
-
-def _predict_local(model: GPModel, Z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    X, Y = model.local
-    if model.extra:
-        X = np.vstack([X] + [e[0][None, :] for e in model.extra])
-        Y = np.r_[Y, [e[1] for e in model.extra]]
-    return expert_predict(model.theta, X, Y, Z)
-
-
-def predict_scaled(model: GPModel, Z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Latent mean/variance (standardised) at a few scaled points (driver-side;
-    used only for the bounded set of chosen suggestions)."""
-    if model.n_experts == 1:
-        return _predict_local(model, Z)
-    spark = SparkSession.getActiveSession()
-    pdf = pd.DataFrame({"_cid": np.arange(len(Z), dtype=np.int64)})
-    for j, f in enumerate(model.features):
-        pdf[f] = Z[:, j] * model.x_rng[j] + model.x_lo[j]
-    res = predict(model, spark.createDataFrame(pdf), "_cid").toPandas().sort_values("_cid")
-    return ((res["mean"].to_numpy() - model.y_mean) / model.y_std,
-            (res["std"].to_numpy() / model.y_std) ** 2)
-
-
-def _rbcm_parts(model: GPModel, ids: np.ndarray, Z: np.ndarray, id_col: str) -> DataFrame:
-    theta = model.theta
-    _, os_, _, _ = _unpack(theta, len(model.features))
-    prior_var = os_
+        raise ValueError(f"a surrogate needs {min_rows} rows or more, the table has {n} without missing values")
+    if not stats[target]["std"]:
+        raise ValueError(f"{target} is constant: zero variance leaves a surrogate nothing to learn")
+    lo = np.array([stats[f]["min"] for f in feats], dtype=float)
+    rng = np.array([stats[f]["max"] for f in feats], dtype=float) - lo
+    const = rng == 0
+    rng[const] = 1.0
+    y_mean, y_std = stats[target]["mean"], stats[target]["std"]
+    points = durable(merged_points(data, feats, target, lo, rng, const, y_mean, y_std))
+    n_experts = max(1, math.ceil(points.count() / fit_rows))
+    dealt = points.withColumn("expert", F.pmod(F.xxhash64("x", F.lit(random_state)), F.lit(n_experts)))
+    experts = durable(grouped_points(dealt, "expert"))
 
-    def run(batches):
-        num = np.zeros(len(Z))
-        prec = np.zeros(len(Z))
-        beta = np.zeros(len(Z))
-        for pdf in batches:
-            for Xl, Yl in zip(pdf["X"], pdf["Y"]):
-                X = np.array([np.asarray(r, dtype=float) for r in Xl])
-                mu, var = expert_predict(theta, X, np.asarray(Yl, dtype=float), Z)
-                b = 0.5 * (math.log(prior_var) - np.log(var))
-                num += b * mu / var
-                prec += b / var
-                beta += b
-        yield pd.DataFrame({id_col: ids, "num": num, "prec": prec, "beta": beta})
+    def evaluate(thetas: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        out = []
+        for (v, g), theta in zip(nll_job(experts, thetas), thetas):
+            pv, pg = prior_nll_grad(theta, p)
+            out.append(((v + pv) / n, (g + pg) / n))
+        return out
 
-    return model.experts.mapInPandas(run, f"{id_col} long, num double, prec double, beta double")
+    theta = lbfgs(evaluate, np.r_[np.full(p, math.log(0.693)), 0.0, math.log(0.1), 0.0], min(max(n_iter, 2), MAX_JOBS))
+    tree = RegionTree(points, expert_size)
+    regions = durable(grouped_points(tree.points, "node"))
+    return GPModel(feats, target, theta, lo, rng, const, y_mean, y_std, points, tree, regions)
 
 
 def predict(model: GPModel, candidates: DataFrame, id_col: str = "cand_id") -> DataFrame:
-    """``(id, mean, std)`` of the latent response in original units.
-
-    One expert: candidates stay distributed and are scored by ``mapInPandas``
-    with the expert's (m-bounded) data in the closure.  Several experts
-    (rBCM): candidates are cut by hash into chunks of at most
-    ``CANDIDATE_CHUNK`` rows; each chunk is broadcast to the expert table and
-    the per-partition sums are reduced by candidate in Spark.
+    """``(id, mean, std)`` of the latent response in original units."""
+    theta, p = model.theta, len(model.features)
+    os_ = _unpack(theta, p)[1]
+    near = F.array(F.col("x"))
+    if model.tree.levels:           # probes a fraction of a lengthscale away in every direction
+        reach = [float(min(REACH * v, 1.0)) for v in model.lengthscales]
+        steps = [(d, s * reach[d]) for d in range(p) for s in (-1.0, 1.0)]
+        moved = lambda d, s: F.array(*[F.element_at("x", i + 1) + (s if i == d else 0.0) for i in range(p)])
+        near = F.array(F.col("x"), *[moved(d, s) for d, s in steps])
+    cands = candidates.select(F.col(id_col).cast("long").alias("_id"), model.scaled().alias("_x"))
+    probes = cands.withColumn("x", F.col("_x")).select("_id", "_x", F.explode(near).alias("x"))
+    routed = model.tree.route(probes).select("_id", "_x", "node").distinct()
+    sizes = durable(routed.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))
+    few = broadcast_if_small(sizes)
+    left = routed.join(few, "node").select("_id", "_x", "node", F.pmod(F.xxhash64("_id"), F.col("chunks")).cast("int").alias("chunk"))
+    right = model.regions.join(few, "node").select("node", "X", "Y", "N", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+
+    def meet(asked: pd.DataFrame, region: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or region.empty:
+            return pd.DataFrame({"_id": [], "num": [], "prec": [], "beta": []})
+        r = region.iloc[0]
+        mu, var = expert_predict(theta, rows_of(r["X"]), np.asarray(r["Y"], float), rows_of(asked["_x"]), np.asarray(r["N"], float))
+        beta = 0.5 * (math.log(os_) - np.log(var))
+        return pd.DataFrame({"_id": asked["_id"].to_numpy(), "num": beta * mu / var, "prec": beta / var, "beta": beta, "mu": mu, "var": var})
+
+    parts = left.groupBy("node", "chunk").cogroup(right.groupBy("node", "chunk")).applyInPandas(
+        meet, "_id long, num double, prec double, beta double, mu double, var double")
+    sums = parts.groupBy("_id").agg(F.sum("num").alias("num"), F.sum("prec").alias("prec"), F.sum("beta").alias("beta"),
+                                    F.count(F.lit(1)).alias("k"), F.max("mu").alias("mu"), F.max("var").alias("var"))
+    total = F.greatest(F.col("prec") + (1.0 - F.col("beta")) / os_, F.lit(1e-12))
+    mean = F.when(F.col("k") == 1, F.col("mu")).otherwise(F.col("num") / total)        # one region: its own posterior
+    var = F.when(F.col("k") == 1, F.col("var")).otherwise(1.0 / total)
+    return sums.select(F.col("_id").alias(id_col), (mean * model.y_std + model.y_mean).alias("mean"), (F.sqrt(var) * model.y_std).alias("std"))
+
+
+def predict_at(model: GPModel, X: np.ndarray, spark: SparkSession) -> list[tuple[float, float]]:
+    """(mean, standard deviation) in original units at a few points."""
+    asked = pd.DataFrame(np.asarray(X, float), columns=model.features)
+    asked.insert(0, "cand_id", np.arange(len(asked)))
+    got = {r["cand_id"]: (r["mean"], r["std"]) for r in predict(model, spark.createDataFrame(asked)).collect()}
+    return [got[i] for i in range(len(asked))]
+
+
+class Correlation:
+    """Posterior correlations between any points, from a GP on a sample of at most ``rows`` points (all of them, if fewer).
+
+    Means and variances come from all points (``predict``); only how candidates move together is taken from the
+    sample, which makes every batch's covariance that of one proper model.
     """
-    feats = model.features
-    theta, ym, ys = model.theta, model.y_mean, model.y_std
-    schema = f"{id_col} long, mean double, std double"
-    cands = candidates.select(F.col(id_col).cast("long").alias(id_col), *[F.col(f).cast("double") for f in feats])
-    if model.n_experts == 1:
-        X, Y = model.local
-        if model.extra:
-            X = np.vstack([X] + [e[0][None, :] for e in model.extra])
-            Y = np.r_[Y, [e[1] for e in model.extra]]
-        lo, rng_, const = model.x_lo.copy(), model.x_rng.copy(), model.x_const.copy()
-
-        def scale(A):
-            Z = (A - lo) / rng_
-            Z[:, const] = 0.5
-            return Z
-
-        def run(batches):
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                mu, var = expert_predict(theta, X, Y, scale(pdf[feats].to_numpy(dtype=float)))
-                yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "mean": mu * ys + ym,
-                                    "std": np.sqrt(var) * ys})
-
-        return cands.mapInPandas(run, schema)
-    _, os_, _, _ = _unpack(theta, len(feats))
-    if model.blocks is not None:
-        # bounded expert data (<= LOCAL_ROWS rows) travels with the task closure:
-        # candidates stay distributed, rBCM is combined per batch
-        blocks = list(model.blocks) + ([(np.vstack([e[0][None, :] for e in model.extra]),
-                                         np.array([e[1] for e in model.extra]))] if model.extra else [])
-        lo, rng_, const = model.x_lo.copy(), model.x_rng.copy(), model.x_const.copy()
-
-        def run_blocks(batches):
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                Z = (pdf[feats].to_numpy(dtype=float) - lo) / rng_
-                Z[:, const] = 0.5
-                num = np.zeros(len(Z))
-                prec = np.zeros(len(Z))
-                beta = np.zeros(len(Z))
-                for Xb, Yb in blocks:
-                    mu, var = expert_predict(theta, Xb, Yb, Z)
-                    bk = 0.5 * (math.log(os_) - np.log(var))
-                    num += bk * mu / var
-                    prec += bk / var
-                    beta += bk
-                tp = np.maximum(prec + (1.0 - beta) / os_, 1e-12)
-                yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "mean": (num / tp) * ys + ym,
-                                    "std": np.sqrt(1.0 / tp) * ys})
-
-        return cands.mapInPandas(run_blocks, schema)
-    n = cands.count()
-    n_chunks = max(1, int(math.ceil(n / CANDIDATE_CHUNK)))
-    out = None
-    for c in range(n_chunks):
-        chunk = cands.where(F.pmod(F.xxhash64(id_col), F.lit(n_chunks)) == c).toPandas()
-        if chunk.empty:
-            continue
-        ids = chunk[id_col].to_numpy(dtype=np.int64)
-        Z = model.scale_x(chunk[feats].to_numpy(dtype=float))
-        parts = _rbcm_parts(model, ids, Z, id_col)
-        if model.extra:   # believer points form one more (tiny) expert
-            Xe = np.vstack([e[0][None, :] for e in model.extra])
-            Ye = np.array([e[1] for e in model.extra])
-            mu, var = expert_predict(theta, Xe, Ye, Z)
-            b = 0.5 * (math.log(os_) - np.log(var))
-            spark = candidates.sparkSession
-            parts = parts.unionByName(spark.createDataFrame(pd.DataFrame(
-                {id_col: ids, "num": b * mu / var, "prec": b / var, "beta": b})))
-        agg = parts.groupBy(id_col).agg(F.sum("num").alias("num"), F.sum("prec").alias("prec"),
-                                        F.sum("beta").alias("beta"))
-        tp = F.greatest(F.col("prec") + (1.0 - F.col("beta")) / os_, F.lit(1e-12))
-        res = agg.select(id_col, ((F.col("num") / tp) * ys + ym).alias("mean"),
-                         (F.sqrt(1.0 / tp) * ys).alias("std"))
-        out = res if out is None else out.unionByName(res)
-    if out is None:
-        return candidates.sparkSession.createDataFrame([], schema)
-    return out
+
+    def __init__(self, model: GPModel, rows: int = REGION_ROWS):
+        chosen = model.points.orderBy(F.xxhash64("x"), "x").limit(rows).collect()          # bounded by ``rows``
+        X, count = rows_of([r["x"] for r in chosen]), np.array([r["n"] for r in chosen])
+        self.theta, self.X = model.theta, X
+        ls, os_, noise, _ = _unpack(model.theta, len(model.features))
+        self.ls, self.os = ls, os_
+        self.Linv = np.linalg.inv(np.linalg.cholesky(os_ * matern52(X, X, ls)[0] + np.diag(noise / count + JITTER)))
+
+    def half(self, Z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a set of points needs for its correlations: (whitened covariances with the sample, standard deviations)."""
+        V = self.Linv @ (self.os * matern52(self.X, Z, self.ls)[0])
+        return V, np.sqrt(np.maximum(self.os - (V * V).sum(axis=0), 1e-12))
+
+    def between(self, Za, half_a, Zb, half_b) -> np.ndarray:
+        cov = self.os * matern52(Za, Zb, self.ls)[0] - half_a[0].T @ half_b[0]
+        return np.clip(cov / np.outer(half_a[1], half_b[1]), -1.0, 1.0)
 
 
 def ard_importance(model: GPModel, spark: SparkSession, names=("lengthscale", "importance")) -> DataFrame:
@@ -413,19 +419,18 @@ def ard_importance(model: GPModel, spark: SparkSession, names=("lengthscale", "i
     imp = inv / inv.sum()
     pdf = pd.DataFrame({"target": model.target, "feature": model.features, names[0]: ls, names[1]: imp})
     df = spark.createDataFrame(pdf)
-    from pyspark.sql import Window
     w = Window.partitionBy("target").orderBy(F.col(names[1]).desc())
     return df.withColumn("rank", F.rank().over(w).cast("long"))
 
 
-def run_ard_gp(df: DataFrame, feature_cols: Sequence[str], target: str, n_iter: int = 100,
-               random_state: int = 42, expert_size: int = 512, key: str | None = "row_id") -> DataFrame:
+def run_ard_gp(df: DataFrame, feature_cols: Sequence[str], target: str, n_iter: int = MAX_JOBS,
+               random_state: int = 42, expert_size: int = REGION_ROWS) -> DataFrame:
     """ARD-GP feature importance; needs n >= p + 2 rows."""
     n = df.where(F.col(target).isNotNull()).count()
     p = len(feature_cols)
     if n == 0:
-        raise ValueError("X must contain at least one row.")
+        raise ValueError("the table must have at least one row with a response")
     if n < p + 2:
-        raise ValueError(f"Need at least n_features + 2 = {p + 2} rows to fit an ARD-GP; got {n}.")
-    model = fit_gp(df, feature_cols, target, n_iter, random_state, expert_size, key)
+        raise ValueError(f"{p} lengthscales need {p + 2} rows or more, the table has {n}")
+    model = fit_gp(df, feature_cols, target, n_iter, random_state, expert_size)
     return ard_importance(model, df.sparkSession)

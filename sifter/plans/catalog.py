@@ -407,7 +407,7 @@ def q_lasso_cv(spark, sf):
 
 
 def _pca(spark, sf, source=_plain):
-    return run_pca(source(spark, sf, *LIN_F), LIN_F, keep_cols=["row_id"])
+    return run_pca(source(spark, sf, *LIN_F), LIN_F, keep_cols=["row_id"] if source is _li else [])
 
 
 @register("pca_variance")
@@ -514,9 +514,28 @@ def q_hypervolume2d(spark, sf):
     return par.hypervolume_2d(front, PART_OBJ, ref).select(F.round("hypervolume", 4).alias("hypervolume"))
 
 
+_HV3_SQL = """
+WITH p AS (SELECT l_linenumber::DOUBLE AS a, l_quantity::DOUBLE AS b, (l_discount * 100)::INT::DOUBLE AS c FROM lineitem),
+e AS (SELECT DISTINCT least(10, floor(avg(a) * 3))::DOUBLE AS a, floor(avg(b))::DOUBLE AS b, round(avg(c))::DOUBLE AS c
+      FROM (SELECT l_suppkey AS k, l_linenumber AS a, l_quantity AS b, (l_discount * 100)::INT AS c FROM lineitem) GROUP BY k),
+g AS (SELECT x, y, max(c) AS h FROM e, (SELECT unnest(range(0, 12)) AS x), (SELECT unnest(range(0, 60)) AS y) WHERE a > x AND b > y GROUP BY x, y)
+SELECT coalesce(sum(h), 0)::DOUBLE AS hypervolume FROM g"""
+
+
+@register("hypervolume3d", _HV3_SQL)
+def q_hypervolume3d(spark, sf):
+    """G12 in three whole-numbered objectives per supplier; the SQL adds up unit columns."""
+    li = table(spark, sf, "lineitem")
+    per = li.groupBy("l_suppkey").agg(F.least(F.lit(10), F.floor(F.avg("l_linenumber") * 3)).cast("double").alias("a"), F.floor(F.avg("l_quantity")).cast("double").alias("b"),
+                                      F.round(F.avg(F.round(F.col("l_discount") * 100))).cast("double").alias("c"))
+    names = ["a", "b", "c"]
+    return box.hypervolume(par.pareto_front(per, names), names, [0.0, 0.0, 0.0])
+
+
 # ---------------------------------------------------------------------------
 # Cleaning and scaling (P3-P5, P11-P13, G7), encoding
 # ---------------------------------------------------------------------------
+from sifter.operators import boxes as box  # noqa: E402
 from sifter.operators import cleaning as cln  # noqa: E402
 from sifter.operators import encode as enc  # noqa: E402
 
@@ -720,6 +739,21 @@ def q_candidate_space(spark, sf):
     return dsg.candidate_space(spark, _parameter_space(spark, sf), n_continuous=64).drop("cand_id")
 
 
+_MIXED_SQL = f"""{_LIM_SQL}, n AS (SELECT count(*) AS n FROM supplier),
+u AS (SELECT point, dim, n, row_number() OVER (PARTITION BY dim ORDER BY {uniform_sql(42, 'point', 'dim')}, point) - 1 AS stratum, {uniform_sql(43, 'point', 'dim')} AS jitter
+      FROM (SELECT unnest(range(n)) AS point, n FROM n), (SELECT unnest(range(3)) AS dim))
+SELECT point, lo_l_quantity + floor(max(CASE WHEN dim = 0 THEN stratum END) * (floor(hi_l_quantity - lo_l_quantity) + 1) / n) AS l_quantity,
+  round_even(lo_l_discount + max(CASE WHEN dim = 1 THEN (stratum + jitter) / n END) * (hi_l_discount - lo_l_discount), 6) AS l_discount,
+  floor(max(CASE WHEN dim = 2 THEN stratum END) * (SELECT count(DISTINCT l_returnflag) FROM lineitem) / n)::DOUBLE AS l_returnflag
+FROM u, lim GROUP BY point, n, lim.*"""
+
+
+@register("mixed_design", _MIXED_SQL.replace("GROUP BY point, n, lim.*", "GROUP BY point, n, lo_l_quantity, hi_l_quantity, lo_l_discount, hi_l_discount"))
+def q_mixed_design(spark, sf):
+    """One hypercube over a stepped, a continuous and a categorical parameter, a point per supplier."""
+    return dsg.mixed_design(spark, _parameter_space(spark, sf), table(spark, sf, "supplier").count(), seed=42)
+
+
 # ---------------------------------------------------------------------------
 # Random forest and SHAP (M9-M11): checked by unit tests (brute-force Shapley)
 # ---------------------------------------------------------------------------
@@ -871,6 +905,19 @@ def q_suggest_batch(spark, sf):
     return opt.run_optimization(_opt_params(spark, tr), tr, "l_tax", n_suggestions=3, maximize=False)
 
 
+@register("batch_qei", "SELECT 4::BIGINT AS n_slots, 256::BIGINT AS n_draws, true AS qei_is_the_draws_mean, true AS no_worse_than_greedy")
+def q_batch_qei(spark, sf):
+    """The joint expected improvement of a batch, worked out again from its stored draws."""
+    tr = _opt_training(spark, sf)
+    _, batch = opt.joint_suggestions(_opt_params(spark, tr), tr, "net", n_suggestions=4)
+    draws = batch.table(spark)
+    best = draws.groupBy("draw").agg(F.max("value").alias("top"))
+    again = best.agg(F.avg(F.greatest(F.col("top") - batch.best, F.lit(0.0))).alias("qei"), F.count(F.lit(1)).alias("n_draws"))
+    same = F.abs(F.col("qei") - batch.qei) <= 1e-9 * F.greatest(F.lit(1.0), F.abs("qei"))
+    return again.select(F.lit(len(batch.rows)).cast("long").alias("n_slots"), "n_draws", same.alias("qei_is_the_draws_mean"),
+                        F.lit(batch.qei >= batch.greedy_qei).alias("no_worse_than_greedy"))
+
+
 @register("suggest_aux")
 def q_suggest_aux(spark, sf):
     tr = _opt_training(spark, sf)
@@ -939,13 +986,13 @@ def q_loading_heatmap(spark, sf):
 
 @register("biplot_points")
 def q_biplot_points(spark, sf):
-    r = _pca(spark, sf)
+    r = _pca(spark, sf, _li)
     return pld.biplot(r.scores, r.loadings)[0]
 
 
 @register("biplot_vectors")
 def q_biplot_vectors(spark, sf):
-    r = _pca(spark, sf)
+    r = _pca(spark, sf, _li)
     return pld.biplot(r.scores, r.loadings)[1]
 
 

@@ -62,7 +62,7 @@ def screen(df: DataFrame, feature_cols: Sequence[str], target_cols: Sequence[str
            methods: Sequence[str] = METHODS, categorical_cols: Sequence[str] | None = None,
            row_id: str = "row_id", lasso_alpha: float | None = None, lasso_cv: int = 5,
            n_estimators: int = 100, max_depth: int | None = None, random_state: int = 42,
-           gp_iter: int = 100, n_bootstrap: int = 0) -> ScreenResult:
+           gp_iter: int = gpm.MAX_JOBS, n_bootstrap: int = 0) -> ScreenResult:
     """Every method for every target; ``n_bootstrap`` > 0 adds the rank stability of ``RESAMPLED`` methods."""
     unknown = [m for m in methods if m not in METHODS]
     if unknown:
@@ -88,7 +88,7 @@ def screen(df: DataFrame, feature_cols: Sequence[str], target_cols: Sequence[str
             add("shap", frs.run_shap(data, numeric, t, row_id, n_estimators, max_depth,
                                      random_state).feature_importance)
         if "ard_gp" in methods:
-            add("ard_gp", gpm.run_ard_gp(data, numeric, t, gp_iter, random_state, key=row_id))
+            add("ard_gp", gpm.run_ard_gp(data, numeric, t, gp_iter, random_state))
     if "pca" in methods:
         p = run_pca(data, numeric)
         fr = p.feature_rank
