@@ -18,3 +18,33 @@ def uniform_sql(seed: int, *keys: str) -> str:
     """The same draw as a DuckDB expression."""
     text = " || '|' || ".join([*[f"({k})::VARCHAR" for k in keys], f"'{seed}'"])
     return f"(('0x' || substr(md5({text}), 1, {DIGITS}))::BIGINT / {float(16 ** DIGITS)!r})"
+
+
+# Resampling draws: one MD5 of row and group of replicates gives a 32-bit draw for each of PER_HASH replicates.
+PER_HASH = 4
+
+
+def resampling_uniform(seed: int, key: Column, b: Column) -> Column:
+    """The draw in [0, 1) of row ``key`` in replicate ``b``."""
+    group = F.floor(b / PER_HASH).cast("long")
+    text = F.concat_ws("|", key.cast("string"), group.cast("string"), F.lit(str(seed)))
+    digits = F.substr(F.md5(text.cast("binary")), (F.pmod(b, F.lit(PER_HASH)) * 8 + 1).cast("int"), F.lit(8))
+    return F.conv(digits, 16, 10).cast("double") / float(1 << 32)
+
+
+def resampling_uniform_sql(seed: int, key: str, b: str) -> str:
+    """The same draw as a DuckDB expression."""
+    text = f"({key})::VARCHAR || '|' || (({b}) // {PER_HASH})::VARCHAR || '|{seed}'"
+    return f"(('0x' || substr(md5({text}), (({b}) % {PER_HASH} * 8 + 1)::INT, 8))::BIGINT / {float(1 << 32)!r})"
+
+
+def resampling_uniforms(seed: int, keys, n_replicates: int):
+    """The same draws as a numpy matrix, rows x replicates."""
+    import hashlib
+
+    import numpy as np
+    groups = -(-n_replicates // PER_HASH)
+    tails = [f"|{g}|{seed}".encode() for g in range(groups)]
+    md5 = hashlib.md5
+    raw = b"".join([md5(k + t).digest() for k in (str(int(key)).encode() for key in keys) for t in tails])
+    return np.frombuffer(raw, ">u4").reshape(-1, groups * PER_HASH)[:, :n_replicates] / float(1 << 32)

@@ -3,11 +3,13 @@
 Resampling with replacement is expressed as row weights.  Each (replicate b,
 row) gets a Poisson(1) count from a seeded hash of (row key, b, seed), the
 standard distributed form of the bootstrap: no draw table, no join, rows
-never move.  For methods that need only moments (Pearson, LASSO at a fixed
-alpha, PCA) all B replicates come out of ONE grouped aggregation over
-``(b, row)`` pairs generated in-stream by ``explode``; the p x p numbers per
-replicate are finished on the driver.  Any other method (forest, SHAP, a
-user callable) is refitted once per replicate with the weight column.
+never move.  For methods that need only moments (Pearson, ANOVA, LASSO at a
+fixed alpha or with its own cross-validation, PCA) all B replicates come out
+of one pass: a task hashes a batch's rows into a weight matrix (rows x B)
+and multiplies it with the batch's cross-products; B small matrices a task
+are added up in Spark and finished on the driver.  Rows are read a constant
+number of times whatever B is.  Any other method (forest, SHAP, a user
+callable) is refitted once per replicate with the weight column.
 
 A replicate "fails" (is skipped and not counted) when its statistics are
 degenerate, e.g. a zero-variance column.
@@ -19,14 +21,18 @@ import math
 from typing import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sifter.functions.draws import uniform
+from sifter.functions.draws import resampling_uniform, resampling_uniforms
 from sifter.operators.consensus import stability_summary
-from sifter.operators.linear import _standardised_problem, coordinate_descent
-from sifter.operators.moments import correlation_from, moment_table
+from sifter.operators.linear import _standardised_problem, coordinate_descent, cross_validated_alpha
+from sifter.operators.moments import Moments, combine, correlation_from
 from sifter.operators.pca import fit_pca
+from sifter.session import durable
+
+MOMENT_METHODS = ("pearson", "anova", "lasso", "lasso_cv", "pca")
 
 # P(K <= k) for K ~ Poisson(1), k = 0..11
 _POISSON1_CDF = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
@@ -40,7 +46,12 @@ def poisson_weight(key: Column, b: Column, seed: int) -> Column:
             w = F.when(u < float(_POISSON1_CDF[k]), F.lit(k)).otherwise(w)
         return w.cast("double")
     # through a lambda variable: a plain CASE would hash anew in each of its branches
-    return F.transform(F.array(uniform(seed, key, b)), counted)[0]
+    return F.transform(F.array(resampling_uniform(seed, key, b)), counted)[0]
+
+
+def weight_matrix(keys, n_bootstrap: int, seed: int) -> np.ndarray:
+    """The same counts for a batch of row keys, rows x replicates."""
+    return np.searchsorted(_POISSON1_CDF, resampling_uniforms(seed, keys, n_bootstrap), side="right").astype(float)
 
 
 def replicate_rows(df: DataFrame, n_bootstrap: int, seed: int = 42, row_id: str = "row_id") -> DataFrame:
@@ -59,46 +70,168 @@ def _rank_desc(scores: np.ndarray) -> np.ndarray:
     return np.array([1 + int(np.sum(s > v)) for v in s])
 
 
+def _complete(df: DataFrame, cols: Sequence[str], row_id: str) -> DataFrame:
+    known = df
+    for c in dict.fromkeys([*cols, row_id]):
+        known = known.where(F.col(c).isNotNull())
+    return known.select(F.col(row_id).cast("long").alias("_row"), *[F.col(c).cast("double").alias(f"_z{i}") for i, c in enumerate(cols)])
+
+
+def _summed(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partial sums (keys, v array) of the tasks added up element by element: (keys, v)."""
+    cells = parts.select(*keys, F.posexplode("v").alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("x"))
+    return cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("v"))
+
+
+def replicate_moments(df: DataFrame, cols: Sequence[str], n_bootstrap: int, seed: int = 42, row_id: str = "row_id",
+                      folds: int = 1) -> dict[int, list[Moments]]:
+    """``{replicate: moments of each fold}`` of the resampled complete rows, in one pass over them.
+
+    ``folds`` > 1 cuts every replicate's rows, in row order, into as many contiguous parts of equal length (the
+    first ones a row longer); a repeated row may lie in two of them.  That takes one more pass, which counts
+    each partition's draws.
+    """
+    q = len(cols)
+    rows = _complete(df, cols, row_id)
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"_z{i}").alias(f"m{i}") for i in range(q)]).first()
+    if not stats["n"]:
+        raise ValueError("X must contain at least one row.")
+    centre = np.array([stats[f"m{i}"] for i in range(q)])
+    names = [f"_z{i}" for i in range(q)]
+    before: dict[int, np.ndarray] = {}
+    total = np.zeros(n_bootstrap)
+    if folds > 1:
+        rows = durable(rows.repartitionByRange("_row").sortWithinPartitions("_row").withColumn("_part", F.spark_partition_id()))
+
+        def count(batches):
+            drawn: dict[int, np.ndarray] = {}
+            for pdf in batches:
+                for part, own in pdf.groupby("_part"):
+                    drawn[part] = drawn.get(part, 0) + weight_matrix(own["_row"], n_bootstrap, seed).sum(axis=0)
+            yield pd.DataFrame({"_part": list(drawn), "v": [v.tolist() for v in drawn.values()]})
+
+        sums = _summed(rows.select("_part", "_row").mapInPandas(count, "_part int, v array<double>"), ["_part"]).orderBy("_part")
+        for r in sums.toLocalIterator():            # a row a partition
+            before[r["_part"]], total = total, total + np.array(r["v"])
+
+    def run(batches):
+        acc = np.zeros((n_bootstrap, folds, q + 1, q + 1))
+        at: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for a in range(0, len(pdf), 4096):
+                own = pdf.iloc[a:a + 4096]
+                Z = np.column_stack([np.ones(len(own)), own[names].to_numpy(float) - centre])
+                W = weight_matrix(own["_row"], n_bootstrap, seed)
+                if folds == 1:
+                    for b in range(n_bootstrap):
+                        acc[b, 0] += (Z * W[:, [b]]).T @ Z
+                    continue
+                for part in np.unique(own["_part"]):
+                    here = (own["_part"] == part).to_numpy()
+                    w, z = W[here], Z[here]
+                    stop = at.get(part, before[part]) + np.cumsum(w, axis=0)
+                    at[part] = stop[-1]
+                    for b in range(n_bootstrap):
+                        edges = fold_edges(total[b], folds)
+                        for f in range(folds):
+                            share = np.clip(np.minimum(stop[:, b], edges[f + 1]) - np.maximum(stop[:, b] - w[:, b], edges[f]), 0, None)
+                            if share.any():
+                                acc[b, f] += (z * share[:, None]).T @ z
+        yield pd.DataFrame({"b": np.repeat(np.arange(n_bootstrap), folds), "f": np.tile(np.arange(folds), n_bootstrap),
+                            "v": list(acc.reshape(n_bootstrap * folds, -1))})
+
+    out: dict[int, list[Moments]] = {}
+    for r in sorted(_summed(rows.mapInPandas(run, "b int, f int, v array<double>"), ["b", "f"]).collect(), key=lambda r: (r["b"], r["f"])):
+        S = np.array(r["v"]).reshape(q + 1, q + 1)
+        n = S[0, 0]
+        if n > 0:
+            out.setdefault(r["b"], []).append(Moments(n, centre + S[0, 1:] / n, S[1:, 1:] - np.outer(S[0, 1:], S[0, 1:]) / n))
+    return out
+
+
+def fold_edges(n: float, folds: int) -> np.ndarray:
+    """Where ``folds`` contiguous parts of n rows begin and end."""
+    size, longer = divmod(int(n), folds)
+    return np.concatenate(([0], np.cumsum([size + (f < longer) for f in range(folds)])))
+
+
+def _scores(method: str, parts: list[Moments], p: int, alpha: float, variance_threshold: float, max_components: int) -> np.ndarray | None:
+    """What a replicate ranks its features by, or None if its statistics are degenerate."""
+    m = combine(parts)
+    if m.n < 2:
+        return None
+    sd = np.sqrt(np.clip(np.diag(m.M) / m.n, 0, None))
+    if method == "pearson":
+        if sd[p] == 0:
+            return None
+        return np.abs((m.M[:p, p] / m.n) / np.where(sd[:p] > 0, sd[:p] * sd[p], np.nan))
+    if method == "lasso":
+        return np.abs(coordinate_descent(*_standardised_problem(m, sd[:p]), alpha))
+    if method == "lasso_cv":
+        best = cross_validated_alpha(parts, m, sd[:p])
+        return np.abs(coordinate_descent(*_standardised_problem(m, sd[:p]), best))
+    _, comps, k = fit_pca(correlation_from(m), int(m.n), variance_threshold, max_components)
+    return np.abs(comps[:, :k]).max(axis=1)
+
+
 def bootstrap_ranks(df: DataFrame, feature_cols: Sequence[str], target: str | None, method: str,
                     n_bootstrap: int = 100, random_state: int = 42, row_id: str = "row_id",
                     alpha: float = 0.01, variance_threshold: float = 0.90,
-                    max_components: int = 5) -> DataFrame:
+                    max_components: int = 5, cv: int = 5) -> DataFrame:
     """K2 for moment-based methods: ``(b, feature, rank)`` of every good replicate.
 
-    ``method``: ``pearson`` (|r|), ``lasso`` (|coefficient| at ``alpha``) or
-    ``pca`` (max |loading|, unsupervised: ``target`` unused).
+    ``method``: ``pearson`` (|r|), ``anova`` (eta squared of categorical features), ``lasso`` (|coefficient| at
+    ``alpha``), ``lasso_cv`` (alpha chosen anew by ``cv`` contiguous folds of each replicate) or ``pca``
+    (max |loading|, unsupervised: ``target`` unused).
     """
-    if df.isEmpty():
-        raise ValueError("X must contain at least one row.")
+    if method not in MOMENT_METHODS:
+        raise ValueError(f"unknown moment method {method!r}")
+    if n_bootstrap < 1:
+        raise ValueError("n_bootstrap must be >= 1.")
     feats = list(feature_cols)
+    if method == "anova":
+        return _bootstrap_anova(df, feats, target, n_bootstrap, random_state, row_id)
     cols = feats + ([target] if method != "pca" else [])
-    reps = replicate_rows(df.select(row_id, *cols), n_bootstrap, random_state, row_id)
-    parts = moment_table(reps, cols, ["b"], weight="_w")
+    parts = replicate_moments(df, cols, n_bootstrap, random_state, row_id, cv if method == "lasso_cv" else 1)
     rows = []
-    p = len(feats)
-    for (b,), m in sorted(parts.items()):
-        if m.n < 2:
-            continue
-        sd = np.sqrt(np.clip(np.diag(m.M) / m.n, 0, None))
-        if method == "pearson":
-            if sd[p] == 0:
-                continue
-            r = (m.M[:p, p] / m.n) / np.where(sd[:p] > 0, sd[:p] * sd[p], np.nan)
-            score = np.abs(r)
-        elif method == "lasso":
-            G, c = _standardised_problem(m, sd[:p])
-            score = np.abs(coordinate_descent(G, c, alpha))
-        elif method == "pca":
-            if int(m.n) < 2:
-                continue
-            _, comps, k = fit_pca(correlation_from(m), int(m.n), variance_threshold, max_components)
-            score = np.abs(comps[:, :k]).max(axis=1)
-        else:
-            raise ValueError(f"unknown moment method {method!r}")
-        for f, rk in zip(feats, _rank_desc(score)):
-            rows.append((int(b), f, int(rk)))
-    spark = df.sparkSession
-    return spark.createDataFrame(rows, "b int, feature string, rank long")
+    for b, folds in parts.items():
+        score = _scores(method, folds, len(feats), alpha, variance_threshold, max_components)
+        if score is not None:
+            rows += [(int(b), f, int(rk)) for f, rk in zip(feats, _rank_desc(score))]
+    return df.sparkSession.createDataFrame(rows, "b int, feature string, rank long")
+
+
+def _bootstrap_anova(df: DataFrame, feats: list[str], target: str, n_bootstrap: int, seed: int, row_id: str) -> DataFrame:
+    """Eta squared of every categorical feature and replicate, from sums per category added up in the tasks."""
+    rows = df.where(F.col(target).isNotNull() & F.col(row_id).isNotNull())
+    mean = rows.agg(F.avg(F.col(target).cast("double"))).first()[0]
+    if mean is None:
+        raise ValueError("X must contain at least one row.")
+    slim = rows.select(F.col(row_id).cast("long").alias("_row"), (F.col(target).cast("double") - mean).alias("_y"),
+                       *[F.col(f).cast("string").alias(f"_c{i}") for i, f in enumerate(feats)])
+
+    def run(batches):
+        for pdf in batches:         # a batch's categories: as many rows as it has at most
+            W = weight_matrix(pdf["_row"], n_bootstrap, seed)
+            y = pdf["_y"].to_numpy(float)[:, None]
+            for i in range(len(feats)):
+                codes, names = pd.factorize(pdf[f"_c{i}"])
+                use = codes >= 0
+                sums = np.zeros((3, len(names), n_bootstrap))
+                for k, part in enumerate((W, W * y, W * y * y)):
+                    np.add.at(sums[k], codes[use], part[use])
+                yield pd.DataFrame({"feature": i, "category": names, "v": list(sums.transpose(1, 0, 2).reshape(len(names), -1))})
+
+    per = _summed(slim.mapInPandas(run, "feature int, category string, v array<double>"), ["feature", "category"])
+    n, s, ss = (F.slice("v", k * n_bootstrap + 1, n_bootstrap) for k in range(3))
+    each = per.select("feature", F.posexplode(F.arrays_zip(n.alias("n"), s.alias("s"), ss.alias("ss"))).alias("b", "z")).where("z.n > 0")
+    sums = each.groupBy("feature", "b").agg(F.count(F.lit(1)).alias("groups"), F.sum("z.n").alias("n"), F.sum("z.s").alias("s"), F.sum("z.ss").alias("ss"),
+                                            F.sum(F.col("z.s") * F.col("z.s") / F.col("z.n")).alias("between"))
+    sst = F.col("ss") - F.col("s") * F.col("s") / F.col("n")
+    eta2 = F.when(F.col("groups") < 2, None).when(sst <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("between") - F.col("s") * F.col("s") / F.col("n")) / sst)))
+    scored = sums.select("b", F.element_at(F.array(*[F.lit(f) for f in feats]), F.col("feature") + 1).alias("feature"), eta2.alias("eta2")).where("eta2 is not null")
+    w = Window.partitionBy("b").orderBy(F.col("eta2").desc())
+    return scored.select(F.col("b").cast("int").alias("b"), "feature", F.rank().over(w).cast("long").alias("rank"))
 
 
 def resampled(df: DataFrame, b: int, seed: int = 42, row_id: str = "row_id") -> DataFrame:

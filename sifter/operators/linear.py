@@ -63,6 +63,30 @@ def alpha_grid(G_full_c: np.ndarray, n_alphas: int = 100, eps: float = 1e-3) ->
     return np.geomspace(a_max, a_max * eps, num=n_alphas)
 
 
+def cross_validated_alpha(folds: Sequence[Moments], total: Moments, scale: np.ndarray, n_alphas: int = 100,
+                          eps: float = 1e-3) -> float:
+    """The alpha of the path with the smallest mean test error over the folds, from their moments alone."""
+    p = len(scale)
+    alphas = alpha_grid(_standardised_problem(total, scale)[1], n_alphas, eps)
+    inv = np.where(scale > 0, 1.0 / np.where(scale > 0, scale, 1.0), 0.0)
+    units = np.r_[inv, 1.0]
+    mse = np.zeros((len(alphas), len(folds)))
+    for fi, test in enumerate(folds):
+        train = combine([f for j, f in enumerate(folds) if j != fi])
+        G, c = _standardised_problem(train, scale)
+        # test statistics in standardised units (rows share the global scaling)
+        Mt = test.M * np.outer(units, units)
+        mu_tr, mu_te = train.mean * units, test.mean * units
+        w = np.zeros(p)
+        for ai, a in enumerate(alphas):
+            w = coordinate_descent(G, c, a, w, tol=1e-10)
+            b = mu_tr[p] - mu_tr[:p] @ w
+            d = mu_te[p] - b - mu_te[:p] @ w
+            sse = Mt[p, p] - 2 * w @ Mt[:p, p] + w @ Mt[:p, :p] @ w + test.n * d * d
+            mse[ai, fi] = sse / test.n
+    return float(alphas[int(np.argmin(mse.mean(axis=1)))])
+
+
 def _result(spark, feature_cols, w, alpha, target) -> DataFrame:
     rows = [(target, f, float(v), float(abs(v)), float(alpha)) for f, v in zip(feature_cols, w)]
     df = spark.createDataFrame(rows, "target string, feature string, coefficient double, "
@@ -113,29 +137,6 @@ def run_lasso(df: DataFrame, feature_cols: Sequence[str], target: str, alpha: fl
     folds = [parts[(i,)] for i in range(k) if (i,) in parts]
     total = combine(folds)
     scale = np.sqrt(np.clip(np.diag(total.M)[:-1] / total.n, 0, None))
-    G_all, c_all = _standardised_problem(total, scale)
-    alphas = alpha_grid(c_all, n_alphas, eps)
-    p = len(feature_cols)
-    inv = np.where(scale > 0, 1.0 / np.where(scale > 0, scale, 1.0), 0.0)
-    mse = np.zeros((len(alphas), len(folds)))
-    for fi, test in enumerate(folds):
-        train = combine([f for j, f in enumerate(folds) if j != fi])
-        G, c = _standardised_problem(train, scale)
-        # test statistics in standardised units (rows share the global scaling)
-        mu_tr = train.mean.copy()
-        mu_te = test.mean.copy()
-        Mt = test.M.copy()
-        S = np.diag(np.r_[inv, 1.0])
-        Mt = S @ Mt @ S
-        mu_tr_s = np.r_[mu_tr[:p] * inv, mu_tr[p]]
-        mu_te_s = np.r_[mu_te[:p] * inv, mu_te[p]]
-        w = np.zeros(p)
-        for ai, a in enumerate(alphas):
-            w = coordinate_descent(G, c, a, w, tol=1e-10)
-            b = mu_tr_s[p] - mu_tr_s[:p] @ w
-            d = mu_te_s[p] - b - mu_te_s[:p] @ w
-            sse = Mt[p, p] - 2 * w @ Mt[:p, p] + w @ Mt[:p, :p] @ w + test.n * d * d
-            mse[ai, fi] = sse / test.n
-    best = float(alphas[int(np.argmin(mse.mean(axis=1)))])
-    w = coordinate_descent(G_all, c_all, best)
+    best = cross_validated_alpha(folds, total, scale, n_alphas, eps)
+    w = coordinate_descent(*_standardised_problem(total, scale), best)
     return _result(spark, feature_cols, w, best, target)

@@ -16,7 +16,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sifter.functions.draws import uniform_sql
+from sifter.functions.draws import resampling_uniform_sql, uniform_sql
 from sifter.operators import replicates as rep
 from sifter.session import durable
 from sifter.sources.tables import LINEITEM_KEY, lineitem_experiments, table
@@ -819,7 +819,7 @@ from sifter.operators import bootstrap as bst  # noqa: E402
 _POISSON_SQL = "CASE " + " ".join(
     f"WHEN u < {float(v)!r} THEN {k}" for k, v in enumerate(bst._POISSON1_CDF)) + f" ELSE {len(bst._POISSON1_CDF)} END"
 _BOOT_PEARSON_SQL = f"""WITH li AS ({LI_SQL}),
-d AS (SELECT b, li.*, {uniform_sql(42, 'row_id', 'b')} AS u FROM li, (SELECT unnest(range(100)) AS b)),
+d AS (SELECT b, li.*, {resampling_uniform_sql(42, 'row_id', 'b')} AS u FROM li, (SELECT unnest(range(100)) AS b)),
 w AS (SELECT *, {_POISSON_SQL} AS w FROM d),
 m AS (SELECT avg(net) AS net, {', '.join(f"avg({f}) AS {f}" for f in LIN_F)} FROM li),
 c AS ({' UNION ALL '.join(f"""
@@ -852,7 +852,7 @@ def q_bootstrap_pca(spark, sf):
 
 
 @register("bootstrap_weights", f"""WITH li AS ({LI_SQL}),
-d AS (SELECT b, {uniform_sql(42, 'row_id', 'b')} AS u FROM li, (SELECT unnest(range(100)) AS b)),
+d AS (SELECT b, {resampling_uniform_sql(42, 'row_id', 'b')} AS u FROM li, (SELECT unnest(range(100)) AS b)),
 w AS (SELECT b, {_POISSON_SQL} AS w FROM d)
 SELECT b, CAST(sum(w) AS DOUBLE) AS n_drawn, count(*) AS n_distinct FROM w WHERE w > 0 GROUP BY b""")
 def q_bootstrap_weights(spark, sf):
@@ -1178,8 +1178,28 @@ def q_bootstrap_correlations(spark, sf):
 
 @register("bootstrap_lasso_cv")
 def q_bootstrap_lasso_cv(spark, sf):
-    """K2: LASSO with its penalty cross-validated anew in each replicate."""
-    return _refit_on_rows(spark, sf, lambda rows: run_lasso(rows, LIN_F, "net", row_order=["row_id"]))
+    """K2: LASSO with its penalty cross-validated anew in each of 100 replicates."""
+    return bst.rank_stability(bst.bootstrap_ranks(_li(spark, sf, *LIN_F, "net"), LIN_F, "net", "lasso_cv", n_bootstrap=100))
+
+
+_BOOT_ANOVA_SQL = f"""WITH li AS ({LI_SQL}),
+d AS (SELECT b, li.*, {resampling_uniform_sql(42, 'row_id', 'b')} AS u FROM li, (SELECT unnest(range(100)) AS b)),
+w AS (SELECT *, {_POISSON_SQL} AS w FROM d), m AS (SELECT avg(net) AS m FROM li),
+g AS ({' UNION ALL '.join(f"""
+  SELECT b, '{f}' AS feature, {f}::VARCHAR AS k, sum(w) AS n, sum(w * (net - m)) AS s, sum(w * (net - m) ** 2) AS ss FROM w, m WHERE w > 0 GROUP BY b, {f}""" for f in ("l_returnflag", "l_linestatus", "l_linenumber"))}),
+e AS (SELECT b, feature, (sum(s * s / n) - sum(s) ** 2 / sum(n)) / (sum(ss) - sum(s) ** 2 / sum(n)) AS eta2 FROM g GROUP BY b, feature),
+r AS (SELECT b, feature, rank() OVER (PARTITION BY b ORDER BY eta2 DESC) AS rank FROM e)
+SELECT feature, quantile_cont(rank, 0.5) AS median_rank, quantile_cont(rank, 0.25) AS rank_q25,
+       quantile_cont(rank, 0.75) AS rank_q75, round(stddev_pop(rank), 6) AS rank_std, count(DISTINCT b) AS n_success
+FROM r GROUP BY feature"""
+
+
+@register("bootstrap_anova", _BOOT_ANOVA_SQL)
+def q_bootstrap_anova(spark, sf):
+    """K2: eta squared of three categorical columns in 100 replicates."""
+    cats = ["l_returnflag", "l_linestatus", "l_linenumber"]
+    ranks = bst.bootstrap_ranks(_li(spark, sf, *cats, "net"), cats, "net", "anova", n_bootstrap=100)
+    return bst.rank_stability(ranks).withColumn("rank_std", F.round("rank_std", 6))
 
 
 @register("bootstrap_shap")

@@ -90,3 +90,52 @@ def test_error_contract(spark):
     empty = df.where("false")
     with pytest.raises(ValueError):
         run_random_forest(empty, ["a"], "y")
+
+
+def test_weight_matrix_is_the_column_expression(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(50).select((F.col("id") * 977 - 20).alias("row_id"))
+    got = {(r["row_id"], r["b"]): r["w"] for r in df.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("b"))
+           .withColumn("w", bst.poisson_weight(F.col("row_id"), F.col("b"), 7)).collect()}
+    keys = [r["row_id"] for r in df.collect()]
+    W = bst.weight_matrix(keys, 11, 7)
+    assert all(W[i, b] == got[k, b] for i, k in enumerate(keys) for b in range(11)) and W.max() >= 2
+
+
+def test_folds_of_a_replicate_are_those_of_its_rows(synthetic):
+    cols = ["a", "b", "y"]
+    parts = bst.replicate_moments(synthetic.repartition(5), cols, 4, 9, folds=3)
+    rows = synthetic.orderBy("row_id").toPandas()
+    W = bst.weight_matrix(rows["row_id"], 4, 9).astype(int)
+    for b in range(4):
+        drawn = np.repeat(rows[cols].to_numpy(), W[:, b], axis=0)
+        for m, part in zip(parts[b], np.array_split(drawn, 3), strict=True):
+            assert m.n == len(part) and np.allclose(m.mean, part.mean(0))
+            assert np.allclose(m.M, (part - part.mean(0)).T @ (part - part.mean(0)))
+
+
+def test_one_pass_cross_validation_equals_refits(synthetic):
+    from sifter.operators.linear import run_lasso
+    feats = ["a", "b", "c", "d"]
+    fast = bst.bootstrap_ranks(synthetic, feats, "y", "lasso_cv", n_bootstrap=3)
+    slow = bst.bootstrap_refit(synthetic, lambda d: run_lasso(d, feats, "y", row_order=["row_id"]), n_bootstrap=3, weighted=False)
+    key = lambda df: sorted((r["b"], r["feature"], r["rank"]) for r in df.collect())
+    assert key(fast) == key(slow)
+
+
+def test_anova_replicates_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    g, h = rng.integers(0, 4, 300), rng.integers(0, 2, 300)
+    y = g + rng.normal(0, 2, 300)
+    rows = [(i, "abcd"[a] if i % 50 else None, str(b), "same", float(v)) for i, (a, b, v) in enumerate(zip(g, h, y))]
+    df = spark.createDataFrame(rows, "row_id long, g string, h string, k string, y double")
+    got = {(r["b"], r["feature"]): r["rank"] for r in bst.bootstrap_ranks(df, ["g", "h", "k"], "y", "anova", n_bootstrap=5).collect()}
+    W = bst.weight_matrix(range(300), 5, 42)
+    for b in range(5):
+        eta = {}
+        for f, col in (("g", 1), ("h", 2)):
+            use = [r for r in rows if r[col] is not None]
+            v = np.repeat([r[4] for r in use], [int(W[r[0], b]) for r in use])
+            k = np.repeat([r[col] for r in use], [int(W[r[0], b]) for r in use])
+            eta[f] = sum(len(v[k == c]) * (v[k == c].mean() - v.mean()) ** 2 for c in set(k)) / ((v - v.mean()) ** 2).sum()
+        assert [got[b, f] for f in sorted(eta, key=eta.get, reverse=True)] == [1, 2] and (b, "k") not in got

@@ -90,11 +90,11 @@ def test_objective_points(spark):
 
 def test_experts_without_a_key_do_not_depend_on_partitions(spark):
     df = _runs(spark).drop("row_id")
-    args = (["a", "c"], "y", 4, None, 42, [0.0, 0.0], [6.0, 10.0], [False, False], 0.0, 1.0)
+    args = (["a", "c"], "y", [0.0, 0.0], [6.0, 10.0], [False, False], 0.0, 1.0)
 
     def content(d):
-        return {(r["expert"], tuple(sorted((tuple(x), y) for x, y in zip(r["X"], r["Y"])))) for r in
-                gpm.expert_rows(d, *args).collect()}
+        points = gpm.merged_points(d, *args).selectExpr("*", "pmod(xxhash64(x, 42), 4) as expert")
+        return {(r["expert"], tuple(map(tuple, r["X"])), tuple(r["N"])) for r in gpm.grouped_points(points, "expert").collect()}
     assert content(df.repartition(3)) == content(df.repartition(5, "a"))
 
 
