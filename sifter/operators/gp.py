@@ -30,6 +30,7 @@ import sifter._blas  # noqa: F401  (one BLAS thread a process)
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Callable, Sequence
 
 import numpy as np
@@ -49,13 +50,13 @@ OUTPUTSCALE_PRIOR = (2.0, 0.15)
 NOISE_PRIOR = (1.1, 0.05)
 NOISE_FLOOR = 1e-4
 JITTER = 1e-8
-FIT_ROWS = 256              # points of an expert in the fit
+FIT_ROWS = 128              # points of an expert in the fit
 REGION_ROWS = 512           # points of a region in prediction
 FAN = 4                     # regions that a split makes
 REACH = 0.5                 # how far, in lengthscales, a candidate looks for neighbouring regions
 CHUNK = 2048                # candidates that meet a region in one group
 MAX_JOBS = 24
-STEPS = (1.0, 0.3, 0.1, 3.0, 0.01)      # step lengths that one job of the line search evaluates
+STEPS = (1.0, 0.2)             # step lengths that one job of the line search evaluates
 
 
 # ----------------------------------------------------------------------------
@@ -130,7 +131,7 @@ def prior_nll_grad(theta: np.ndarray, p: int) -> tuple[float, np.ndarray]:
 Evaluate = Callable[[list[np.ndarray]], list[tuple[float, np.ndarray]]]
 
 
-def lbfgs(evaluate: Evaluate, theta0: np.ndarray, max_jobs: int = MAX_JOBS, memory: int = 8, tol: float = 1e-7) -> np.ndarray:
+def lbfgs(evaluate: Evaluate, theta0: np.ndarray, max_jobs: int = MAX_JOBS, memory: int = 8, tol: float = 1e-6) -> np.ndarray:
     """Minimise by L-BFGS; ``evaluate`` gives value and gradient at several points at once, one job a call."""
     theta = theta0.copy()
     value, grad = evaluate([theta])[0]
@@ -164,7 +165,7 @@ def lbfgs(evaluate: Evaluate, theta0: np.ndarray, max_jobs: int = MAX_JOBS, memo
         s, y = t * step, new_grad - grad
         if s @ y > 1e-12 * np.linalg.norm(s) * np.linalg.norm(y):
             pairs = [*pairs[-(memory - 1):], (s, y, 1.0 / (s @ y))]
-        settled = value - new_value <= tol * 1e-2 * max(1.0, abs(value))
+        settled = value - new_value <= tol * 0.1 * max(1.0, abs(value))
         theta, value, grad, shrink = theta + s, new_value, new_grad, 1.0
         if settled:
             break
@@ -291,8 +292,17 @@ class GPModel:
     y_mean: float
     y_std: float
     points: DataFrame           # stored: x, y, n, ss
-    tree: RegionTree
-    regions: DataFrame          # stored: node, X, Y, N, S
+    region_size: int
+
+    @cached_property
+    def tree(self) -> RegionTree:
+        """Cut when predictions are asked for; lengthscales alone need none."""
+        return RegionTree(self.points, self.region_size)
+
+    @cached_property
+    def regions(self) -> DataFrame:
+        """Stored: node, X, Y, N, S."""
+        return durable(grouped_points(self.tree.points, "node"))
 
     @property
     def lengthscales(self) -> np.ndarray:
@@ -338,9 +348,7 @@ def fit_gp(df: DataFrame, features: Sequence[str], target: str, n_iter: int = MA
         return out
 
     theta = lbfgs(evaluate, np.r_[np.full(p, math.log(0.693)), 0.0, math.log(0.1), 0.0], min(max(n_iter, 2), MAX_JOBS))
-    tree = RegionTree(points, expert_size)
-    regions = durable(grouped_points(tree.points, "node"))
-    return GPModel(feats, target, theta, lo, rng, const, y_mean, y_std, points, tree, regions)
+    return GPModel(feats, target, theta, lo, rng, const, y_mean, y_std, points, expert_size)
 
 
 def predict(model: GPModel, candidates: DataFrame, id_col: str = "cand_id") -> DataFrame:

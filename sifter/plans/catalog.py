@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from sifter.functions.draws import resampling_uniform_sql, uniform_sql
 from sifter.operators import replicates as rep
-from sifter.session import durable
+from sifter.plans.linear_sql import (beta_ctes, correlation_narrative_sql, lasso_cv_sql, lasso_sql, loadings, names_sql, pca_ctes,
+                                     ranked_narrative_sql, scores, sentences, text)
+from sifter.session import durable, scratch_path
 from sifter.sources.tables import LINEITEM_KEY, lineitem_experiments, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,10 +245,36 @@ def q_corr_rank(spark, sf):
     return res.select("target", "feature", "rank")
 
 
-@register("correlations")
+_P_CTES = f"""WITH RECURSIVE li AS ({NET_SQL}), {_RK_CTE},
+p AS (SELECT * FROM ({_PEARSON_SQL.replace('round(', '(').replace(', 6) AS', ') AS')})), s AS (SELECT * FROM ({_SPEARMAN_SQL.replace('round(', '(').replace(', 6) AS', ') AS')})),
+a AS (SELECT *, ssb / (ssb + ssw) AS eta2 FROM ({_ANOVA_SQL})),
+asked AS (
+  SELECT target, feature, 'p' AS what, (n - 2) / 2.0 AS a, 0.5::DOUBLE AS b, 1 - pearson_r ** 2 AS x FROM p
+  UNION ALL SELECT target, feature, 's', (n - 2) / 2.0, 0.5, 1 - spearman_r ** 2 FROM s
+  UNION ALL SELECT target, feature, 'a', (n - k) / 2.0, (k - 1) / 2.0, (n - k) / ((n - k) + (k - 1) * (ssb / (k - 1)) / (ssw / (n - k))) FROM a),
+{beta_ctes('asked', ['target', 'feature', 'what'])},
+t AS (
+  SELECT p.target, p.feature, p.n, pearson_r, pp.p AS pearson_p, spearman_r, sp.p AS spearman_p, NULL::DOUBLE AS eta2, NULL::DOUBLE AS anova_p,
+    greatest(abs(pearson_r), abs(spearman_r)) AS score
+  FROM p JOIN s USING (target, feature) JOIN pv pp ON pp.target = p.target AND pp.feature = p.feature AND pp.what = 'p'
+    JOIN pv sp ON sp.target = p.target AND sp.feature = p.feature AND sp.what = 's'
+  UNION ALL SELECT a.target, a.feature, n, NULL, NULL, NULL, NULL, eta2, v.p, sqrt(eta2)
+  FROM a JOIN pv v ON v.target = a.target AND v.feature = a.feature AND v.what = 'a')"""
+_P_SQL = f"""{_P_CTES}
+SELECT target, feature, n::BIGINT AS n, round(pearson_r, 6) AS pearson_r, round(pearson_p, 6) AS pearson_p, pearson_p < 0.05 AS pearson_significant,
+  round(spearman_r, 6) AS spearman_r, round(spearman_p, 6) AS spearman_p, spearman_p < 0.05 AS spearman_significant, round(eta2, 6) AS eta_squared,
+  round(anova_p, 6) AS anova_p, anova_p < 0.05 AS anova_significant, rank() OVER (PARTITION BY target ORDER BY score DESC NULLS LAST) AS rank FROM t"""
+
+
+def _correlations(spark, sf):
+    return cor.run_correlations(_cor_input(spark, sf), COR_F + COR_C, COR_T, categorical_cols=COR_C)
+
+
+@register("correlations", _P_SQL)
 def q_correlations(spark, sf):
     """Full M1-M6 table with p-values and significance flags."""
-    return cor.run_correlations(_cor_input(spark, sf), COR_F + COR_C, COR_T, categorical_cols=COR_C)
+    out = _correlations(spark, sf)
+    return out.select(*[r6(c) if t == "double" else c for c, t in out.dtypes])
 
 
 # ---------------------------------------------------------------------------
@@ -381,7 +409,8 @@ def q_narrative_consensus(spark, sf):
     return nar.interpret_consensus(cons.label_importance(c, len(CONS_METHODS)), len(CONS_METHODS))
 
 
-@register("narrative_correlations")
+@register("narrative_correlations", _P_CTES + ", n AS (SELECT *, CASE feature " + " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(CONS_FEATS, 1))
+          + " END AS pos FROM t) " + correlation_narrative_sql("n", nar.TEMPLATES, nar.CAVEAT))
 def q_narrative_correlations(spark, sf):
     res = cor.run_correlations(_cor_input(spark, sf), CONS_FEATS, COR_T, categorical_cols=COR_C)
     return nar.interpret_correlations(res, CONS_FEATS)
@@ -396,49 +425,103 @@ from sifter.operators.pca import run_pca  # noqa: E402
 LIN_F = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
 
 
-@register("lasso_fixed")
+def _rounded_lasso(out):
+    return out.select("target", "feature", F.round("coefficient", 4).alias("coefficient"), F.round("abs_coefficient", 4).alias("abs_coefficient"), "rank", r6("alpha"))
+
+
+@register("lasso_fixed", lasso_sql(LI_SQL, LIN_F, "net", 0.01))
 def q_lasso_fixed(spark, sf):
-    return run_lasso(_plain(spark, sf, *LIN_F, "net"), LIN_F, "net", alpha=0.01)
+    return _rounded_lasso(run_lasso(_plain(spark, sf, *LIN_F, "net"), LIN_F, "net", alpha=0.01))
 
 
-@register("lasso_cv")
-def q_lasso_cv(spark, sf):
+def _lasso_cv(spark, sf):
     return run_lasso(_li(spark, sf, *LIN_F, "net"), LIN_F, "net", cv=5, row_order=["row_id"])
 
 
+@register("lasso_cv", lasso_cv_sql(LI_SQL, LIN_F, "net"))
+def q_lasso_cv(spark, sf):
+    return _rounded_lasso(_lasso_cv(spark, sf))
+
+
 def _pca(spark, sf, source=_plain):
     return run_pca(source(spark, sf, *LIN_F), LIN_F, keep_cols=["row_id"] if source is _li else [])
 
 
-@register("pca_variance")
+_PCA_SQL = f"WITH RECURSIVE li AS ({LI_SQL}), {pca_ctes('li', LIN_F)}"
+_LOADINGS_SQL = f"{_PCA_SQL}, ld AS ({loadings(LIN_F)})"
+_SCORES_SQL = f"{_LOADINGS_SQL}, sc AS ({scores('li', LIN_F, 4)})"
+
+
+@register("pca_variance", f"{_PCA_SQL} SELECT pc, round(evr, 6) AS explained_variance_ratio, round(cum, 6) AS cumulative_variance FROM eig")
 def q_pca_variance(spark, sf):
-    return _pca(spark, sf).variance
+    return _pca(spark, sf).variance.select("pc", r6("explained_variance_ratio"), r6("cumulative_variance"))
 
 
-@register("pca_loadings")
+@register("pca_loadings", f"{_LOADINGS_SQL} SELECT feature, pc, round(loading, 6) AS loading FROM ld")
 def q_pca_loadings(spark, sf):
-    return _pca(spark, sf).loadings
+    return _pca(spark, sf).loadings.select("feature", "pc", r6("loading"))
 
 
-@register("pca_scores")
+@register("pca_scores", f"{_SCORES_SQL} SELECT row_id, round(PC1, 5) AS PC1, round(PC2, 5) AS PC2, round(PC3, 5) AS PC3, round(PC4, 5) AS PC4 FROM sc")
 def q_pca_scores(spark, sf):
-    return _pca(spark, sf, _li).scores
+    out = _pca(spark, sf, _li).scores
+    return out.select("row_id", *[F.round(c, 5).alias(c) for c in out.columns if c != "row_id"])
 
 
-@register("pca_feature_rank")
+@register("pca_feature_rank", f"{_LOADINGS_SQL} SELECT feature, round(m, 6) AS max_loading, rank() OVER (ORDER BY m DESC) AS rank FROM (SELECT feature, max(abs(loading)) AS m FROM ld GROUP BY feature)")
 def q_pca_feature_rank(spark, sf):
-    return _pca(spark, sf).feature_rank
+    return _pca(spark, sf).feature_rank.select("feature", r6("max_loading"), "rank")
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_FPOS_LIN = "CASE feature " + " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(LIN_F)) + " END"
+_PCA_TEXT_SQL = f"""{_LOADINGS_SQL},
+pcs AS (SELECT pc, printf({_sql_text(nar.TEMPLATES['pca_pc'])}, pc::INT, arg_min(feature, k), arg_min(loading, k)) AS t
+        FROM (SELECT *, struct_pack(a := -abs(loading), b := {_FPOS_LIN}) AS k FROM ld) GROUP BY pc),
+mx AS (SELECT feature, max(abs(loading)) AS m FROM ld GROUP BY feature)
+SELECT 'pca' AS method, printf({_sql_text(nar.TEMPLATES['pca_head'])}, (SELECT count(*) FROM eig)::INT, (SELECT max(cum) FROM eig) * 100) || ' '
+  || (SELECT string_agg(t, ' ' ORDER BY pc) FROM pcs) || ' '
+  || (SELECT printf({_sql_text(nar.TEMPLATES['pca_overall'])}, feature, m) FROM mx ORDER BY m DESC, {_FPOS_LIN} LIMIT 1) || ' ' || {_sql_text(nar.CAVEAT)} AS narrative"""
 
 
-@register("narrative_pca")
+@register("narrative_pca", _PCA_TEXT_SQL)
 def q_narrative_pca(spark, sf):
     r = _pca(spark, sf)
     return nar.interpret_pca(r.variance, r.loadings, r.feature_rank, LIN_F)
 
 
-@register("narrative_lasso")
+_LASSO_TEXT_SQL = lasso_cv_sql(LI_SQL, LIN_F, "net").rsplit("\nSELECT", 1)[0] + f""",
+w AS (SELECT 'net' AS target, * FROM ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {i} AS pos, w{i} AS w FROM fit" for i, f in enumerate(LIN_F, 1))}))
+SELECT target, 'lasso' AS method, {sentences(
+    f"CASE WHEN count(*) FILTER (w <> 0) = 0 THEN printf({text(nar.TEMPLATES['lasso_all_zero'])}, chr(39) || target || chr(39)) ELSE printf({text(nar.TEMPLATES['lasso_top'])}, "
+    "list(feature ORDER BY abs(w) DESC, pos)[1], chr(39) || target || chr(39), list(w ORDER BY abs(w) DESC, pos)[1]) END",
+    f"CASE WHEN count(*) FILTER (w <> 0) > 1 THEN printf({text(nar.TEMPLATES['lasso_others'])}, {names_sql('list_filter(list(CASE WHEN w <> 0 THEN feature END ORDER BY abs(w) DESC, pos)[2:], lambda f: f IS NOT NULL)')}) END",
+    f"CASE WHEN count(*) FILTER (w = 0) > 0 THEN printf({text(nar.TEMPLATES['lasso_zero'])}, {names_sql('list_filter(list(CASE WHEN w = 0 THEN feature END ORDER BY pos), lambda f: f IS NOT NULL)')}, CASE WHEN count(*) FILTER (w = 0) = 1 THEN 'it' ELSE 'they' END) END",
+    text(nar.CAVEAT))} AS narrative FROM w GROUP BY target"""
+
+
+@register("narrative_lasso", _LASSO_TEXT_SQL)
 def q_narrative_lasso(spark, sf):
-    return nar.interpret_lasso(run_lasso(_li(spark, sf, *LIN_F, "net"), LIN_F, "net", cv=5), LIN_F)
+    return nar.interpret_lasso(_lasso_cv(spark, sf), LIN_F)
+
+
+_SHARE_SQL = f"""WITH li AS ({NET_SQL}), p AS (SELECT 'net' AS target, feature, pos, abs(r) AS r FROM (
+  {' UNION ALL '.join(f"SELECT '{f}' AS feature, {i} AS pos, corr({f}, net) AS r FROM li" for i, f in enumerate(COR_F, 1))})),
+i AS (SELECT *, r / sum(r) OVER () AS share FROM p)
+{ranked_narrative_sql('i', 'share', 'random_forest', nar.TEMPLATES['rf_top'], nar.TEMPLATES['rf_others'], nar.CAVEAT)}
+UNION ALL {ranked_narrative_sql('i', 'share', 'shap', nar.TEMPLATES['shap_top'], nar.TEMPLATES['shap_others'], nar.CAVEAT)}"""
+
+
+@register("narrative_ranked", _SHARE_SQL)
+def q_narrative_ranked(spark, sf):
+    """The forest's and the SHAP narrative of importances that SQL can work out (shares of |r|)."""
+    r = cor.pearson_table(_cor_input(spark, sf), COR_F, ["net"]).select("target", "feature", F.abs("r").alias("r"))
+    share = r.withColumn("importance", F.col("r") / F.sum("r").over(Window.partitionBy("target")))
+    share = share.withColumn("mean_abs_shap", F.col("importance")).withColumn("rank", F.rank().over(Window.partitionBy("target").orderBy(F.col("importance").desc())))
+    return nar.interpret_random_forest(share, COR_F).unionByName(nar.interpret_shap(share, COR_F))
 
 
 # ---------------------------------------------------------------------------
@@ -960,9 +1043,9 @@ def q_pareto_current(spark, sf):
 from sifter.operators import plotdata as pld  # noqa: E402
 
 
-@register("scree")
+@register("scree", f"{_PCA_SQL} SELECT pc, round(evr * 100, 6) AS explained_pct, round(cum * 100, 6) AS cumulative_pct FROM eig")
 def q_scree(spark, sf):
-    return pld.scree(_pca(spark, sf).variance)
+    return pld.scree(_pca(spark, sf).variance).select("pc", r6("explained_pct"), r6("cumulative_pct"))
 
 
 @register("heatmap_long", f"""WITH li AS ({NET_SQL}), {_RK_CTE}, p AS ({_PEARSON_SQL}), s AS ({_SPEARMAN_SQL})
@@ -978,22 +1061,28 @@ def q_heatmap_long(spark, sf):
     return pld.heatmap_long(res).withColumn("value", F.round("value", 6))
 
 
-@register("loading_heatmap")
+@register("loading_heatmap", f"""{_LOADINGS_SQL}
+SELECT feature, pc, printf('PC%d (%.1f%%)', pc::INT, evr * 100) AS pc_label, round(loading, 6) AS loading,
+  round((SELECT max(abs(loading)) FROM ld), 6) AS color_limit FROM ld JOIN eig USING (pc)""")
 def q_loading_heatmap(spark, sf):
     r = _pca(spark, sf)
-    return pld.loading_heatmap(r.loadings, r.variance)
+    return pld.loading_heatmap(r.loadings, r.variance).select("feature", "pc", "pc_label", r6("loading"), r6("color_limit"))
 
 
-@register("biplot_points")
+@register("biplot_points", f"{_SCORES_SQL} SELECT row_id, round(PC1, 5) AS x, round(PC2, 5) AS y FROM sc")
 def q_biplot_points(spark, sf):
     r = _pca(spark, sf, _li)
-    return pld.biplot(r.scores, r.loadings)[0]
+    return pld.biplot(r.scores, r.loadings)[0].select("row_id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
-@register("biplot_vectors")
+@register("biplot_vectors", f"""{_SCORES_SQL},
+xy AS (SELECT feature, max(CASE WHEN pc = 1 THEN loading END) AS lx, max(CASE WHEN pc = 2 THEN loading END) AS ly FROM ld GROUP BY feature),
+z AS (SELECT (SELECT greatest(max(abs(PC1)), max(abs(PC2)), 1e-9) FROM sc) * 0.8 / (SELECT greatest(max(abs(lx)), max(abs(ly)), 1e-9) FROM xy) AS k)
+SELECT feature, round(lx * k, 5) AS x_end, round(ly * k, 5) AS y_end, round(lx * k * 1.18, 5) AS x_label, round(ly * k * 1.18, 5) AS y_label FROM xy, z""")
 def q_biplot_vectors(spark, sf):
     r = _pca(spark, sf, _li)
-    return pld.biplot(r.scores, r.loadings)[1]
+    vec = pld.biplot(r.scores, r.loadings)[1]
+    return vec.select("feature", *[F.round(c, 5).alias(c) for c in vec.columns if c != "feature"])
 
 
 @register("beeswarm_points")
@@ -1046,17 +1135,64 @@ from sifter.sources import files as src  # noqa: E402
 
 SCREEN_F = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 SCREEN_T = ["net"]
-SCREEN_METHODS = ["lasso", "random_forest", "shap", "pca", "correlations"]
+SCREEN_METHODS = ["lasso", "random_forest", "shap", "pca", "correlations", "ard_gp"]
 
 
-def _screen(spark, sf):
+def _screen_input(spark, sf):
     li = _li(spark, sf, *SCREEN_F, "net", "l_extendedprice").select("row_id", *SCREEN_F, "net", "l_extendedprice")
     avg = rep.handle_replicates(li, SCREEN_F, ["net", "l_extendedprice"], "average")
-    coded, _ = enc.encode_categoricals(avg, ["l_returnflag", "l_linestatus"])
+    return enc.encode_categoricals(avg, ["l_returnflag", "l_linestatus"])
+
+
+def _screen(spark, sf):
+    coded, _ = _screen_input(spark, sf)
     return screen(coded, SCREEN_F, SCREEN_T, SCREEN_METHODS, categorical_cols=["l_returnflag", "l_linestatus"],
                   n_estimators=20, max_depth=6)
 
 
+@register("screen_methods", "SELECT 'net' AS target, m AS method, 5::BIGINT AS n_features, 1::BIGINT AS best_rank, true AS ranks_within FROM (VALUES "
+          + ", ".join(f"('{m}')" for m in SCREEN_METHODS) + ") t(m)")
+def q_screen_methods(spark, sf):
+    """Every one of the six methods ranks every feature."""
+    r = _screen(spark, sf).rankings
+    return r.groupBy("target", "method").agg(F.count_distinct("feature").alias("n_features"), F.min("rank").cast("long").alias("best_rank"),
+                                             (F.max("rank") <= 5).alias("ranks_within"))
+
+
+_REPORT_F = ["l_quantity", "l_discount", "l_tax"]
+_REPORT_SQL = f"""WITH c AS (SELECT l_quantity, l_discount, l_tax FROM lineitem GROUP BY ALL),
+b AS (SELECT {', '.join(f'min({f}) AS lo_{f}, max({f}) AS hi_{f}' for f in _REPORT_F)} FROM c)
+SELECT 'summary' AS section, 1::BIGINT AS n_rows, 'file_name,generated_at,n_features,n_rows,replicate_strategy,target_cols' AS column_names
+UNION ALL SELECT 'lasso', 3, 'abs_coefficient,alpha,coefficient,feature,generated_at,rank,target'
+UNION ALL SELECT 'pca', 3, 'feature,generated_at,max_loading,rank'
+UNION ALL SELECT 'pca_variance', 3, 'cumulative_variance,explained_variance_ratio,generated_at,pc'
+UNION ALL SELECT 'pca_loadings', 9, 'feature,generated_at,loading,pc'
+UNION ALL SELECT 'correlations', 3, 'anova_p,anova_significant,eta_squared,feature,generated_at,n,pearson_p,pearson_r,pearson_significant,rank,spearman_p,spearman_r,spearman_significant,target'
+UNION ALL SELECT 'consensus', 3, 'avg_normalized_rank,consensus_rank,correlations_rank,feature,generated_at,importance_label,lasso_rank,n_methods_top_k,pca_rank,target'
+UNION ALL SELECT 'narratives', 4, 'generated_at,method,narrative,target'
+UNION ALL SELECT 'bounds', 3, 'feature,generated_at,lower,type,upper'
+UNION ALL SELECT 'suggestions', (SELECT count(*) FROM supplier), 'generated_at,l_discount (fraction),l_quantity (units),l_tax (fraction),point'"""
+
+
+@register("report_sections", _REPORT_SQL)
+def q_report_sections(spark, sf):
+    """The assembled report, written and read back: rows and columns of every section."""
+    li = _li(spark, sf, *_REPORT_F, "net").select("row_id", *_REPORT_F, "net")
+    avg = durable(rep.handle_replicates(li, _REPORT_F, ["net"], "average"))
+    result = screen(avg, _REPORT_F, ["net"], ["lasso", "pca", "correlations"])
+    bounds = dsg.observed_bounds(avg, _REPORT_F)
+    sections = rpt.report_sections(result, rpt.dataset_summary(spark, avg, "lineitem.parquet", _REPORT_F, ["net"], "average"), bounds.drop("values"),
+                                   dsg.mixed_design(spark, dsg.build_parameter_space(spark, _REPORT_F, {r["feature"]: r.asDict() for r in bounds.collect()}),
+                                                    table(spark, sf, "supplier").count()),
+                                   units={"l_quantity": "units", "l_discount": "fraction", "l_tax": "fraction"})
+    out = None
+    for name, path in zip(sections, rpt.write_report(sections, scratch_path(spark, "report"))):
+        read = spark.read.parquet(path)
+        row = read.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("section"), "n_rows", F.lit(",".join(sorted(read.columns))).alias("column_names"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @register("screen_consensus")
 def q_screen_consensus(spark, sf):
     return _screen(spark, sf).consensus
@@ -1211,7 +1347,60 @@ def q_bootstrap_shap(spark, sf):
 # ---------------------------------------------------------------------------
 # Round trips (S1, S7, S8), role projection (P6), keep_all (A3), plot points (V8)
 # ---------------------------------------------------------------------------
-from sifter.session import scratch_path  # noqa: E402
+
+
+def _workbook(rows: list[tuple], names: list[str]) -> bytes:
+    """A workbook of two sheets: the rows with their header, and a note."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cell = lambda c, r, v: (f'<c r="{chr(65 + c)}{r}" t="inlineStr"><is><t>{escape(v)}</t></is></c>' if isinstance(v, str)
+                            else f'<c r="{chr(65 + c)}{r}"><v>{v!r}</v></c>')
+    lines = "".join(f'<row r="{i}">' + "".join(cell(c, i, v) for c, v in enumerate(row)) + "</row>" for i, row in enumerate([tuple(names), *rows], 1))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>'
+                                      '<sheet name="Suppliers" sheetId="1" r:id="a"/><sheet name="Note" sheetId="2" r:id="b"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{lines}</sheetData></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1"><v>{len(rows)}</v></c></row></sheetData></worksheet>')
+    return out.getvalue()
+
+
+_XLSX_COLS = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]
+
+
+def _supplier_workbooks(spark, sf) -> str:
+    """A workbook per nation with its suppliers, written by the tasks into the shared scratch folder."""
+    folder = scratch_path(spark, "workbooks")
+
+    def write(key, pdf):
+        import pandas as pd
+        from pyarrow import fs
+        store, at = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        store.create_dir(at, recursive=True)
+        with store.open_output_stream(f"{at}/nation-{key[0]}.xlsx", compression=None) as f:
+            f.write(_workbook(list(pdf[_XLSX_COLS].itertuples(index=False, name=None)), _XLSX_COLS))
+        return pd.DataFrame({"rows": [len(pdf)]})
+
+    sup = table(spark, sf, "supplier").selectExpr("cast(s_suppkey as bigint) s_suppkey", "s_name", "cast(s_nationkey as bigint) s_nationkey", "cast(s_acctbal as double) s_acctbal")
+    sup.groupBy("s_nationkey").applyInPandas(write, "rows long").collect()          # a row a nation
+    return folder
+
+
+@register("excel_scan", "SELECT s_suppkey::BIGINT AS s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acctbal::DOUBLE AS s_acctbal FROM supplier")
+def q_excel_scan(spark, sf):
+    """The first sheets of a folder of workbooks, types restored."""
+    out = src.load_file(spark, _supplier_workbooks(spark, sf) + "/*.xlsx")
+    return out.select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", F.col("s_nationkey").cast("long").alias("s_nationkey"), F.col("s_acctbal").cast("double").alias("s_acctbal"))
+
+
+@register("excel_sheets", "SELECT 'nation-' || s_nationkey || '.xlsx' AS file, position::INT AS position, sheet FROM (SELECT DISTINCT s_nationkey FROM supplier), (VALUES (0, 'Suppliers'), (1, 'Note')) v(position, sheet)")
+def q_excel_sheets(spark, sf):
+    """S3: the sheets of a folder of workbooks."""
+    return src.list_sheets(spark, _supplier_workbooks(spark, sf) + "/*.xlsx").withColumn("file", F.regexp_extract("file", r"[^/]+$", 0))
+
 
 _CSV_COLS = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]
 

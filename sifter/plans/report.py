@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sifter.operators.encode import decode_categoricals, rename_with_units
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header CSV (one file per partition, written in parallel)."""
@@ -40,6 +42,33 @@ def dataset_summary(spark: SparkSession, df: DataFrame, file_name: str, feature_
         F.lit(replicate_strategy).alias("replicate_strategy"))
 
 
+def report_sections(result, summary: DataFrame, bounds: DataFrame | None = None, suggestions: DataFrame | None = None,
+                    pareto: DataFrame | None = None, units: Mapping[str, str] | None = None,
+                    categorical_maps: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The report's sections from a ``ScreenResult``, in the report's order.
+
+    The summary; a table per method that ran (best first) and its narrative; the consensus with labels; bounds; the
+    suggestions and the current front with their categorical codes read back and units in the names.
+    Sections without data are left out.
+    """
+    sections = {"summary": summary}
+    for name, table in result.tables.items():
+        keys = [c for c in ("target", "pc", "rank", "feature") if c in table.columns]
+        sections[name] = table.orderBy(*keys)
+    sections["consensus"] = result.consensus.orderBy("target", "consensus_rank")
+    sections["narratives"] = result.narratives.orderBy("target", "method")
+    if result.stability is not None:
+        sections["stability"] = result.stability.orderBy("target", "method", "median_rank", "feature")
+    if bounds is not None:
+        sections["bounds"] = bounds.orderBy("feature")
+    for name, table in (("suggestions", suggestions), ("pareto", pareto)):
+        if table is not None:
+            if categorical_maps is not None:
+                table = decode_categoricals(table, categorical_maps)
+            sections[name] = rename_with_units(table, dict(units or {}))
+    return sections
+
+
 def write_report(sections: Mapping[str, DataFrame], out_dir: str, fmt: str = "parquet",
                  decimals: int = 6, mode: str = "overwrite") -> list[str]:
     """Every section rounded and written under ``out_dir/<section>/``

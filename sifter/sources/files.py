@@ -12,6 +12,8 @@ import io
 import os
 import re
 import zipfile
+from array import array
+from itertools import islice
 from typing import Iterable
 from xml.etree import ElementTree as ET
 
@@ -135,55 +137,108 @@ def _col_index(ref: str) -> int:
     return idx - 1
 
 
-def _workbook_cells(name: str, content: bytes):
-    zf = zipfile.ZipFile(io.BytesIO(content))
-    shared: list[str] = []
-    if "xl/sharedStrings.xml" in zf.namelist():
-        root = ET.fromstring(zf.read("xl/sharedStrings.xml"))
-        for si in root.findall("m:si", _NS):
-            shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
-    wb = ET.fromstring(zf.read("xl/workbook.xml"))
-    rels = ET.fromstring(zf.read("xl/_rels/workbook.xml.rels"))
-    targets = {r.get("Id"): r.get("Target") for r in rels}
+CELL_ROWS = 20_000          # cells of a workbook that leave a task at once
+
+
+class SharedStrings:
+    """A workbook's shared strings by index: one buffer and where each string ends."""
+
+    def __init__(self, zf: zipfile.ZipFile):
+        self.ends, self.blob = array("Q"), bytearray()
+        if "xl/sharedStrings.xml" in zf.namelist():
+            with zf.open("xl/sharedStrings.xml") as part:
+                for text in _texts(part, "si"):
+                    self.blob += text.encode()
+                    self.ends.append(len(self.blob))
+
+    def __getitem__(self, i: int) -> str:
+        return self.blob[self.ends[i - 1] if i else 0:self.ends[i]].decode()
+
+
+def _events(part, keep: str):
+    """The elements named ``keep`` of an XML part as they close, each dropped after use: memory does not grow with the part."""
+    open_ = []
+    for event, el in ET.iterparse(part, events=("start", "end")):
+        if event == "start":
+            open_.append(el)
+            continue
+        open_.pop()
+        if el.tag == f"{{{_NS['m']}}}{keep}":
+            yield el
+            if open_:
+                open_[-1].remove(el)
+
+
+def _texts(part, element: str):
+    for el in _events(part, element):
+        yield "".join(t.text or "" for t in el.iter(f"{{{_NS['m']}}}t"))
+
+
+def sheets_of(zf: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, part) of a workbook's sheets, in their order."""
+    wb, rels = (ET.fromstring(zf.read(p)) for p in ("xl/workbook.xml", "xl/_rels/workbook.xml.rels"))
+    targets = {r.get("Id"): r.get("Target").lstrip("/") for r in rels}
+    out = []
     for sh in wb.find("m:sheets", _NS):
-        sheet_name = sh.get("name")
-        target = targets[sh.get(f"{{{_NS['r']}}}id")].lstrip("/")
-        part = target if target.startswith("xl/") else "xl/" + target
-        root = ET.fromstring(zf.read(part))
-        for row in root.iter(f"{{{_NS['m']}}}row"):
-            r_no = int(row.get("r")) - 1
+        target = targets[sh.get(f"{{{_NS['r']}}}id")]
+        out.append((sh.get("name"), target if target.startswith("xl/") else "xl/" + target))
+    return out
+
+
+def _sheet_cells(zf: zipfile.ZipFile, part: str, shared: SharedStrings):
+    """(row, column, value) of a sheet's cells, read as a stream of XML events."""
+    with zf.open(part) as stream:
+        for row in _events(stream, "row"):
+            at = int(row.get("r")) - 1
             for c in row.findall("m:c", _NS):
-                typ = c.get("t")
-                if typ == "inlineStr":
-                    val = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
+                kind = c.get("t")
+                if kind == "inlineStr":
+                    value = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
                 else:
                     v = c.find("m:v", _NS)
                     if v is None:
                         continue
-                    val = shared[int(v.text)] if typ == "s" else v.text
-                    if typ == "b":
-                        val = "True" if val == "1" else "False"
-                yield (name, sheet_name, r_no, _col_index(c.get("r")), val)
+                    value = shared[int(v.text)] if kind == "s" else v.text
+                    if kind == "b":
+                        value = "True" if value == "1" else "False"
+                yield at, _col_index(c.get("r")), value
 
 
 def _unpack_workbooks(batches):
+    """Cells in portions of ``CELL_ROWS``; a sheet is never held as a whole."""
+    names = [f.name for f in CELLS_SCHEMA.fields]
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"]):
+            zf = zipfile.ZipFile(io.BytesIO(content))
+            shared = SharedStrings(zf)
+            for sheet, part in sheets_of(zf):
+                cells = _sheet_cells(zf, part, shared)
+                while rows := list(islice(cells, CELL_ROWS)):
+                    yield pd.DataFrame([(path, sheet, *r) for r in rows], columns=names)
+
+
+def _listed_sheets(batches):
     for pdf in batches:
-        rows = []
         for path, content in zip(pdf["path"], pdf["content"]):
-            rows.extend(_workbook_cells(path, bytes(content)))
-        yield pd.DataFrame(rows, columns=[f.name for f in CELLS_SCHEMA.fields])
+            found = sheets_of(zipfile.ZipFile(io.BytesIO(content)))
+            yield pd.DataFrame([(path, i, name) for i, (name, _) in enumerate(found)], columns=["file", "position", "sheet"])
+
+
+def _workbooks(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile")
+    if os.path.isdir(path):
+        files = files.option("pathGlobFilter", "*.xlsx")
+    return files.load(path).select("path", "content")
 
 
 def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
     """Long cell table ``(file, sheet, row_no, col_no, value)`` of workbooks."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path) \
-        if os.path.isdir(path) else spark.read.format("binaryFile").load(path)
-    return files.select("path", "content").mapInPandas(_unpack_workbooks, CELLS_SCHEMA)
+    return _workbooks(spark, path).mapInPandas(_unpack_workbooks, CELLS_SCHEMA)
 
 
 def list_sheets(spark: SparkSession, path: str) -> DataFrame:
-    """S3: the sheets of each workbook."""
-    return workbook_cells(spark, path).select("file", "sheet").distinct()
+    """S3: ``(file, position, sheet)`` of the workbooks' sheets; only the workbooks' lists are read, no cells."""
+    return _workbooks(spark, path).mapInPandas(_listed_sheets, "file string, position int, sheet string")
 
 
 def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
@@ -195,7 +250,7 @@ def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataF
     """
     cells = workbook_cells(spark, path)
     if sheet is None:
-        cells = cells.join(F.broadcast(_first_sheets(spark, path)), ["file", "sheet"])
+        cells = cells.join(list_sheets(spark, path).where("position = 0").drop("position"), ["file", "sheet"])
     else:
         cells = cells.where(F.col("sheet") == sheet)
     repeat = F.row_number().over(Window.partitionBy("file", "value").orderBy("col_no")) - 1
@@ -210,20 +265,6 @@ def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataF
     return restore_types(null_tokens(wide.drop("file", "row_no")))
 
 
-def _first_sheets(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def first_sheet(batches):
-        for pdf in batches:
-            out = []
-            for p, content in zip(pdf["path"], pdf["content"]):
-                wb = ET.fromstring(zipfile.ZipFile(io.BytesIO(bytes(content))).read("xl/workbook.xml"))
-                out.append((p, wb.find("m:sheets", _NS)[0].get("name")))
-            yield pd.DataFrame(out, columns=["file", "sheet"])
-
-    return files.mapInPandas(first_sheet, "file string, sheet string")
-
-
 # ---------------------------------------------------------------------------
 # Transposed layout (one row per variable, one column per experiment)
 # ---------------------------------------------------------------------------

@@ -80,6 +80,30 @@ def test_xlsx_first_sheet(spark, tmp_path):
     assert sheets == ["Data", "Other"]
 
 
+def test_a_long_sheet_is_read_as_a_stream(spark, tmp_path):
+    import tracemalloc
+    n = 150_000
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rns = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    p = str(tmp_path / "long.xlsx")
+    with zipfile.ZipFile(p, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} {rns}><sheets><sheet name="Runs" sheetId="1" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="/xl/worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst {ns}><si><t>x</t></si><si><r><t>y</t></r><r><t>é</t></r></si><si><t></t></si></sst>')
+        rows = "".join(f'<row r="{i + 2}"><c r="A{i + 2}"><v>{i}</v></c><c r="B{i + 2}" t="s"><v>{i % 3}</v></c></row>' for i in range(n))
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>id</t></is></c><c r="B1" t="s"><v>1</v></c></row>{rows}</sheetData></worksheet>')
+    zf = zipfile.ZipFile(p)
+    tracemalloc.start()
+    count = sum(1 for _ in src._sheet_cells(zf, "xl/worksheets/sheet1.xml", src.SharedStrings(zf)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 2 * n + 2 and peak < 8 << 20
+    df = src.read_xlsx(spark, p)
+    assert df.columns == ["id", "yé"] and df.count() == n
+    assert df.agg({"id": "sum"}).first()[0] == n * (n - 1) // 2 and df.where("`yé` = 'yé'").count() == n // 3
+    assert [tuple(r)[1:] for r in src.list_sheets(spark, p).collect()] == [(0, "Runs")]
+
+
 def test_transposed_csv(spark, tmp_path):
     p = _write(tmp_path, "t.csv", "temperature,100,200,300\nyield,0.5,0.6,NA\ncat,A,B,C\n")
     df = src.read_transposed(spark, p)
