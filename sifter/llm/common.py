@@ -42,9 +42,17 @@ def text_key(text: str = "text"):
     return F.xxhash64(F.col(text))
 
 
+def drawn(label: str, columns: list[str], share: float):
+    """True for ``share`` of the values of ``columns``, by 63 bits of a hash: exact however small the share is."""
+    if share >= 1.0:
+        return F.lit(True)
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(label), *columns), 1)
+    return draw < F.lit(int(share * (1 << 63)))
+
+
 def blocks_of(items: list, size: int) -> Iterator[list]:
     for i in range(0, len(items), size):
         yield items[i:i + size]
 
 
-__all__ = ["prepare", "stored", "checked_broadcast", "text_key", "blocks_of", "table", "scratch_path"]
+__all__ = ["prepare", "stored", "checked_broadcast", "text_key", "drawn", "blocks_of", "table", "scratch_path"]

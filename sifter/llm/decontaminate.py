@@ -6,16 +6,17 @@ A test item's windows are its runs of ``window`` consecutive words (all its word
 3. The index stores the postings (term, document, position) of those terms.
 4. A posting minus the term's offset is a window start; the lists of a window's rarest terms are
    intersected by counting, per (document, window, start), how many of the terms agree.
-5. The surviving starts are compared with the document's own words: exact phrase matches.  Items'
-   rarest distinct terms that lie within ``span`` words in any order are proximity matches.
+5. The surviving starts are compared with the document's own words: exact phrase matches.
+6. An item is covered by stretches of ``span`` words; where a stretch's rarest distinct terms lie within
+   ``span`` words of a document, in any order, that is a proximity match of the item.
 
 Scale: documents are tokenised three times (frequencies, postings, word counts) and never shuffled
 as a whole: only postings of rare terms are.  Frequencies aggregate on the map side; a passage that a
 third of all documents share costs its postings.  Term tables are broadcast only when their measured
 bytes fit a bound and are shuffled otherwise; the same holds for the keys of documents to compare.
 
-Words: A-Z lower-cased, runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.  Index terms are fully lower-cased,
-which only merges more terms; the exact comparison in step 5 decides.
+Words: A-Z lower-cased, runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.  Index terms are
+these words and nothing is folded beyond them, so a word is the same term wherever it stands.
 
 Defined cases: null or empty texts have no words and are never contaminated; items without words
 match nothing; a null item_id is matched but not listed or counted; repeated items or documents each
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sifter.functions.broadcasting import broadcast_if_small
 from sifter.llm.common import BROADCAST_BYTES, checked_broadcast, stored, table
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,13 +52,13 @@ def doc_key(docs: DataFrame) -> list[Column]:
 
 
 def _tokens(docs: DataFrame, keyed: bool) -> DataFrame:
-    """(k, k2, term, pos) for every folded word; pos counts from 0 over the words."""
+    """(k, k2, term, pos) for every word, A-Z lower-cased; pos counts from 0 over the words."""
     key = doc_key(docs) if keyed else []
-    split = docs.select(*key, F.split(F.lower(docs["text"]), GAP).alias("parts"))
+    split = docs.select(*key, F.split(docs["text"], ANY_CASE_GAP).alias("parts"))
     # hashes and the leading gap are worked out per document, below the explode, not per word
     split = split.select(*["k", "k2"] * keyed, "parts", F.when(F.col("parts")[0] == "", 1).otherwise(0).alias("skip"))
     flat = split.select(*["k", "k2"] * keyed, "skip", F.posexplode_outer("parts").alias("at", "term"))    # outer: no filter that splits again
-    return flat.where("term <> ''").select(*["k", "k2"] * keyed, "term", *[(F.col("at") - F.col("skip")).alias("pos")] * keyed)
+    return flat.where("term <> ''").select(*["k", "k2"] * keyed, ascii_lower(F.col("term")).alias("term"), *[(F.col("at") - F.col("skip")).alias("pos")] * keyed)
 
 
 def _small(terms: DataFrame) -> DataFrame:
@@ -73,19 +75,26 @@ def windows_of(items: DataFrame, window: int) -> DataFrame:
     return w.select("item_id", "len", F.array_join(F.slice("ws", F.col("s"), F.col("len")), " ").alias("phrase")).distinct()
 
 
+def stretches_of(items: DataFrame, span: int) -> DataFrame:
+    """(item_id, stretch): the word lists that cover an item, ``span`` words each (the last one ends with the item)."""
+    w = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("ws")).where("size(ws) > 0")
+    first = F.greatest(F.size("ws") - span + 1, F.lit(1))
+    starts = F.transform(F.sequence(F.lit(1), F.size("ws"), F.lit(span)), lambda s: F.least(s, first))
+    return w.select("item_id", F.explode(F.array_distinct(F.transform(starts, lambda s: F.slice("ws", s, span)))).alias("stretch")).distinct()
+
+
 class Index:
     """Postings of the rarest test terms over a corpus, and the window and item terms that look them up."""
 
-    def __init__(self, docs: DataFrame, items: DataFrame, window: int = 10, depth: int = 2, near: int = 3):
-        self.docs = docs
+    def __init__(self, docs: DataFrame, items: DataFrame, window: int = 10, depth: int = 2, near: int = 3, span: int = 20):
+        self.docs, self.span = docs, span
         self.depth, self.near = depth, near
         self.window_items = stored(windows_of(items, window), "window_items")
         phrases = self.window_items.select("phrase", "len").distinct().withColumn("wid", F.monotonically_increasing_id())
         self.phrases = stored(phrases, "phrases")
-        slots = self.phrases.select("wid", "len", F.posexplode(F.split(F.lower("phrase"), " ")).alias("off", "term"))
-        item_terms = items.select(F.col("item_id").cast("string").alias("item_id"),
-                                  F.explode(F.array_distinct(F.transform(words(F.col("text")), F.lower))).alias("term")).distinct()
-        vocabulary = stored(slots.select("term").unionByName(item_terms.select("term")).distinct(), "vocabulary")
+        slots = self.phrases.select("wid", "len", F.posexplode(F.split("phrase", " ")).alias("off", "term"))
+        stretch_terms = stretches_of(items, span).select("item_id", "stretch", F.explode(F.array_distinct("stretch")).alias("term"))
+        vocabulary = stored(slots.select("term").unionByName(stretch_terms.select("term")).distinct(), "vocabulary")
         counts = _tokens(docs, False).join(_small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
         self.counts = stored(counts, "term_counts")
         ranked = slots.join(self.counts, "term").withColumn(
@@ -93,9 +102,12 @@ class Index:
         whole = ranked.groupBy("wid").agg(F.count("*").alias("present"))
         anchors = ranked.where(F.col("rank") <= depth).join(whole, "wid").where("present = len")
         self.anchors = stored(anchors.select("wid", "len", "off", "term"), "anchors")
-        rare = item_terms.join(self.counts, "term").withColumn(
-            "rank", F.row_number().over(Window.partitionBy("item_id").orderBy("n", "term")))
-        self.item_anchors = stored(rare.where(F.col("rank") <= near).select("item_id", "term", "rank"), "item_anchors")
+        rare = stretch_terms.join(self.counts, "term").withColumn(
+            "rank", F.row_number().over(Window.partitionBy("item_id", "stretch").orderBy("n", "term")))
+        terms = F.array_sort(F.collect_set(F.struct("rank", "term")))
+        stretch_keys = rare.where(F.col("rank") <= near).groupBy("item_id", "stretch").agg(terms.alias("ts")).select("item_id", "ts").distinct()
+        self.item_anchors = stored(stretch_keys.withColumn("sid", F.xxhash64("item_id", "ts")).select("item_id", "sid", F.explode("ts").alias("t"))
+                                   .select("item_id", "sid", "t.term", "t.rank"), "item_anchors")
         looked_up = stored(self.anchors.select("term").unionByName(self.item_anchors.select("term")).distinct(), "looked_up")
         self.postings = stored(_tokens(docs, True).join(_small(looked_up), "term"), "postings")
 
@@ -120,20 +132,20 @@ class Index:
     def _phrases_fit(self) -> bool:
         return (self.phrases.agg(F.sum(F.octet_length("phrase") + 64)).first()[0] or 0) <= BROADCAST_BYTES
 
-    def proximity_matches(self, span: int = 20) -> DataFrame:
-        """(k, k2, item_id, end, width): the item's rarest distinct terms all within ``span`` words, in any order.
+    def proximity_matches(self) -> DataFrame:
+        """(k, k2, item_id, end, width): the rarest distinct terms of one of the item's stretches, all within ``span`` words, in any order.
 
         Along a document's positions, the last position of each term so far; the stretch ending at a position
-        runs back to the oldest of them.  One pass over each (document, item) list, no pairs.
+        runs back to the oldest of them.  One pass over each (document, item, stretch) list, no pairs.
         """
-        hits = self.postings.join(_small(self.item_anchors), "term").select("k", "k2", "item_id", "pos", "rank").distinct()
-        needed = self.item_anchors.groupBy("item_id").agg(F.max("rank").alias("needed"))
-        along = Window.partitionBy("k", "k2", "item_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        hits = self.postings.join(_small(self.item_anchors), "term").select("k", "k2", "item_id", "sid", "pos", "rank").distinct()
+        needed = self.item_anchors.groupBy("item_id", "sid").agg(F.max("rank").alias("needed"))
+        along = Window.partitionBy("k", "k2", "item_id", "sid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
         last = [F.max(F.when(F.col("rank") == r, F.col("pos"))).over(along) for r in range(1, self.near + 1)]
-        seen = hits.select("k", "k2", "item_id", "pos", F.array(*last).alias("last")).join(F.broadcast(needed), "item_id")
+        seen = hits.select("k", "k2", "item_id", "sid", "pos", F.array(*last).alias("last")).join(broadcast_if_small(needed), ["item_id", "sid"])
         width = F.col("pos") - F.array_min(F.filter("last", lambda p: p.isNotNull())) + 1
         full = F.size(F.filter("last", lambda p: p.isNotNull())) >= F.col("needed")
-        return seen.where(full).select("k", "k2", "item_id", F.col("pos").alias("end"), width.alias("width")).where(F.col("width") <= span)
+        return seen.where(full).select("k", "k2", "item_id", F.col("pos").alias("end"), width.alias("width")).where(F.col("width") <= self.span)
 
 
 def covered(hits: Column) -> Column:
@@ -149,12 +161,12 @@ def covered(hits: Column) -> Column:
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, span: int = 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near and the key of every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    index = Index(docs, items, window)
+    index = Index(docs, items, window, span=span)
     matches = stored(index.phrase_matches(), "matches")
     by_item = (matches.select("k", "k2", F.explode(F.array_distinct(F.transform("hits", lambda h: h["phrase"]))).alias("phrase"))
                .join(index.window_items.select("phrase", "item_id").where("item_id is not null"), "phrase")
                .groupBy("k", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("items")))
-    near = index.proximity_matches(span).groupBy("k", "k2").agg(F.count_distinct("item_id").alias("n_near"))
+    near = index.proximity_matches().groupBy("k", "k2").agg(F.count_distinct("item_id").alias("n_near"))
     hit = matches.select("k", "k2", covered(F.col("hits")).alias("n_hit"))
     found = hit.join(by_item, ["k", "k2"], "left").join(near, ["k", "k2"], "full")
     parts = docs.select("doc_id", *doc_key(docs), F.split(F.coalesce("text", F.lit("")), ANY_CASE_GAP).alias("parts"))
@@ -202,21 +214,24 @@ WITH d AS (
 ), it AS (
   SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
   FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM m WHERE item_id IS NOT NULL) GROUP BY r
-), terms AS (SELECT DISTINCT item_id::VARCHAR AS item_id, lower(unnest(ws)) AS term FROM b
-), tok AS (SELECT r, lower(unnest(ws)) AS term, unnest(range(len(ws))) AS pos FROM d
+), stretch AS (
+  SELECT DISTINCT item_id::VARCHAR AS item_id, ws[s:s + 19] AS st
+  FROM (SELECT item_id, ws, least(unnest(range(1, len(ws) + 1, 20)), greatest(len(ws) - 19, 1)) AS s FROM b WHERE len(ws) > 0)
+), terms AS (SELECT DISTINCT item_id, st, unnest(st) AS term FROM stretch
+), tok AS (SELECT r, unnest(ws) AS term, unnest(range(len(ws))) AS pos FROM d
 ), cnt AS (SELECT term, count(*) AS n FROM tok GROUP BY term
 ), rare AS (
-  SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY n, term) AS k FROM terms JOIN cnt USING (term)
+  SELECT item_id, st, term, row_number() OVER (PARTITION BY item_id, st ORDER BY n, term) AS k FROM terms JOIN cnt USING (term)
   QUALIFY k <= 3
-), need AS (SELECT item_id, max(k) AS need FROM rare GROUP BY item_id
-), occ AS (SELECT DISTINCT r, item_id, pos, k FROM tok JOIN rare USING (term)
+), need AS (SELECT item_id, st, max(k) AS need FROM rare GROUP BY item_id, st
+), occ AS (SELECT DISTINCT r, item_id, st, pos, k FROM tok JOIN rare USING (term)
 ), seen AS (
-  SELECT r, item_id, pos,
+  SELECT r, item_id, st, pos,
     [x FOR x IN [max(CASE WHEN k = 1 THEN pos END) OVER w, max(CASE WHEN k = 2 THEN pos END) OVER w,
                  max(CASE WHEN k = 3 THEN pos END) OVER w] IF x IS NOT NULL] AS last
-  FROM occ WINDOW w AS (PARTITION BY r, item_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+  FROM occ WINDOW w AS (PARTITION BY r, item_id, st ORDER BY pos ROWS UNBOUNDED PRECEDING)
 ), near AS (
-  SELECT r, count(DISTINCT item_id) AS n_near FROM seen JOIN need USING (item_id)
+  SELECT r, count(DISTINCT item_id) AS n_near FROM seen JOIN need USING (item_id, st)
   WHERE len(last) >= need AND pos - list_min(last) + 1 <= 20 GROUP BY r
 )
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm.common import prepare, table
+from sifter.llm.common import drawn, prepare, table
 
 PATH_DIMS, WORD_DIMS, NUMBERS = 256, 32, 4
 INPUT = PATH_DIMS + WORD_DIMS + NUMBERS
@@ -338,11 +338,12 @@ def training_set(pages: list[str], seed: int = 5) -> tuple[list[np.ndarray], lis
 
 
 def fit(pages: DataFrame, sample: int = TRAIN_PAGES) -> Labeller:
-    """The labeller, fitted on about ``sample`` pages chosen by a hash of their html."""
+    """The labeller, fitted on about ``sample`` pages chosen by a hash of id and html."""
     n = pages.where("html is not null").count()
-    draw = F.pmod(F.xxhash64(F.lit("htmltext"), F.col("html")), F.lit(1_000_000))
-    picked = pages.where("html is not null").where(draw < int(1_000_000 * min(1.0, sample / max(1, n)))).select("html").distinct()
+    picked = pages.where("html is not null").where(drawn("htmltext", ["page_id", "html"], sample / max(1, n))).select("html").distinct()
     rows = sorted(r["html"] for r in picked.toLocalIterator())                     # the bounded sample
+    if n and not rows:
+        raise RuntimeError(f"no page of {n} was drawn for training; raise sample ({sample})")
     xs, ys = training_set(rows)
     return Labeller().fit(xs, ys) if xs else Labeller()
 

@@ -21,6 +21,8 @@ clashing extra columns are ignored, ``keep_identified`` returns them untouched.
 
 from __future__ import annotations
 
+import warnings
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm.common import prepare, stored, table
+from sifter.llm.common import drawn, prepare, stored, table
 
 GRAMS = 1 << 16
 EVIDENCE = 40.0
 PER_LANGUAGE = 400
+MAX_LANGUAGES = 256
 HOST_WEIGHT = 5.0          # pseudo-rows that a parent's distribution counts for
 SMOOTH = 1.0
 MIN_POSTERIOR = 0.5
@@ -53,31 +56,44 @@ def trigrams(data: bytes) -> Iterator[np.ndarray]:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities of the hashed trigrams, shape (GRAMS, languages)."""
+    """Languages and their log-probabilities of the hashed trigrams, shape (GRAMS, languages).
+
+    The ``MAX_LANGUAGES`` most frequent labels are learned; further ones (stray labels, as a rule) are named in a warning and
+    their documents are judged among the learned ones.
+    """
     labelled = docs.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}     # a row a language
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    most = sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()        # a bounded number of rows
+    if len(most) > MAX_LANGUAGES:
+        warnings.warn(f"more than {MAX_LANGUAGES} languages are labelled; {most[-1]['lang']!r} ({most[-1]['n']} texts) and rarer ones are not learned", stacklevel=2)
+    counts = {r["lang"]: r["n"] for r in most[:MAX_LANGUAGES]}
     languages = sorted(counts)
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("text")), F.lit(1_000_000))
     keep = F.lit(False)
     for lang, n in counts.items():
-        keep = keep | ((F.col("lang") == lang) & (draw < int(1_000_000 * min(1.0, per_language / n))))
+        keep = keep | ((F.col("lang") == lang) & drawn("langid", ["doc_id", "text"], per_language / n))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        texts: Counter[str] = Counter()
         for b in batches:
             for lang, t in zip(b.column("lang").to_pylist(), b.column("text")):
+                texts[lang] += 1
                 into = sums.setdefault(lang, np.zeros(GRAMS, np.int64))
                 for h in trigrams(t.as_py().encode()):
                     into += np.bincount(h, minlength=GRAMS)
         for lang, c in sums.items():
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(c[at])], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array([-1, *at]), pa.array([texts[lang], *c[at]])], ["lang", "gram", "n"])
 
     sampled = labelled.where(keep).select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
     totals = sampled.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()           # languages x GRAMS rows at most
     m = np.full((GRAMS, max(1, len(languages))), 0.5)
+    lang, gram, n = (totals[c].to_numpy() for c in ("lang", "gram", "n"))
+    unseen = set(languages) - set(lang[gram < 0])               # gram -1 counts texts
+    if unseen:
+        raise RuntimeError(f"no text of {sorted(unseen)} was drawn for training; raise per_language ({per_language})")
     if len(languages):
-        np.add.at(m, (totals["gram"].to_numpy(), [languages.index(x) for x in totals["lang"].to_pylist()]), totals["n"].to_numpy())
+        np.add.at(m, (gram[gram >= 0], np.searchsorted(np.array(languages, object), lang[gram >= 0])), n[gram >= 0])
     return languages, np.log(m / m.sum(axis=0)).astype(np.float32)
 
 
@@ -164,9 +180,9 @@ def _mix(counts: Column, prior: Column) -> Column:
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
-    """Documents as evidence rows: the declared ``lang`` in the markup's place, the source as host."""
+    """Documents as evidence rows: text, and the source as host.  ``lang`` is what is learned, so it is no evidence."""
     return docs.select(F.lit("documents").alias("origin"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text",
-                       F.lower("lang").alias("markup"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"),
+                       F.lit(None).cast("string").alias("markup"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"),
                        F.lit(None).cast("string").alias("parent"))
 
 

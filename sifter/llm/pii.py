@@ -4,7 +4,14 @@ Entities are found by one alternation of patterns.  Each has a type and a canoni
 digits, a lower-cased address, each word of a name); the surrogate of a canonical form is spelled from
 SHA-256(key, type, form, attempt), so every mention, however formatted, gets the same replacement:
 digits become digits, letters letters of the same script and case, punctuation stays, an IP's octets
-stay octets, a card that passes its check digit still does, a name keeps its titles and its gender's ending, if they tell one.
+stay octets, a card that passes its check digit still does, a name keeps its titles.
+
+Names: a word's surrogate depends on key, script and word alone, so a person keeps it under any title, in any
+document.  The ending is chosen per document: a given name's by the gender that its titles there tell, a surname's by
+the word's own gendered ending (Cyrillic, Greek).  Words known from a titled name are replaced in the
+rest of the document too, wherever they stand capitalised without a title.
+
+The key is required; ``session_key`` reads it from the session, or draws one for the session.
 
 Collision check: all distinct forms of the corpus are grouped; a form whose surrogate is taken by a
 smaller form of its type, or is itself a form of the corpus, moves to its next attempt, until none is
@@ -20,6 +27,8 @@ alike; a null doc_id is carried; an empty table gives an empty result; extra col
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +48,8 @@ GIVEN_END = {("latin", "f"): "a", ("latin", "m"): "n", ("cyrillic", "f"): "на"
              ("greek", "f"): "α", ("greek", "m"): "ος", ("latin", "n"): "i", ("cyrillic", "n"): "и", ("greek", "n"): "ι"}
 SURNAME_END = {("latin", "f"): "l", ("latin", "m"): "l", ("cyrillic", "f"): "ова", ("cyrillic", "m"): "ов",
                ("greek", "f"): "ου", ("greek", "m"): "ης", ("latin", "n"): "l", ("cyrillic", "n"): "ко", ("greek", "n"): "ας"}
+# Surnames that tell their bearer's gender: script, endings of women's and of men's.
+OWN_GENDER = (("cyrillic", r"(?:[оеё]ва|ина|ына|ая)\z", r"(?:[оеё]в|ин|ын|ий|ый|ой)\z"), ("greek", r"ου\z", r"[ηοα]ς\z"))
 OTHER_LATIN = "àâäçéèêëîïôöùûüñß"
 # Letters and signs of scripts without names above; those of any further script become a-z, other numerals 0-9.
 ALPHABETS = {
@@ -65,8 +76,10 @@ PATTERNS = [
     ("PERSON", rf"(?<!\p{{L}}){TITLE}++{NAME}(?: (?!{TITLE}){NAME}){{0,2}}"),
 ]
 ENTITY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+BARE = rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){NAME}"
 HINT = rf"[0-9@]|{TITLE}\p{{Lu}}"
 SEP = "\x1f"
+KEY_SETTING = "spark.sifter.pii.key"
 
 
 def _let(value: Column, body) -> Column:
@@ -104,8 +117,33 @@ def script_of(word: Column) -> Column:
     return (F.when(word.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(word.rlike(r"\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin")))
 
 
-def name_type(word: Column, gender: Column, last: Column) -> Column:
-    return F.concat(F.when(last, F.lit("SURNAME")).otherwise(F.lit("GIVEN")), F.lit("_"), script_of(word), F.lit("_"), gender)
+def name_type(word: Column) -> Column:
+    return F.concat(F.lit("NAME_"), script_of(word))
+
+
+def is_person(e: Column) -> Column:
+    return e.rlike(rf"\A{TITLE}")
+
+
+def known_names(ents: Column) -> Column:
+    """(form, gender, last) of every word of the titled names among a document's entities."""
+    def of(e: Column) -> Column:
+        _, names, gender = person_parts(e)
+        return F.transform(names, lambda w, i: F.struct(name_form(w).alias("form"), gender.alias("gender"), (i == F.size(names) - 1).alias("last")))
+    return F.flatten(F.transform(F.filter(ents, is_person), of))
+
+
+def name_ending(word: Column, known: Column) -> Column:
+    """The ending of a name word's surrogate, from what the document's titled names tell about it."""
+    form, script = name_form(word), script_of(word)
+    said = lambda test: F.exists(known, lambda k: (k["form"] == form) & test(k))
+    f, m = said(lambda k: k["gender"] == "f"), said(lambda k: k["gender"] == "m")
+    titles = F.when(f & ~m, F.lit("f")).when(m & ~f, F.lit("m")).otherwise(F.lit("n"))
+    own = titles
+    for other, pattern_f, pattern_m in OWN_GENDER:
+        own = F.when(script == other, F.when(form.rlike(pattern_f), F.lit("f")).when(form.rlike(pattern_m), F.lit("m")).otherwise(titles)).otherwise(own)
+    pick = lambda ends, gender: F.element_at(F.create_map(*[F.lit(x) for (s, g), end in ends.items() for x in (s + g, end)]), F.concat(script, gender))
+    return F.when(said(lambda k: ~k["last"]), pick(GIVEN_END, titles)).otherwise(pick(SURNAME_END, own))
 
 
 def canonical(kind: Column, e: Column) -> Column:
@@ -119,11 +157,9 @@ def canonical(kind: Column, e: Column) -> Column:
 
 def units(e: Column) -> Column:
     """The (type, form) pairs of an entity: one, or one per word of a name."""
-    title, names, gender = person_parts(e)
-    size = F.size(names)
-    of_names = F.transform(names, lambda w, i: F.struct(name_type(w, gender, i == size - 1).alias("kind"), name_form(w).alias("form")))
+    of_names = F.transform(person_parts(e)[1], lambda w: F.struct(name_type(w).alias("kind"), name_form(w).alias("form")))
     single = _let(entity_type(e), lambda t: F.array(F.struct(t.alias("kind"), canonical(t, e).alias("form"))))
-    return F.when(entity_type(e) == "PERSON", of_names).otherwise(single)
+    return F.when(is_person(e), of_names).otherwise(single)
 
 
 def _byte(pool: Column, i: Column) -> Column:
@@ -168,18 +204,26 @@ def _syllable(pool: Column, heads: Column, tails: Column):
 
 
 def _name(kind: Column, pool: Column, attempt: Column) -> Column:
-    """A pronounceable name of the kind's script with its gender's ending; later attempts are longer."""
+    """The pronounceable body of a name of the kind's script, without its ending; later attempts are longer."""
     out = F.lit(None).cast("string")
-    for (script, gender), end in GIVEN_END.items():
-        heads, tails = (F.split(F.lit(s), " ") for s in SYLLABLES[script])
+    for script, (heads, tails) in SYLLABLES.items():
+        heads, tails = (F.split(F.lit(x), " ") for x in (heads, tails))
         body = F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), _syllable(pool, heads, tails)), "")
-        for what, ending in (("GIVEN", end), ("SURNAME", SURNAME_END[script, gender])):
-            out = F.when(kind == f"{what}_{script}_{gender}", F.concat(body, F.lit(ending))).otherwise(out)
+        out = F.when(kind == f"NAME_{script}", body).otherwise(out)
+    return out
+
+
+def spellings(kind: Column, s: Column) -> Column:
+    """Every form that the surrogate ``s`` may be written as: a name's body with any of its script's endings."""
+    out = F.array(s)
+    for script in SYLLABLES:
+        ends = sorted({end for ends in (GIVEN_END, SURNAME_END) for (of, _), end in ends.items() if of == script})
+        out = F.when(kind == f"NAME_{script}", F.array(*[F.concat(s, F.lit(end)) for end in ends])).otherwise(out)
     return out
 
 
 def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
-    """The replacement of a canonical form, itself canonical.
+    """The replacement of a canonical form, itself canonical (of a name word: its body).
 
     An address gets a letter more with each attempt (and one at once if it has none to replace), numbers and
     secrets from attempt ``CROWDED`` on: whatever the corpus holds, some attempt is free.
@@ -229,18 +273,30 @@ def _dress_email(e: Column, form: Column) -> Column:
     return F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(same(i).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
 
 
-def replacement(e: Column, attempts: Column | None, key: str) -> Column:
+def _new(kind: Column, form: Column, attempts: Column | None, key: str) -> Column:
+    n = F.lit(0) if attempts is None else F.coalesce(attempts[F.concat_ws(SEP, kind, form)], F.lit(0))
+    return surrogate(kind, form, n, key)
+
+
+def new_name(word: Column, known: Column, attempts: Column | None, key: str) -> Column:
+    """The surrogate of a name word, with its ending in this document."""
+    return F.initcap(F.concat(_new(name_type(word), name_form(word), attempts, key), name_ending(word, known)))
+
+
+def replacement(e: Column, known: Column, attempts: Column | None, key: str) -> Column:
     """The surrogate of mention ``e``; ``attempts`` maps type + form to an attempt above 0."""
-    def new(kind: Column, form: Column) -> Column:
-        n = F.lit(0) if attempts is None else F.coalesce(attempts[F.concat_ws(SEP, kind, form)], F.lit(0))
-        return surrogate(kind, form, n, key)
-    title, names, gender = person_parts(e)
-    size = F.size(names)
-    words = F.transform(names, lambda w, i: F.initcap(new(name_type(w, gender, i == size - 1), name_form(w))))
-    person = F.concat(title, F.array_join(words, " "))
-    other = lambda t: _let(new(t, canonical(t, e)), lambda s: (
+    title, names, _ = person_parts(e)
+    person = F.concat(title, F.array_join(F.transform(names, lambda w: new_name(w, known, attempts, key)), " "))
+    other = lambda t: _let(_new(t, canonical(t, e), attempts, key), lambda s: (
         F.when(t == "EMAIL", _dress_email(e, s)).when(t.isin("IP", "TOKEN"), s).otherwise(formatted(e, s))))
-    return _let(entity_type(e), lambda t: F.when(t == "PERSON", person).otherwise(other(t)))
+    return F.when(is_person(e), person).otherwise(_let(entity_type(e), other))
+
+
+def untitled(gap: Column, known: Column, attempts: Column | None, key: str) -> Column:
+    """A piece between entities with the known names in it replaced."""
+    word = lambda w: F.when(F.exists(known, lambda k: k["form"] == name_form(w)), new_name(w, known, attempts, key)).otherwise(w)
+    return F.array_join(F.zip_with(F.split(gap, BARE, -1), F.transform(F.regexp_extract_all(gap, F.lit(BARE), F.lit(0)), word),
+                                   lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def moved_forms(docs: DataFrame, key: str) -> DataFrame:
@@ -253,8 +309,9 @@ def moved_forms(docs: DataFrame, key: str) -> DataFrame:
         owner = tried.groupBy("kind", "s").agg(F.min("form").alias("owner"), F.count("*").alias("n"))
         shared = owner.where("n > 1").select("kind", "s", "owner")
         real = now.select("kind", F.col("form").alias("s"))
+        written = tried.select("kind", "form", F.explode(spellings(F.col("kind"), F.col("s"))).alias("s"))
         lost = (tried.join(shared, ["kind", "s"]).where("form <> owner").select("kind", "form")
-                .unionByName(tried.join(real, ["kind", "s"], "left_semi").select("kind", "form")).distinct())
+                .unionByName(written.join(real, ["kind", "s"], "left_semi").select("kind", "form")).distinct())
         lost = stored(lost, "pii_lost")
         if lost.isEmpty():
             return now.where("attempt > 0")
@@ -262,8 +319,19 @@ def moved_forms(docs: DataFrame, key: str) -> DataFrame:
         now = stored(bumped.select("kind", "form", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "pii_forms")
 
 
-def pseudonymise(docs: DataFrame, key: str = "corpus-key") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The session's key (``spark.sifter.pii.key``); if it has none, one is drawn and kept for the session."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with every entity of ``text`` replaced; same columns, same rows."""
+    if not key:
+        raise ValueError("a key is required: without one anybody could rebuild the replacements")
     moved = stored(moved_forms(docs, key), "pii_moved")
     columns = docs.columns
     if moved.isEmpty():
@@ -284,14 +352,16 @@ def pseudonymise(docs: DataFrame, key: str = "corpus-key") -> DataFrame:
 
 def _rewritten(text: Column, attempts: Column | None, key: str) -> Column:
     """Pieces between entities and their replacements, in turn."""
-    gaps = F.split(text, ENTITY, -1)
-    put = lambda g: F.array_join(F.zip_with(g, F.transform(entities(text), lambda e: replacement(e, attempts, key)),
-                                            lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.when(text.rlike(HINT), _let(gaps, put)).otherwise(text)
+    def put(ents: Column, known: Column) -> Column:
+        gaps = F.split(text, ENTITY, -1)
+        gaps = F.when(F.size(known) > 0, F.transform(gaps, lambda g: untitled(g, known, attempts, key))).otherwise(gaps)
+        return F.array_join(F.zip_with(gaps, F.transform(ents, lambda e: replacement(e, known, attempts, key)),
+                                       lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(text.rlike(HINT), _let(entities(text), lambda ents: _let(known_names(ents), lambda known: put(ents, known)))).otherwise(text)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced, and how many entities each had."""
     docs = table(spark, sf_dir, "documents")
     marked = docs.select("doc_id", "text", F.size(entities(F.col("text"))).cast("long").alias("n_entities"))
-    return pseudonymise(marked)
+    return pseudonymise(marked, session_key(spark))

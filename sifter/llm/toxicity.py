@@ -11,8 +11,8 @@ all texts with the weights broadcast (a fixed size, dims x (factors + 2) floats)
 
 Defined cases: null and empty texts have no terms and get the score of the intercept; labels that are null are
 not learned from, an id labelled more than once counts as toxic if any of its labels says so; without
-any usable label, or with one class only, every score is the (smoothed) share of label 1; a null doc_id is
-not held out; repeated rows each get their score; an empty table gives an empty result; other columns
+any usable label every score is 0, with one class only the (smoothed) share of label 1; a sample without a class that
+the labels have raises an error; a null doc_id is not held out; repeated rows each get their score; an empty table gives an empty result; other columns
 are never read.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifter.llm.common import prepare, stored, table
+from sifter.llm.common import drawn, prepare, stored, table
 
 DIMS = 1 << 17
 FACTORS = 8
@@ -129,10 +129,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     usable = stored(usable, "toxic_labels")
     count = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}       # two rows
     rate = {y: min(1.0, per_class / n) for y, n in count.items()}
-    draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1_000_000))
     keep = F.lit(False)
     for y, p in rate.items():
-        keep = keep | ((F.col("y") == y) & (draw < int(p * 1_000_000)))
+        keep = keep | ((F.col("y") == y) & drawn("toxicity", ["doc_id"], p))
     picked = usable.where(keep)                                     # about 2 x per_class rows, whatever the input
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
     return texts, rate, count
@@ -150,6 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machi
                                              ["doc_id", "y", "terms"])
 
     sample = texts.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, terms array<int>").toArrow()   # the bounded sample
+    absent = {0, 1} - set(sample["y"].to_pylist())
+    if any(rate[y] < 1 for y in absent):
+        raise RuntimeError(f"no document of label {absent} was drawn; raise per_class ({per_class})")
+    if absent:                                                      # labels of documents that the table does not have
+        return (count[1] + 1) / (count[0] + count[1] + 2)
     order = np.argsort(sample["doc_id"].to_numpy(), kind="stable")
     lists, y = sample["terms"].to_pylist(), sample["y"].to_numpy()
     model = Machine().fit([np.array(lists[i], np.int32) for i in order], y[order].astype(float))

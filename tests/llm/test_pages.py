@@ -65,6 +65,30 @@ def test_url_rules_and_method(llm, pages):
     assert urls.judge(pages.limit(0), urls.labelled_urls(llm)).count() == 0
 
 
+def test_url_method_on_unseen_hosts(llm):
+    """Hosts that the labelled table doesn't have; the last of each row look like the other kind."""
+    block = ["royal-slots-casino", "pokerbonus", "lottery-jackpot", "payday-credit", "adult-movies-xxx", "meds-no-rx", "spamlink-farm", "ads-tracker"]
+    allow = ["betterhomes", "trackandfield", "classroom-news", "nation-history", "farmhouse-cheese", "adelaide-museum", "credible-research", "windmill-garden"]
+    listed = {*urls.BLOCKED_HOSTS, *urls.ALLOWED_HOSTS}
+    assert not listed & {*block, *allow}
+    rows = [(i, f"https://{'www.' * (i % 2)}{h}.example.com/en/{i}") for i, h in enumerate(block + allow)]
+    got = {r["page_id"]: r for r in urls.judge(llm.createDataFrame(rows, "page_id long, url string"), urls.labelled_urls(llm), rules=()).collect()}
+    wrong = [(block + allow)[i] for i in got if (got[i]["verdict"] == "block") != (i < len(block))]
+    assert not wrong
+
+
+def test_url_scores_are_the_fitted_models(llm):
+    """The sum of weights per page equals the model's own prediction on the same buckets."""
+    weights, intercept = urls.train(urls.labelled_urls(llm))
+    made = [(i, f"https://host{i}.example.com/en/{i}") for i in range(20)] + [(50, None), (51, "x" * 50_000 + "://" + "y" * 50_000), (52, "no scheme")]
+    pages = llm.createDataFrame(made + made[:3], "page_id long, url string")
+    got = urls.judge(pages, urls.labelled_urls(llm)).collect()
+    grams = pages.select("page_id", urls.F.array_distinct(urls.F.transform(urls.grams(urls.host_of(urls.F.col("url")), urls.path_of(urls.F.col("url"))), urls._bucket)).alias("b"))
+    want = {r["page_id"]: 1 / (1 + np.exp(-(intercept + sum(weights[i] for i in r["b"])))) for r in grams.collect()}
+    assert len(got) == len(made) + 3 and all(abs(r["block_probability"] - want[r["page_id"]]) < 1e-9 for r in got)
+    assert len(weights) == urls.DIMS
+
+
 def test_blocks_of_messy_html():
     page = "<!-- x <p> --><style>p{}</style><div class='Ad Box'>buy</div><p>one <b>t&amp;wo</b>\n three<br>four<p>five<script>var a='</p>'</script> six</p><a href='#'>l</a><!-- open <p>gone"
     found = htmltext.blocks(page)

@@ -1,11 +1,13 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from sifter.llm import bpe, decontaminate, langid, pii, toxicity
+from sifter.llm import bpe, decontaminate, htmltext, langid, pii, toxicity
+from sifter.llm.common import drawn
 
 
 @pytest.fixture(scope="module")
@@ -83,13 +85,94 @@ def test_proximity_any_order_within_span(llm):
     assert got == {1: 1, 2: 0, 3: 0}
 
 
+def test_words_whose_lower_case_depends_on_neighbours_match(llm):
+    """Final sigma, dotted I, sharp S, ligatures: the words are the same words whatever stands around them."""
+    tail = " c1 c2 c3 c4 c5 c6 c7 c8"
+    heads = ["ΑΣ Β", "İ ẞ", "ﬁ ΟΔΟΣ", "K Å", "ΣΑΣ Σ", "ß SS"]
+    items = llm.createDataFrame([(i, h + tail) for i, h in enumerate(heads)], "item_id long, text string")
+    forms = [lambda h, t: h.replace(" ", ".") + t, lambda h, t: "(" + h.replace(" ", " - ") + ")" + t.upper(), lambda h, t: "x " + h + t + "Σ"]
+    docs = [(10 * i + k, f(h, tail)) for i, h in enumerate(heads) for k, f in enumerate(forms)]
+    df = llm.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contamination(df, items).collect()}
+    for i, _ in docs:
+        assert (got[i]["n_hit"], got[i]["contaminated"]) == ((10, True) if i % 10 < 2 else (0, False)), docs[i // 10 * 3 + i % 10]
+    assert {r["doc_id"] % 10 for r in decontaminate.drop_contaminated(df, items).collect()} == {2}
+
+
+def test_proximity_of_long_items(llm):
+    rng = random.Random(4)
+    words = [f"term{i}" for i in range(400)]
+    items = [(i, " ".join(rng.sample(words, n))) for i, n in enumerate((40, 47, 60, 12))]
+    docs = []
+    for i, text in items:
+        ws = text.split()
+        first = ws[:20]
+        rng.shuffle(first)
+        docs += [(10 * i, text), (10 * i + 1, " ".join(f"pad{k}" for k in range(30)) + " " + " ".join(first)), (10 * i + 2, " ".join(f"{w} " + "gap " * 25 for w in ws))]
+    got = {r["doc_id"]: r for r in decontaminate.contamination(llm.createDataFrame(docs, "doc_id long, text string"), llm.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, _ in items:
+        assert [got[10 * i + k]["n_near"] for k in range(3)] == [1, 1, 0]
+        assert [got[10 * i + k]["contaminated"] for k in range(3)] == [True, False, False]
+
+
+def test_pii_one_person_keeps_one_name(llm):
+    docs = llm.createDataFrame([
+        (1, "Dr. John Smith came. Mr. Smith sat, Mr. John Smith spoke; Smith slept, John's dog and SMITH too. Smithson stayed."),
+        (2, "Mrs. Smith and Mary Smith. Mrs. Mary Smith."),
+        (3, "Доктор Анна Иванова и госпожа. Госпожа Иванова. Иванова ушла."),
+        (4, "John Smith, whom no title names here."),
+    ], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs, "k").collect()}
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) came\. Mr\. (\w+) sat, Mr\. (\w+) (\w+) spoke; (\w+) slept, (\w+)'s dog and (\w+) too\. Smithson stayed\.", out[1])
+    assert m and m[1] == m[4] == m[7] and m[2] == m[3] == m[5] == m[6] == m[8] and "Smith " not in out[1] and "John" not in out[1]
+    f = re.fullmatch(r"Mrs\. (\w+) and (\w+) (\w+)\. Mrs\. (\w+) (\w+)\.", out[2])
+    assert f and f[1] == f[3] == f[5] == m[2] and f[2] == f[4] and f[2].endswith("a")
+    r = re.fullmatch(r"Доктор (\w+) (\w+) и госпожа\. Госпожа (\w+)\. (\w+) ушла\.", out[3])
+    assert r and r[2] == r[3] == r[4] and r[2].endswith("ова")
+    assert out[4] == "John Smith, whom no title names here."
+    other = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs, "another").collect()}
+    assert other[1] != out[1]
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs, "")
+    llm.conf.unset(pii.KEY_SETTING)
+    drawn = pii.session_key(llm)
+    assert len(drawn) == 64 and pii.session_key(llm) == drawn
+
+
+def test_training_samples_are_drawn_however_small_the_share(llm):
+    n = 200_000
+    some = llm.range(n).where(drawn("x", ["id"], 5e-5)).count()
+    assert 0 < some < 40
+    assert llm.range(n).where(drawn("x", ["id"], 1e-12)).count() == 0 and llm.range(n).where(drawn("x", ["id"], 1.0)).count() == n
+    docs = llm.range(300).selectExpr("id as doc_id", "concat('wort ', id) as text", "if(id < 280, 'de', 'en') as lang")
+    assert langid.train(docs, per_language=40)[0] == ["de", "en"]
+    with pytest.raises(RuntimeError):
+        langid.train(docs, per_language=1e-9)
+    with pytest.raises(RuntimeError):
+        toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"), per_class=1e-9)
+    pages = docs.selectExpr("doc_id as page_id", "concat('<p>', text) as html", "'' as url")
+    with pytest.raises(RuntimeError):
+        htmltext.fit(pages, sample=1e-9)
+
+
+def test_rare_language_labels_are_named(llm, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    docs = llm.createDataFrame([(i, f"the house number {i}", "en") for i in range(9)] + [(20 + i, f"das haus nummer {i}", "de") for i in range(5)] + [(99, "the tree", "xx-stray")],
+                               "doc_id long, text string, lang string").withColumn("source", langid.F.lit("s"))
+    with pytest.warns(UserWarning, match="xx-stray"):
+        languages, model = langid.train(docs)
+    assert languages == ["de", "en"]
+    got = {r["doc_id"]: r["lang"] for r in langid.identify(langid.document_rows(docs), languages, model).collect()}
+    assert got[99] == "en" and len(got) == 15
+
+
 def test_pii_is_consistent_distinct_and_in_kind(llm, odd_docs, no_docs):
     docs = llm.createDataFrame([
         (1, "Call +1 (377) 555-0271 or +1 377 555 0271, mail Jean.Düpont@mail.example.com and jean.düpont@mail.example.com."),
         (2, "Host 10.0.0.7 and 010.000.000.007; card 4111 1111 1111 1111; SSN 123-45-6789; token 04dbebab91ab85687d33eeaaf9ac699e1188f962"),
         (3, "Mrs. Anna Kovacs met Mr. Kovacs and Госпожа Анна Иванова. Version 2.0, year 2024, 3 apples."),
     ], "doc_id long, text string")
-    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs).collect()}
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs, "k").collect()}
     import re
     phones = re.findall(r"\+1 \(?\d{3}\)?[ ]\d{3}[- ]\d{4}", out[1])
     assert len(phones) == 2 and re.sub(r"\D", "", phones[0]) == re.sub(r"\D", "", phones[1]) != "13775550271"
@@ -102,8 +185,8 @@ def test_pii_is_consistent_distinct_and_in_kind(llm, odd_docs, no_docs):
     assert re.search(r"token [0-9a-f]{40}$", out[2]) and re.search(r"SSN \d{3}-\d{2}-\d{4};", out[2])
     names = re.match(r"Mrs\. ([A-Z]\w+a) ([A-Z]\w+) met Mr\. ([A-Z]\w+) and Госпожа ([А-Я]\w+на) ([А-Я]\w+ова)\. Version 2\.0, year 2024, 3 apples\.$", out[3])
     assert names and "Kovacs" not in out[3]
-    same = pii.pseudonymise(odd_docs)
-    assert same.columns == odd_docs.columns and same.count() == odd_docs.count() and pii.pseudonymise(no_docs).count() == 0
+    same = pii.pseudonymise(odd_docs, "k")
+    assert same.columns == odd_docs.columns and same.count() == odd_docs.count() and pii.pseudonymise(no_docs, "k").count() == 0
     assert {r["text"] for r in same.where("doc_id in (1, 2, 4)").collect()} == {None, "", "one"}
 
 
@@ -122,7 +205,7 @@ def test_pii_addresses_of_any_script_and_few_surrogates(llm, monkeypatch):
     locals_ = ["山田太郎", "محمد", "דוד", "김철수", "さくら", "नमस्ते", "Գագիկ", "๑๒๓"]
     mails = [f"{x}@example.com" for x in locals_] + ["山田@例え.com", "_@-.com", "%@--.com", "Jo@EXAMPLE.com"]
     docs = llm.createDataFrame([(i, f"mail {m} now") for i, m in enumerate(mails)], "doc_id long, text string")
-    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs).collect()}
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs, "k").collect()}
     new = [out[i].removeprefix("mail ").removesuffix(" now") for i in range(len(mails))]
     assert len({m.lower() for m in new}) == len(mails) and not {m.lower() for m in new} & {m.lower() for m in mails}
     assert all(old not in now for old, now in zip(locals_, new))
@@ -132,7 +215,7 @@ def test_pii_addresses_of_any_script_and_few_surrogates(llm, monkeypatch):
     monkeypatch.setattr(pii, "CROWDED", 2)
     full = [f"{a}@{b}.com" for a in alphabet for b in alphabet] + [f"+1 {n // 100:02d} {n % 100:02d}" for n in range(10000)]
     docs = llm.createDataFrame([(i, m) for i, m in enumerate(full)], "doc_id long, text string")
-    got = [r["text"] for r in pii.pseudonymise(docs).collect()]
+    got = [r["text"] for r in pii.pseudonymise(docs, "k").collect()]
     assert len(set(got)) == len(full) and not set(got) & set(full)
 
 
@@ -140,7 +223,7 @@ def test_pii_names_with_inner_capitals_and_neutral_titles(llm):
     said = ["Mr. O'Brien", "Mr. O’Brien", "Mr. O'Brien's", "Mrs. Mary McDonald", "Ms. MacLeod-Jones", "Mr. SMITH", "Mr. Jean-Luc D'Arc", "Dr. Kovacs", "Prof. Dr. Müller",
             "Frau Dr. von", "Frau Dr. Weber-McKay", "Herr Prof. Dr. Weiß", "Доктор Живаго"]
     docs = llm.createDataFrame([(i, f"met {m} today") for i, m in enumerate(said)], "doc_id long, text string")
-    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs).collect()}
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs, "k").collect()}
     import re
     for i, (title, parts) in enumerate([("Mr. ", 1), ("Mr. ", 1), ("Mr. ", 1), ("Mrs. ", 2), ("Ms. ", 1), ("Mr. ", 1), ("Mr. ", 2), ("Dr. ", 1), ("Prof. Dr. ", 1),
                                         (None, 0), ("Frau Dr. ", 1), ("Herr Prof. Dr. ", 1), ("Доктор ", 1)]):
@@ -151,7 +234,7 @@ def test_pii_names_with_inner_capitals_and_neutral_titles(llm):
         assert new and not set(re.findall(r"\w{3,}", said[i].removeprefix(title))) & set(re.findall(r"\w{3,}", new[1])), out[i]
     assert out[0] == out[1] and out[2] == out[0].replace(" today", "'s today")
     plain = llm.createDataFrame([(1, "The Dr. said so; prof. and Mr. went. Mrs. Anna Kovacs, Drive Dr.")], "doc_id long, text string")
-    assert re.fullmatch(r"The Dr\. said so; prof\. and Mr\. went\. Mrs\. \w+a \w+l, Drive Dr\.", pii.pseudonymise(plain).first()["text"])
+    assert re.fullmatch(r"The Dr\. said so; prof\. and Mr\. went\. Mrs\. \w+a \w+l, Drive Dr\.", pii.pseudonymise(plain, "k").first()["text"])
 
 
 def test_toxicity_learns_held_out_and_interactions(llm, no_docs):
