@@ -13,8 +13,9 @@ cover fractions z_j and the row's satisfied flags o_j, gives feature i
 The integrand is a polynomial of degree d - 1, so Gauss-Legendre quadrature with
 ceil(d / 2) points is exact; nothing grows with 2^d.  The fitted forest is saved to
 the shared checkpoint folder, its paths are broadcast once, and ``mapInPandas``
-evaluates row batches in blocks of bounded size.  Importance needs sums of |phi|
-per batch only, never the long table.
+evaluates row batches in blocks of bounded size.  Importance needs sums of |phi| only: rows that lie
+in one cell of the grid of all thresholds have the same values, so cells are counted (a grouped sum)
+and each is explained once.
 """
 
 from __future__ import annotations
@@ -179,6 +180,21 @@ def shap_batch(X: np.ndarray, trees: Sequence[TreePaths], p: int) -> np.ndarray:
     return phi / max(len(trees), 1)
 
 
+class Cells:
+    """The grid that a forest's thresholds cut the inputs into: rows of one cell go the same way in every tree."""
+
+    def __init__(self, trees: Sequence[TreePaths], p: int):
+        self.cuts = [np.unique(np.concatenate([t.thr[t.feat == j] for t in trees] or [np.empty(0)])) for j in range(p)]
+        # a point inside each cell: its upper cut, or one past the last
+        self.inside = [np.append(c, (c[-1] if len(c) else 0.0) + 1.0) for c in self.cuts]
+
+    def of(self, X: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.searchsorted(c, X[:, j], side="left") for j, c in enumerate(self.cuts)]).astype(np.int32)
+
+    def points(self, cells: np.ndarray) -> np.ndarray:
+        return np.column_stack([v[cells[:, j]] for j, v in enumerate(self.inside)])
+
+
 class SHAPResult(NamedTuple):
     values: DataFrame            # row_id, feature, shap_value, feature_value
     feature_importance: DataFrame  # target, feature, mean_abs_shap, rank
@@ -222,15 +238,28 @@ def run_shap(df: DataFrame, feature_cols: Sequence[str], target: str, row_id: st
                                 "feature": np.tile(np.array(feats, dtype=object), len(part)),
                                 "shap_value": phi.reshape(-1), "feature_value": X.reshape(-1)})
 
+    grid = Cells(trees, p)
+
+    def counted(batches):
+        for pdf in batches:
+            if len(pdf):
+                cells, n = np.unique(grid.of(pdf[feats].to_numpy(dtype=float)), axis=0, return_counts=True)
+                yield pd.DataFrame({"cell": list(cells), "n": n})
+
     def totals(batches):
-        for part, _, phi in blocks(batches):
-            yield pd.DataFrame({"feature": feats, "s": np.abs(phi).sum(axis=0), "n": len(part)})
+        for pdf in batches:
+            for start in range(0, len(pdf), parts):
+                part = pdf.iloc[start:start + parts]
+                phi = np.abs(shap_batch(grid.points(np.stack(part["cell"].to_numpy())), shared.value, p))
+                yield pd.DataFrame({"feature": feats, "s": (phi * part["n"].to_numpy(float)[:, None]).sum(axis=0), "n": int(part["n"].sum())})
 
     rows = df.where(F.col(target).isNotNull()).select(row_id, *[F.col(f).cast("double") for f in feats])
     for f in feats:
         rows = rows.where(F.col(f).isNotNull())
     values = rows.mapInPandas(explain, f"{row_id} long, feature string, shap_value double, feature_value double")
-    imp = (rows.mapInPandas(totals, "feature string, s double, n long").groupBy("feature")
+    # each cell that holds rows is explained once, with the number of its rows as weight
+    held = rows.mapInPandas(counted, "cell array<int>, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    imp = (held.mapInPandas(totals, "feature string, s double, n long").groupBy("feature")
            .agg((F.sum("s") / F.sum("n")).alias("mean_abs_shap")).withColumn("target", F.lit(target)))
     imp = _ranked(imp, "mean_abs_shap").select("target", "feature", "mean_abs_shap", "rank")
     bg = background_sample(df.select(row_id, *feats), background_samples, random_state, row_id)

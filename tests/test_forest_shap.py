@@ -106,3 +106,16 @@ def test_skyline_with_more_partitions_than_rows(spark):
     got = pareto_front(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(Y)], "row_id long, a double, b double, c double"), ["a", "b", "c"])
     want = {i for i in range(len(Y)) if not (np.all(Y >= Y[i], 1) & np.any(Y > Y[i], 1)).any()}
     assert {r["row_id"] for r in got.collect()} == want
+
+
+def test_importance_by_cells_equals_the_rows_own_sums(spark):
+    rng = np.random.default_rng(5)
+    X = np.column_stack([rng.integers(0, 4, 500), rng.integers(0, 2, 500), np.round(rng.normal(size=500), 1)]).astype(float)
+    y = X[:, 0] * X[:, 1] + X[:, 2]
+    df = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(X, y))], "row_id long, a double, b double, c double, y double")
+    res = fr.run_shap(df, ["a", "b", "c"], "y", n_estimators=5, max_depth=5)
+    by_rows = res.values.groupBy("feature").agg({"shap_value": "count"}).collect()
+    assert {r[1] for r in by_rows} == {500}
+    want = {r["feature"]: r["m"] for r in res.values.selectExpr("feature", "abs(shap_value) as v").groupBy("feature").avg("v").withColumnRenamed("avg(v)", "m").collect()}
+    got = {r["feature"]: r["mean_abs_shap"] for r in res.feature_importance.collect()}
+    assert got == pytest.approx(want, rel=1e-9)
