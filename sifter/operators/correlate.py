@@ -22,11 +22,13 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sifter.functions.broadcasting import spread_join
+from sifter.functions.broadcasting import BROADCAST_BYTES, ROW_OVERHEAD, spread_join
 from sifter.functions.ordering import average_ranks
 from sifter.functions.special import anova_p, corr_p
+from sifter.session import durable
 
 METHODS = ("pearson", "spearman", "both")
+RANK_ROW_BYTES = ROW_OVERHEAD + 32         # a value and its rank
 
 
 def _r(cov, vx, vy):
@@ -62,12 +64,17 @@ def with_ranks(df: DataFrame, cols: Sequence[str], prefix: str = "rk_") -> DataF
     long_vals = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols
     ])).alias("s")).select("s.*")
-    ranks = average_ranks(long_vals, ["_col"], "_v", "_rank").persist()   # deterministic lineage
+    ranks = durable(average_ranks(long_vals, ["_col"], "_v", "_rank"))
+    values = {r["_col"]: r["n"] for r in ranks.groupBy("_col").agg(F.count(F.lit(1)).alias("n")).collect()}     # a row a column
     out = df
     for c in cols:      # each column's table by its own size: a few levels are broadcast, many values shuffle
         rc = ranks.where(F.col("_col") == c).select(F.col("_v").alias(f"_v_{c}"),
                                                    F.col("_rank").alias(f"{prefix}{c}"))
-        out = spread_join(out.withColumn(f"_v_{c}", F.col(c).cast("double")), rc, [f"_v_{c}"]).drop(f"_v_{c}")
+        own = out.withColumn(f"_v_{c}", F.col(c).cast("double"))
+        if values.get(c, 0) * RANK_ROW_BYTES <= BROADCAST_BYTES:
+            out = own.join(F.broadcast(rc), f"_v_{c}", "left").drop(f"_v_{c}")
+        else:
+            out = spread_join(own, rc, [f"_v_{c}"]).drop(f"_v_{c}")
     return out
 
 

@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sifter.functions.broadcasting import broadcast_if_small
+
 
 @dataclass
 class Moments:
@@ -122,7 +124,7 @@ def moment_table(df: DataFrame, cols: Sequence[str], group_cols: Sequence[str] =
     w = F.col("_w")
     means = data.groupBy(*group_cols).agg(
         F.sum(w).alias("_n"), *[(F.sum(w * F.col(f"_z{i}")) / F.sum(w)).alias(f"_m{i}") for i in range(q)])
-    joined = data.join(F.broadcast(means), list(group_cols)) if group_cols else \
+    joined = data.join(broadcast_if_small(means), list(group_cols)) if group_cols else \
         data.withColumn("_k", F.lit(1)).join(F.broadcast(means.withColumn("_k", F.lit(1))), "_k")
     d = [F.col(f"_z{i}") - F.col(f"_m{i}") for i in range(q)]
     aggs = [F.first("_n").alias("_n")] + [F.first(f"_m{i}").alias(f"_m{i}") for i in range(q)]
