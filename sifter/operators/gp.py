@@ -319,6 +319,21 @@ class GPModel:
         return Z
 
 
+def objective(points: DataFrame, p: int, n: int, fit_rows: int = FIT_ROWS, seed: int = 42) -> Evaluate:
+    """What a fit minimises, per row: the experts' negative log likelihoods and the priors', at several theta in one job."""
+    n_experts = max(1, math.ceil(points.count() / fit_rows))
+    dealt = points.withColumn("expert", F.pmod(F.xxhash64("x", F.lit(seed)), F.lit(n_experts)))
+    experts = durable(grouped_points(dealt, "expert"))
+
+    def evaluate(thetas: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        out = []
+        for (v, g), theta in zip(nll_job(experts, thetas), thetas):
+            pv, pg = prior_nll_grad(theta, p)
+            out.append(((v + pv) / n, (g + pg) / n))
+        return out
+    return evaluate
+
+
 def fit_gp(df: DataFrame, features: Sequence[str], target: str, n_iter: int = MAX_JOBS, random_state: int = 42,
            expert_size: int = REGION_ROWS, min_rows: int = 2, fit_rows: int = FIT_ROWS) -> GPModel:
     """Fit the surrogate; errors on too few rows or a constant response."""
@@ -336,18 +351,7 @@ def fit_gp(df: DataFrame, features: Sequence[str], target: str, n_iter: int = MA
     rng[const] = 1.0
     y_mean, y_std = stats[target]["mean"], stats[target]["std"]
     points = durable(merged_points(data, feats, target, lo, rng, const, y_mean, y_std))
-    n_experts = max(1, math.ceil(points.count() / fit_rows))
-    dealt = points.withColumn("expert", F.pmod(F.xxhash64("x", F.lit(random_state)), F.lit(n_experts)))
-    experts = durable(grouped_points(dealt, "expert"))
-
-    def evaluate(thetas: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
-        out = []
-        for (v, g), theta in zip(nll_job(experts, thetas), thetas):
-            pv, pg = prior_nll_grad(theta, p)
-            out.append(((v + pv) / n, (g + pg) / n))
-        return out
-
-    theta = lbfgs(evaluate, np.r_[np.full(p, math.log(0.693)), 0.0, math.log(0.1), 0.0], min(max(n_iter, 2), MAX_JOBS))
+    theta = lbfgs(objective(points, p, n, fit_rows, random_state), np.r_[np.full(p, math.log(0.693)), 0.0, math.log(0.1), 0.0], min(max(n_iter, 2), MAX_JOBS))
     return GPModel(feats, target, theta, lo, rng, const, y_mean, y_std, points, expert_size)
 
 

@@ -11,8 +11,10 @@ Doubles are rounded to 6 decimals on both sides (sums are order-dependent).
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -934,6 +936,19 @@ def q_bootstrap_pca(spark, sf):
     return bst.rank_stability(ranks)
 
 
+@register("bootstrap_success", " UNION ALL ".join(f"SELECT '{m}' AS method, '{f}' AS feature, 100::BIGINT AS n_success, true AS ranks_within" for m in ("lasso", "lasso_cv", "pca") for f in LIN_F))
+def q_bootstrap_success(spark, sf):
+    """K2, K3: all 100 replicates of the fitted methods succeed and their quartiles are ordered ranks."""
+    rows = durable(_li(spark, sf, *LIN_F, "net").select("row_id", *LIN_F, "net"))
+    out = None
+    for m in ("lasso", "lasso_cv", "pca"):
+        st = bst.rank_stability(bst.bootstrap_ranks(rows, LIN_F, "net" if m != "pca" else None, m, n_bootstrap=100))
+        st = st.select(F.lit(m).alias("method"), "feature", F.col("n_success").cast("long").alias("n_success"),
+                       ((F.col("rank_q25") >= 1) & (F.col("rank_q25") <= F.col("median_rank")) & (F.col("median_rank") <= F.col("rank_q75")) & (F.col("rank_q75") <= 4)).alias("ranks_within"))
+        out = st if out is None else out.unionByName(st)
+    return out
+
+
 @register("bootstrap_weights", f"""WITH li AS ({LI_SQL}),
 d AS (SELECT b, {resampling_uniform_sql(42, 'row_id', 'b')} AS u FROM li, (SELECT unnest(range(100)) AS b)),
 w AS (SELECT b, {_POISSON_SQL} AS w FROM d)
@@ -976,6 +991,20 @@ def q_narrative_ard_gp(spark, sf):
     return nar.interpret_ard_gp(q_gp_importance(spark, sf), OPT_F)
 
 
+@register("gp_optimum", "SELECT 2::BIGINT AS n_features, true AS importances_sum_to_one, true AS shorter_is_more_important, 0::BIGINT AS n_better_nearby")
+def q_gp_optimum(spark, sf):
+    """No hyper-parameter moved by 5 % either way fits better, and importances are the inverse lengthscales' shares."""
+    tr = _opt_training(spark, sf)
+    model = gpm.fit_gp(tr, OPT_F, "net")
+    evaluate = gpm.objective(model.points, len(OPT_F), tr.count())
+    moved = [model.theta + s * (np.arange(len(model.theta)) == i) for i in range(len(model.theta)) for s in (-0.05, 0.05)]
+    (best, _), *near = evaluate([model.theta, *moved])
+    better = sum(v < best - 1e-4 for v, _ in near)
+    ard = gpm.ard_importance(model, spark)
+    return ard.agg(F.count(F.lit(1)).alias("n_features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("importances_sum_to_one"),
+                   (F.min_by("rank", "lengthscale") == 1).alias("shorter_is_more_important")).withColumn("n_better_nearby", F.lit(better).cast("long"))
+
+
 @register("suggest_single")
 def q_suggest_single(spark, sf):
     tr = _opt_training(spark, sf)
@@ -1024,6 +1053,23 @@ def q_suggest_pareto(spark, sf):
     return sug
 
 
+@register("suggestion_checks", "SELECT * FROM (VALUES ('single', 1::BIGINT, 1::BIGINT, true, true, true), ('batch', 3, 3, true, true, true), ('aux', 2, 2, true, true, true), "
+          "('pareto', 3, 3, true, true, true)) t(kind, n, n_distinct, in_bounds, on_grid, uncertain)")
+def q_suggestion_checks(spark, sf):
+    """Every suggestion is new, feasible and has an uncertainty."""
+    lim = table(spark, sf, "lineitem").agg(F.min("l_quantity").alias("q0"), F.max("l_quantity").alias("q1"), F.min("l_discount").alias("d0"), F.max("l_discount").alias("d1")).first()
+    out = None
+    for kind, q in (("single", q_suggest_single), ("batch", q_suggest_batch), ("aux", q_suggest_aux), ("pareto", q_suggest_pareto)):
+        df = q(spark, sf)
+        spread = [F.col(c) > 0 for c in df.columns if c.startswith("uncertainty")]
+        checks = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*OPT_F).alias("n_distinct"),
+                        F.every(F.col("l_quantity").between(lim["q0"], lim["q1"]) & F.col("l_discount").between(lim["d0"] - 1e-6, lim["d1"] + 1e-6)).alias("in_bounds"),
+                        F.every(F.col("l_quantity") == F.round("l_quantity")).alias("on_grid"), F.every(reduce(lambda a, b: a & b, spread)).alias("uncertain"))
+        checks = checks.select(F.lit(kind).alias("kind"), "*")
+        out = checks if out is None else out.unionByName(checks)
+    return out
+
+
 @register("pareto_current", """WITH li AS (SELECT l_quantity, l_discount,
     avg(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS net, avg(l_tax) AS l_tax
   FROM lineitem GROUP BY l_quantity, l_discount)
@@ -1091,6 +1137,16 @@ def q_beeswarm_points(spark, sf):
     return pld.beeswarm(values, max_display=4)
 
 
+@register("beeswarm_checks", f"SELECT f AS feature, count(*) AS n_points, true AS scaled_within, true AS jitter_within FROM lineitem, (VALUES {', '.join(f'({chr(39)}{f}{chr(39)})' for f in LIN_F)}) t(f) GROUP BY f")
+def q_beeswarm_checks(spark, sf):
+    """V6: every row is a point of every feature, scaled to [0, 1], with a jitter of at most 0.35."""
+    pts = q_beeswarm_points(spark, sf)
+    scaled = next(c for c in pts.columns if "scaled" in c or "norm" in c)
+    jitter = next(c for c in pts.columns if "jitter" in c)
+    return pts.groupBy("feature").agg(F.count(F.lit(1)).alias("n_points"), F.every(F.col(scaled).between(0, 1)).alias("scaled_within"),
+                                      F.every(F.abs(F.col(jitter)) <= 0.35 + 1e-9).alias("jitter_within"))
+
+
 _FRONT_SQL = """SELECT p.p_retailprice AS x, p.p_size AS y FROM part p
 WHERE NOT EXISTS (SELECT 1 FROM part u WHERE u.p_retailprice >= p.p_retailprice AND u.p_size >= p.p_size
                   AND (u.p_retailprice > p.p_retailprice OR u.p_size > p.p_size))"""
