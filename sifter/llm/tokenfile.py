@@ -26,7 +26,7 @@ of a byte-level BPE spans the place between a character that isn't white space a
 it, so a text is cut there, and each worker remembers the ids of at most ``CACHE`` short chunks; the cache is
 emptied when full, which changes speed only.  Chunks not remembered go to the library.
 
-Memory: a task holds one Arrow batch, one block and its file's document table (17 bytes a document).
+Memory: a task holds one Arrow batch, the ids of ``GROUP`` of its texts, one block and its file's document table (17 bytes a document).
 
 Defined cases: a null or empty text has the end id alone; very long texts span blocks; null doc_ids come
 first; rows of one doc_id are ordered by their text's hash, equal rows are interchangeable; an empty table gives
@@ -62,8 +62,10 @@ PERCENTILE = 98
 FILE_IDS = 32 << 20
 FILE_DOCS = 1 << 20
 RUN = 1024
-CACHE = 200_000
+CACHE = 1_500_000
 CACHED_CHARS = 48
+JOINED = 64
+GROUP = 1024
 END_ID = 2
 _MODELS: dict[str, "Chunks"] = {}
 
@@ -74,11 +76,15 @@ def pack(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bits of each value, one after the other, lowest bit first."""
     if not width:
         return b""
+    if width in (8, 16, 32):            # the same bytes, without going through bits
+        return values.astype(f"<u{width // 8}").tobytes()
     bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
     return np.packbits(bits[:, :width], bitorder="little").tobytes()
 
 
 def unpack(data: bytes, n: int, width: int) -> np.ndarray:
+    if width in (8, 16, 32):
+        return np.frombuffer(data, f"<u{width // 8}", n).astype(np.uint32)
     bits = np.zeros((n, 32), np.uint8)
     if width:
         bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
@@ -208,7 +214,12 @@ class TokenFile:
 # ---- encoding ---------------------------------------------------------------------------------
 
 class Chunks:
-    """The library's tokenizer and the ids of chunks met before."""
+    """The library's tokenizer and the ids of chunks met before.
+
+    A text is cut at every blank after a character that isn't white space.  Chunks that aren't remembered are
+    encoded ``JOINED`` at a time: a blank and something without blanks that begins and ends visibly, written one
+    after the other, is a text whose only tokens that begin with a blank are the chunks' first ones.
+    """
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task is one core
@@ -218,49 +229,74 @@ class Chunks:
         self.model.no_padding()
         self.cache: dict[str, bytes] = {}       # chunks after a blank, without it
         self.begin: dict[str, bytes] = {}       # chunks that begin a text
+        blank = self.model.encode(" ", add_special_tokens=False).tokens[0][0]       # how the vocabulary spells a blank
+        vocabulary = self.model.get_vocab()
+        self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.blank[[i for token, i in vocabulary.items() if token.startswith(blank)]] = True
 
     def encode(self, text: str, end: int | None = END_ID) -> np.ndarray:
+        return self.encode_all([text], end)[0]
+
+    def encode_all(self, texts: list[str], end: int | None = END_ID) -> list[np.ndarray]:
+        """The ids of whole texts, each with the end id."""
         tail = b"" if end is None else struct.pack("<I", end)
-        pieces = text.split(" ")
-        cache = self.cache
-        if len(cache) + len(self.begin) > CACHE:
-            cache.clear()
+        self._make_room()
+        lookup, plans, need, need_begin = self.cache.get, [], {}, {}
+        for text in texts:
+            keys = text.split(" ")
+            ids = list(map(lookup, keys))
+            ids[0] = self.begin.get(keys[0])
+            missing = [i for i, x in enumerate(ids) if x is None]
+            if any(not keys[i] or keys[i][-1].isspace() for i in missing):
+                keys = self._joined(keys)
+                ids = list(map(lookup, keys))
+                ids[0] = self.begin.get(keys[0])
+                missing = [i for i, x in enumerate(ids) if x is None]
+            for i in missing:
+                (need if i else need_begin)[keys[i]] = b""
+            plans.append((keys, ids, missing))
+        self._encode(need, " ", self.cache)
+        self._encode(need_begin, "", self.begin)
+        out = []
+        for keys, ids, missing in plans:
+            for i in missing:
+                ids[i] = (need if i else need_begin)[keys[i]]
+            ids.append(tail)
+            out.append(np.frombuffer(b"".join(ids), "<u4"))
+        return out
+
+    def _make_room(self) -> None:
+        if len(self.cache) + len(self.begin) > CACHE:
+            self.cache.clear()
             self.begin.clear()
-        try:
-            return np.frombuffer(self.begin[pieces[0]] + b"".join([cache[p] for p in pieces[1:]]) + tail, "<u4")
-        except KeyError:
-            return np.frombuffer(b"".join(self._cached(self._chunks(pieces))) + tail, "<u4")
 
     @staticmethod
-    def _chunks(pieces: list[str]) -> list[str]:
+    def _joined(pieces: list[str]) -> list[str]:
         """Pieces joined again wherever the blank between them follows white space or nothing."""
         out, open_ = [pieces[0]], not pieces[0] or pieces[0][-1].isspace()
         for p in pieces[1:]:
             if open_:
                 out[-1] += " " + p
             else:
-                out.append(" " + p)
+                out.append(p)
             open_ = not p or p[-1].isspace()
         return out
 
-    def _cached(self, chunks: list[str]) -> list[bytes]:
-        """Ids of the chunks of one text; those that nothing can join to a neighbour are remembered."""
-        cache, out, missing, slots = self.cache, [], [], []
-        for i, c in enumerate(chunks):
-            got = cache.get(c[1:]) if i else self.begin.get(c)
-            if got is None:
-                missing.append(c)
-                slots.append(i)
-            out.append(got)
-        for i, c, ids in zip(slots, missing, self._ids(missing)):
-            out[i] = ids
-            word = c[1:] if i else c
-            if 0 < len(word) <= CACHED_CHARS and " " not in word and not word[-1].isspace():
-                (cache if i else self.begin)[word] = ids
-        return out
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)] if chunks else []
+    def _encode(self, need: dict[str, bytes], before: str, into: dict[str, bytes]) -> None:
+        """Fill in the ids of the keys of ``need``, chunks without the blank ``before`` them."""
+        plain = [k for k in need if k and " " not in k and not k[0].isspace() and not k[-1].isspace()] if before else []
+        parts = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+        texts = [before + before.join(part) for part in parts]
+        for part, got in zip(parts, self.model.encode_batch_fast(texts, add_special_tokens=False) if texts else ()):
+            ids = np.array(got.ids, "<u4")
+            cuts = np.flatnonzero(self.blank[ids]).tolist()
+            if len(cuts) == len(part):
+                raw = ids.tobytes()
+                need.update((k, raw[4 * x:4 * y]) for k, x, y in zip(part, cuts, [*cuts[1:], len(ids)]))
+        rest = [k for k, ids in need.items() if not ids]
+        for k, got in zip(rest, self.model.encode_batch_fast([before + k for k in rest], add_special_tokens=False) if rest else ()):
+            need[k] = np.array(got.ids, "<u4").tobytes()
+        into.update((k, ids) for k, ids in need.items() if 0 < len(k) <= CACHED_CHARS and " " not in k and not k[-1].isspace())
 
 
 def tokenizer(spec: str) -> Chunks:
@@ -292,11 +328,11 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, model = TaskContext.get(), tokenizer(spec.value)
         writer, done = None, []
-        for b in batches:
-            for doc_id, text in zip(b.column("doc_id"), b.column("text")):
+        for b in (whole.slice(i, GROUP) for whole in batches for i in range(0, whole.num_rows, GROUP)):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), model.encode_all([t or "" for t in b.column("text").to_pylist()], end)):
                 if writer is None:
                     writer = TokenFileWriter(folder, f"tokens-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}", block, percentile)
-                writer.add(doc_id.as_py(), model.encode(text.as_py() or "", end))
+                writer.add(doc_id, ids)
                 if writer.ids >= file_ids or len(writer.docs) >= FILE_DOCS:
                     done.append(writer.close())
                     writer = None

@@ -32,6 +32,15 @@ def test_a_block_gives_back_its_values(values, percentile):
     assert decode_block(encode_block(ids, percentile), len(ids)).tolist() == values
 
 
+@pytest.mark.parametrize("width", [1, 7, 8, 9, 15, 16, 17, 31, 32])
+def test_packing_is_one_bit_string(width):
+    """Every width is the same format: value after value, lowest bit first."""
+    values = np.random.default_rng(width).integers(0, 1 << width, 1001, dtype=np.uint64).astype(np.uint32)
+    bits = "".join(f"{v:0{width}b}"[::-1] for v in values.tolist())
+    want = bytes(int(bits[i:i + 8].ljust(8, "0")[::-1], 2) for i in range(0, len(bits), 8))
+    assert tokenfile.pack(values, width) == want and (tokenfile.unpack(want, len(values), width) == values).all()
+
+
 def test_outliers_do_not_widen_a_block():
     ids = np.full(4096, 1000, np.uint32) + np.arange(4096, dtype=np.uint32) % 16
     plain = len(encode_block(ids))
@@ -76,12 +85,17 @@ ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "a\x1c b", "a\x
 def test_encoding_equals_the_library_on_odd_texts(library, chunks):
     for t in ODD * 2:                       # the second time from memory
         assert chunks.encode(t, None).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    texts = [t for t in ODD for _ in range(2)]
+    for got, t in zip(chunks.encode_all(texts), texts, strict=True):
+        assert got.tolist() == library.encode(t, add_special_tokens=False).ids + [2], repr(t)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from([" ", "  ", "\n", "\x1c", " ", "a", "b's", "'", "12", ".", "é", "字", "the", "<|endoftext|>"]), max_size=14).map("".join))
 def test_encoding_equals_the_library_on_mixed_pieces(library, chunks, text):
-    assert chunks.encode(text, None).tolist() == library.encode(text, add_special_tokens=False).ids
+    want = library.encode(text, add_special_tokens=False).ids
+    assert chunks.encode(text, None).tolist() == want
+    assert [x.tolist() for x in chunks.encode_all([text, "the end", text], None)] == [want, [1169, 886], want]
 
 
 def brute(library, rows):
