@@ -11,7 +11,8 @@ Hamming distance.
 Scale: texts are read once, by Arrow batch, and only (id, text hash, fingerprint) go on.  Equal
 fingerprints are merged before the search, so copies never meet in a bucket.  A fingerprint has at
 most C(64,1)+..+C(64,tau) neighbours, whatever the size of its group, so links stay linear in the
-number of fingerprints.  Components run over stored link tables, see ``components``.
+number of fingerprints.  Components run over stored link tables, see ``components``.  Rows meet their fingerprint's
+component and their group's first row by ``spread_join``: frequent keys are looked up apart.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; rows that
 repeat an id each keep a result row; a null id never becomes a component id unless its whole group
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sifter.functions.broadcasting import spread_join
 from sifter.llm.common import prepare, stored, table, text_key
 from sifter.llm.components import connected_components
 
@@ -137,7 +139,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = 2) -> DataFram
     linked = ids.join(comp, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fp"))
     low = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fp = linked.select("fp", "root").join(low, "root")
-    return rows.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+    of_fp = stored(of_fp, "fp_components")
+    return spread_join(rows, of_fp, ["fp"], "inner").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def hex_fp(col: str = "fp"):
@@ -159,8 +162,8 @@ def keep_one(docs: DataFrame, shingle: int = 3, tau: int = 2) -> DataFrame:
     found = near_duplicates(docs, shingle, tau)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
     rows = stored(found.withColumn("rank", rank).groupBy("root", "rank").agg(F.count("*").alias("n")), "ranked")
-    first = rows.groupBy("root").agg(F.min("rank").alias("first"))
-    judged = rows.join(first, "root")
+    first = stored(rows.groupBy("root").agg(F.min("rank").alias("first")), "group_first")
+    judged = spread_join(rows, first, ["root"], "inner")           # a group of a third of all documents is not one task's
     pick = [F.col("rank.doc_id").alias("k_id"), F.col("rank.text_hash").alias("k_hash")]
     gone = judged.where("rank <> first").select(*pick)
     repeated = judged.where("rank = first and n > 1").select(*pick)
