@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sifter.functions.broadcasting import broadcast_if_small
 from sifter.functions.ordering import exact_quantiles, ordered_index
+from sifter.session import durable
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -96,30 +97,36 @@ def beeswarm(shap_values: DataFrame, max_display: int | None = None, seed: int =
     """
     if max_display is not None and max_display <= 0:
         raise ValueError("max_display must be a positive integer or None.")
-    imp = shap_values.groupBy("feature").agg(F.avg(F.abs("shap_value")).alias("_imp"))
+    # every statistic comes from the distinct values and their numbers; the points are read once more at the end
+    per = durable(shap_values.groupBy("feature", "shap_value").agg(
+        F.count(F.lit(1)).alias("_c"), F.min("feature_value").alias("_v0"), F.max("feature_value").alias("_v1")))
+    known = F.when(F.col("shap_value").isNotNull(), F.col("_c"))
+    imp = per.groupBy("feature").agg((F.sum(F.abs("shap_value") * F.col("_c")) / F.sum(known)).alias("_imp"))
     imp = imp.withColumn("feature_rank", F.row_number().over(Window.orderBy(F.col("_imp").desc(), "feature")))
     if max_display is not None:
         imp = imp.where(F.col("feature_rank") <= max_display)
-    pts = shap_values.join(F.broadcast(imp.select("feature", "feature_rank")), "feature")
-    fin = pts.where(~F.isnan("shap_value"))
-    q = exact_quantiles(fin, ["feature"], "shap_value", [0.25, 0.75])
+    imp = imp.select("feature", "feature_rank")
+    per = per.join(F.broadcast(imp), "feature")
+    fin = per.where(~F.isnan("shap_value"))
+    q = exact_quantiles(fin, ["feature"], "shap_value", [0.25, 0.75], count_col="_c")
     rng_ = fin.groupBy("feature").agg(F.min("shap_value").alias("_lo"), F.max("shap_value").alias("_hi"),
-                                      F.min("feature_value").alias("_vlo"), F.max("feature_value").alias("_vhi"))
+                                      F.min("_v0").alias("_vlo"), F.max("_v1").alias("_vhi"))
     st = q.join(rng_, "feature")
     iqr = F.greatest(F.col("q_1") - F.col("q_0"), F.lit(1e-12))
     bw = 2.0 * iqr / F.pow(F.col("n").cast("double"), 1.0 / 3.0)
     nb = F.when(bw > 0, F.least(F.greatest(F.floor((F.col("_hi") - F.col("_lo")) / bw), F.lit(10)), F.lit(80))) \
         .otherwise(F.lit(30))
     st = st.withColumn("_nb", nb.cast("int"))
-    j = pts.join(_small(st), "feature", "left")
+    st = durable(imp.join(st, "feature", "left"))        # a row a feature
     width = (F.col("_hi") - F.col("_lo")) / F.col("_nb")
     binc = F.when(width > 0, F.least(F.greatest(F.floor((F.col("shap_value") - F.col("_lo")) / width),
-                                                F.lit(0)), F.col("_nb") - 1)).otherwise(F.lit(0))
-    j = j.withColumn("_bin", binc.cast("int"))
-    counts = j.groupBy("feature", "_bin").agg(F.count(F.lit(1)).alias("_dens"))
-    j = j.join(_small(counts), ["feature", "_bin"])      # at most 80 bins a feature
-    dr = j.groupBy("feature").agg(F.min("_dens").alias("_dmin"), F.max("_dens").alias("_dmax"))
-    j = j.join(_small(dr), "feature")
+                                                F.lit(0)), F.col("_nb") - 1)).otherwise(F.lit(0)).cast("int")
+    counts = (per.drop("feature_rank").join(_small(st), "feature").withColumn("_bin", binc)
+              .groupBy("feature", "_bin").agg(F.sum("_c").alias("_dens")))      # at most 80 bins a feature
+    counts = durable(counts)
+    dr = counts.groupBy("feature").agg(F.min("_dens").alias("_dmin"), F.max("_dens").alias("_dmax"))
+    j = shap_values.join(_small(st.join(dr, "feature")), "feature").withColumn("_bin", binc)
+    j = j.join(_small(counts), ["feature", "_bin"])
     dn = F.when(F.col("_dmax") > F.col("_dmin"),
                 (F.col("_dens") - F.col("_dmin")) / (F.col("_dmax") - F.col("_dmin"))).otherwise(F.lit(0.0))
     scale = F.when(F.col("n") < 5, F.lit(1.0)).otherwise(0.15 + 0.85 * dn) * max_jitter
