@@ -22,13 +22,14 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sifter.functions.broadcasting import BROADCAST_BYTES, ROW_OVERHEAD, spread_join
+from sifter.functions.broadcasting import HOT_KEYS, ROW_OVERHEAD, spread_join
 from sifter.functions.ordering import average_ranks
 from sifter.functions.special import anova_p, corr_p
 from sifter.session import durable
 
 METHODS = ("pearson", "spearman", "both")
 RANK_ROW_BYTES = ROW_OVERHEAD + 32         # a value and its rank
+RANK_BYTES = 64 << 20                      # a column's ranks up to this size are broadcast
 
 
 def _r(cov, vx, vy):
@@ -64,17 +65,22 @@ def with_ranks(df: DataFrame, cols: Sequence[str], prefix: str = "rk_") -> DataF
     long_vals = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols
     ])).alias("s")).select("s.*")
-    ranks = durable(average_ranks(long_vals, ["_col"], "_v", "_rank"))
-    values = {r["_col"]: r["n"] for r in ranks.groupBy("_col").agg(F.count(F.lit(1)).alias("n")).collect()}     # a row a column
+    ranks = durable(average_ranks(long_vals, ["_col"], "_v", "_rank", count_col="_times"))
+    known = {r["_col"]: r for r in ranks.groupBy("_col").agg(       # a row a column
+        F.count(F.lit(1)).alias("values"), F.sum("_times").alias("rows"), F.max("_times").alias("most")).collect()}
     out = df
     for c in cols:      # each column's table by its own size: a few levels are broadcast, many values shuffle
-        rc = ranks.where(F.col("_col") == c).select(F.col("_v").alias(f"_v_{c}"),
-                                                   F.col("_rank").alias(f"{prefix}{c}"))
+        own_ranks = ranks.where(F.col("_col") == c)
+        rc = own_ranks.select(F.col("_v").alias(f"_v_{c}"), F.col("_rank").alias(f"{prefix}{c}"))
         own = out.withColumn(f"_v_{c}", F.col(c).cast("double"))
-        if values.get(c, 0) * RANK_ROW_BYTES <= BROADCAST_BYTES:
-            out = own.join(F.broadcast(rc), f"_v_{c}", "left").drop(f"_v_{c}")
-        else:
-            out = spread_join(own, rc, [f"_v_{c}"]).drop(f"_v_{c}")
+        if c not in known or known[c]["values"] * RANK_ROW_BYTES <= RANK_BYTES:
+            joined = own.join(F.broadcast(rc), f"_v_{c}", "left")
+        elif known[c]["most"] * HOT_KEYS <= known[c]["rows"]:
+            joined = own.join(rc, f"_v_{c}", "left")
+        else:       # the ranks' counts tell the frequent values
+            hot = own_ranks.where(F.col("_times") * HOT_KEYS > known[c]["rows"]).select(F.col("_v").alias(f"_v_{c}"))
+            joined = spread_join(own, rc, [f"_v_{c}"], hot_keys=hot)
+        out = joined.drop(f"_v_{c}")
     return out
 
 
