@@ -29,11 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sifter.functions.broadcasting import broadcast_if_small
+from sifter.functions.broadcasting import broadcast_if_small, fits, shuffled
 from sifter.llm.common import BROADCAST_BYTES, checked_broadcast, stored, table
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+KEY_BYTES = 64                # a document's key in a broadcast table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,7 +65,7 @@ def _tokens(docs: DataFrame, keyed: bool) -> DataFrame:
 def _small(terms: DataFrame) -> DataFrame:
     """A stored table of strings, broadcast if its measured bytes fit the bound."""
     size = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
-    return F.broadcast(terms) if size <= BROADCAST_BYTES else terms
+    return F.broadcast(terms) if size <= BROADCAST_BYTES else shuffled(terms)
 
 
 def windows_of(items: DataFrame, window: int) -> DataFrame:
@@ -120,12 +121,12 @@ class Index:
 
     def phrase_matches(self) -> DataFrame:
         """(k, k2, hits): per document the array of its exact matches (start, len, phrase)."""
-        found = stored(self.candidates().join(F.broadcast(self.phrases) if self._phrases_fit() else self.phrases, ["wid", "len"])
+        found = stored(self.candidates().join(F.broadcast(self.phrases) if self._phrases_fit() else shuffled(self.phrases), ["wid", "len"])
                        .groupBy("k", "k2").agg(F.collect_list(F.struct("start", "len", "phrase")).alias("cand")), "candidates")
         keys = found.select("k", "k2")
         hit_docs = (self.docs.select(*doc_key(self.docs), self.docs["text"].alias("text"))
-                    .join(checked_broadcast(keys, 16), ["k", "k2"], "left_semi").dropDuplicates(["k", "k2"]))
-        ws = hit_docs.select("k", "k2", words(F.col("text")).alias("ws")).join(found, ["k", "k2"])
+                    .join(checked_broadcast(keys, KEY_BYTES), ["k", "k2"], "left_semi").dropDuplicates(["k", "k2"]))
+        ws = hit_docs.select("k", "k2", words(F.col("text")).alias("ws")).join(found if fits(found) else shuffled(found), ["k", "k2"])
         same = lambda c: F.array_join(F.slice(F.col("ws"), c["start"] + 1, c["len"]), " ") == c["phrase"]
         return ws.select("k", "k2", F.filter("cand", same).alias("hits")).where("size(hits) > 0")
 
@@ -185,7 +186,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> Da
     bad = stored(Index(slim, items, window).phrase_matches().select("k", "k2"), "contaminated").alias("bad")
     d = docs.alias("d")
     here = ((F.xxhash64(F.col("d.doc_id").cast("long"), F.col("d.text")) == F.col("bad.k")) & (F.hash(F.col("d.text")) == F.col("bad.k2")))
-    return d.join(checked_broadcast(bad, 16), here, "left_anti")
+    return d.join(checked_broadcast(bad, KEY_BYTES), here, "left_anti")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

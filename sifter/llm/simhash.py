@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifter.functions.broadcasting import spread_join
+from sifter.functions.broadcasting import shuffled, spread_join
 from sifter.llm.common import prepare, stored, table, text_key
 from sifter.llm.components import connected_components
 
@@ -106,7 +106,8 @@ def hamming_links(fps: DataFrame, tau: int = 2, m: int = 4, chain: int = 3) -> D
 
     Segment ``start`` and its ``chain`` successors give the join key; chains longer than that are
     checked against their budgets on the pair, then the full distance.  A pair that several starts
-    accept is kept by ``distinct`` once.
+    accept is kept by ``distinct`` once.  The join always shuffles: the probe side is well over a hundred times
+    the fingerprints, which Spark's estimate does not see.
     """
     masks = [_signed(_mask(s, chain, m)) for s in range(m)]
     one = F.col("fp")
@@ -118,7 +119,7 @@ def hamming_links(fps: DataFrame, tau: int = 2, m: int = 4, chain: int = 3) -> D
              .select("v", F.col("x.s").alias("s"),
                      F.col("v").bitwiseAND(F.col("x.mask")).bitwiseXOR(F.col("x.flip")).alias("k")))
     diff = F.col("u").bitwiseXOR(F.col("v"))
-    pairs = index.join(probe, ["s", "k"]).where("u < v")
+    pairs = shuffled(index).join(shuffled(probe), ["s", "k"]).where("u < v")
     for longer in range(chain + 1, m + 1):          # the ring's remaining chains, then the whole distance
         budget = longer * tau // m
         fits = F.lit(False)
