@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sifter.functions.broadcasting import shuffled_beyond
 from sifter.llm.common import stored
 
 
@@ -17,18 +18,18 @@ def _both_ways(e: DataFrame) -> DataFrame:
     return e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    """Larger neighbours of u are hooked to the smallest node near u."""
+def _large_star(e: DataFrame, n: int) -> DataFrame:
+    """Larger neighbours of u are hooked to the smallest node near u; ``e`` has ``n`` links."""
     both = _both_ways(e)
     low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return (both.where("v > u").join(low, "u")
+    return (both.where("v > u").join(shuffled_beyond(low, 2 * n), "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    """u and its smaller neighbours are hooked to the smallest of them (here u > v always)."""
+def _small_star(e: DataFrame, n: int) -> DataFrame:
+    """u and its smaller neighbours are hooked to the smallest of them (here u > v always); at most ``n`` links."""
     low = e.groupBy("u").agg(F.min("v").alias("m"))
-    hooked = e.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    hooked = e.join(shuffled_beyond(low, n), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hooked.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -49,7 +50,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     e = stored(e, "links")
     before = _totals(e)
     while before[0]:
-        e = stored(_small_star(_large_star(e)), "links")
+        e = stored(_small_star(_large_star(e, before[0]), before[0]), "links")
         after = _totals(e)
         if after == before:
             break

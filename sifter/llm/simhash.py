@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifter.functions.broadcasting import shuffled, spread_join
+from sifter.functions.broadcasting import shuffled, shuffled_beyond, spread_join
 from sifter.llm.common import prepare, stored, table, text_key
 from sifter.llm.components import connected_components
 
@@ -137,9 +137,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = 2) -> DataFram
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     ids = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fp_ids")
     comp = connected_components(hamming_links(ids.select("fp"), tau))
-    linked = ids.join(comp, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fp"))
+    n = ids.count()
+    linked = ids.join(shuffled_beyond(comp, n), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fp"))
     low = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = linked.select("fp", "root").join(low, "root")
+    of_fp = linked.select("fp", "root").join(shuffled_beyond(low, n), "root")
     of_fp = stored(of_fp, "fp_components")
     return spread_join(rows, of_fp, ["fp"], "inner").select("doc_id", "text_hash", "fp", "component_id", "root")
 
